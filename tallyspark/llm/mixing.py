@@ -50,7 +50,7 @@ def with_targets(sources: DataFrame, weights: tuple[float, ...] | DataFrame, sha
         (F.sum("source_size").over(every) * F.lit(float(share))).alias("budget"),
     )
     level = (F.col("budget") - F.col("_capped")) / F.col("_open")
-    leveled = used.withColumn("_level", F.when(level * F.col("weight") <= F.col("cap"), level)).withColumn("_level", F.min("_level").over(every))
+    leveled = used.withColumn("_level", F.when(level * F.col("weight") <= F.col("cap"), level)).withColumn("_level", F.max("_level").over(every))
     target = F.least(F.coalesce(F.col("_level") * F.col("weight"), F.col("cap")), F.col("cap"))
     return leveled.select("source", "source_size", target.alias("target"), "budget")
 
@@ -132,7 +132,7 @@ WITH keyed AS (
   SELECT *, coalesce(sum(cap) OVER b, 0.0) AS capped, sum(w) OVER () - coalesce(sum(w) OVER b, 0.0) AS open, sum(s) OVER () * 1.5 AS budget FROM weighed
   WINDOW b AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), leveled AS (
-  SELECT *, min(CASE WHEN (budget - capped) / open * w <= cap THEN (budget - capped) / open END) OVER () AS level FROM ordered
+  SELECT *, max(CASE WHEN (budget - capped) / open * w <= cap THEN (budget - capped) / open END) OVER () AS level FROM ordered
 ), targets AS (SELECT source, s, budget, least(coalesce(level * w, cap), cap) AS target FROM leveled
 ), lined AS (
   SELECT d.*, t.s, t.target, t.budget, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS served

@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, mpeg_audio, near_dup, token_counts
+from . import decontamination, mixing, mpeg_audio, near_dup, token_counts
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": lambda spark, d: mixing.op1_mixing(read(spark, d, "documents")),
     "op3_media": lambda spark, d: mpeg_audio.op3_media(read(spark, d, "documents")),
     "op6_token_counts": lambda spark, d: token_counts.op6_token_counts(read(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
+    "op9_decontamination": lambda spark, d: decontamination.op9_decontamination(read(spark, d, "documents"), read(spark, d, "benchmark")),
     "op10_near_dup": lambda spark, d: near_dup.op10_near_dup(read(spark, d, "documents")),
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, mpeg_audio, near_dup, quality, token_counts
+from . import chat_format, decontamination, mixing, mpeg_audio, near_dup, quality, token_counts
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,8 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media": lambda spark, d: mpeg_audio.op3_media(read(spark, d, "documents")),
     "op6_token_counts": lambda spark, d: token_counts.op6_token_counts(read(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
     "op7_quality": lambda spark, d: quality.op7_quality(read(spark, d, "documents"), read(spark, d, "labels")),
+    "op8_chat_format": lambda spark, d: chat_format.op8_chat_format(read(spark, d, "conversations")),
     "op9_decontamination": lambda spark, d: decontamination.op9_decontamination(read(spark, d, "documents"), read(spark, d, "benchmark")),
     "op10_near_dup": lambda spark, d: near_dup.op10_near_dup(read(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE, "op8_chat_format": chat_format.ORACLE}

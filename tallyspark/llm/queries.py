@@ -7,12 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, mixing, mpeg_audio, near_dup, quality, token_counts
+from . import chat_format, decontamination, lm_scoring, mixing, mpeg_audio, near_dup, quality, token_counts
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": lambda spark, d: mixing.op1_mixing(read(spark, d, "documents")),
     "op3_media": lambda spark, d: mpeg_audio.op3_media(read(spark, d, "documents")),
+    "op5_lm_scoring": lambda spark, d: lm_scoring.op5_lm_scoring(read(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
     "op6_token_counts": lambda spark, d: token_counts.op6_token_counts(read(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
     "op7_quality": lambda spark, d: quality.op7_quality(read(spark, d, "documents"), read(spark, d, "labels")),
     "op8_chat_format": lambda spark, d: chat_format.op8_chat_format(read(spark, d, "conversations")),

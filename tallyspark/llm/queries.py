@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, lm_scoring, mixing, mpeg_audio, near_dup, pii, quality, token_counts
+from . import chat_format, decontamination, html_text, lm_scoring, mixing, mpeg_audio, near_dup, pii, quality, token_counts
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": lambda spark, d: mixing.op1_mixing(read(spark, d, "documents")),
+    "op2_html_text": lambda spark, d: html_text.op2_html_text(read(spark, d, "pages")),
     "op3_media": lambda spark, d: mpeg_audio.op3_media(read(spark, d, "documents")),
     "op4_pii": lambda spark, d: pii.op4_pii(read(spark, d, "documents")),
     "op5_lm_scoring": lambda spark, d: lm_scoring.op5_lm_scoring(read(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")),

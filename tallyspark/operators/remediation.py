@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -177,16 +178,16 @@ def frozen_evidence(views: DataFrame, stored: DataFrame | None = None) -> DataFr
 
 
 def reachable(edges: DataFrame, starts: DataFrame, most_steps: int = 100) -> DataFrame:
-    """(start, node) of the transitive closure over edges(source, target), breadth first; each round keeps only new pairs."""
-    seen = starts.select(F.col("node").alias("start"), "node").distinct()
-    front = seen
-    for _ in range(most_steps):
-        step = front.join(edges, front["node"] == edges["source"]).select("start", F.col("target").alias("node")).distinct()
-        front = step.join(seen, ["start", "node"], "left_anti").checkpoint()
-        if front.limit(1).count() == 0:
-            break
-        seen = seen.unionByName(front)
-    return seen
+    """(start, node) of the transitive closure over edges(source, target), by a recursive query; no path is followed beyond most_steps edges."""
+    spark = edges.sparkSession
+    names = [f"_{x}_{uuid.uuid4().hex}" for x in ("edges", "starts")]
+    edges.select("source", "target").createOrReplaceTempView(names[0])
+    starts.select("node").createOrReplaceTempView(names[1])
+    return spark.sql(
+        f"""WITH RECURSIVE walk(start, node, step) MAX RECURSION LEVEL {most_steps} AS (
+          SELECT node, node, 0 FROM {names[1]} UNION ALL SELECT w.start, e.target, w.step + 1 FROM walk w JOIN {names[0]} e ON w.node = e.source WHERE w.step < {most_steps - 1})
+        SELECT DISTINCT start, node FROM walk"""
+    )
 
 
 def identity_outcome() -> Column:

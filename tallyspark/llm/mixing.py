@@ -77,7 +77,7 @@ def queue(docs: DataFrame, weights: tuple[float, ...] | DataFrame, share: float,
 
 def middle(k: int) -> Column:
     """Virtual time of a document's middle word in pass k; what its source has been served so far over the source's target."""
-    return (F.col("source_size") * k + F.col("served") - F.col("size") / 2) / F.col("target")
+    return F.try_divide(F.col("source_size") * k + F.col("served") - F.col("size") / 2, F.col("target"))
 
 
 def cut_time(lined: DataFrame, most: int) -> float:
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] | DataFrame = (3, 1, 2), sha
     kept = docs.drop("copies").join(per, F.col("source").eqNullSafe(F.col("_src")), "left")
     kept = kept.withColumn("copies", F.coalesce(n, F.lit(0)).cast("int")).drop("_src", "_hi", "_lo", "_key").where("copies > 0")
     if in_order:
-        kept = kept.join(lined.select(F.col("doc_id").alias("_d"), (F.col("served") / F.col("target")).alias("virtual_finish")).dropDuplicates(["_d"]), F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
+        kept = kept.join(lined.select(F.col("doc_id").alias("_d"), F.try_divide(F.col("served").cast("double"), F.col("target")).alias("virtual_finish")).dropDuplicates(["_d"]), F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
         kept = kept.repartitionByRange("virtual_finish", "doc_id").sortWithinPartitions("virtual_finish", "doc_id")
     return kept
 

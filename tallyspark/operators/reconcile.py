@@ -307,7 +307,7 @@ def post_action_facts(pairs: DataFrame) -> DataFrame:
         F.array(
             *[
                 F.when(
-                    F.col("post").isNotNull() & ~F.col(f"pre.{f}").eqNullSafe(F.col(f"post.{f}")) & ~F.exists("changed", lambda c, f=f: c["field_path"] == F.lit(f"/payload/{f}")),
+                    F.col("post").isNotNull() & ~F.col(f"pre.{f}").eqNullSafe(F.col(f"post.{f}")) & ~F.array_contains(F.transform("changed", lambda c: c["field_path"]), f"/payload/{f}"),
                     named(F.lit(f"/payload/{f}"), F.col(f"pre.{f}"), F.col(f"post.{f}")),
                 )
                 for f, _ in fields

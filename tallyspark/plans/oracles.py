@@ -54,16 +54,16 @@ base AS (
     datediff('day', date '1970-01-01', td) * 86400 + 32405 + minutes * 60 + CASE WHEN hit AND late THEN 300 ELSE 0 END AS ingest_epoch,
     k * 16 + seq * 2 + copy AS arrival, k, effect, target
   FROM del
-), obs AS (
+), obs AS MATERIALIZED (
   SELECT *, 'sha256:' || sha256(concat_ws('|', kind, source_business_key, source_version, source_trade_id, product_type, base_currency, terms_currency, side, base_amount::varchar,
     terms_amount::varchar, quoted_rate::varchar, trade_date::varchar, value_date::varchar, counterparty_id, book_id, lifecycle_status, kind_reference)) AS content_hash
   FROM plain
 ), outcomes AS (
   SELECT *, row_number() OVER same AS nth, first_value(content_hash) OVER same AS first_hash, first_value(observation_id) OVER same AS first_id FROM obs
   WINDOW same AS (PARTITION BY tenant_id, portfolio_id, source_system, kind, source_business_key, source_version ORDER BY arrival, observation_id)
-), decided AS (
+), decided AS MATERIALIZED (
   SELECT *, CASE WHEN nth = 1 THEN 'INSERTED' WHEN content_hash = first_hash THEN 'IDEMPOTENT_REPLAY' ELSE 'DUPLICATE_SOURCE_CONFLICT' END AS outcome FROM outcomes
-), seen AS (
+), seen AS MATERIALIZED (
   SELECT *, (outcome <> 'INSERTED')::int AS src_ord,
     row_number() OVER (PARTITION BY lineage_id ORDER BY rnk, source_sequence, observation_id, source_version, content_hash) AS ordinal,
     row_number() OVER (PARTITION BY lineage_id ORDER BY list_position(['FIX_EXECUTION', 'FIX_TRADE_CAPTURE', 'FPML_CONFIRMATION', 'MOCK_LEGACY_BOOKING'], source_system),
@@ -73,19 +73,19 @@ base AS (
   FROM decided WHERE outcome <> 'IDEMPOTENT_REPLAY'
 ), keyed AS (
   SELECT lineage_id, source_business_key, count(*) AS n, min(src_ord * 1000000 + source_sequence) AS first_seen, min(observation_id) AS first_id FROM seen GROUP BY 1, 2
-), modes AS (
+), modes AS MATERIALIZED (
   SELECT lineage_id, source_business_key AS trade_id FROM (SELECT *, row_number() OVER (PARTITION BY lineage_id ORDER BY n DESC, first_seen, first_id) AS r FROM keyed) WHERE r = 1
-), trade AS (
+), trade AS MATERIALIZED (
   SELECT s.lineage_id, s.portfolio_id, m.trade_id, count(*) AS n_obs, max(ingest_epoch) AS watermark, count(DISTINCT source_trade_id) AS n_payload,
     bool_or(source_business_key <> m.trade_id) AS foreign_key, list(DISTINCT kind) AS kind_list, list(DISTINCT source_trade_id ORDER BY source_trade_id) AS payload_list
   FROM seen s JOIN modes m USING (lineage_id) GROUP BY 1, 2, 3
-), first_obs AS (SELECT lineage_id, observation_id AS first_id FROM seen WHERE ordinal = 1
-), win AS (SELECT * FROM seen WHERE exec_place = 1
-), winc AS (SELECT * FROM seen WHERE conf_place = 1
+), first_obs AS MATERIALIZED (SELECT lineage_id, observation_id AS first_id FROM seen WHERE ordinal = 1
+), win AS MATERIALIZED (SELECT * FROM seen WHERE exec_place = 1
+), winc AS MATERIALIZED (SELECT * FROM seen WHERE conf_place = 1
 ), decisions AS (
   SELECT *, CASE WHEN n_obs > 4 AND n_payload > 1 THEN 'AMBIGUOUS' WHEN foreign_key THEN 'UNMATCHED' ELSE 'ACCEPTED' END AS decision,
     CASE WHEN n_obs > 4 AND n_payload > 1 THEN n_payload WHEN foreign_key THEN 0 ELSE 1 END AS n_candidates FROM trade
-), off AS (
+), off AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY lineage_id, field ORDER BY ordinal) AS place FROM (
     SELECT s.lineage_id, s.ordinal, s.observation_id, w.observation_id AS win_id, f.field, f.value_type, f.family,
       CASE f.field WHEN 'base_currency' THEN s.base_currency WHEN 'terms_currency' THEN s.terms_currency WHEN 'side' THEN s.side WHEN 'base_amount' THEN s.base_amount::varchar
@@ -112,7 +112,7 @@ base AS (
     SELECT *, (list_sort(list(ordinal) OVER same))[2] AS nth_value_2, count(*) OVER same AS n_same FROM seen
     WINDOW same AS (PARTITION BY lineage_id, kind, source_business_key, source_version)
   ) WHERE n_same > 1 GROUP BY ALL HAVING count(DISTINCT content_hash) > 1
-), facts AS (
+), facts AS MATERIALIZED (
   SELECT t.lineage_id, 'MISSING_REQUIRED_SOURCE' AS family, r.kind AS group_key, '/source/' || lower(r.kind) || '_observation' AS field_path, 'ABSENCE' AS value_type, 'present' AS expected_value,
     'absent_after_watermark' AS observed_value, NULL AS expected_observation_id, f.first_id AS observed_observation_id, r.severity, 'DUE' AS deadline_status
   FROM trade t JOIN first_obs f USING (lineage_id), (VALUES ('EXECUTION', 'HIGH'), ('CONFIRMATION', 'MEDIUM'), ('BOOKING', 'HIGH')) r(kind, severity) WHERE NOT list_contains(t.kind_list, r.kind)
@@ -125,17 +125,18 @@ base AS (
     FROM bad b JOIN mate m USING (lineage_id) WHERE b.lineage_id NOT IN (SELECT lineage_id FROM settled)
   UNION ALL SELECT d.lineage_id, 'DUPLICATE_SOURCE_CONFLICT', d.kind || '/' || d.source_business_key || '/' || d.source_version, '/source/content_hash', 'CONTENT_HASH', a.content_hash, b.content_hash,
     a.observation_id, b.observation_id, 'HIGH', 'NO_CONFIGURED_DEADLINE' FROM dup d JOIN seen a ON a.lineage_id = d.lineage_id AND a.ordinal = d.o1 JOIN seen b ON b.lineage_id = d.lineage_id AND b.ordinal = d.o2
-), all_facts AS (
+), all_facts AS MATERIALIZED (
   SELECT t.portfolio_id, t.trade_id, w.product_type, f.*, t.watermark,
     CASE f.family WHEN 'MISSING_REQUIRED_SOURCE' THEN 'MISSING_SOURCE_AFTER_WATERMARK' WHEN 'AMBIGUOUS_OR_UNMATCHED_LINKAGE' THEN 'LINKAGE_CANDIDATE_SCOPE_INVARIANT'
       WHEN 'DUPLICATE_SOURCE_CONFLICT' THEN 'DUPLICATE_SOURCE_IDENTITY_CONTENT' WHEN 'CURRENCY_PAIR_OR_SIDE_MISMATCH' THEN 'EXACT_CURRENCY_PAIR_SIDE'
       WHEN 'ECONOMIC_VALUE_MISMATCH' THEN 'DECIMAL_OUTSIDE_TOLERANCE' WHEN 'TRADE_OR_VALUE_DATE_MISMATCH' THEN 'EXACT_TRADE_VALUE_DATE' ELSE 'ALLOWED_LIFECYCLE_RELATION' END AS condition_code
   FROM facts f JOIN trade t USING (lineage_id) JOIN win w USING (lineage_id)
-), broken AS (
+), grouped AS MATERIALIZED (
   SELECT portfolio_id, lineage_id, trade_id, product_type, family, group_key, condition_code, any_value(severity) AS severity, any_value(deadline_status) AS deadline_status, any_value(watermark) AS watermark,
-    count(*) AS n_comparisons, 'break_' || lower(family) || '_' || left(sha256(concat_ws('|', 'run_demo', family, trade_id, group_key,
-      string_agg(concat_ws('|', field_path, expected_value, observed_value, coalesce(expected_observation_id, ''), observed_observation_id), ';' ORDER BY field_path))), 40) AS break_id
-  FROM all_facts GROUP BY ALL
+    count(*) AS n_comparisons, string_agg(concat_ws('|', field_path, expected_value, observed_value, coalesce(expected_observation_id, ''), observed_observation_id), ';' ORDER BY field_path) AS comparisons
+  FROM all_facts GROUP BY 1, 2, 3, 4, 5, 6, 7
+), broken AS (
+  SELECT *, 'break_' || lower(family) || '_' || left(sha256(concat_ws('|', 'run_demo', family, trade_id, group_key, comparisons)), 40) AS break_id FROM grouped
 )
 """
 

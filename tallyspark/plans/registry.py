@@ -175,8 +175,8 @@ def contract_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contract_violations(spark: SparkSession, d: str) -> DataFrame:
-    _, rejected = V.split(contract_rows(spark, d), V.observation_rules())
-    return rejected.select("kind", F.explode("reasons").alias("reason")).groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"))
+    marked = V.with_reasons(contract_rows(spark, d), V.observation_rules())
+    return marked.select("kind", F.explode("reasons").alias("reason")).groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _pick(values: tuple, at: Column) -> Column:

@@ -242,7 +242,7 @@ ORACLES: dict[str, str] = {
         """, pairs AS (SELECT m.trade_id, s.observation_id, s.book_id, s.lifecycle_status, s.effect, s.k FROM seen s JOIN modes m USING (lineage_id) WHERE s.kind = 'BOOKING' AND s.src_ord = 0)
         SELECT trade_id, '/payload/book_id' AS field_path, 'IDENTIFIER' AS value_type, replace(book_id, '_moved', '') AS expected_value, book_id AS observed_value FROM pairs WHERE effect = 'BOOK_ID' AND k % 11 <> 0
         UNION ALL SELECT trade_id, '/payload/lifecycle_status', 'LIFECYCLE_STATUS', 'BOOKED', lifecycle_status FROM pairs WHERE lifecycle_status <> 'BOOKED' AND k % 11 <> 0
-        UNION ALL SELECT trade_id, '/payload/book_id', 'IDENTIFIER', replace(book_id, '_moved', ''), 'readback_unavailable' FROM pairs WHERE k % 11 = 0 OR (k % 13 = 0 AND k % 11 <> 0 AND effect NOT IN ('BOOK_ID', 'CANCELLED'))"""
+        UNION ALL SELECT trade_id, '/payload/book_id', 'IDENTIFIER', replace(book_id, '_moved', ''), 'readback_unavailable' FROM pairs WHERE k % 11 = 0 OR (k % 13 = 0 AND k % 11 <> 0 AND effect <> 'BOOK_ID' AND lifecycle_status = 'BOOKED')"""
     ),
     "coverage_matrix": over(
         """, t AS (SELECT CASE WHEN spot THEN 'FX_SPOT' ELSE 'FX_FORWARD' END AS product_type, CASE WHEN fam IS NULL THEN 'CLEAN' ELSE 'BROKEN' END AS population,

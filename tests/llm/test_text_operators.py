@@ -138,7 +138,7 @@ def test_pii_without_terms(docs):
 
 def test_html_structure():
     page = """<html><head><title>T</title></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a>x</a></nav><div id="cookie-notice">c</div>
-      <main><article class="post"><header><h1>Head &amp; more</h1><p>by me</p></header><p>one<br>two <b>three</b>four</p><form><p>mail</p></form><pre> a
+      <main><article class="post"><header><h1>Head &amp; more</h1><p>by me</p></header><p>one<br>two <b>three</b>four</p><form><p>mail</p></form><div style="display: none">z</div><ol class="commentlist"><li>hm</li></ol><pre> a
       b </pre><section class="comments"><article class="comment"><p>nice</p></article></section><p>end &lt;x&gt; &copy;</article></main><aside>s</aside><footer>f</footer><script>"<p>"</script>"""
     assert html_text.main_text(html_text.blocks(page), []) == "Head & more\n\none two threefour\n\na b\n\nend <x> ©"
     for odd in (None, "", "<", "<p", "</p>", "<!-- open", "<script>x", "a<b>c", "<p class='ad>x</p>"):

@@ -48,14 +48,16 @@ def trades(orders: DataFrame) -> DataFrame:
         ((slot - 24) % 6).alias("variant"),
     )
     frame = frame.withColumn("terms_amount", F.round(F.col("base_amount") * F.col("quoted_rate"), 2).cast("decimal(18,2)"))
-    key = F.col("family_ix") * 6 + F.col("variant")
-    ix = {FAMILY_ORDER.index(f) * 6 + v: (kind, effect, late) for f, v, kind, effect, late in VARIANTS}
-    return frame.select(
-        "*",
-        F.coalesce(lookup(key, {i: x[0] for i, x in ix.items()}), F.lit("")).alias("target"),
-        F.coalesce(lookup(key, {i: x[1] for i, x in ix.items()}), F.lit("")).alias("effect"),
-        F.coalesce(lookup(key, {i: x[2] for i, x in ix.items()}), F.lit(False)).alias("late"),
-    )
+    # One literal array indexed by defect, not a CASE per column: short generated code.
+    defects = F.array(*[F.struct(F.lit(kind).alias("target"), F.lit(effect).alias("effect"), F.lit(late).alias("late")) for _, _, kind, effect, late in ordered_variants()])
+    clean = F.struct(F.lit("").alias("target"), F.lit("").alias("effect"), F.lit(False).alias("late"))
+    key = (F.col("family_ix") * 6 + F.col("variant") + 1).cast("int")
+    return frame.select("*", F.coalesce(F.get(defects, key - 1), clean).alias("defect")).select("*", "defect.*").drop("defect")
+
+
+def ordered_variants() -> list[tuple]:
+    """The variants by family and number, as the defect key counts them."""
+    return sorted(VARIANTS, key=lambda v: (FAMILY_ORDER.index(v[0]), v[1]))
 
 
 def content_text() -> Column:
@@ -118,7 +120,12 @@ def deliveries(orders: DataFrame, config: Config | None = None) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deliveries(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    """Deliveries of the orders table. A table of fewer splits than cores is spread first; a large one is not shuffled."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if orders.rdd.getNumPartitions() < cores:
+        orders = orders.repartition(cores, "o_orderkey")
+    return deliveries(orders)
 
 
 def truth(orders: DataFrame) -> DataFrame:

@@ -19,7 +19,10 @@ def _count(edges: DataFrame) -> tuple[int, int]:
 
 
 def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
-    """edges(u, v), any direction, repeats allowed -> (id, root) for each id with an edge; root is the least id of its component, itself included."""
+    """edges(u, v), any direction, repeats allowed -> (id, root) for each id with an edge; root is the least id of its component, itself included.
+
+    Raises rather than returning components that ``most_steps`` did not bring to an end.
+    """
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _count(now)
     for _ in range(most_steps):
@@ -39,5 +42,7 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
         seen = found
         if done:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {most_steps} steps")
     roots = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

@@ -91,6 +91,8 @@ def test_components(spark):
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1] or find(x) != x or x in got}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+    with pytest.raises(RuntimeError, match="settle"):
+        components(spark.createDataFrame(edges, "u long, v long"), most_steps=1)
 
 
 def benchmark(spark, rows):

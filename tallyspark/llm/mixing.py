@@ -8,8 +8,8 @@ Scale: no source is collected. Running sums inside a source are sums over 4,096
 inside one cell; the place of the cut comes from two histograms of 4,096 bins over virtual time, so it is exact to 2**-24 of a pass. Texts are never shuffled:
 a document is kept by comparing its key with its source's cut.
 
-Defined cases: null text has size 0; a null source is a source of its own, last in order; documents with the same id (null ids too) are taken or left
-together; sources without words take nothing; empty tables give empty results. Extra columns are kept.
+Defined cases: null text has size 0; a null source is a source of its own, last in order; documents with the same id (null ids too) share one place in
+the queue, each counting at its own middle word, so those of equal size are taken or left together; such a group is one window, as ids are meant to be unique; sources without words take nothing; empty tables give empty results. Extra columns are kept.
 """
 
 from __future__ import annotations

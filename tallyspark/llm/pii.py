@@ -3,9 +3,9 @@
 Base kinds (email, ip, card, phone) are found by pattern and check. Each value found is a protected entity. A term (a run of letters) near an entity discloses it as
 far as the term's pointwise mutual information with the entity reaches the entity's information content (Sánchez & Batet's C-sanitisation): from ``generalise`` of it on the term is
 generalised, from ``remove`` on it is removed. Both come from document counts over the whole corpus: documents with the entity, with the term, and with
-the term within ``reach`` words of the entity. A pair needs two different contexts, since one co-occurrence, or copies of one, estimate nothing.
+the term within ``reach`` words of the entity. A pair needs two documents, since one co-occurrence estimates nothing: what stands by a value of one document only stays undecided.
 
-Scale: contexts come from one pass over the texts; pairs are counted with pre-aggregation; document counts are taken only for terms of supported pairs, by broadcast
+Scale: windows come from one pass over the texts; pairs are counted with pre-aggregation; document counts are taken only for terms of supported pairs, by broadcast
 filter while there are at most ``broadcast_terms`` of them, else by a join. Texts are shuffled only to rewrite them where any term is disclosed.
 Spans belong to a text, so copies share them.
 
@@ -98,9 +98,9 @@ def entity(kind: str, value: str) -> str:
     return hashlib.sha256(f"{kind}:{plain}".encode()).hexdigest()
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], reach: int) -> dict[tuple[str, str, str], list[tuple[int, int]]]:
-    """(entity, term, context hash) -> spans of the term, for terms within so many words of a base span and outside all of them."""
-    out: dict[tuple[str, str, str], list[tuple[int, int]]] = {}
+def contexts(text: str, spans: list[tuple[str, int, int]], reach: int) -> dict[tuple[str, str], list[tuple[int, int]]]:
+    """(entity, term) -> spans of the term, for terms within so many words of a base span and outside all of them."""
+    out: dict[tuple[str, str], list[tuple[int, int]]] = {}
     taken = sorted((a, b) for _, a, b in spans)
     for kind, a, b in spans:
         # A stretch of text that surely has so many terms, unless they are very long.
@@ -109,19 +109,17 @@ def contexts(text: str, spans: list[tuple[str, int, int]], reach: int) -> dict[t
             m for m in _TERM.finditer(text, b, high) if m.end() < high or high == len(text)
         ][:reach]
         near = [m for m in near if not any(x < m.end() and m.start() < y for x, y in taken)]
-        terms = [m[0].lower() for m in near]
-        context = hashlib.sha256(" ".join(terms).encode()).hexdigest()[:16]
-        for m, term in zip(near, terms, strict=True):
-            out.setdefault((entity(kind, text[a:b]), term, context), []).append((m.start(), m.end()))
+        for m in near:
+            out.setdefault((entity(kind, text[a:b]), m[0].lower()), []).append((m.start(), m.end()))
     return out
 
 
-PAIRS = "array<struct<entity:string,term:string,context:string,start:int,stop:int>>"
+PAIRS = "array<struct<entity:string,term:string,start:int,stop:int>>"
 
 
 def found(docs: DataFrame, reach: int) -> DataFrame:
     """doc_id, text_key, one count a base kind, base (joined), pairs: one row a document."""
-    pair = pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
+    pair = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base", pa.string()), ("pairs", pa.list_(pair))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +131,7 @@ def found(docs: DataFrame, reach: int) -> DataFrame:
                 n = Counter(k for k, _, _ in spans)
                 counts.append([n[k] for k in KINDS])
                 bases.append(joined(spans))
-                pairs.append([(e, t, c, a, b) for (e, t, c), at in contexts(text, spans, reach).items() for a, b in at] if spans else [])
+                pairs.append([(e, t, a, b) for (e, t), at in contexts(text, spans, reach).items() for a, b in at] if spans else [])
             numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(bases), pa.array(pairs, pa.list_(pair))], schema=schema)
 
@@ -169,9 +167,8 @@ def document_counts(docs: DataFrame, terms: DataFrame, broadcast_terms: int) ->
 def disclosed(docs: DataFrame, rows: DataFrame, generalise: float, remove: float, broadcast_terms: int) -> DataFrame | None:
     """text_key, start, stop, removed of each disclosing term; None if there is none."""
     pairs = rows.select("doc_id", "text_key", F.explode("pairs").alias("p")).select("doc_id", "text_key", "p.*")
-    once = pairs.groupBy("entity", "term", "context", "text_key").agg(F.countDistinct("doc_id").alias("n"))
-    both = once.groupBy("entity", "term", "context").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("support"))
-    both = stored(both.where("support > 1"), "pii-pairs")
+    once = pairs.groupBy("entity", "term", "text_key").agg(F.countDistinct("doc_id").alias("n"))
+    both = stored(once.groupBy("entity", "term").agg(F.sum("n").alias("both")).where("both > 1"), "pii-pairs")
     if both.limit(1).count() == 0:
         return None
     total = docs.count()

@@ -131,6 +131,15 @@ def test_pii_terms_are_generalised_or_removed(docs):
     assert clean[200]["text"] is None and clean[201]["text"] == "" and clean[1]["size"] == "x"
 
 
+def test_pii_identical_signatures_count_by_document(docs):
+    signed = "sincerely zorblatt joe@site.org"
+    rows = [(i, f"{'a b c d e f g h i'.replace(' ', chr(65 + i) + ' ')} {signed}") for i in range(3)] + [(10 + i, signed) for i in range(2)]
+    rows += [(20, "alone vroomfondel ann@site.org")] + [(100 + i, "plain text") for i in range(60)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(rows)).collect()}
+    assert all("zorblatt" not in clean[i] and "[EMAIL]" in clean[i] for i in (0, 1, 2, 10, 11))
+    assert clean[20] == "alone vroomfondel [EMAIL]" and clean[100] == "plain text"
+
+
 def test_pii_without_terms(docs):
     rows = {r["doc_id"]: r["text"] for r in pii.sanitise(docs([(1, "mail a@b.cd now"), (2, None)])).collect()}
     assert rows == {1: "mail [EMAIL] now", 2: None}

@@ -1,15 +1,15 @@
 """Personal data: fixed patterns, and terms that give a protected value away by information theory.
 
-Base kinds (email, ip, card, phone) are found by pattern and check. Each value found is a protected entity. A term (a run of letters) near an entity discloses it as
+Base kinds (email, ip, card, phone) are found by pattern and check. Each value found is a protected entity. A term (a run of letters of any length) in a document of an entity discloses it as
 far as the term's pointwise mutual information with the entity reaches the entity's information content (Sánchez & Batet's C-sanitisation): from ``generalise`` of it on the term is
-generalised, from ``remove`` on it is removed. Both come from document counts over the whole corpus: documents with the entity, with the term, and with
-the term within ``reach`` words of the entity. A pair needs two documents, since one co-occurrence estimates nothing: what stands by a value of one document only stays undecided.
+generalised, from ``remove`` on it is removed, wherever it stands in a document that holds the entity. All counts are of documents over the whole corpus, copies included: with the entity, with
+the term, with both; letters inside base spans are no terms. A pair needs two documents, since one co-occurrence estimates nothing: the terms of a value of one document only stay undecided.
 
-Scale: windows come from one pass over the texts; pairs are counted with pre-aggregation; document counts are taken only for terms of supported pairs, by broadcast
-filter while there are at most ``broadcast_terms`` of them, else by a join. Texts are shuffled only to rewrite them where any term is disclosed.
-Spans belong to a text, so copies share them.
+Scale: entities of the same documents are one profile. Document counts are taken only for terms of texts that hold an entity of two documents or more, by broadcast
+filter while there are at most ``broadcast_terms`` of them, else by a join. Terms too common to reach the threshold with any share of an entity's documents go before pairs are
+counted. Only texts with disclosing terms are shuffled to be rewritten, or all where more than ``broadcast_terms`` have some. The lists belong to a text, so copies share them.
 
-Defined cases: null and empty texts have no spans; offsets count code points, ends are exclusive; repeated rows give repeated results; spans of different kinds may
+Defined cases: null and empty texts have no spans; offsets count code points, ends are exclusive; repeated rows give repeated results and are one document as evidence; spans of different kinds may
 overlap, and are merged when a text is rewritten (the earliest names the merged one). Extra columns are kept by ``sanitise``.
 """
 
@@ -21,7 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, stored
@@ -33,7 +33,7 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _NUMBER = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"[^\W\d_]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -98,45 +98,41 @@ def entity(kind: str, value: str) -> str:
     return hashlib.sha256(f"{kind}:{plain}".encode()).hexdigest()
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], reach: int) -> dict[tuple[str, str], list[tuple[int, int]]]:
-    """(entity, term) -> spans of the term, for terms within so many words of a base span and outside all of them."""
-    out: dict[tuple[str, str], list[tuple[int, int]]] = {}
-    taken = sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        # A stretch of text that surely has so many terms, unless they are very long.
-        low, high = max(0, a - 40 * reach), min(len(text), b + 40 * reach)
-        near = [m for m in _TERM.finditer(text, low, a) if m.start() > low or low == 0][-reach:] + [
-            m for m in _TERM.finditer(text, b, high) if m.end() < high or high == len(text)
-        ][:reach]
-        near = [m for m in near if not any(x < m.end() and m.start() < y for x, y in taken)]
-        for m in near:
-            out.setdefault((entity(kind, text[a:b]), m[0].lower()), []).append((m.start(), m.end()))
-    return out
+def places(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """The terms of a text outside of all base spans."""
+    taken, i, reached = sorted((a, b) for _, a, b in spans), 0, 0
+    for m in _TERM.finditer(text):
+        while i < len(taken) and taken[i][0] < m.end():
+            reached = max(reached, taken[i][1])
+            i += 1
+        if m.start() >= reached:
+            yield m
 
 
-PAIRS = "array<struct<entity:string,term:string,start:int,stop:int>>"
+def term_set(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    return {x.lower() for x in ({m[0] for m in places(text, spans)} if spans else set(_TERM.findall(text)))}
 
 
-def found(docs: DataFrame, reach: int) -> DataFrame:
-    """doc_id, text_key, one count a base kind, base (joined), pairs: one row a document."""
-    pair = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base", pa.string()), ("pairs", pa.list_(pair))])
+def found(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, entities, terms: one row a document that holds an entity."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, bases, pairs = [], [], []
-            for text in batch.column(2):
+            held: list[tuple] = []
+            size = 0
+            for doc_id, key, text in zip(*batch.columns, strict=True):
                 text = text.as_py()
-                spans = base_spans(text)
-                n = Counter(k for k, _, _ in spans)
-                counts.append([n[k] for k in KINDS])
-                bases.append(joined(spans))
-                pairs.append([(e, t, a, b) for (e, t), at in contexts(text, spans, reach).items() for a, b in at] if spans else [])
-            numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(bases), pa.array(pairs, pa.list_(pair))], schema=schema)
+                if spans := base_spans(text):
+                    held.append((doc_id.as_py(), key.as_py(), sorted({entity(k, text[a:b]) for k, a, b in spans}), sorted(term_set(text, spans))))
+                    size += len(text)
+                if size > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], f.type) for c, f in enumerate(schema)], schema=schema)
+                    held, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], f.type) for c, f in enumerate(schema)], schema=schema)
 
-    kinds = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(run, f"doc_id long, text_key string, {kinds}, base string, pairs {PAIRS}")
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    return light.mapInArrow(run, "doc_id long, text_key string, entities array<string>, terms array<string>")
 
 
 def text_key():
@@ -144,7 +140,7 @@ def text_key():
 
 
 def document_counts(docs: DataFrame, terms: DataFrame, broadcast_terms: int) -> DataFrame:
-    """term, documents: in how many documents each of the terms occurs."""
+    """term, documents: in how many documents each of the terms occurs outside of base spans."""
     n = terms.count()
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in terms.collect())) if n <= broadcast_terms else None
 
@@ -153,7 +149,8 @@ def document_counts(docs: DataFrame, terms: DataFrame, broadcast_terms: int) ->
         only = wanted.value if wanted else None
         for batch in batches:
             for text in batch.column(0):
-                terms = {m.lower() for m in _TERM.findall(text.as_py() or "")}
+                text = text.as_py() or ""
+                terms = term_set(text, base_spans(text))
                 held.update(terms & only if only is not None else terms)
                 if len(held) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], names=["term", "documents"])
@@ -164,41 +161,68 @@ def document_counts(docs: DataFrame, terms: DataFrame, broadcast_terms: int) ->
     return counted if wanted else counted.join(terms, "term", "left_semi")
 
 
-def disclosed(docs: DataFrame, rows: DataFrame, generalise: float, remove: float, broadcast_terms: int) -> DataFrame | None:
-    """text_key, start, stop, removed of each disclosing term; None if there is none."""
-    pairs = rows.select("doc_id", "text_key", F.explode("pairs").alias("p")).select("doc_id", "text_key", "p.*")
-    once = pairs.groupBy("entity", "term", "text_key").agg(F.countDistinct("doc_id").alias("n"))
-    both = stored(once.groupBy("entity", "term").agg(F.sum("n").alias("both")).where("both > 1"), "pii-pairs")
-    if both.limit(1).count() == 0:
+def disclosed(docs: DataFrame, generalise: float, remove: float, broadcast_terms: int) -> DataFrame | None:
+    """text_key, terms: the disclosing terms of a text, and whether they are removed; None if there is none."""
+    rows = stored(found(docs), "pii-found")
+    held = rows.select("doc_id", "text_key", F.explode("entities").alias("entity")).groupBy("entity", "text_key", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    held = stored(held.groupBy("entity", "text_key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("evidence")), "pii-held")
+    sums = [F.sum(F.xxhash64("text_key", F.lit(i)).cast("decimal(38,0)")).cast("string") for i in range(2)]
+    known = held.groupBy("entity").agg(F.sum("n").alias("holders"), F.sum("evidence").alias("e"), F.md5(F.concat_ws(":", F.count(F.lit(1)), *sums)).alias("profile"))
+    profiles = held.join(known.where("e > 1").drop("e"), "entity").groupBy("text_key", "profile", "holders").agg(F.first("n").alias("n"), F.first("evidence").alias("evidence"))
+    profiles = stored(profiles, "pii-profiles")
+    most = profiles.agg(F.max("holders")).first()[0]
+    if most is None:
         return None
+    texts = rows.select("text_key", "terms").join(profiles.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
+    texts = stored(texts.select("text_key", F.explode("terms").alias("term")), "pii-texts")
     total = docs.count()
-    holders = pairs.groupBy("entity", "text_key").agg(F.countDistinct("doc_id").alias("n")).groupBy("entity").agg(F.sum("n").alias("holders"))
-    terms = document_counts(docs, stored(both.select("term").distinct(), "pii-terms"), broadcast_terms)
-    known = F.log2(F.lit(total) / F.col("holders"))
+    counts = stored(document_counts(docs, stored(texts.select("term").distinct(), "pii-terms"), broadcast_terms), "pii-counts")
+
+    def most_documents(holders: Column) -> Column:
+        """A term in more documents does not reach ``generalise`` even if it is in all of the holders."""
+        return F.pow(F.lit(float(total)), F.lit(1 - generalise)) * F.pow(holders.cast("double"), F.lit(generalise)) * (1 + 1e-9)
+
+    pairs = texts.join(counts.where(F.col("documents") <= most_documents(F.lit(most))), "term").join(profiles, "text_key").where(F.col("documents") <= most_documents(F.col("holders")))
+    pairs = stored(pairs, "pii-pairs")
+    both = pairs.groupBy("profile", "term", "holders", "documents").agg(F.sum("n").alias("both"), F.sum("evidence").alias("e")).where("e > 1")
+    content = F.log2(F.lit(total) / F.col("holders"))
     told = F.log2(F.col("both") * F.lit(total) / (F.col("holders") * F.col("documents")))
-    share = F.when(known > 0, told / known).otherwise(F.lit(0.0))
-    telling = both.join(holders, "entity").join(terms, "term").withColumn("share", share).where(F.col("share") >= generalise)
-    telling = stored(telling.select("entity", "term", (F.col("share") >= remove).alias("removed")), "pii-telling")
-    spans = pairs.join(telling, ["entity", "term"]).groupBy("text_key", "start", "stop").agg(F.max("removed").alias("removed"))
-    return stored(spans, "pii-spans")
+    share = F.when(content > 0, told / content).otherwise(F.lit(0.0))
+    telling = both.withColumn("share", share).where(F.col("share") >= generalise)
+    telling = stored(telling.select("profile", "term", (F.col("share") >= remove).alias("removed")), "pii-telling")
+    terms = pairs.join(telling, ["profile", "term"]).groupBy("text_key", "term").agg(F.max("removed").alias("removed"))
+    lists = stored(terms.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("term", "removed"))).alias("terms")), "pii-lists")
+    return lists if lists.limit(1).count() else None
 
 
-def term_lists(spans: DataFrame) -> DataFrame:
-    """text_key, terms: the spans of a text in order (as many as the text has)."""
-    return spans.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "removed"))).alias("terms"))
+def term_spans(text: str, spans: list[tuple[str, int, int]], terms: list[dict] | None) -> list[tuple[int, int, bool]]:
+    """(start, end, removed) of each occurrence of the terms, in order."""
+    if not terms:
+        return []
+    removed = {t["term"]: t["removed"] for t in terms}
+    return [(m.start(), m.end(), removed[x]) for m in places(text, spans) if (x := m[0].lower()) in removed]
 
 
-def _rows(docs: DataFrame, reach: int, generalise: float, remove: float, broadcast_terms: int) -> tuple[DataFrame, DataFrame | None]:
-    rows = stored(found(docs, reach), "pii-found")
-    return rows, disclosed(docs, rows, generalise, remove, broadcast_terms)
+def with_terms(docs: DataFrame, lists: DataFrame | None, key: str, held: str, broadcast_terms: int) -> DataFrame:
+    """docs with the disclosing terms of each text as column ``held``."""
+    none = F.lit(None).cast("array<struct<term:string,removed:boolean>>")
+    if lists is None:
+        return docs.withColumn(held, none)
+    docs, lists = docs.withColumn(key, text_key()), lists.withColumnsRenamed({"text_key": key, "terms": held})
+    if lists.count() > broadcast_terms:
+        return docs.join(lists, key, "left").drop(key)
+    keys = F.broadcast(lists.select(key))
+    some = docs.join(keys, key, "left_semi").join(lists, key)
+    return some.unionByName(docs.join(keys, key, "left_anti").withColumn(held, none)).drop(key)
 
 
 def rewrite(text: str | None, terms: list[dict] | None) -> str | None:
     """The text with base spans named by kind, and disclosing terms generalised or removed. Spans that overlap are one."""
     if text is None:
         return None
-    spans = [(a, b, f"[{k.upper()}]") for k, a, b in base_spans(text)]
-    spans += [(t["start"], t["stop"], "" if t["removed"] else "[TERM]") for t in terms or []]
+    base = base_spans(text)
+    spans = [(a, b, f"[{k.upper()}]") for k, a, b in base]
+    spans += [(a, b, "" if removed else "[TERM]") for a, b, removed in term_spans(text, base, terms)]
     if not spans:
         return text
     out, last = [], 0
@@ -209,18 +233,8 @@ def rewrite(text: str | None, terms: list[dict] | None) -> str | None:
     return "".join([*out, text[last:]])
 
 
-def sanitise(docs: DataFrame, reach: int = 8, generalise: float = 0.8, remove: float = 0.95, broadcast_terms: int = 200_000) -> DataFrame:
+def sanitise(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, broadcast_terms: int = 200_000) -> DataFrame:
     """docs with rewritten texts; other columns as they are."""
-    _, spans = _rows(docs, reach, generalise, remove, broadcast_terms)
-
-    if spans is None:
-
-        @F.arrow_udf("string")
-        def plain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
-                yield pa.array([rewrite(x.as_py(), None) for x in batch], pa.string())
-
-        return docs.withColumn("text", plain(F.col("text")))
 
     @F.arrow_udf("string")
     def both(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -228,17 +242,27 @@ def sanitise(docs: DataFrame, reach: int = 8, generalise: float = 0.8, remove: f
             yield pa.array([rewrite(x.as_py(), t.as_py()) for x, t in zip(texts, lists, strict=True)], pa.string())
 
     key, held = free_name(docs.columns, "_text_key"), free_name(docs.columns, "_terms")
-    lists = term_lists(spans).withColumnsRenamed({"text_key": key, "terms": held})
-    return docs.withColumn(key, text_key()).join(lists, key, "left").withColumn("text", both(F.col("text"), F.col(held))).select(*docs.columns)
-
-
-def op4_pii(docs: DataFrame, reach: int = 8, generalise: float = 0.8, remove: float = 0.95, broadcast_terms: int = 200_000) -> DataFrame:
-    rows, spans = _rows(docs, reach, generalise, remove, broadcast_terms)
-    rows = rows.drop("pairs")
-    if spans is None:
-        rows = rows.withColumn("terms", F.lit(""))
-    else:
-        lists = term_lists(spans).select(F.col("text_key").alias("_k"), F.array_join(F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["stop"])), ",").alias("terms"))
-        rows = rows.join(lists, F.col("text_key") == F.col("_k"), "left").withColumn("terms", F.coalesce("terms", F.lit("")))
-    parts = F.array_compact(F.array(F.when(F.col("base") != "", F.col("base")), F.when(F.col("terms") != "", F.col("terms"))))
-    return rows.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), F.array_join(parts, ",").alias("spans"))
+    joined = with_terms(docs, disclosed(docs, generalise, remove, broadcast_terms), key, held, broadcast_terms)
+    return joined.withColumn("text", both(F.col("text"), F.col(held))).select(*docs.columns)
+
+
+def op4_pii(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, broadcast_terms: int = 200_000) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base", pa.string()), ("spans", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, bases, all_spans = [], [], []
+            for text, terms in zip(batch.column(1), batch.column(2), strict=True):
+                text = text.as_py()
+                spans = base_spans(text)
+                n = Counter(k for k, _, _ in spans)
+                counts.append([n[k] for k in KINDS])
+                bases.append(joined(spans))
+                all_spans.append(joined(spans + [("term", a, b) for a, b, _ in term_spans(text or "", spans, terms.as_py())]))
+            numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(bases, pa.string()), pa.array(all_spans, pa.string())], schema=schema)
+
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = with_terms(light, disclosed(light, generalise, remove, broadcast_terms), "_k", "_terms", broadcast_terms).select("doc_id", "text", "_terms")
+    rows = rows.mapInArrow(run, f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base string, spans string")
+    return rows.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")

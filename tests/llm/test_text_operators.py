@@ -140,6 +140,19 @@ def test_pii_identical_signatures_count_by_document(docs):
     assert clean[20] == "alone vroomfondel [EMAIL]" and clean[100] == "plain text"
 
 
+def test_pii_terms_of_whole_documents(docs):
+    far = " ".join(["common words of all the texts"] * 4)
+    rows = [(i, f"Zorblatt {'x' * 400} lives. {far} {chr(65 + i)}only joe@site.org {far} so said zorblatt, Qi, and joe") for i in range(3)]
+    rows += [(100 + i, f"{far} so said and lives") for i in range(60)] + [(200, "joe and ann@site.org")]
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(rows)).collect()}
+    for i in range(3):
+        assert got[i] == f"  lives. {far} {chr(65 + i)}only [EMAIL] {far} so said , , and [TERM]"  # joe: 3 of its 4 documents, 0.91
+    assert got[200] == "joe and [EMAIL]" and got[100] == rows[3][1]
+    spans = {r["doc_id"]: r["spans"] for r in pii.op4_pii(docs(rows), broadcast_terms=1).collect()}
+    places = [m.span() for m in re.finditer("(?i)zorblatt|x{400}|qi|joe$", rows[0][1])]
+    assert [x for x in spans[0].split(",") if x.startswith("term")] == [f"term:{a}:{b}" for a, b in places] and spans[100] == ""
+
+
 def test_pii_without_terms(docs):
     rows = {r["doc_id"]: r["text"] for r in pii.sanitise(docs([(1, "mail a@b.cd now"), (2, None)])).collect()}
     assert rows == {1: "mail [EMAIL] now", 2: None}

@@ -2,10 +2,10 @@
 
 A page is cut into blocks (text lines). Blocks in parts that are never main text (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, styles) go by
 their markup. Blocks inside an article or main element are main text. Where a page marks no such element, pages are paired by URL: within each host, in order of path, with
-the page before and the page after; lines that a longest common subsequence shares with a neighbour are the site's, not the page's, and go. A page of
-which nothing would stay is a copy and keeps all.
+the nearest page before and after that is no copy (has other lines); lines that a longest common subsequence shares with a neighbour are the site's, not the page's, and go. A page of
+which nothing would stay keeps all. Near copies next to each other are compared as any pages are, and lose the lines that they share.
 
-Scale: pages are range-partitioned and sorted by (host, path, id), so a host of any size spreads over many tasks and a task holds three pages at a time.
+Scale: pages are range-partitioned and sorted by (host, path, id), so a host of any size spreads over many tasks and a task holds three pages at a time, and the ids and urls of a run of copies.
 A page that is first or last in its task has one neighbour to compare with instead of two.
 
 Defined cases: null html gives the empty text; broken markup (unclosed or stray tags, comments, quotes) is read on as browsers do, a truncated page up to its end; null
@@ -197,20 +197,30 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            before = now = None
+            before = now = None  # (host, blocks); now is a run of copies, with the (id, url) of each
+            run: list[tuple] = []
             for batch in batches:
                 for page_id, url, page, host in zip(*[batch.column(i) for i in range(4)], strict=True):
-                    after = (page_id.as_py(), url.as_py(), host.as_py(), blocks(page.as_py()))
+                    key, after = (page_id.as_py(), url.as_py()), (host.as_py(), blocks(page.as_py()))
+                    if now and after == now:
+                        run.append(key)
+                        continue
                     if now:
-                        yield now, [x[3] for x in (before, after) if x and x[2] and x[2] == now[2]]
-                    before, now = now, after
+                        yield from texts(run, before, now, after)
+                    if not now or now[0] != after[0] or now[1][1] != after[1][1]:
+                        before = now
+                    now, run = after, [key]
             if now:
-                yield now, [before[3]] if before and before[2] and before[2] == now[2] else []
+                yield from texts(run, before, now, None)
+
+        def texts(run: list[tuple], before: tuple | None, now: tuple, after: tuple | None) -> Iterator[tuple]:
+            text = main_text(now[1], [x[1] for x in (before, after) if x and x[0] and x[0] == now[0]])
+            for page_id, url in run:
+                yield page_id, url, text
 
         held: list[tuple] = []
         size = 0
-        for (page_id, url, _, own), neighbours in rows():
-            text = main_text(own, neighbours)
+        for page_id, url, text in rows():
             held.append((page_id, url, text))
             size += len(text)
             if size > 4_000_000:

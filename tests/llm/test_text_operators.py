@@ -179,6 +179,13 @@ def test_html_differencing(spark):
     assert html_text.op2_html_text(pages.limit(0)).collect() == []
 
 
+def test_html_copies_are_compared_past_each_other(spark):
+    page = "<div>Home of things</div><p>{}</p><div>Call us today</div>"
+    rows = [(i, f"https://h.example/a/{i}", page.format("one" if i == 0 else "two" if i == 6 else "same")) for i in range(7)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {0: "one", **dict.fromkeys(range(1, 6), "same"), 6: "two"}
+
+
 def test_lattice_against_all_segmentations():
     pieces, logs = lm_scoring.vocabulary(PIECES)
     lattice, at = lm_scoring.Lattice(pieces, np.array(logs)), {p: i for i, p in enumerate(pieces)}

@@ -1,13 +1,12 @@
-"""What the corpus operators share: whole-text word rules, shared-folder tables, Arrow helpers."""
+"""What the corpus operators share: whole-text word rules, shared-folder tables, running totals."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but space, tab, LF, VT, FF and CR. ``bytes.split()`` cuts UTF-8 text in the same places.
@@ -33,28 +32,81 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % n
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only for a local session that names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        sc = spark.sparkContext
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="tallyspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if sc.applicationId not in _LOCAL:
+            _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="tallyspark-")
+        found = _LOCAL[sc.applicationId]
     return found.rstrip("/")
 
 
+#: Paths of stored tables that are not dropped yet, by open block (the last is the innermost) and, first, those outside of any block.
+_MADE: list[list[str]] = [[]]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyspark/{name}-{uuid.uuid4().hex}"
+    _MADE[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def strings(column: pa.Array | pa.ChunkedArray) -> Iterator[str]:
-    """Texts of an Arrow column, null as the empty text."""
-    return (x or "" for x in column.to_pylist())
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Remove stored tables. What depends on them must have been written before."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A block whose stored tables go when it ends. What must outlive it is stored through the function that the block is given."""
+    made: list[str] = []
+    _MADE.append(made)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        _MADE[-2].append(made.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        _MADE.remove(made)
+        drop(spark, made)
+
+
+def clear(spark: SparkSession) -> None:
+    """Drop every table that is still stored: to be called once the results that read them have been written."""
+    drop(spark, _MADE[0])
+
+
+def running(df: DataFrame, order: list, name: str, **totals: Column) -> DataFrame:
+    """df with, for each named value, the sum over all rows before it in a global order (0 for the first row).
+
+    The rows are range-partitioned, so each task holds a contiguous stretch of the order of about equal size; stretches have their sums added up in a table of one row each,
+    and a window adds up the rows inside of a stretch. Rows equal in ``order`` come in any order.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    placed = stored(placed.withColumns({f"_{k}": v for k, v in totals.items()}), name)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("_part").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in totals])
+    parts = parts.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}_parts") for k in totals])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.join(F.broadcast(parts), F.col("_part") == F.col("_p"))
+    joined = joined.withColumns({k: F.col(f"_{k}_parts") + F.coalesce(F.sum(f"_{k}").over(within), F.lit(0)) for k in totals})
+    return joined.drop("_part", "_p", *[f"_{k}" for k in totals], *[f"_{k}_parts" for k in totals])
 
 
 def free_name(taken: list[str], wanted: str) -> str:

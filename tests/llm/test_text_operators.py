@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyspark.llm import html_text, lm_scoring, mpeg_audio, pii, token_counts
+from tallyspark.llm import lm_scoring, mpeg_audio, pii, token_counts
 from tallyspark.llm.wordhash import each_text, shingles
 
 P = pytest.importorskip("public_tokenizers")
@@ -158,34 +158,6 @@ def test_pii_without_terms(docs):
     assert rows == {1: "mail [EMAIL] now", 2: None}
 
 
-def test_html_structure():
-    page = """<html><head><title>T</title></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a>x</a></nav><div id="cookie-notice">c</div>
-      <main><article class="post"><header><h1>Head &amp; more</h1><p>by me</p></header><p>one<br>two <b>three</b>four</p><form><p>mail</p></form><div style="display: none">z</div><ol class="commentlist"><li>hm</li></ol><pre> a
-      b </pre><section class="comments"><article class="comment"><p>nice</p></article></section><p>end &lt;x&gt; &copy;</article></main><aside>s</aside><footer>f</footer><script>"<p>"</script>"""
-    assert html_text.main_text(html_text.blocks(page), []) == "Head & more\n\none two threefour\n\na b\n\nend <x> ©"
-    for odd in (None, "", "<", "<p", "</p>", "<!-- open", "<script>x", "a<b>c", "<p class='ad>x</p>"):
-        html_text.blocks(odd)
-
-
-def test_html_differencing(spark):
-    boiler = "<div>Home of things</div><p>{}</p><div>Call us today</div>"
-    rows = [(i, f"https://h.example/a/{i:03d}", boiler.format(f"story {i}")) for i in range(6)]
-    rows += [(10, "https://h.example/b/1", "<article><p>kept line</p></article>"), (11, "https://h.example/b/2", "<article><p>kept line</p></article>"), (12, None, None), (13, "https://lone.example/x", "<p>alone</p>")]
-    pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, text string")
-    got = {r["page_id"]: r for r in html_text.op2_html_text(pages).collect()}
-    assert [got[i]["text"] for i in range(6)] == [f"story {i}" for i in range(6)]
-    assert got[10]["text"] == got[11]["text"] == "kept line" and got[12]["text"] == "" and got[13]["text"] == "alone" and got[13]["n_chars"] == 5
-    assert html_text.shared(list("abcde"), list("xaczde")) == {0, 2, 3, 4}
-    assert html_text.op2_html_text(pages.limit(0)).collect() == []
-
-
-def test_html_copies_are_compared_past_each_other(spark):
-    page = "<div>Home of things</div><p>{}</p><div>Call us today</div>"
-    rows = [(i, f"https://h.example/a/{i}", page.format("one" if i == 0 else "two" if i == 6 else "same")) for i in range(7)]
-    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
-    assert {r["page_id"]: r["text"] for r in got} == {0: "one", **dict.fromkeys(range(1, 6), "same"), 6: "two"}
-
-
 def test_lattice_against_all_segmentations():
     pieces, logs = lm_scoring.vocabulary(PIECES)
     lattice, at = lm_scoring.Lattice(pieces, np.array(logs)), {p: i for i, p in enumerate(pieces)}

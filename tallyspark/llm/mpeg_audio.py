@@ -1,12 +1,16 @@
-"""Media column: MPEG-1 Layer III audio whose ancillary data carries a payload.
+"""Media column: MPEG audio whose ancillary data carries a payload.
 
-A writer lays out: an ID3v2 tag (payload lengths), a frame with a variable-bitrate table (frames, bytes, 100 seek points), mono 48 kHz
+The writer lays out: an ID3v2 tag (payload lengths), a frame with a variable-bitrate table (frames, bytes, 100 seek points), mono 48 kHz Layer III
 frames whose granules are empty (silence) and whose rest is ancillary data holding the payload, protected by the format's CRC-16,
 and an ID3v1 tag. All but the last frame run at 320 kbit/s, the last at the lowest rate that holds what is left.
 
-The reader takes any bytes: it skips tags, finds frame headers again after damage (a header counts only if another frame, a
-tag or the end follows), checks checksums, and gives exact durations in samples and the offset of every frame. Empty or damaged input
-yields a record with no frames, never an error.
+The reader takes any bytes: MPEG-1, -2 and -2.5, Layers I to III. It reads the text frames of ID3v2 tags (2.2 to 2.4) and steps over all others, reads ID3v1 tags and both kinds of variable-bitrate
+tables (Xing/Info and VBRI), finds frame headers again after damage (a header counts only if another frame or the end follows), and gives exact durations in samples and the
+offset of every frame. Checksums are verified in Layer III, where what they cover has a fixed size. Empty or damaged input yields a record of what was found, with no frames if there are none, never
+an error.
+
+Defined cases: null and empty texts are 64 bytes of padding; null media is empty; very long texts are one file of their own; repeated rows give equal values; other columns are kept, one that has the name of the
+output is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Fixed values of the format (ISO/IEC 11172-3, 13818-3).
+KBPS_V1_L1 = [0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448]
+KBPS_V1_L2 = [0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384]
+KBPS_V2_L1 = [0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256]
 KBPS_V1_L3 = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
 KBPS_V2_L3 = [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]
 RATES_V1 = [44100, 48000, 32000]
@@ -43,18 +50,24 @@ def crc16(data: bytes) -> int:
 
 @lru_cache(maxsize=65_536)
 def header(word: bytes) -> tuple[int, int, int, int, bool] | None:
-    """(frame bytes, sample rate, samples, side bytes, protected) of a Layer III header; None if it is not one."""
+    """(frame bytes, sample rate, samples, side bytes, protected) of a frame header; None if it is not one. Only Layer III has side bytes (0 else)."""
     if len(word) < 4 or word[0] != 0xFF or word[1] & 0xE0 != 0xE0:
         return None
-    version, layer, rate_at, sr_at = word[1] >> 3 & 3, word[1] >> 1 & 3, word[2] >> 4, word[2] >> 2 & 3
-    if version == 1 or layer != 1 or rate_at in (0, 15) or sr_at == 3 or word[3] & 3 == 2:
+    version, layer, rate_at, sr_at = word[1] >> 3 & 3, 4 - (word[1] >> 1 & 3), word[2] >> 4, word[2] >> 2 & 3
+    if version == 1 or layer == 4 or rate_at in (0, 15) or sr_at == 3 or word[3] & 3 == 2:
         return None
     first = version == 3
     rate = RATES_V1[sr_at] >> (0 if first else 1 if version == 2 else 2)
+    padding, protected, mono = word[2] >> 1 & 1, not word[1] & 1, word[3] >> 6 == 3
+    if layer == 1:
+        kbps = (KBPS_V1_L1 if first else KBPS_V2_L1)[rate_at]
+        return (12 * kbps * 1000 // rate + padding) * 4, rate, 384, 0, protected
+    if layer == 2:
+        kbps = (KBPS_V1_L2 if first else KBPS_V2_L3)[rate_at]
+        return 144 * kbps * 1000 // rate + padding, rate, 1152, 0, protected
     kbps, samples = (KBPS_V1_L3 if first else KBPS_V2_L3)[rate_at], 1152 if first else 576
-    mono = word[3] >> 6 == 3
     side = (17 if mono else 32) if first else (9 if mono else 17)
-    return samples // 8 * kbps * 1000 // rate + (word[2] >> 1 & 1), rate, samples, side, not word[1] & 1
+    return samples // 8 * kbps * 1000 // rate + padding, rate, samples, side, protected
 
 
 def _head(kbps: int, protected: bool) -> bytes:
@@ -90,19 +103,89 @@ def encode(payload: bytes, n_bytes: int) -> bytes:
     return b"".join([tag, first, *frames, b"TAG" + b"payload".ljust(124, b"\0") + b"\xff"])
 
 
+def _number(data: bytes, at: int, size: int) -> int:
+    """A big-endian number; what lies beyond the end counts as 0."""
+    return int.from_bytes(data[at : at + size].ljust(size, b"\0"), "big")
+
+
+def _synchsafe(data: bytes) -> int:
+    """A size in bytes of seven bits."""
+    out = 0
+    for byte in data:
+        out = out << 7 | byte & 127
+    return out
+
+
+def _text(data: bytes) -> list[str]:
+    """The strings of a text frame: an encoding byte, then strings ended by zeros."""
+    names = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
+    text = data[1:].decode(names.get(data[0], "latin-1"), "replace") if data else ""
+    return text.rstrip("\0").lstrip("\ufeff").split("\0")
+
+
+def tag_v2(media: bytes) -> tuple[int, dict[str, str]]:
+    """(bytes of the ID3v2 tag at the beginning, its text frames by name; user-defined ones by their description)."""
+    if media[:3] != b"ID3" or len(media) < 10 or not 2 <= media[3] <= 4:
+        return 0, {}
+    version, flags = media[3], media[5]
+    end = min(len(media), 10 + _synchsafe(media[6:10]))
+    body = media[10:end]
+    if flags & 128 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    at, fields = 0, {}
+    if flags & 64 and version > 2:
+        at = _number(body, 0, 4) + 4 if version == 3 else _synchsafe(body[:4])
+    wide = 3 if version == 2 else 4
+    head = 6 if version == 2 else 10
+    while at + head <= len(body) and body[at : at + wide].isalnum():
+        name, sized = body[at : at + wide].decode("ascii"), body[at + wide : at + 2 * wide]
+        size = _synchsafe(sized) if version == 4 else _number(sized, 0, wide)
+        data = body[at + head : at + head + size]
+        at += head + size
+        if name[0] != "T" or len(data) < size:
+            continue
+        if version == 4 and body[at - size - 1] & 2:
+            data = data.replace(b"\xff\0", b"\xff")
+        found = _text(data)
+        if name in ("TXXX", "TXX"):
+            fields[found[0]] = "\0".join(found[1:]).lstrip("\ufeff")
+        else:
+            fields[name] = "\0".join(found)
+    return end + (10 if version == 4 and flags & 16 else 0), fields
+
+
+def rate_table(frame: bytes, body: int, side: int) -> dict | None:
+    """What a frame's variable-bitrate table says: Xing or Info behind the side bytes, or VBRI 32 bytes behind the header."""
+    at = body + side
+    if frame[at : at + 4] in (b"Xing", b"Info"):
+        flags, at = _number(frame, at + 4, 4), at + 8
+        out: dict = {"kind": "Xing", "frames": None, "bytes": None, "toc": []}
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                out[name] = _number(frame, at, 4)
+                at += 4
+        if flags & 4:
+            out["toc"] = list(frame[at : at + 100])
+        return out
+    if frame[36:40] == b"VBRI":
+        entries, scale, width = _number(frame, 54, 2), _number(frame, 56, 2), _number(frame, 58, 2)
+        whole = max(0, min(entries, (len(frame) - 62) // width)) if 1 <= width <= 4 else 0
+        toc = [scale * _number(frame, 62 + i * width, width) for i in range(whole)]
+        return {"kind": "VBRI", "frames": _number(frame, 50, 4), "bytes": _number(frame, 46, 4), "toc": toc}
+    return None
+
+
+def _field(fields: dict[str, str], key: str, default: int) -> int:
+    text = fields.get(key, "")
+    return int(text) if text.isascii() and text.isdecimal() and len(text) <= 18 else default
+
+
 def decode(media: bytes | None) -> dict:
     """All that the file holds: tags, table, frame offsets, durations, checksums, and the ancillary payload."""
     media = media or b""
-    end, at, fields = len(media), 0, {}
-    if media[:3] == b"ID3" and end >= 10:
-        stop = 10 + sum((media[6 + i] & 127) << (21 - 7 * i) for i in range(4))
-        pos = 10
-        while pos + 10 <= min(stop, end) and media[pos : pos + 4] == b"TXXX":
-            (size,) = struct.unpack(">I", media[pos + 4 : pos + 8])
-            key, _, value = media[pos + 11 : pos + 10 + size].partition(b"\0")
-            fields[key.decode("latin-1")] = value.decode("latin-1")
-            pos += 10 + size
-        at = min(stop, end)
+    at, fields = tag_v2(media)
+    end = len(media)
+    at = min(at, end)
     if end - at >= 128 and media[end - 128 : end - 125] == b"TAG":
         end -= 128
         fields["id3v1"] = media[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
@@ -120,27 +203,25 @@ def decode(media: bytes | None) -> dict:
             continue
         lost = False
         size, rate, count, side, protected = found
-        body = at + 4 + 2 * protected
-        if table is None and not offsets and media[body + side : body + side + 4] in (b"Xing", b"Info"):
-            flags, n, total = struct.unpack(">III", media[body + side + 4 : body + side + 16])
-            table = {"frames": n, "bytes": total, "toc": media[body + side + 16 : body + side + 116] if flags & 4 else b""}
+        body = 4 + 2 * protected
+        frame = media[at : at + size]
+        if side and table is None and not offsets and (table := rate_table(frame, body, side)):
             origin = at
             at += size
             continue
-        if protected:
-            ok = crc16(media[at + 2 : at + 4] + media[body : body + side]) == int.from_bytes(media[at + 4 : at + 6], "big")
+        if side and protected:
+            ok = crc16(frame[2:4] + frame[body : body + side]) == _number(frame, 4, 2)
             good, bad = good + ok, bad + (not ok)
         offsets.append(at)
         sizes.add(size)
-        parts.append(media[body + side : at + size])
+        parts.append(frame[body + side :] if side else b"")
         samples += count
         at += size
     payload = b"".join(parts)
-    number = lambda key, default: int(fields[key]) if fields.get(key, "").isdigit() else default
-    payload = payload[: number("PAYLOAD_BYTES", len(payload))]
+    payload = payload[: _field(fields, "PAYLOAD_BYTES", len(payload))]
     return {
         "fields": fields, "table": table, "offsets": offsets, "samples": samples, "rate": rate, "crc_ok": good, "crc_bad": bad, "resyncs": resyncs,
-        "variable": len(sizes) > 1, "payload": payload, "n_bytes": number("TEXT_BYTES", len(payload)),
+        "variable": len(sizes) > 1, "payload": payload, "n_bytes": _field(fields, "TEXT_BYTES", len(payload)),
         "table_ok": bool(table) and table["frames"] == len(offsets) and table["bytes"] == at - origin,
     }
 

@@ -1,6 +1,5 @@
 """Operators that work text by text: exact values, round trips and brute-force versions."""
 
-import hashlib
 import math
 import random
 import re
@@ -11,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyspark.llm import lm_scoring, mpeg_audio, pii, token_counts
+from tallyspark.llm import lm_scoring, pii, token_counts
 from tallyspark.llm.wordhash import each_text, shingles
 
 P = pytest.importorskip("public_tokenizers")
@@ -60,36 +59,6 @@ def test_token_count_query(spark, docs):
     ]
 
 
-def test_audio_round_trip_and_damage():
-    for text in [*ODD, "z" * 937 * 3, "z" * 937 * 64, "µ" * 100_000]:
-        payload, n = mpeg_audio.padded(text)
-        assert len(payload) % 64 == 0 and len(payload) >= 64
-        media = mpeg_audio.encode(payload, n)
-        got = mpeg_audio.decode(media)
-        assert got["payload"] == payload and got["n_bytes"] == n and got["table_ok"] and not got["crc_bad"] and not got["resyncs"]
-        assert got["samples"] == 1152 * len(got["offsets"]) and all(mpeg_audio.header(media[o : o + 4]) for o in got["offsets"])
-    whole = mpeg_audio.encode(*mpeg_audio.padded("q" * 9000))
-    at = mpeg_audio.decode(whole)["offsets"]
-    spoilt = whole[: at[2] + 8] + bytes([whole[at[2] + 8] ^ 1]) + whole[at[2] + 9 :]
-    assert mpeg_audio.decode(spoilt)["crc_bad"] == 1
-    torn = whole[: at[3]] + b"\xff\xfajunk" + whole[at[3] :]
-    assert mpeg_audio.decode(torn)["resyncs"] >= 1 and len(mpeg_audio.decode(torn)["offsets"]) == len(at)
-    for junk in (None, b"", b"ID3", b"\xff" * 50, bytes(range(256)) * 3):
-        assert mpeg_audio.decode(junk)["samples"] == 0 or junk
-
-
-def test_crc_of_the_format():
-    assert mpeg_audio.crc16(b"123456789") == 0xAEE7
-
-
-def test_audio_query(docs):
-    rows = {r["doc_id"]: r for r in mpeg_audio.op3_media(docs([(1, "héllo"), (2, None), (3, "y" * 3000), (4, "héllo")])).collect()}
-    payload = "héllo".encode().ljust(64, b"\0")
-    assert rows[1]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and rows[1]["tail_crc32"] == zlib.crc32(payload) and rows[1]["n_bytes"] == 6
-    assert rows[2]["payload_bytes"] == 64 and rows[2]["n_bytes"] == 0 and rows[3]["payload_bytes"] == 3008
-    assert rows[1].asDict() | {"doc_id": 4} == rows[4].asDict()
-
-
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

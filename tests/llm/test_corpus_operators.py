@@ -1,8 +1,9 @@
 """Operators that compare documents with others: brute-force versions on small tables, and odd inputs."""
 
+import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -161,30 +162,85 @@ def duck(name, df, sql):
 def mixture(rng):
     rows = [(i, text(rng, rng.randint(0, 40)), rng.choice(["a", "b", "c", "d", None])) for i in range(300)]
     rows += [(400 + i, text(rng, 30), "hot") for i in range(200)] + [(900, None, "a"), (901, "", "empty"), (5, "again here", "b"), (None, "no id here", "c")]
+    rows += [(950, text(rng, n), "a") for n in (400, 300, 300, 110)] + [(None, "the same row", "d")] * 30 + [(None, text(rng, 9), None) for _ in range(20)]
     return rows
 
 
+def twin(table):
+    plain = table.select("doc_id", "text", "source")
+    typed = "FROM (SELECT doc_id::bigint AS doc_id, text, source FROM documents)"
+    return duck("documents", plain, mixing.ORACLE.replace("FROM documents", typed))
+
+
+def by_hand(rows, weights=(3, 1, 2), share=1.5, most=2):
+    """The mix as a queue that is served turn by turn: Counter of (id, text, source, copies)."""
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").encode().split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    open_, left, target = [s for s in order if sizes[s]], share * sum(sizes.values()), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if level * weight[s] > most * sizes[s]]
+        for s in full or open_:
+            target[s] = float(most * sizes[s]) if full else level * weight[s]
+            left -= target[s] if full else 0
+        open_ = [s for s in open_ if s not in target]
+    line = []
+    for s in target:
+        served = 0
+        for k in range(most):
+            for key, i in sorted((hashlib.md5(f"{'' if d is None else d}\x1f{t or ''}".encode()).hexdigest(), i) for i, (d, t, x) in enumerate(rows) if x == s and (t or "").split()):
+                served += len(rows[i][1].encode().split())
+                line.append((served / target[s], key, i))
+    total, times = 0, Counter()
+    for _, _, i in sorted(line):
+        total += len(rows[i][1].encode().split())
+        if total > share * sum(sizes.values()):
+            break
+        times[i] += 1
+    return Counter((*rows[i], n) for i, n in times.items())
+
+
 def test_mixing(docs):
-    table = docs(mixture(random.Random(8)))
+    rows = mixture(random.Random(8))
+    table = docs(rows)
     got = mixing.op1_mixing(table)
-    mine = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["source_size"], round(r["target"], 4), r["taken"]) for r in got.collect())
-    plain = table.select("doc_id", "text", "source")
-    theirs = duck("documents", plain, mixing.ORACLE.replace("FROM documents", "FROM (SELECT doc_id::bigint AS doc_id, text, source FROM documents)"))
-    assert mine == sorted((-1 if r[0] is None else r[0], r[1], r[2], round(r[3], 4), r[4]) for r in theirs)
+    order = lambda x: tuple((v is None, v) for v in x)
+    mine = sorted(((r["doc_id"], r["size"], r["source_size"], round(r["target"], 4), r["taken"]) for r in got.collect()), key=order)
+    assert mine == sorted(((r[0], r[1], r[2], round(r[3], 4), r[4]) for r in twin(table)), key=order)
     per = defaultdict(lambda: [0, 0.0, 0, 0])
-    for i, size, whole, target, taken in mine:
+    for _, size, whole, target, taken in mine:
         assert taken in (0, size, 2 * size)
         p = per[whole, target]
         p[0], p[1], p[2], p[3] = p[0] + taken, target, max(p[2], size), whole
     assert all(abs(p[0] - p[1]) <= p[2] + 1 and p[1] <= 2 * p[3] for p in per.values())
-    copies = {(r["doc_id"], r["text"]): r["copies"] for r in mixing.mix(table, in_order=True).collect()}
-    assert {i: c for (i, _), c in copies.items() if i is not None and i != 5} == {i: t // s for i, s, _, _, t in mine if t and i not in (-1, 5)}
+    # Queue, mix and a mix by hand agree on every row, repeated ids and equal rows too.
+    expected = by_hand(rows)
+    lined = mixing.queue(table).where("copies > 0").groupBy("doc_id", "source", "size", "copies").count().collect()
+    counted = Counter()
+    for (i, t, s, n), k in expected.items():
+        counted[i, s, len(t.split()), n] += k
+    assert {(r["doc_id"], r["source"], r["size"], r["copies"]): r["count"] for r in lined} == counted
+    for in_order in (False, True):
+        mixed = mixing.mix(table.withColumn("_key", F.lit("clash")), in_order=in_order)
+        assert Counter((r["doc_id"], r["text"], r["source"], r["copies"]) for r in mixed.collect()) == expected and "_key" in mixed.columns
+    assert sum(len(t.split()) * n * k for (_, t, _, n), k in expected.items()) <= 1.5 * sum(r[1] for r in mine)
+
+
+def test_mixing_equal_rows_at_the_cut(docs):
+    rows = [(None, "three words here", "a")] * 50 + [(i, "one", "b") for i in range(9)]
+    table = docs(rows)
+    assert Counter((r["doc_id"], r["text"], r["source"], r["copies"]) for r in mixing.mix(table).collect()) == by_hand(rows)
+    assert mixing.op1_mixing(table).agg(F.sum("taken")).first()[0] == sum(len(t.split()) * n * k for (_, t, _, n), k in by_hand(rows).items())
 
 
 def test_mixing_odd_tables(docs):
-    assert mixing.op1_mixing(docs([(1, "a b", "x")]).limit(0)).collect() == []
+    assert mixing.op1_mixing(docs([(1, "a b", "x")]).limit(0)).collect() == [] and mixing.mix(docs([(1, "a b", "x")]).limit(0)).collect() == []
     assert mixing.op1_mixing(docs([(1, "", "x"), (2, None, "y")])).agg(F.sum("taken")).first()[0] == 0
     assert mixing.mix(docs([(1, "", "x")])).collect() == []
+    assert mixing.mix(docs([(1, "w " * 30_000, "x"), (2, "w", "y")])).count() >= 1
 
 
 def chats(rng):

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -100,21 +102,74 @@ def benchmark(spark, rows):
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
+def plain_words(t):
+    return tuple(re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower()))
+
+
+@lru_cache(maxsize=4000)
+def masked(words, mask):
+    """Where each choice of words by the mask stands."""
+    out = defaultdict(list)
+    for at in range(len(words) - max(mask)):
+        out[tuple(words[at + i] for i in mask)].append(at)
+    return out
+
+
+def plain_overlap(doc, item, least_words=25):
+    """(marked words, item words) of an item in a document, by trying every mask at every place; None if not enough."""
+    n = len(item)
+    masks = [tuple(range(n))] if n <= 4 else decontamination.MASKS
+    lines = sorted({at - place for m in masks for key, places in masked(item, m).items() for at in masked(doc, m).get(key, ()) for place in places}) if n else []
+    groups = []
+    for s in lines:
+        if groups and s - groups[-1][-1] <= max(4, n // 4):
+            groups[-1].append(s)
+        else:
+            groups.append([s])
+    best = 0
+    for group in groups:
+        marked = set()
+        for s in group:
+            on = [i for i in range(n) if 0 <= s + i < len(doc)]
+            same = {i for i in on if doc[s + i] == item[i]}
+            marked |= {i for i in same if (2 * len(same) > len(on) if len(on) <= 5 else sum(j in same for j in range(i - 2, i + 3)) >= 3)}
+        best = max(best, len(marked))
+    return (best, n) if best and best >= min(0.5 * n, least_words or n) else None
+
+
 @pytest.mark.parametrize("block", [8_000_000, 300])
 def test_decontamination(spark, docs, block):
     rng = random.Random(9)
     items = [(i, text(rng, rng.randint(14, 60))) for i in range(12)] + [(50, None), (51, ""), (52, "rare short item")]
+    items += [(60 + i, f"the very same phrase here {text(rng, 20)} {i}") for i in range(20)] + [(3, items[3][1]), (None, items[5][1])]
     fill = lambda: text(rng, 60)
     w = items[3][1].split()
     rows = [
         (1, f"{fill()} {items[0][1]} {fill()}"), (2, f"{fill()} {items[1][1].upper()}, {fill()}"), (3, items[2][1]), (4, f"{fill()} {edited(rng, items[4][1], 3)} {fill()}"),
         (5, f"{fill()} {' '.join(w[:6] + ['inserted'] + w[6:])} {fill()}"), (6, "a rare, short item and"), (7, "a rare short item and"), (8, None), (9, ""), (10, fill()), (11, fill()), (1, fill()),
-    ]
+        (None, items[6][1]), (12, "the very same phrase here " * 40), (13, f"{text(rng, 3000)} {items[62 - 45][1]} é {text(rng, 3000)}"), (14, "x " * 20_000),
+    ] + [(100 + i, f"{fill()} {' '.join(items[i % 12][1].split()[: rng.randint(4, 40)])} {fill()}") for i in range(40)]
     found = decontamination.overlaps(docs(rows), benchmark(spark, items), block_chars=block).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 0), (2, 1), (3, 2), (4, 4), (5, 3), (6, 52), (7, 52)}
-    flagged = decontamination.contaminated(docs(rows), benchmark(spark, items), block_chars=block)
-    assert sorted(r["doc_id"] for r in flagged.where("contaminated").collect()) == [1, 2, 3, 4, 5, 6, 7] and flagged.count() == len(rows)
+    expected = Counter()
+    for i, t in rows:
+        for k, x in items:
+            if held := plain_overlap(plain_words(t), plain_words(x)):
+                expected[i, k, *held] += 1
+    assert Counter((r["doc_id"], r["item_id"], r["matched"], r["item_words"]) for r in found) == expected
+    assert {(1, 0), (2, 1), (3, 2), (4, 4), (5, 3), (6, 52), (7, 52)} <= {x[:2] for x in expected} and not {8, 9, 10, 11, 14} & {x[0] for x in expected}
+    flagged = decontamination.contaminated(docs(rows).withColumn("contaminated", F.lit("old")), benchmark(spark, items), block_chars=block).collect()
+    bad = {t for i, t in rows for k, x in items if plain_overlap(plain_words(t), plain_words(x))}
+    assert Counter((r["doc_id"], r["text"], r["contaminated"]) for r in flagged) == Counter((i, t, t in bad) for i, t in rows)
     assert decontamination.overlaps(docs(rows), benchmark(spark, [])).count() == 0
+    assert decontamination.overlaps(docs(rows).limit(0), benchmark(spark, items), block_chars=block).count() == 0
+
+
+def test_decontamination_of_long_items(spark, docs):
+    rng = random.Random(2)
+    long = text(rng, 200)
+    rows, items = [(1, " ".join(long.split()[20:60])), (2, " ".join(long.split()[20:130]))], benchmark(spark, [(1, long)])
+    assert {r["doc_id"] for r in decontamination.overlaps(docs(rows), items).collect()} == {1, 2}
+    assert {r["doc_id"] for r in decontamination.overlaps(docs(rows), items, least_words=None).collect()} == {2}
 
 
 def labelled(rng, n):

@@ -3,20 +3,22 @@
 A word (with the space mark before it) is any sequence of pieces of an existing vocabulary whose strings add up to it, bytes of the word being pieces too. Each
 piece has a probability; the probability of a word is the sum over all its segmentations, and that of a text the product over its words and one end. The sum
 is a forward recursion over the word's bytes in log space. No tokenizer is trained: the vocabulary is given, its own scores (ranks of merges) set the
-first probabilities by the rank-frequency law, and expectation maximisation over the counted words of the training documents re-weighs them.
+first probabilities by the rank-frequency law, and expectation maximisation over the counted words of the training documents re-weighs them. ``score`` is by the re-weighed
+probabilities, ``file_score`` by the first ones.
 
 The base score is the add-one unigram model over training words.
 
 Scale: words of the whole corpus are counted per task before one shuffle; the lattice runs once per distinct word, not per occurrence. What the driver gets is one
-number per vocabulary piece. Words among the ``head`` most frequent (a documented bound, broadcast) are scored where the text is read; every other word
-goes through a join on the word, so all words are exact and no frequent word makes a hot key.
+number per vocabulary piece and the ``head``: at most so many of the most frequent words, each by a key of at most ``KEY`` bytes, which are broadcast and scored where the text is read. Every other
+word, being rarer than all of these, goes through a join on the word; all words are exact, and no frequent word of any length is a key of the join.
 
-Defined cases: null and empty texts have one token, the end; repeated rows score alike; held-out documents teach nothing; with no training documents N and V are 0 and a word's
-base probability is 1 in 1; very long words are one lattice of their own length.
+Defined cases: null and empty texts have one token, the end; repeated rows score alike; held-out documents teach nothing; with no training documents N and V are 0, a word's
+base probability is 1 in 1, and the first probabilities stay; very long words are one lattice of their own length; an empty table gives an empty result. Ids must be numbers. Extra columns are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -24,16 +26,27 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stored, words
+from .common import crc_mod, scratch, stored, words
 
 MARK = "▁"
 #: Stands for the mark before a word inside a lattice; no UTF-8 text holds this byte.
 START = b"\xff"
 #: Rows a task holds before it hands on its counts.
 FLUSH = 200_000
+#: Words of so many bytes or more are known by their digest, which has so many bytes.
+KEY = 32
+
+
+def key_of(word: bytes) -> bytes:
+    return word if len(word) < KEY else hashlib.sha256(word).digest()
+
+
+def word_key() -> Column:
+    return F.when(F.octet_length("word") < KEY, F.col("word")).otherwise(F.unhex(F.sha2("word", 256)))
 
 
 @lru_cache(maxsize=2)
@@ -54,10 +67,9 @@ def vocabulary(path: str) -> tuple[tuple[bytes, ...], tuple[float, ...]]:
 
 
 class Lattice:
-    """Pieces as a trie, with natural-log probabilities; works on all words of one length together."""
+    """Pieces as a trie; works on all words of one length together. Probabilities of pieces are natural logs, in the order of the pieces."""
 
-    def __init__(self, pieces: tuple[bytes, ...], logs: np.ndarray):
-        self.logs = np.asarray(logs, float)
+    def __init__(self, pieces: tuple[bytes, ...]):
         nodes: dict[bytes, int] = {b"": 0}
         edges, here = [], [-1]
         for k, piece in enumerate(pieces):
@@ -106,34 +118,37 @@ class Lattice:
                     out[j + 1].append((i, rows[ends], k[ends]))
         return out
 
-    def forward(self, arcs: list, count: int) -> np.ndarray:
+    @staticmethod
+    def forward(arcs: list, count: int, logs: np.ndarray) -> np.ndarray:
         """Log of the probability of each beginning of each word, all segmentations together."""
         a = np.full((len(arcs), count), -np.inf)
         a[0] = 0.0
         for j in range(1, len(arcs)):
             for i, rows, k in arcs[j]:
-                a[j, rows] = np.logaddexp(a[j, rows], a[i, rows] + self.logs[k])
+                a[j, rows] = np.logaddexp(a[j, rows], a[i, rows] + logs[k])
         return a
 
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 of each word's probability."""
-        out = np.zeros(len(words))
+    def score(self, words: list[bytes], *models: np.ndarray) -> np.ndarray:
+        """log10 of each word's probability by each model, one row a model."""
+        out = np.zeros((len(models), len(words)))
         for places, m in self.groups(words):
-            out[places] = self.forward(self.arcs(m), len(m))[-1] / math.log(10)
+            arcs = self.arcs(m)
+            for row, logs in zip(out, models, strict=True):
+                row[places] = self.forward(arcs, len(m), logs)[-1] / math.log(10)
         return out
 
-    def expect(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+    def expect(self, words: list[bytes], counts: np.ndarray, logs: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in so many copies of each word."""
-        uses = np.zeros(len(self.logs))
+        uses = np.zeros(len(logs))
         for places, m in self.groups(words):
             arcs = self.arcs(m)
-            a = self.forward(arcs, len(m))
+            a = self.forward(arcs, len(m), logs)
             b = np.full_like(a, -np.inf)
             b[-1] = 0.0
             ids, weights, c = [], [], counts[places]
             for j in range(len(arcs) - 1, 0, -1):
                 for i, rows, k in arcs[j]:
-                    t = b[j, rows] + self.logs[k]
+                    t = b[j, rows] + logs[k]
                     ids.append(k)
                     weights.append(c[rows] * np.exp(a[i, rows] + t - a[-1, rows]))
                     b[i, rows] = np.logaddexp(b[i, rows], t)
@@ -167,15 +182,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
-def reweigh(counts: DataFrame, pieces: tuple[bytes, ...], logs: np.ndarray, ends: int, smooth: float = 0.1) -> np.ndarray:
+def reweigh(counts: DataFrame, lattice: Broadcast, logs: np.ndarray, ends: int, smooth: float = 0.1) -> np.ndarray:
     """One step of expectation maximisation: new natural-log probabilities of the pieces, and last that of the end."""
-    size = len(pieces)
+    size = len(logs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, uses = Lattice(pieces, logs), np.zeros(size)
+        uses = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
-                uses += lattice.expect(batch.column(0).to_pylist(), batch.column(1).to_numpy())
+                uses += lattice.value.expect(batch.column(0).to_pylist(), batch.column(1).to_numpy(), logs)
         at = np.flatnonzero(uses)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(uses[at])], names=["piece", "uses"])
 
@@ -187,81 +202,99 @@ def reweigh(counts: DataFrame, pieces: tuple[bytes, ...], logs: np.ndarray, ends
     return np.log(uses / uses.sum())
 
 
+def most_frequent(weighed: DataFrame, head: int) -> DataFrame:
+    """The words that occur more often than some bound, which is the least that leaves no more than ``head`` words."""
+    # One row for each frequency; few, and only those with a word more frequent than 1 in so many.
+    often = weighed.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(head).collect()
+    total, bound = 0, None
+    for r in often:
+        total += r["words"]
+        if total > head:
+            break
+        bound = r["n"]
+    return weighed.where(F.col("n") >= bound) if bound is not None else weighed.limit(0)
+
+
 def _base(c: int, total: int, distinct: int) -> float:
     return math.log10((c + 1) / (total + 1 * (distinct + 1)))
 
 
-def score(docs: DataFrame, path: str, steps: int = 3, head: int = 100_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
-    spark = docs.sparkSession
-    held_out = crc_mod(F.col("doc_id"), 7) == 2
-    counts = stored(word_counts(docs), "word-counts")
-    totals = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    ends = docs.where(~held_out).count()
-    total, distinct = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
-    pieces, first = vocabulary(path)
-    logs = np.array([*first, 0.0])
-    logs[:-1] += math.log(0.9)
-    logs[-1] = math.log(0.1)
-    for _ in range(steps if ends else 0):
-        logs = reweigh(counts, pieces, logs[:-1], ends)
-    model = spark.sparkContext.broadcast((pieces, logs[:-1]))
-    end_log, end_base, floor = float(logs[-1]) / math.log(10), _base(ends, total, distinct), bool(ends)
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(*model.value)
-        for batch in batches:
-            ws, cs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ws, pa.binary()), batch.column(1), batch.column(2), pa.array([_base(c, total, distinct) for c in cs]), pa.array(lattice.score(ws))],
-                names=["word", "c", "n", "base", "log"],
-            )
-
-    weighed = stored(counts.select("word", "c", "n").mapInArrow(weigh, "word binary, c long, n long, base double, log double"), "word-scores")
-    # The head: at most ``head`` words, the most frequent ones that are short.
-    top = weighed.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(head).select("word", "c", "base", "log").toPandas()
-    known = spark.sparkContext.broadcast({bytes(w): (int(c > 0), b, s) for w, c, b, s in zip(top["word"], top["c"], top["base"], top["log"], strict=True)})
-    schema = pa.schema(
-        [("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("tf", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
-    )
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_get = known.value.get
-        for batch in batches:
-            cols: list[list] = [[] for _ in schema]
+PART = "row long, doc_id long, key binary, tf long, n_tokens long, n_known long, base_score double, score double, file_score double"
+_PART = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+SUMS = ("n_tokens", "n_known", "base_score", "score", "file_score")
 
-            def add(*row) -> None:
-                for c, x in zip(cols, row, strict=True):
-                    c.append(x)
 
+def _batch(columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PART, strict=True)], names=[f.split()[0] for f in PART.split(", ")])
+
+
+def text_parts(docs: DataFrame, known: Broadcast, end: tuple[int, float, float, float]) -> DataFrame:
+    """Rows of PART: for each text one without a key, which sums up the end (seen, and its scores) and the words that are known, and one for each other distinct word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = known.value.get
+        columns: list[list] = [[] for _ in _PART]
+        for batch in batches:
             for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                tf = Counter(words(text.as_py()))
-                n, seen, base, log = 1, int(floor), end_base, end_log
-                for w, k in tf.items():
+                n, (seen, base, log, file_log) = 1, end
+                for word, k in Counter(words(text.as_py())).items():
                     n += k
-                    found = head_get(w)
-                    if found is None:
-                        add(row, doc, w, k, 0, 0, 0.0, 0.0)
-                    else:
+                    key = key_of(word)
+                    if found := get(key):
                         seen += k * found[0]
                         base += k * found[1]
                         log += k * found[2]
-                add(row, doc, None, 0, n, seen, base, log)
-                if len(cols[0]) > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-                    for c in cols:
-                        c.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-    parts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        read, "row long, doc_id long, word binary, tf long, n_tokens long, n_known long, base_score double, score double"
-    )
-    parts = stored(parts, "text-parts")
-    rare = parts.where("word is not null").select("row", "doc_id", "word", "tf").join(weighed.select("word", "c", "base", "log"), "word")
-    sums = ["n_tokens", "n_known", "base_score", "score"]
-    rare = rare.select("row", "doc_id", F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("n_known"), (F.col("tf") * F.col("base")).alias("base_score"), (F.col("tf") * F.col("log")).alias("score"))
-    whole = parts.where("word is null").select("row", "doc_id", *sums).unionByName(rare).groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in sums])
-    return whole.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+                        file_log += k * found[3]
+                    else:
+                        for column, x in zip(columns, (row, doc, key, k, 0, 0, 0.0, 0.0, 0.0), strict=True):
+                            column.append(x)
+                for column, x in zip(columns, (row, doc, None, 0, n, seen, base, log, file_log), strict=True):
+                    column.append(x)
+                if len(columns[0]) > FLUSH:
+                    yield _batch(columns)
+                    for column in columns:
+                        column.clear()
+        yield _batch(columns)
+
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PART)
+
+
+def score(docs: DataFrame, path: str, steps: int = 3, head: int = 100_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, file_score of each row."""
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        counts = stored(word_counts(docs), "word-counts")
+        totals = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+        ends = docs.where(crc_mod(F.col("doc_id"), 7) != 2).count()
+        total, distinct = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
+        pieces, first = vocabulary(path)
+        lattice = spark.sparkContext.broadcast(Lattice(pieces))
+        file_logs = np.array([*(np.array(first) + math.log(0.9)), math.log(0.1)])
+        logs = file_logs
+        for _ in range(steps if ends else 0):
+            logs = reweigh(counts, lattice, logs[:-1], ends)
+        models = (logs[:-1], file_logs[:-1])
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                base = pa.array([_base(c, total, distinct) for c in batch.column("c").to_pylist()], pa.float64())
+                scores = lattice.value.score(batch.column("word").to_pylist(), *models)
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), batch.column("seen"), base, *map(pa.array, scores)], names=["key", "n", "seen", "base", "log", "file_log"])
+
+        rows = counts.select("word", word_key().alias("key"), "n", "c", (F.col("c") > 0).cast("int").alias("seen"))
+        weighed = keep(rows.mapInArrow(weigh, "key binary, n long, seen int, base double, log double, file_log double"), "word-scores")
+        top = most_frequent(weighed, head).drop("n").toPandas()
+        known = spark.sparkContext.broadcast({bytes(key): tuple(x) for key, *x in zip(*(top[c].tolist() for c in top.columns), strict=True)})
+        end = (int(bool(ends)), _base(ends, total, distinct), float(logs[-1]) / math.log(10), float(file_logs[-1]) / math.log(10))
+        parts = keep(text_parts(docs, known, end), "text-parts")
+    tf = F.col("tf")
+    rare = parts.where("key is not null").select("row", "doc_id", "key", "tf").join(weighed, "key")
+    rare = rare.select(
+        "row", "doc_id", F.lit(0).cast("long").alias("n_tokens"), (tf * F.col("seen")).alias("n_known"), (tf * F.col("base")).alias("base_score"), (tf * F.col("log")).alias("score"),
+        (tf * F.col("file_log")).alias("file_score"),
+    )
+    whole = parts.where("key is null").select("row", "doc_id", *SUMS).unionByName(rare).groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in SUMS])
+    return whole.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "file_score")
 
 
 def op5_lm_scoring(docs: DataFrame, path: str) -> DataFrame:

@@ -129,35 +129,71 @@ def test_pii_without_terms(docs):
 
 def test_lattice_against_all_segmentations():
     pieces, logs = lm_scoring.vocabulary(PIECES)
-    lattice, at = lm_scoring.Lattice(pieces, np.array(logs)), {p: i for i, p in enumerate(pieces)}
-
-    def brute(word):
-        text = lm_scoring.MARK.encode() + word
-
-        def rest(i):
-            return 1.0 if i == len(text) else sum(math.exp(logs[at[text[i:j]]]) * rest(j) for j in range(i + 1, len(text) + 1) if text[i:j] in at)
-
-        return math.log10(rest(0))
-
-    for word in [b"the", b"on", b"heres", "é1".encode(), b"zq"]:
-        assert lattice.score([word])[0] == pytest.approx(brute(word), abs=1e-9)
-    uses = lattice.expect([b"the", b"there"], np.array([2.0, 1.0]))
-    assert uses.min() >= 0 and uses.sum() >= 3
-
-
-def test_lm_query_base_score(docs):
+    lattice, at = lm_scoring.Lattice(pieces), {p: i for i, p in enumerate(pieces)}
+    logs = np.array(logs)
+
+    def ways(text):
+        """Every cut of the text into pieces, as lists of piece numbers."""
+        if not text:
+            yield []
+        for j in range(1, len(text) + 1):
+            if text[:j] in at:
+                for rest in ways(text[j:]):
+                    yield [at[text[:j]], *rest]
+
+    words = [b"the", b"on", b"heres", "é1".encode(), b"zq"]
+    every = {w: list(ways(lm_scoring.MARK.encode() + w)) for w in words}
+    for w in words:
+        expected = math.log10(sum(math.exp(logs[cut].sum()) for cut in every[w]))
+        assert lattice.score([w], logs, logs - 1)[0][0] == pytest.approx(expected, abs=1e-9)
+    # Expected uses: each cut's pieces, weighted by the cut's share of the word's probability.
+    counts, expected = np.array([2.0, 1.0, 5.0, 1.0, 3.0]), np.zeros(len(pieces))
+    for w, n in zip(words, counts, strict=True):
+        weight = np.array([math.exp(logs[cut].sum()) for cut in every[w]])
+        for cut, x in zip(every[w], weight / weight.sum(), strict=True):
+            np.add.at(expected, cut, n * x)
+    assert lattice.expect(words, counts, logs) == pytest.approx(expected, abs=1e-9)
+    assert lattice.score([b"x" * 3000], logs)[0][0] < -1000
+
+
+def test_lm_step_raises_the_likelihood(spark, docs):
+    pieces, first = lm_scoring.vocabulary(PIECES)
+    rows = docs([(i, "the thing is on the heath " * (i % 3 + 1)) for i in range(30)])
+    score = [sum(r["score"] for r in lm_scoring.score(rows, PIECES, steps=n).where("not held_out").collect()) for n in (0, 1, 2)]
+    assert score[0] < score[1] < score[2]
+
+
+def test_lm_query(docs):
     rng = random.Random(3)
-    texts = [(i, " ".join(rng.choices("The of ON and in a zyx".split(), k=rng.randint(0, 30)))) for i in range(40)] + [(50, None), (51, ""), (3, "The the"), (52, "ñandú " * 3)]
-    train = [t for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    texts = [(i, " ".join(rng.choices("The of ON and in a zyx".split(), k=rng.randint(0, 30)))) for i in range(40)]
+    texts += [(50, None), (51, ""), (3, "The the"), (52, "ñandú " * 3), (None, "of no id"), (53, ("y" * 700 + " ") * 4), (54, "z" * 32), (55, "w" * 31)]
+    train = [t for i, t in texts if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2]
     counts = Counter(w for t in train for w in [*(t or "").encode().lower().split(), None])
     n, v = sum(counts.values()), len(counts)
     got = lm_scoring.score(docs(texts), PIECES, steps=1, head=3).collect()
     expected = []
     for i, t in texts:
         w = [*(t or "").encode().lower().split(), None]
-        expected.append((i, zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 6)))
-    key = lambda x: (x[0], x[2], x[5])
+        held = zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+        expected.append((i, held, len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 6)))
+    key = lambda x: (x[0] or -1, x[2], x[5])
     assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=key) == sorted(expected, key=key)
-    assert all(r["score"] < 0 for r in got)
-    full = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm_scoring.score(docs(texts), PIECES, steps=1, head=1000).collect()}
-    assert all(full[r["doc_id"], r["n_tokens"]] == pytest.approx(r["score"], rel=1e-9) for r in got)
+    # Text scores are sums of word scores by the two models, whatever the size of the head.
+    pieces, first = lm_scoring.vocabulary(PIECES)
+    logs, lattice = np.array(first) + math.log(0.9), lm_scoring.Lattice(pieces)
+    trained = Counter(w for t in train for w in (t or "").encode().lower().split())
+    uses = np.append(lattice.expect(list(trained), np.array(list(trained.values()), float), logs) + 0.1, len(train) + 0.1)
+    better = np.log(uses / uses.sum())
+    by_id = {i: (t or "").encode().lower().split() for i, t in texts if i != 3}
+    for head in (3, 1000):
+        for r in lm_scoring.score(docs(texts), PIECES, steps=1, head=head).where("doc_id <> 3").collect():
+            w = by_id[r["doc_id"]]
+            assert r["score"] == pytest.approx(better[-1] / math.log(10) + lattice.score(w, better[:-1])[0].sum(), rel=1e-9)
+            assert r["file_score"] == pytest.approx(-1 + lattice.score(w, logs)[0].sum(), rel=1e-9)
+
+
+def test_lm_odd_tables(docs):
+    assert lm_scoring.op5_lm_scoring(docs([(1, "a")]).limit(0), PIECES).collect() == []
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = lm_scoring.op5_lm_scoring(docs([(i, "some words") for i in held]), PIECES).collect()
+    assert {(r["held_out"], r["train_tokens"], r["n_known"], r["base_score"]) for r in rows} == {(True, 0, 0, 0.0)} and len({r["score"] for r in rows}) == 1

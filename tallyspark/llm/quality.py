@@ -5,11 +5,13 @@ towards a mix of its diagonal and the pooled covariance; a document's score is t
 term from the cached Cholesky factor of the class plus its log determinant, plus the log odds of the classes. Densities are tempered
 (``temper``) since the statistics are far from independent.
 
-Scale: fitting needs only sums of statistics and their products over all labelled training rows (no sample), added up per class before the driver gets
-them: 2 * (1 + d + d * d) numbers. Scoring is one pass without a shuffle.
+Scale: fitting needs only sums of statistics and their products over all labelled training rows (no sample), added up per class in each task before they are shuffled:
+2 * (1 + d + d * d) numbers reach the driver. Statistics for fitting are taken of labelled texts only, which a broadcast of the labels finds while there are at most ``broadcast_labels`` of them;
+with more labels those of all texts are stored once, and ids and statistics are joined instead of texts. Scoring is one pass without a shuffle.
 
 Defined cases: null and empty texts have the statistics of no words and get a score like any other; labels other than 0 and 1 and null ids are not learnt
-from; a label that repeats counts as often as it is there; with one class only, every score is 1 if that class is 1, else 0, and with no labels the score is 0.5.
+from; a label that repeats counts as often as it is there, and so does a document id; with one class only, every score is 1 if that class is 1, else 0, and with no labels the score is 0.5; empty tables give empty results.
+Columns of documents are kept by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stored
+from .common import crc_mod, scratch, stored
 from .wordhash import each_text
 
 STATS = (
@@ -129,12 +131,31 @@ def from_moments(n: list[int], sums: list[np.ndarray], products: list[np.ndarray
     return Model(means, whiten, logdet, n, temper)
 
 
+def moments(rows: DataFrame) -> DataFrame:
+    """quality, at, x: numbers of rows, sums and products of statistics by class, in one flat list each. rows: quality, stats (array<double>)."""
+    d = len(STATS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 1 + d + d * d))
+        for batch in batches:
+            classes = batch.column(0).to_numpy(zero_copy_only=False)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            for c in (0, 1):
+                mine = x[classes == c]
+                held[c] += np.concatenate([[len(mine)], mine.sum(axis=0), (mine.T @ mine).ravel()])
+        for c in (0, 1):
+            if held[c, 0]:
+                at = np.arange(held.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c), pa.int32()), pa.array(at, pa.int32()), pa.array(held[c])], names=["quality", "at", "x"])
+
+    return rows.mapInArrow(run, "quality int, at int, x double").groupBy("quality", "at").agg(F.sum("x").alias("x"))
+
+
 def fit(labelled: DataFrame, shrink: float = 0.3, pool: float = 0.3, floor: float = 1e-3) -> Model:
-    """Model of rows with columns stats (array<double>) and quality (0 or 1). Sums are taken per class and place before they reach the driver."""
+    """Model of rows with columns stats (array<double>) and quality (0 or 1)."""
     d = len(STATS)
-    pairs = F.flatten(F.transform("stats", lambda x: F.transform("stats", lambda y: x * y)))
-    rows = labelled.where("quality in (0, 1)").select("quality", F.posexplode(F.concat(F.array(F.lit(1.0)), F.col("stats"), pairs)).alias("at", "x"))
-    got = {(r["quality"], r["at"]): r["x"] for r in rows.groupBy("quality", "at").agg(F.sum("x").alias("x")).collect()}
+    rows = labelled.where("quality in (0, 1)").select(F.col("quality").cast("int").alias("quality"), "stats")
+    got = {(r["quality"], r["at"]): r["x"] for r in moments(rows).collect()}
     at = lambda c, i: got.get((c, i), 0.0)
     n = [int(at(c, 0)) for c in (0, 1)]
     sums = [np.array([at(c, 1 + i) for i in range(d)]) for c in (0, 1)]
@@ -142,39 +163,34 @@ def fit(labelled: DataFrame, shrink: float = 0.3, pool: float = 0.3, floor: floa
     return from_moments(n, sums, products, shrink, pool, floor)
 
 
-def score_column(stats: Column, model: Model) -> Column:
+def learnt(docs: DataFrame, labels: DataFrame, broadcast_labels: int = 2_000_000, **how: float) -> Model:
+    """The model of the rows of docs with a label, outside the held-out fold."""
+    known = labels.select(F.col("doc_id").alias("_label_of"), F.col("quality").alias("_quality")).where((crc_mod(F.col("doc_id"), 5) != 0) & F.col("quality").isin(0, 1))
+    if known.count() <= broadcast_labels:
+        mine = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_label_of")).select("_quality", "text")
+        return fit(mine.select(F.col("_quality").alias("quality"), stats_column(F.col("text")).alias("stats")), **how)
+    with scratch(docs.sparkSession):
+        table = stored(docs.select("doc_id", stats_column(F.col("text")).alias("stats")), "quality-stats")
+        return fit(table.join(known, F.col("doc_id") == F.col("_label_of")).select(F.col("_quality").alias("quality"), "stats"), **how)
+
+
+def score_text(text: Column, model: Model) -> Column:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            flat = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), len(STATS))
-            yield pa.array(model.score(flat))
-
-    return score(stats)
-
+            yield pa.array(model.score(column_statistics(batch)))
 
-def training(table: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of table (doc_id, stats) with a label, outside the held-out fold."""
-    known = labels.select(F.col("doc_id").alias("_l"), "quality").where(crc_mod(F.col("doc_id"), 5) != 0)
-    return table.join(known, F.col("doc_id") == F.col("_l")).select("stats", "quality")
+    return score(text)
 
 
 def scored(docs: DataFrame, labels: DataFrame, **how: float) -> DataFrame:
     """doc_id, score for each row of docs."""
-    table = stored(docs.select("doc_id", stats_column(F.col("text")).alias("stats")), "quality-stats")
-    return table.select("doc_id", score_column(F.col("stats"), fit(training(table, labels), **how)).alias("score"))
+    return docs.select("doc_id", score_text(F.col("text"), learnt(docs, labels, **how)).alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, **how: float) -> DataFrame:
     """docs whose score is at least ``least``, with their columns only."""
-    table = stored(docs.select("doc_id", stats_column(F.col("text")).alias("stats")), "quality-stats")
-    model = fit(training(table, labels), **how)
-
-    @F.arrow_udf("boolean")
-    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array(model.score(column_statistics(batch)) >= least)
-
-    return docs.where(good(F.col("text")))
+    return docs.where(score_text(F.col("text"), learnt(docs, labels, **how)) >= least)
 
 
 def op7_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

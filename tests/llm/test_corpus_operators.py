@@ -1,6 +1,7 @@
 """Operators that compare documents with others: brute-force versions on small tables, and odd inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from functools import lru_cache
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +202,37 @@ def test_quality_on_held_out_rows(spark, docs):
     assert all(again[i] == pytest.approx(got[i]["score"], abs=1e-9) for i, _ in rows)
 
 
+def test_quality_against_plain_formulas(spark, docs):
+    rows, labels = labelled(random.Random(14), 300)
+    rows.append((3, rows[10][1]))  # a repeated id counts by row
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    stats = {t: quality.column_statistics(pa.array([t]))[0] for _, t in rows}
+    quality_of = {i: q for i, q, _ in labels}
+    train = [(stats[t], quality_of[i]) for i, t in rows if i in quality_of and zlib.crc32(str(i).encode()) % 5]
+    classes = [np.array([x for x, q in train if q == c]) for c in (0, 1)]
+    own = [np.cov(x.T) for x in classes]
+    pooled = sum(c * (len(x) - 1) for c, x in zip(own, classes, strict=True)) / (len(train) - 2)
+    logs = []
+    for x, c in zip(classes, own, strict=True):
+        cov = 0.7 * c + 0.3 * pooled
+        cov = 0.7 * cov + 0.3 * np.diag(np.diag(cov)) + 1e-3 * np.eye(len(cov))
+        gaps = np.array([stats[t] for _, t in rows]) - x.mean(axis=0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", gaps, np.linalg.inv(cov), gaps) - 0.5 * np.linalg.slogdet(cov)[1])
+    expected = 1 / (1 + np.exp(-np.clip(0.25 * (logs[1] - logs[0]) + math.log(len(classes[1]) / len(classes[0])), -500, 500)))
+    for few in (1000, 0):
+        got = quality.scored(docs(rows), table, broadcast_labels=few).collect()
+        assert sorted((r["doc_id"], round(r["score"], 6)) for r in got) == sorted((i, round(float(x), 6)) for (i, _), x in zip(rows, expected, strict=True))
+
+
+def test_quality_odd_tables(spark, docs):
+    table = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality.op7_quality(docs([(1, "a")]).limit(0), table).collect() == []
+    got = quality.op7_quality(docs([(1, "a b"), (2, "c"), (3, "word " * 50_000), (4, None), (None, "x")]), table).collect()
+    assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
+    kept = quality.keep_good(docs([(1, "a b"), (2, "c")]).withColumn("quality", F.lit("clash")), table)
+    assert kept.columns[-1] == "quality"
+
+
 def test_quality_without_or_with_one_label(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.op7_quality(docs([(1, "a"), (2, None)]), none).collect()} == {0.5}

@@ -338,15 +338,24 @@ def chats(rng):
         rows += [(c, *t) for t in turns]
         if rng.random() < 0.5:
             rows += [(100 + c, *t) for t in turns[: rng.randint(1, len(turns))]]
-    return rows + [(300, t, "user", f"t{t}") for t in range(2500)] + [(301, t, "user", f"t{t}") for t in range(2100)] + [(None, 0, "user", "x"), (302, None, "user", "late"), (302, 1, "user", "early"), rows[0]]
+    rows += [(300, t, "user", f"t{t}") for t in range(2500)] + [(301, t, "user", f"t{t}") for t in range(2100)]
+    rows += [(303, None, "user", f"u{t}") for t in range(1500)] + [(304, 7, "user", f"v{t}") for t in range(1100)] + [(305, 1, "user", "again")] * 500
+    return rows + [(None, 0, "user", "x"), (302, None, "user", "late"), (302, 1, "user", "early"), (306, 0, "user", "w" * 200_000), rows[0]]
 
 
 def test_chat_format(spark):
-    table = spark.createDataFrame([(*r, "x") for r in chats(random.Random(6))], "conv_id long, turn long, role string, text string, cell string")
+    rows = chats(random.Random(6))
+    table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, cell string").repartition(5)
     mine = sorted((r["conv_id"] if r["conv_id"] is not None else -1, r["segment"], r["n_turns"], r["rendered"]) for r in chat_format.op8_chat_format(table).collect())
     typed = "(SELECT conv_id::bigint AS conv_id, turn::bigint AS turn, role, text FROM conversations)"
     theirs = duck("conversations", table.drop("cell"), chat_format.ORACLE.replace("FROM conversations", f"FROM {typed}"))
     assert mine == sorted((-1 if r[0] is None else r[0], r[1], r[2], r[3]) for r in theirs)
-    kept = {r[0] for r in mine}
-    assert 300 in kept and 301 not in kept and sum(r[0] == 300 for r in mine) == 3
+    count = Counter(r[0] for r in mine)
+    assert count[300] == 3 and 301 not in count and count[303] == count[304] == 2 and count[305] == count[306] == 1
+    whole = {r["conv_id"]: r for r in chat_format.formatted(table, None).collect()}
+    parts = defaultdict(str)
+    for i, _, _, rendered in mine:
+        parts[i] += rendered
+    assert {-1 if i is None else i: r["rendered"] for i, r in whole.items()} == parts and {r["segment"] for r in whole.values()} == {0}
+    assert chat_format.formatted(table, 10).where("conv_id = 303").count() == 150
     assert chat_format.op8_chat_format(table.limit(0)).collect() == []

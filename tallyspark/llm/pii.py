@@ -2,7 +2,8 @@
 
 Base kinds (email, ip, card, phone) are found by pattern and check. Each value found is a protected entity. A term (a run of letters of any length) in a document of an entity discloses it as
 far as the term's pointwise mutual information with the entity reaches the entity's information content (Sánchez & Batet's C-sanitisation): from ``generalise`` of it on the term is
-generalised, from ``remove`` on it is removed, wherever it stands in a document that holds the entity. All counts are of documents over the whole corpus, copies included: with the entity, with
+generalised, from ``remove`` on it is removed, wherever it stands in a document that holds the entity. Generalised means replaced by the class of all terms with the same beginning, of the longest beginning
+(3 letters at most) whose class stays below the threshold by the same measure, and by a class of all terms where none does. All counts are of documents over the whole corpus, copies included: with the entity, with
 the term, with both; letters inside base spans are no terms. A pair needs two documents, since one co-occurrence estimates nothing: the terms of a value of one document only stay undecided.
 
 Scale: entities of the same documents are one profile. Document counts are taken only for terms of texts that hold an entity of two documents or more, by broadcast
@@ -10,7 +11,8 @@ filter while there are at most ``broadcast_terms`` of them, else by a join. Term
 counted. Only texts with disclosing terms are shuffled to be rewritten, or all where more than ``broadcast_terms`` have some. The lists belong to a text, so copies share them.
 
 Defined cases: null and empty texts have no spans; offsets count code points, ends are exclusive; repeated rows give repeated results and are one document as evidence; spans of different kinds may
-overlap, and are merged when a text is rewritten (the earliest names the merged one). Extra columns are kept by ``sanitise``.
+overlap, and are merged when a text is rewritten (the earliest names the merged one). Extra columns are kept by ``sanitise``; tables
+may be empty; ids must be numbers.
 """
 
 from __future__ import annotations
@@ -18,15 +20,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import free_name, scratch, stored
 
 KINDS = ("email", "ip", "card", "phone")
+#: Lengths of the beginnings that name classes of terms.
+BEGINNINGS = (1, 2, 3)
+#: The disclosing terms of a text.
+TERMS = "array<struct<term:string,removed:boolean,class:string>>"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
@@ -139,8 +145,8 @@ def text_key():
     return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, broadcast_terms: int) -> DataFrame:
-    """term, documents: in how many documents each of the terms occurs outside of base spans."""
+def document_counts(docs: DataFrame, terms: DataFrame, broadcast_terms: int, beginnings: tuple[int, ...] = ()) -> DataFrame:
+    """term, documents: in how many documents each of the terms (or, with lengths, a term of which it is the beginning) occurs outside of base spans."""
     n = terms.count()
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in terms.collect())) if n <= broadcast_terms else None
 
@@ -150,8 +156,10 @@ def document_counts(docs: DataFrame, terms: DataFrame, broadcast_terms: int) ->
         for batch in batches:
             for text in batch.column(0):
                 text = text.as_py() or ""
-                terms = term_set(text, base_spans(text))
-                held.update(terms & only if only is not None else terms)
+                found = term_set(text, base_spans(text))
+                if beginnings:
+                    found = {x[:k] for x in found for k in beginnings if k < len(x)}
+                held.update(found & only if only is not None else found)
                 if len(held) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], names=["term", "documents"])
                     held.clear()
@@ -161,8 +169,33 @@ def document_counts(docs: DataFrame, terms: DataFrame, broadcast_terms: int) ->
     return counted if wanted else counted.join(terms, "term", "left_semi")
 
 
+def told_share(total: int) -> Column:
+    """How much of an entity's information content a term tells. Columns: holders, documents, both."""
+    content = F.log2(F.lit(total) / F.col("holders"))
+    told = F.log2(F.col("both") * F.lit(total) / (F.col("holders") * F.col("documents")))
+    return F.when(content > 0, told / content).otherwise(F.lit(0.0))
+
+
+def classes_of(telling: DataFrame, texts: DataFrame, profiles: DataFrame, docs: DataFrame, total: int, generalise: float, broadcast_terms: int) -> DataFrame:
+    """profile, term, class: the longest beginning of each generalised term whose class tells less than the threshold."""
+    begun = F.explode(F.filter(F.array(*[F.when(F.length("term") > k, F.substring("term", 1, k)) for k in BEGINNINGS]), lambda x: x.isNotNull()))
+    tried = stored(telling.where("not removed").select("profile", "term", begun.alias("class")), "pii-tried")
+    wanted = stored(tried.select(F.col("class").alias("term")).distinct(), "pii-beginnings")
+    counts = document_counts(docs, wanted, broadcast_terms, BEGINNINGS).withColumnRenamed("term", "class")
+    held = texts.select("text_key", begun.alias("class")).distinct().join(wanted.withColumnRenamed("term", "class"), "class", "left_semi")
+    both = held.join(profiles, "text_key").join(tried.select("profile", "class").distinct(), ["profile", "class"], "left_semi")
+    both = both.groupBy("profile", "class", "holders").agg(F.sum("n").alias("both")).join(counts, "class")
+    safe = both.where(told_share(total) < generalise).select("profile", "class")
+    return tried.join(safe, ["profile", "class"]).groupBy("profile", "term").agg(F.max("class").alias("class"))
+
+
 def disclosed(docs: DataFrame, generalise: float, remove: float, broadcast_terms: int) -> DataFrame | None:
-    """text_key, terms: the disclosing terms of a text, and whether they are removed; None if there is none."""
+    """text_key, terms (TERMS): the disclosing terms of a text; None if there is none."""
+    with scratch(docs.sparkSession) as keep:
+        return _disclosed(docs, generalise, remove, broadcast_terms, keep)
+
+
+def _disclosed(docs: DataFrame, generalise: float, remove: float, broadcast_terms: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame | None:
     rows = stored(found(docs), "pii-found")
     held = rows.select("doc_id", "text_key", F.explode("entities").alias("entity")).groupBy("entity", "text_key", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     held = stored(held.groupBy("entity", "text_key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("evidence")), "pii-held")
@@ -185,27 +218,27 @@ def disclosed(docs: DataFrame, generalise: float, remove: float, broadcast_terms
     pairs = texts.join(counts.where(F.col("documents") <= most_documents(F.lit(most))), "term").join(profiles, "text_key").where(F.col("documents") <= most_documents(F.col("holders")))
     pairs = stored(pairs, "pii-pairs")
     both = pairs.groupBy("profile", "term", "holders", "documents").agg(F.sum("n").alias("both"), F.sum("evidence").alias("e")).where("e > 1")
-    content = F.log2(F.lit(total) / F.col("holders"))
-    told = F.log2(F.col("both") * F.lit(total) / (F.col("holders") * F.col("documents")))
-    share = F.when(content > 0, told / content).otherwise(F.lit(0.0))
-    telling = both.withColumn("share", share).where(F.col("share") >= generalise)
+    telling = both.withColumn("share", told_share(total)).where(F.col("share") >= generalise)
     telling = stored(telling.select("profile", "term", (F.col("share") >= remove).alias("removed")), "pii-telling")
-    terms = pairs.join(telling, ["profile", "term"]).groupBy("text_key", "term").agg(F.max("removed").alias("removed"))
-    lists = stored(terms.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("term", "removed"))).alias("terms")), "pii-lists")
+    classes = classes_of(telling, texts, profiles, docs, total, generalise, broadcast_terms)
+    named = telling.join(classes, ["profile", "term"], "left").withColumn("class", F.coalesce("class", F.lit("")))
+    # A term that tells of several entities is in the widest of its classes: the shortest beginning, which is the first.
+    terms = pairs.join(named, ["profile", "term"]).groupBy("text_key", "term").agg(F.max("removed").alias("removed"), F.min("class").alias("class"))
+    lists = keep(terms.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("term", "removed", "class"))).alias("terms")), "pii-lists")
     return lists if lists.limit(1).count() else None
 
 
-def term_spans(text: str, spans: list[tuple[str, int, int]], terms: list[dict] | None) -> list[tuple[int, int, bool]]:
-    """(start, end, removed) of each occurrence of the terms, in order."""
+def term_spans(text: str, spans: list[tuple[str, int, int]], terms: list[dict] | None) -> list[tuple[int, int, dict]]:
+    """(start, end, term) of each occurrence of the terms, in order."""
     if not terms:
         return []
-    removed = {t["term"]: t["removed"] for t in terms}
-    return [(m.start(), m.end(), removed[x]) for m in places(text, spans) if (x := m[0].lower()) in removed]
+    known = {t["term"]: t for t in terms}
+    return [(m.start(), m.end(), known[x]) for m in places(text, spans) if (x := m[0].lower()) in known]
 
 
 def with_terms(docs: DataFrame, lists: DataFrame | None, key: str, held: str, broadcast_terms: int) -> DataFrame:
     """docs with the disclosing terms of each text as column ``held``."""
-    none = F.lit(None).cast("array<struct<term:string,removed:boolean>>")
+    none = F.lit(None).cast(TERMS)
     if lists is None:
         return docs.withColumn(held, none)
     docs, lists = docs.withColumn(key, text_key()), lists.withColumnsRenamed({"text_key": key, "terms": held})
@@ -222,7 +255,7 @@ def rewrite(text: str | None, terms: list[dict] | None) -> str | None:
         return None
     base = base_spans(text)
     spans = [(a, b, f"[{k.upper()}]") for k, a, b in base]
-    spans += [(a, b, "" if removed else "[TERM]") for a, b, removed in term_spans(text, base, terms)]
+    spans += [(a, b, "" if t["removed"] else f"[{t['class']}*]") for a, b, t in term_spans(text, base, terms)]
     if not spans:
         return text
     out, last = [], 0
@@ -258,7 +291,7 @@ def op4_pii(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, broa
                 n = Counter(k for k, _, _ in spans)
                 counts.append([n[k] for k in KINDS])
                 bases.append(joined(spans))
-                all_spans.append(joined(spans + [("term", a, b) for a, b, _ in term_spans(text or "", spans, terms.as_py())]))
+                all_spans.append(joined(spans + [("removed" if t["removed"] else "generalised", a, b) for a, b, t in term_spans(text or "", spans, terms.as_py())]))
             numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(bases, pa.string()), pa.array(all_spans, pa.string())], schema=schema)
 

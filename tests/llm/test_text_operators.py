@@ -93,7 +93,7 @@ def test_pii_terms_are_generalised_or_removed(docs):
     spans = dict(found)
     text = rows[1][1]
     at = text.index("zorblatt")
-    assert f"term:{at}:{at + 8}" in spans[1] and spans[1].startswith("email:")
+    assert f"removed:{at}:{at + 8}" in spans[1] and spans[1].startswith("email:")
     assert spans[200] == spans[201] == "" and all(not spans[100 + i] for i in range(60))
     clean = {r["doc_id"]: r for r in pii.sanitise(docs(rows)).collect()}
     assert "zorblatt" not in clean[1]["text"] and "[EMAIL]" in clean[1]["text"] and clean[105]["text"] == rows[9][1]
@@ -115,11 +115,64 @@ def test_pii_terms_of_whole_documents(docs):
     rows += [(100 + i, f"{far} so said and lives") for i in range(60)] + [(200, "joe and ann@site.org")]
     got = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(rows)).collect()}
     for i in range(3):
-        assert got[i] == f"  lives. {far} {chr(65 + i)}only [EMAIL] {far} so said , , and [TERM]"  # joe: 3 of its 4 documents, 0.91
+        assert got[i] == f"  lives. {far} {chr(65 + i)}only [EMAIL] {far} so said , , and [*]"  # joe: 3 of its 4 documents, 0.91, and no other term begins like it
     assert got[200] == "joe and [EMAIL]" and got[100] == rows[3][1]
     spans = {r["doc_id"]: r["spans"] for r in pii.op4_pii(docs(rows), broadcast_terms=1).collect()}
     places = [m.span() for m in re.finditer("(?i)zorblatt|x{400}|qi|joe$", rows[0][1])]
-    assert [x for x in spans[0].split(",") if x.startswith("term")] == [f"term:{a}:{b}" for a, b in places] and spans[100] == ""
+    assert [x for x in spans[0].split(",") if x[:1] in "rg"] == [f"{'generalised' if x == 'joe' else 'removed'}:{a}:{b}" for a, b in places for x in [rows[0][1][a:b]]] and spans[100] == ""
+
+
+def brute_terms(rows, generalise=0.8, remove=0.95):
+    """(removed, class) of each disclosing term of each text, by counting documents."""
+    plain = {t: ({(k, plain_value(k, t[a:b])) for k, a, b in plain_spans(t)}, terms_outside(t)) for _, t in rows if t is not None}
+    docs = {(i, t) for i, t in rows if t is not None}
+    total, out = len(rows), {}
+    for e in {e for es, _ in plain.values() for e in es}:
+        holders = [t for _, t in rows if t is not None and e in plain[t][0]]
+        distinct = [t for _, t in docs if e in plain[t][0]]
+        share = lambda match, holders=holders: (
+            math.log2(sum(match(plain[t][1]) for t in holders) * total / (len(holders) * sum(t is not None and match(plain[t][1]) for _, t in rows))) / math.log2(total / len(holders))
+        )
+        if len(distinct) < 2 or len(holders) == total:
+            continue
+        for x in {x for t in holders for x in plain[t][1]}:
+            if sum(x in plain[t][1] for t in distinct) > 1 and (s := share(lambda ts, x=x: x in ts)) >= generalise:
+                heads = [x[:k] for k in (3, 2, 1) if k < len(x)]
+                fit = [h for h in heads if share(lambda ts, h=h: any(y.startswith(h) and len(y) > len(h) for y in ts)) < generalise]
+                for t in holders:
+                    if x in plain[t][1]:
+                        was = out.setdefault(t, {}).get(x)
+                        new = (s >= remove, "" if s >= remove else (fit or [""])[0])
+                        out[t][x] = new if was is None else (was[0] or new[0], min(was[1], new[1]))
+    return out
+
+
+def plain_value(kind, value):
+    return value.lower() if kind == "email" else value if kind == "ip" else re.sub("[^0-9]", "", value)
+
+
+def terms_outside(t):
+    spans = [(a, b) for _, a, b in plain_spans(t)]
+    return {m[0].lower() for m in re.finditer(r"[^\W\d_]+", t) if not any(a < m.end() and m.start() < b for a, b in spans)}
+
+
+def test_pii_terms_against_counting(docs):
+    rng = random.Random(11)
+    words = [c + v + w for c in "bdgk" for v in "aeiou" for w in ("", "ra", "ri", "lo")]
+    people = {f"{x}@site.org": rng.sample(words, 3) for x in "pqrst"}
+    rows = [(i, " ".join(rng.choices(words, k=12))) for i in range(120)] + [(500, None), (501, "")]
+    for i, (mail, own) in enumerate(people.items()):
+        for k in range(2 + i):
+            rows.append((200 + 10 * i + k, " ".join([*rng.choices(words, k=5), *(own[: rng.randint(1, 3)]), f"name{chr(97 + i)}", mail, *rng.choices(words, k=2)])))
+    rows += [(600 + i, f"{' '.join(rng.choices(words, k=9))} name{'abcde'[i % 5]}") for i in range(10)]
+    rows += [rows[-11], (300, rows[-11][1]), (301, f"{'x ' * 30_000}namee")]
+    expected = brute_terms(rows)
+    got = {r["text"]: r["terms"] for r in pii.with_terms(docs(rows), pii.disclosed(docs(rows), 0.8, 0.95, 1000), "_k", "terms", 1000).collect() if r["terms"]}
+    assert {t: {x["term"]: (x["removed"], "" if x["removed"] else x["class"]) for x in xs} for t, xs in got.items()} == {
+        t: {x: (r, "" if r else c) for x, (r, c) in xs.items()} for t, xs in expected.items()
+    }
+    assert any(not r for xs in expected.values() for r, _ in xs.values()) and any(c for xs in expected.values() for _, c in xs.values())
+    assert pii.op4_pii(docs(rows).limit(0)).collect() == [] and pii.sanitise(docs(rows).limit(0)).collect() == []
 
 
 def test_pii_without_terms(docs):

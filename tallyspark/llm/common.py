@@ -87,6 +87,11 @@ def scratch(spark: SparkSession):
         drop(spark, made)
 
 
+def newest() -> list[str]:
+    """The path of the table that was stored last outside of blocks that have ended."""
+    return _MADE[-1][-1:]
+
+
 def clear(spark: SparkSession) -> None:
     """Drop every table that is still stored: to be called once the results that read them have been written."""
     drop(spark, _MADE[0])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 
 def _count(edges: DataFrame) -> tuple[int, int]:
@@ -23,6 +23,11 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
 
     Raises rather than returning components that ``most_steps`` did not bring to an end.
     """
+    with scratch(edges.sparkSession) as keep:
+        return keep(_components(edges, most_steps), "roots")
+
+
+def _components(edges: DataFrame, most_steps: int) -> DataFrame:
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _count(now)
     for _ in range(most_steps):

@@ -224,8 +224,13 @@ _PART = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()
 SUMS = ("n_tokens", "n_known", "base_score", "score", "file_score")
 
 
-def _batch(columns: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PART, strict=True)], names=[f.split()[0] for f in PART.split(", ")])
+def _batch(rare: list[tuple], whole: list[tuple]) -> pa.RecordBatch:
+    """Rows without scores, then rows with."""
+    zeros = [np.zeros(len(rare), np.int64)] * 2 + [np.zeros(len(rare))] * 3
+    columns = [*(list(zip(*rare, strict=True)) if rare else [()] * 4), *zeros]
+    both = zip(columns, zip(*whole, strict=True) if whole else [()] * len(_PART), _PART, strict=True)
+    arrays = [pa.concat_arrays([pa.array(a, t), pa.array(b, t)]) for a, b, t in both]
+    return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in PART.split(", ")])
 
 
 def text_parts(docs: DataFrame, known: Broadcast, end: tuple[int, float, float, float]) -> DataFrame:
@@ -233,28 +238,27 @@ def text_parts(docs: DataFrame, known: Broadcast, end: tuple[int, float, float,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = known.value.get
-        columns: list[list] = [[] for _ in _PART]
+        rare: list[tuple] = []
+        whole: list[tuple] = []
         for batch in batches:
             for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 n, (seen, base, log, file_log) = 1, end
                 for word, k in Counter(words(text.as_py())).items():
                     n += k
-                    key = key_of(word)
-                    if found := get(key):
+                    found = get(word) if len(word) < KEY else get(key_of(word))
+                    if found:
                         seen += k * found[0]
                         base += k * found[1]
                         log += k * found[2]
                         file_log += k * found[3]
                     else:
-                        for column, x in zip(columns, (row, doc, key, k, 0, 0, 0.0, 0.0, 0.0), strict=True):
-                            column.append(x)
-                for column, x in zip(columns, (row, doc, None, 0, n, seen, base, log, file_log), strict=True):
-                    column.append(x)
-                if len(columns[0]) > FLUSH:
-                    yield _batch(columns)
-                    for column in columns:
-                        column.clear()
-        yield _batch(columns)
+                        rare.append((row, doc, key_of(word), k))
+                whole.append((row, doc, None, 0, n, seen, base, log, file_log))
+                if len(rare) + len(whole) > FLUSH:
+                    yield _batch(rare, whole)
+                    rare.clear()
+                    whole.clear()
+        yield _batch(rare, whole)
 
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PART)
 

@@ -12,7 +12,8 @@ class of a cluster is reached from its similar classes by breadth-first search o
 result is exact within the cluster. Clusters beyond ``block_shingles`` are compared in pairs of blocks of bounded size instead.
 
 Defined cases: null, empty and blank texts have no set, are linked with nothing and are their own component; texts with fewer than k words are one shingle;
-repeated rows are equal sets; null ids never win a minimum; empty tables give empty results. Extra columns are not touched.
+repeated rows are equal sets; null ids never win a minimum (a row without an id is kept only where no row of its component has one); ids must be
+numbers; empty tables give empty results. Extra columns are not touched.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 from .components import components
 from .wordhash import U, each_text, mix, shingles
 
@@ -51,20 +52,25 @@ def set_id(values: np.ndarray) -> bytes:
 
 
 def with_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, sid (null without words), sig: one row a document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.binary()), ("sig", pa.binary())])
+    """doc_id, text_key, n_shingles, sid (null without words), sig: one row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sids, sigs = [], [], []
-            for _, _, _, _, hashes in each_text(batch.column(1)):
+            for _, _, _, _, hashes in each_text(batch.column(2)):
                 values = shingles(hashes, k)
                 n.append(len(values))
                 sids.append(set_id(values) if len(values) else None)
                 sigs.append(minwise(values).tobytes() if len(values) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sids, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
+            made = [pa.array(n, pa.int64()), pa.array(sids, pa.binary()), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_key", "n_shingles", "sid", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sid binary, sig binary")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    return keyed.mapInArrow(run, "doc_id long, text_key long, n_shingles long, sid binary, sig binary")
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _branch(sigs: np.ndarray, paths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,11 +216,13 @@ def _confirm(k: int, percent: int):
 
 
 def confirmed_edges(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, percent: int, block_shingles: int) -> DataFrame:
-    """Edges (u, v) that span the components of confirmed links. clusters: sid, root; sets: sid, doc_id, n_shingles, one row a class."""
-    members = stored(sets.join(clusters, "sid").select("sid", "root", "n_shingles", "doc_id"), "members")
+    """Edges (u, v) that span the components of confirmed links. clusters: sid, root; sets: sid, text_key, n_shingles, one row a class."""
+    members = stored(sets.join(clusters, "sid").select("sid", "root", "n_shingles", "text_key"), "members")
     weights = members.groupBy("root").agg(F.ceil(F.sum("n_shingles") / F.lit(block_shingles)).cast("int").alias("blocks"))
     members = members.join(weights, "root").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("doc_id").alias("_d")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    # One text for each class: copies of it go before shingles are made.
+    keyed = docs.select(text_key().alias("text_key"), "text").join(members.select("text_key").distinct(), "text_key", "left_semi")
+    wanted = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,25 +234,25 @@ def confirmed_edges(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: in
     # One block a cluster as a rule; else block i meets each block j >= i (and itself) in a group of its own.
     low, high = F.least(F.col("block"), F.col("other")), F.greatest(F.col("block"), F.col("other"))
     placed = members.select("sid", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("sid", "root", F.concat_ws("-", low, high).alias("part"))
-    grouped = placed.join(full, "sid").dropDuplicates(["root", "part", "sid"]).repartition("root", "part").sortWithinPartitions("root", "part", "sid")
+    grouped = placed.join(full, "sid").repartition("root", "part").sortWithinPartitions("root", "part", "sid")
     return grouped.select("root", "part", "sid", "shingles").mapInArrow(_confirm(k, percent), "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 16, node_limit: int = 4096, block_shingles: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id reachable over links with Jaccard similarity of at least percent / 100."""
-    sets = stored(with_sets(docs, k), "sets")
-    classes = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    classes = stored(classes, "classes")
-    clusters = components(candidate_edges(classes, percent / 100, trees, node_limit)).withColumnsRenamed({"id": "sid"})
-    links = components(confirmed_edges(docs, classes.drop("sig"), clusters, k, percent, block_shingles))
-    links = links.join(classes.select(F.col("sid").alias("id"), "doc_id"), "id")
-    least = links.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = stored(links.join(least, "root").select(F.col("id").alias("sid"), "component_id"), "found")
-    alone = classes.select("sid", F.col("doc_id").alias("class_id")).join(found, "sid", "left")
-    named = alone.select(F.col("sid").alias("_sid"), F.coalesce("component_id", "class_id").alias("component_id"))
-    return sets.select("doc_id", "n_shingles", "sid").join(named, F.col("sid") == F.col("_sid"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    with scratch(docs.sparkSession) as keep:
+        sets = keep(with_sets(docs, k), "sets")
+        one = F.min_by(F.struct("text_key", "n_shingles", "sig"), F.col("doc_id").isNull()).alias("one")
+        classes = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), one).select("sid", "doc_id", "one.*")
+        classes = stored(classes, "classes")
+        clusters = components(candidate_edges(classes, percent / 100, trees, node_limit)).withColumnsRenamed({"id": "sid"})
+        links = components(confirmed_edges(docs, classes.drop("sig"), clusters, k, percent, block_shingles))
+        links = links.join(classes.select(F.col("sid").alias("id"), "doc_id"), "id")
+        least = links.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        found = links.join(least, "root").select(F.col("id").alias("sid"), "component_id")
+        alone = classes.select("sid", F.col("doc_id").alias("class_id")).join(found, "sid", "left")
+        named = keep(alone.select(F.col("sid").alias("_sid"), F.coalesce("component_id", "class_id").alias("component_id")), "named")
+    return sets.join(named, F.col("sid") == F.col("_sid"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **how: int) -> DataFrame:
@@ -255,4 +263,4 @@ def keep_one(docs: DataFrame, **how: int) -> DataFrame:
 
 
 def op10_near_dup(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs, k=2).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return near_duplicates(docs, k=2).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

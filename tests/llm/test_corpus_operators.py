@@ -71,10 +71,37 @@ def test_near_duplicates_against_brute_force(docs, how):
     assert got == brute_components(rows, 2)
 
 
+def test_recall_of_near_duplicates(docs):
+    """Pairs just at the threshold, each in a cluster of its own: all links must be found."""
+    rng, rows, pairs = random.Random(21), [], 0
+    for i in range(150):
+        n = rng.randint(20, 120)
+        base = [f"w{i}x{j}" for j in range(n)]
+        grown = base + [f"w{i}y{j}" for j in range(int((n - 1) / 0.8) - (n - 1))]  # Jaccard of word pairs: (n - 1) / (len(grown) - 1)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(grown))]
+        pairs += 100 * (n - 1) >= 80 * (len(grown) - 1)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs(rows), k=2).collect()}
+    assert pairs == 150 and sum(got[2 * i + 1] == 2 * i for i in range(150)) == pairs
+
+
+def test_stored_tables_go(spark, docs):
+    from pathlib import Path
+
+    from tallyspark.llm import common
+
+    common.clear(spark)
+    folder = Path(common.shared_dir(spark)) / "tallyspark"
+    near_dup.op10_near_dup(docs(near_copies(random.Random(3), 4))).count()
+    assert len(list(folder.iterdir())) == 2
+    common.clear(spark)
+    assert not list(folder.iterdir())
+
+
 def test_near_duplicates_odd_tables(docs):
     assert near_dup.op10_near_dup(docs([(1, "a b")]).limit(0)).collect() == []
     rows = near_dup.op10_near_dup(docs([(7, "a b c"), (7, "a b c"), (None, "a b c"), (9, None), (9, "")])).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in rows) == [(0, 7), (7, 7), (7, 7), (9, 9), (9, 9)]
+    assert {(r["doc_id"], r["kept"]) for r in rows} == {(None, False), (7, True), (9, True)}
     kept = near_dup.keep_one(docs([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g"), (None, "a b c d e f")]))
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3] and kept.columns[-1] == "size"
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm import decontamination, mixing, near_dup, pii, quality
-from tallyspark.llm.common import read, stored
+from tallyspark.llm.common import drop, newest, read, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -59,8 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet in the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return stored(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    """All stages over documents; each result is written as Parquet in the shared folder and read again. What a stage stored for itself, and what it read of the stage before, goes once its
+    result is written; the tables of the result itself stay until ``common.clear``."""
+    docs, former = read(spark, sf_dir, "documents"), []
+    for name, stage in STAGES:
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), name)
+        drop(spark, former)
+        former = newest()
+    return docs

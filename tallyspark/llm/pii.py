@@ -181,7 +181,7 @@ def classes_of(telling: DataFrame, texts: DataFrame, profiles: DataFrame, docs:
     begun = F.explode(F.filter(F.array(*[F.when(F.length("term") > k, F.substring("term", 1, k)) for k in BEGINNINGS]), lambda x: x.isNotNull()))
     tried = stored(telling.where("not removed").select("profile", "term", begun.alias("class")), "pii-tried")
     wanted = stored(tried.select(F.col("class").alias("term")).distinct(), "pii-beginnings")
-    counts = document_counts(docs, wanted, broadcast_terms, BEGINNINGS).withColumnRenamed("term", "class")
+    counts = stored(document_counts(docs, wanted, broadcast_terms, BEGINNINGS), "pii-class-counts").withColumnRenamed("term", "class")
     held = texts.select("text_key", begun.alias("class")).distinct().join(wanted.withColumnRenamed("term", "class"), "class", "left_semi")
     both = held.join(profiles, "text_key").join(tried.select("profile", "class").distinct(), ["profile", "class"], "left_semi")
     both = both.groupBy("profile", "class", "holders").agg(F.sum("n").alias("both")).join(counts, "class")

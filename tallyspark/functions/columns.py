@@ -31,10 +31,8 @@ def canonical_json(document: Column, keep_nulls: bool = False) -> Column:
     """JSON text of a struct whose fields are in alphabetical order: compact, ASCII only, \\u escapes in lower case."""
     text = F.to_json(document, {"ignoreNullFields": str(not keep_nulls).lower(), "writeNonAsciiCharacterAsCodePoint": "true"})
     # The writer's escapes are upper case; hashes are over lower case ones.
-    return F.array_join(
-        F.transform(F.split(text, r"(?=\\u[0-9A-F]{4})"), lambda x: F.when(x.rlike(r"^\\u[0-9A-F]{4}"), F.concat(F.lower(F.substring(x, 1, 6)), F.substring(x, 7, 1 << 30))).otherwise(x)),
-        "",
-    )
+    lower = lambda x: F.when(x.rlike(r"^\\u[0-9A-F]{4}"), F.concat(F.lower(F.substring(x, 1, 6)), F.substring(x, 7, 1 << 30))).otherwise(x)
+    return F.when(text.contains("\\u"), F.array_join(F.transform(F.split(text, r"(?=\\u[0-9A-F]{4})"), lower), "")).otherwise(text)
 
 
 def utc_micros(at: Column) -> Column:
@@ -42,11 +40,23 @@ def utc_micros(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+def offset_time(at: Column) -> Column:
+    """Timestamp text with +00:00, microseconds only where there are some; the session's time zone must be UTC."""
+    micros = F.date_format(at, "SSSSSS")
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))
+
+
+def opaque_id(prefix: str, *parts: Column | str) -> Column:
+    """prefix and 32 hexadecimal digits of the hash of the parts, joined by a separator that none holds."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 32))
+
+
 def within_tolerance(expected: Column, observed: Column, mode: Column, value: Column) -> Column:
-    """Inclusive: NONE is equality, ABSOLUTE bounds the difference, RELATIVE bounds it by a share of the expected value. Operands are decimals."""
+    """Inclusive: NONE is equality, ABSOLUTE_DECIMAL bounds the difference, RELATIVE_DECIMAL bounds it by a share of the expected value. Operands are decimals; an unknown mode fails the query."""
     gap = F.abs(expected.cast(DECIMAL) - observed.cast(DECIMAL))
     relative = F.abs(expected.cast(DECIMAL)) * value.cast("decimal(9,8)")
-    return F.when(mode == "ABSOLUTE", gap <= value.cast(DECIMAL)).when(mode == "RELATIVE", gap <= relative).otherwise(gap == 0)
+    unknown = F.raise_error(F.concat(F.lit("unknown tolerance mode "), mode)).cast("boolean")
+    return F.when(mode == "ABSOLUTE_DECIMAL", gap <= value.cast(DECIMAL)).when(mode == "RELATIVE_DECIMAL", gap <= relative).when(mode == "NONE", gap == 0).otherwise(unknown)
 
 
 def tolerance_of(config: Config, product: Column, field: str) -> tuple[Column, Column]:

@@ -5,8 +5,13 @@ Fixed values throughout: they define the results.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 KINDS = ("EXECUTION", "TRADE_CAPTURE", "CONFIRMATION", "BOOKING")
 SYSTEMS = {"EXECUTION": "FIX_EXECUTION", "TRADE_CAPTURE": "FIX_TRADE_CAPTURE", "CONFIRMATION": "FPML_CONFIRMATION", "BOOKING": "MOCK_LEGACY_BOOKING"}
 REQUIRED_KINDS = ("EXECUTION", "CONFIRMATION", "BOOKING")
@@ -38,6 +43,36 @@ SEVERITY_RANK = {"CRITICAL": 1, "HIGH": 2, "MEDIUM": 3}
 DEADLINE_RANK = {"OVERDUE": 1, "DUE": 2, "NO_CONFIGURED_DEADLINE": 3}
 NON_ACTION_FAMILIES = ("MISSING_REQUIRED_SOURCE", "POST_ACTION_VERIFICATION_FAILURE")
 
+#: Roles of the evidence of each family's comparisons.
+EVIDENCE_ROLES = {
+    "MISSING_REQUIRED_SOURCE": ("INGESTION_WATERMARK", "EXPECTED_SOURCE"),
+    "AMBIGUOUS_OR_UNMATCHED_LINKAGE": ("CANDIDATE_LINK", "LINKAGE_DECISION"),
+    "DUPLICATE_SOURCE_CONFLICT": ("SOURCE_PAYLOAD_PAIR", "SOURCE_METADATA"),
+    "CURRENCY_PAIR_OR_SIDE_MISMATCH": ("FIELD_COMPARISON", "NORMALISATION_RULE"),
+    "ECONOMIC_VALUE_MISMATCH": ("DECIMAL_COMPARISON", "NORMALISATION_RULE"),
+    "TRADE_OR_VALUE_DATE_MISMATCH": ("DATE_COMPARISON", "NORMALISATION_RULE"),
+    "LIFECYCLE_STATUS_MISMATCH": ("LIFECYCLE_RELATION", "NORMALISATION_RULE"),
+    "POST_ACTION_VERIFICATION_FAILURE": ("ACTION_INSTRUCTION", "PRE_ACTION_READ", "POST_ACTION_READ", "CHANGED_FIELD_DIFF"),
+}
+#: (path, value type) of the comparisons that a family may hold.
+COMPARISONS = {
+    "MISSING_REQUIRED_SOURCE": (("/source/execution_observation", "ABSENCE"), ("/source/confirmation_observation", "ABSENCE"), ("/source/booking_observation", "ABSENCE")),
+    "AMBIGUOUS_OR_UNMATCHED_LINKAGE": (("/linkage/trade_id", "COUNT"),),
+    "DUPLICATE_SOURCE_CONFLICT": (
+        ("/source/source_business_key", "SOURCE_IDENTITY"), ("/source/source_version", "SOURCE_VERSION"), ("/source/content_hash", "CONTENT_HASH"),
+    ),
+    "CURRENCY_PAIR_OR_SIDE_MISMATCH": (("/payload/base_currency", "CURRENCY"), ("/payload/terms_currency", "CURRENCY"), ("/payload/side", "SIDE")),
+    "ECONOMIC_VALUE_MISMATCH": (("/payload/base_amount", "DECIMAL"), ("/payload/terms_amount", "DECIMAL"), ("/payload/quoted_rate", "DECIMAL")),
+    "TRADE_OR_VALUE_DATE_MISMATCH": (("/payload/trade_date", "DATE"), ("/payload/value_date", "DATE")),
+    "LIFECYCLE_STATUS_MISMATCH": (("/payload/lifecycle_status", "LIFECYCLE_STATUS"),),
+    "POST_ACTION_VERIFICATION_FAILURE": (
+        ("/payload/book_id", "IDENTIFIER"), ("/payload/lifecycle_status", "LIFECYCLE_STATUS"), ("/payload/booking_version", "SOURCE_VERSION"), ("/payload/record_fingerprint", "CONTENT_HASH"),
+    ),
+}
+RESOLUTION_TYPES = {f: ("RECONCILIATION_PASS", "OWNER_APPROVED_NON_ACTION") if f in NON_ACTION_FAMILIES else ("RECONCILIATION_PASS",) for f in FAMILIES}
+MATERIALITY_ORDER = ("MATERIAL", "UNASSESSED", "NON_MATERIAL")
+TIE_BREAKERS = ("MATERIALITY_BAND", "SEVERITY", "LIFECYCLE_DEADLINE", "CASE_AGE")
+
 TRANSITIONS = (
     (None, "OPEN", "DETECTED"),
     ("OPEN", "UNDER_INVESTIGATION", "BEGIN_INVESTIGATION"),
@@ -78,6 +113,9 @@ VARIANTS = (
 FAMILY_ORDER = ("MISSING", "LINKAGE", "DUPLICATE", "CURRENCY", "ECONOMIC", "DATE", "LIFECYCLE", "POST_ACTION")
 
 
+TOLERANCE_MODES = ("NONE", "ABSOLUTE_DECIMAL", "RELATIVE_DECIMAL")
+
+
 @dataclass(frozen=True)
 class Config:
     """Arrival windows (seconds), decimal tolerances (mode, value) and expected statuses. The defaults are the fixture configuration."""
@@ -85,7 +123,7 @@ class Config:
     windows: dict[tuple[str, str], int] = field(default_factory=lambda: {(p, k): 0 for p in ("FX_SPOT", "FX_FORWARD") for k in REQUIRED_KINDS})
     tolerances: dict[tuple[str, str], tuple[str, str]] = field(
         default_factory=lambda: {
-            (p, f): ("ABSOLUTE", v) for p in ("FX_SPOT", "FX_FORWARD") for f, v in (("base_amount", "0.01"), ("terms_amount", "0.01"), ("quoted_rate", "0.0001"))
+            (p, f): ("ABSOLUTE_DECIMAL", v) for p in ("FX_SPOT", "FX_FORWARD") for f, v in (("base_amount", "0.01"), ("terms_amount", "0.01"), ("quoted_rate", "0.0001"))
         }
     )
     statuses: dict[str, str] = field(default_factory=lambda: {"EXECUTION": "NEW", "TRADE_CAPTURE": "CAPTURED", "CONFIRMATION": "CONFIRMED", "BOOKING": "BOOKED"})
@@ -106,7 +144,7 @@ class Config:
             out.append("ARRIVAL_WINDOW_NEGATIVE")
         if set(self.tolerances) != {(p, f) for p in products for f in ("base_amount", "terms_amount", "quoted_rate")}:
             out.append("TOLERANCES_INCOMPLETE")
-        if any(m not in ("NONE", "ABSOLUTE", "RELATIVE") or (m == "NONE") != (v is None) for m, v in self.tolerances.values()):
+        if any(m not in TOLERANCE_MODES or (m == "NONE") != (v is None) for m, v in self.tolerances.values()):
             out.append("TOLERANCE_SHAPE")
         if set(self.statuses) != set(KINDS):
             out.append("LIFECYCLE_RULES_INCOMPLETE")
@@ -115,3 +153,17 @@ class Config:
         if self.effective_to is not None and self.effective_to <= self.effective_from:
             out.append("EFFECTIVE_INTERVAL_EMPTY")
         return out
+
+    def effective(self, at: Column) -> Column:
+        """Whether a time is in the effective interval, which holds its beginning and not its end."""
+        inside = at >= F.lit(self.effective_from).cast("timestamp")
+        return inside if self.effective_to is None else inside & (at < F.lit(self.effective_to).cast("timestamp"))
+
+    def content_hash(self) -> str:
+        """Hash of the canonical JSON of all rules."""
+        document = {
+            "config_id": self.config_id, "effective_from": self.effective_from, "effective_to": self.effective_to, "owner_reference": self.owner_reference, "status": self.status,
+            "statuses": self.statuses, "tolerances": [[*key, *rule] for key, rule in sorted(self.tolerances.items())], "version": self.version,
+            "windows": [[*key, seconds] for key, seconds in sorted(self.windows.items())],
+        }
+        return "sha256:" + hashlib.sha256(json.dumps(document, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

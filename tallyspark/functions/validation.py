@@ -22,7 +22,7 @@ PATTERNS = {
     "decimal": r"^(0|[1-9][0-9]*)(\.[0-9]+)?$",
     "aware_timestamp": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$",
     "date": r"^\d{4}-\d{2}-\d{2}$",
-    "side": r"^(BUY|SELL)$",
+    "side": r"^(BUY_BASE|SELL_BASE)$",
     "count": r"^(0|[1-9][0-9]*)$",
 }
 CONFIRMATION_STATUS = {"PENDING": "CAPTURED", "AFFIRMED": "CONFIRMED", "REJECTED": "CANCELLED", "AMENDED": "AMENDED", "CANCELLED": "CANCELLED"}

@@ -1,20 +1,23 @@
 """The evaluator: observations of a trade -> canonical state, linkage and breaks in eight families.
 
-One shuffle by trade serves everything: all windows and the aggregation share the partitioning (tenant, portfolio, lineage), tables of rules are literals, and the
-comparisons are conditional aggregates over the same rows rather than joins of a trade with itself.
+One shuffle by trade serves everything: a trade's observations are gathered once, in the engine's order, as an array of a few rows, and all rules are array expressions over it; tables of rules
+are literals. Queries that need little of it have the rest pruned. A trade's observations meet in one task, as its rules compare them all; they are few by nature.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import lookup, position, sha256, tolerance_of, within_tolerance
+from ..functions.columns import canonical_json, lookup, offset_time, position, sha256, tolerance_of, within_tolerance
 from ..functions.reference_data import (
     CONFIRMATION_FIELDS,
     CONFIRMATION_FIRST,
     CONFIRMATION_TRUSTED,
     DEADLINE_RANK,
+    EVIDENCE_ROLES,
     EXECUTION_FIELDS,
     EXECUTION_FIRST,
     EXECUTION_TRUSTED,
@@ -38,6 +41,8 @@ COMPARED = (
     ("TRADE_OR_VALUE_DATE_MISMATCH", "trade_date", "DATE"),
     ("TRADE_OR_VALUE_DATE_MISMATCH", "value_date", "DATE"),
 )
+#: What identifies an observation wherever one is pointed at.
+REFERENCE = ("observation_id", "source_version", "content_hash")
 
 
 def unite(inbox: DataFrame, quarantined: DataFrame) -> DataFrame:
@@ -53,185 +58,235 @@ def without_superseded(observations: DataFrame) -> DataFrame:
 
 def ordering() -> list[Column]:
     """The engine's order of a trade's observations."""
-    return [position(F.col("kind"), KINDS), F.col("source_sequence"), F.col("observation_id"), F.col("source_version"), F.col("content_hash")]
+    return [position(F.col("kind"), KINDS).alias("kind_rank"), *map(F.col, ("source_sequence", "observation_id", "source_version", "content_hash"))]
+
+
+def version_number(version: Column) -> Column:
+    return version.cast("decimal(19,0)")
+
+
+def first_where(rows: Column | str, holds: Callable[[Column], Column]) -> Column:
+    """The first element that a predicate holds of, or null."""
+    return F.try_element_at(F.filter(rows, holds), F.lit(1))
+
+
+def _each(field: str) -> Column:
+    return F.transform("obs", lambda x: x[field])
+
 
+def _mode_of_keys() -> Column:
+    """The business key that most observations have; of equally frequent ones the first seen."""
+    def key(k: Column) -> Column:
+        mine = F.filter("obs", lambda x: x["source_business_key"].eqNullSafe(k))
+        seen = F.array_min(F.transform(mine, lambda x: F.struct(x["src_ord"], x["source_sequence"], x["observation_id"])))
+        return F.struct((-F.size(mine)).alias("n"), seen.alias("seen"), k.alias("key"))
 
-def version_number() -> Column:
-    return F.col("source_version").cast("decimal(19,0)")
+    several = F.array_min(F.transform(F.array_distinct(_each("source_business_key")), key))["key"]
+    sole = F.get("obs", F.lit(0))["source_business_key"]
+    return F.when(F.size(F.array_distinct(_each("source_business_key"))) == 1, sole).otherwise(several)
 
 
 def _winner(order: tuple[str, ...]) -> Column:
-    row = F.struct("observation_id", "kind", "source_system", "source_version", "content_hash", *EXECUTION_FIELDS, *CONFIRMATION_FIELDS)
-    return F.min_by(row, F.struct(position(F.col("source_system"), order), -version_number(), F.col("observation_id"), F.col("content_hash")))
+    """The observation that a field is taken from: of those that name the trade as business key or in the payload, the first system of the policy's order, then the highest version."""
+    def ranked(x: Column) -> Column:
+        place = position(x["source_system"], order)
+        return F.struct(place.alias("place"), (-version_number(x["source_version"])).alias("version"), x["observation_id"].alias("id"), x["content_hash"].alias("hash"), x.alias("row"))
 
+    names_trade = lambda x: (x["source_business_key"] == F.col("trade_id")) | F.coalesce(x["source_trade_id"] == F.col("trade_id"), F.lit(False))
+    return F.array_min(F.transform(F.filter("obs", names_trade), ranked))["row"]
 
-def enriched(observations: DataFrame, config: Config | None = None) -> DataFrame:
-    """Observations with what their trade says of them: ordinal, winners, watermark, sets, the trade's id."""
+
+def trade_rows(observations: DataFrame, config: Config | None = None) -> DataFrame:
+    """One row a trade with everything the families need."""
     config = config or Config()
-    w = Window.partitionBy(*TRADE)
     if "src_ord" not in observations.columns:
         observations = observations.withColumn("src_ord", F.lit(0))
-    o = observations.select(
-        "*",
-        F.row_number().over(w.orderBy(*ordering())).alias("ordinal"),
-        F.count(F.lit(1)).over(w).alias("n_observations"),
-        F.max("ingest_time").over(w).alias("watermark"),
-        F.collect_set("kind").over(w).alias("kinds"),
-        F.collect_set("source_trade_id").over(w).alias("payload_trades"),
-        _winner(EXECUTION_FIRST).over(w).alias("by_execution"),
-        _winner(CONFIRMATION_FIRST).over(w).alias("by_confirmation"),
-    )
-    of_key = Window.partitionBy(*TRADE, "source_business_key")
-    o = o.withColumn("_key_n", F.count(F.lit(1)).over(of_key)).withColumn("_key_first", F.min(F.struct("src_ord", "source_sequence", "observation_id")).over(of_key))
-    o = o.withColumn("trade_id", F.min_by("source_business_key", F.struct(-F.col("_key_n"), F.col("_key_first"))).over(w)).drop("_key_n", "_key_first")
-    # Same source identity and version with different content: first against second in order.
-    same = Window.partitionBy(*TRADE, "kind", "source_business_key", "source_version")
-    o = o.select(
-        "*",
-        F.size(F.collect_set("content_hash").over(same)).alias("identity_hashes"),
-        F.row_number().over(same.orderBy("ordinal")).alias("identity_place"),
-        F.min(F.struct("ordinal", "observation_id", "content_hash")).over(same).alias("identity_first"),
+    fields = ("kind", "source_system", "source_business_key", "source_trade_id", "ingest_time", "src_ord", *EXECUTION_FIELDS, *CONFIRMATION_FIELDS)
+    obs = F.sort_array(F.collect_list(F.struct(*ordering(), *fields))).alias("obs")
+    rows = observations.groupBy(*TRADE).agg(obs)
+    rows = rows.withColumn("trade_id", _mode_of_keys())
+    rows = rows.withColumns(
+        {
+            "by_execution": _winner(EXECUTION_FIRST),
+            "by_confirmation": _winner(CONFIRMATION_FIRST),
+            "n_observations": F.size("obs"),
+            "watermark": F.array_max(_each("ingest_time")),
+            "kinds": F.array_distinct(_each("kind")),
+            "payload_trades": F.array_distinct(_each("source_trade_id")),
+            "first_observation": F.get("obs", F.lit(0)),
+            "foreign_key": F.exists("obs", lambda x: x["source_business_key"] != F.col("trade_id")),
+            "bad_status": first_where("obs", lambda x: ~_valid_status(x, config)),
+        }
     )
-    valid = F.col("lifecycle_status") == lookup(F.col("kind"), config.statuses)
-    return o.withColumn("status_valid", valid)
+    differs = {f"off_{name}": _first_off(name, kind, config) for _, name, kind in COMPARED}
+    return linkage(rows.withColumns(differs))
+
+
+def _valid_status(x: Column, config: Config) -> Column:
+    return F.coalesce(x["lifecycle_status"] == lookup(x["kind"], config.statuses), F.lit(False))
+
+
+def _first_off(name: str, kind: str, config: Config) -> Column:
+    """The first observation, in order, whose value differs from that of the execution-first winner."""
+    winner = F.col("by_execution")
+
+    def off(x: Column) -> Column:
+        if kind == "DECIMAL":
+            differs = ~within_tolerance(winner[name], x[name], *tolerance_of(config, winner["product_type"], name))
+        else:
+            differs = winner[name] != x[name]
+        return (x["observation_id"] != winner["observation_id"]) & differs
+
+    return first_where("obs", off)
 
 
 def linkage(trade_row: DataFrame) -> DataFrame:
     """decision, reason_code, candidates, chosen_trade_id from n_observations, payload_trades, foreign_key and trade_id of each trade."""
     many = (F.col("n_observations") > 4) & (F.size("payload_trades") > 1)
+    foreign = F.col("foreign_key")
     return trade_row.select(
         "*",
-        F.when(many, "AMBIGUOUS").when(F.col("foreign_key"), "UNMATCHED").otherwise("ACCEPTED").alias("decision"),
-        F.when(many, "MULTIPLE_ELIGIBLE_CANDIDATES").when(F.col("foreign_key"), "NO_ELIGIBLE_CANDIDATE").otherwise("EXACT_DETERMINISTIC_KEY").alias("reason_code"),
-        F.when(many, F.array_sort("payload_trades")).when(F.col("foreign_key"), F.array().cast("array<string>")).otherwise(F.array("trade_id")).alias("candidates"),
-        F.when(~many & ~F.col("foreign_key"), F.col("trade_id")).alias("chosen_trade_id"),
+        F.when(many, "AMBIGUOUS").when(foreign, "UNMATCHED").otherwise("ACCEPTED").alias("decision"),
+        F.when(many, "MULTIPLE_ELIGIBLE_CANDIDATES").when(foreign, "NO_ELIGIBLE_CANDIDATE").otherwise("EXACT_DETERMINISTIC_KEY").alias("reason_code"),
+        F.when(many, F.array_sort("payload_trades")).when(foreign, F.array().cast("array<string>")).otherwise(F.array("trade_id")).alias("candidates"),
+        F.when(~many & ~foreign, F.col("trade_id")).alias("chosen_trade_id"),
     )
 
 
-def trade_rows(rows: DataFrame, config: Config | None = None) -> DataFrame:
-    """One row a trade with everything the families need; the same partitioning as the windows, so no further shuffle."""
-    config = config or Config()
-    product = F.col("by_execution.product_type")
-    aggs = [
-        F.first("trade_id").alias("trade_id"),
-        F.first("n_observations").alias("n_observations"),
-        F.first("watermark").alias("watermark"),
-        F.first("kinds").alias("kinds"),
-        F.first("payload_trades").alias("payload_trades"),
-        F.first("by_execution").alias("by_execution"),
-        F.first("by_confirmation").alias("by_confirmation"),
-        F.min(F.struct("ordinal", "observation_id", "kind")).alias("first_observation"),
-        F.max(F.col("source_business_key") != F.col("trade_id")).alias("foreign_key"),
-        F.size(F.collect_set("lifecycle_status")).alias("n_statuses"),
-        F.min("lifecycle_status").alias("a_status"),
-        F.min(F.when(~F.col("status_valid"), F.struct("ordinal", "observation_id", "lifecycle_status"))).alias("bad_status"),
-        F.min(F.when(F.col("status_valid"), F.struct("ordinal", "observation_id", "lifecycle_status"))).alias("good_status"),
-        F.sort_array(F.collect_set(F.struct("ordinal", "observation_id", "kind", "lifecycle_status"))).alias("statuses"),
-        F.sort_array(
-            F.collect_list(
-                F.when(
-                    (F.col("identity_hashes") > 1) & (F.col("identity_place") == 2),
-                    F.struct("kind", "source_business_key", "source_version", F.col("identity_first.content_hash").alias("expected"), F.col("content_hash").alias("observed"),
-                             F.col("identity_first.observation_id").alias("expected_id"), F.col("observation_id").alias("observed_id")),
-                )
-            )
-        ).alias("conflicts"),
-    ]
-    for _, name, value_type in COMPARED:
-        own, other = F.col(name), F.col(f"by_execution.{name}")
-        if value_type == "DECIMAL":
-            differs = ~within_tolerance(other, own, *tolerance_of(config, product, name))
-        else:
-            differs = own != other
-        aside = F.col("observation_id") != F.col("by_execution.observation_id")
-        aggs.append(F.min(F.when(aside & differs, F.struct("ordinal", own.cast("string").alias("value"), "observation_id"))).alias(f"off_{name}"))
-    return linkage(rows.groupBy(*TRADE).agg(*aggs))
+def numbered(rows: DataFrame) -> DataFrame:
+    """The observations of trade rows again, one a row, with their place in the engine's order (``ordinal``) and their trade."""
+    return rows.select(*TRADE, "trade_id", F.posexplode("obs").alias("_at", "o")).select(*TRADE, "trade_id", (F.col("_at") + 1).alias("ordinal"), "o.*")
 
 
-FACT = "struct<family:string,group_key:string,field_path:string,value_type:string,expected_value:string,observed_value:string,expected_observation_id:string,observed_observation_id:string,severity:string,deadline_status:string>"
+FACT = (
+    "struct<family:string,group_key:string,field_path:string,value_type:string,expected_value:string,observed_value:string,"
+    "expected:struct<observation_id:string,source_version:string,content_hash:string>,observed:struct<observation_id:string,source_version:string,content_hash:string>,"
+    "severity:string,deadline_status:string,expected_by:timestamp,source_ids:array<string>>"
+)
 
 
-def _fact(family: str, path: Column, kind: Column, expected: Column, observed: Column, expected_id: Column, observed_id: Column, group: Column | None = None, severity: Column | None = None, deadline: Column | None = None) -> Column:
+def reference(x: Column) -> Column:
+    """An observation as what points at it; null for none."""
+    return F.when(x.isNotNull(), F.struct(*[x[f].alias(f) for f in REFERENCE]))
+
+
+def _fact(family: str, path: str, kind: str, expected: Column, observed: Column, sources: tuple[Column, Column], **more: Column) -> Column:
+    """One comparison of a break. sources: the expected and the observed observation."""
+    none = F.lit(None).cast("timestamp")
     return F.struct(
-        F.lit(family).alias("family"), (F.lit("") if group is None else group).alias("group_key"), path.alias("field_path"), kind.alias("value_type"), expected.alias("expected_value"),
-        observed.alias("observed_value"), expected_id.cast("string").alias("expected_observation_id"), observed_id.alias("observed_observation_id"),
-        (F.lit(FAMILIES[family][1]) if severity is None else severity).alias("severity"), (F.lit("NO_CONFIGURED_DEADLINE") if deadline is None else deadline).alias("deadline_status"),
+        F.lit(family).alias("family"), more.get("group", F.lit("")).alias("group_key"), F.lit(path).alias("field_path"), F.lit(kind).alias("value_type"),
+        expected.cast("string").alias("expected_value"), observed.cast("string").alias("observed_value"), sources[0].alias("expected"), sources[1].alias("observed"),
+        more.get("severity", F.lit(FAMILIES[family][1])).alias("severity"), more.get("deadline", F.lit("NO_CONFIGURED_DEADLINE")).alias("deadline_status"),
+        more.get("expected_by", none).alias("expected_by"), more.get("source_ids", F.transform("obs", lambda x: x["observation_id"])).alias("source_ids"),
     ).cast(FACT)
 
 
-def facts(rows: DataFrame, config: Config | None = None, evaluated_at: Column | None = None) -> DataFrame:
-    """Break facts, one row for each break and comparison, of trade rows. Without ``evaluated_at`` a trade is evaluated at its watermark."""
-    config = config or Config()
-    at = F.col("watermark") if evaluated_at is None else evaluated_at
-    product = F.col("by_execution.product_type")
-    first = F.col("first_observation.observation_id")
-    found: list[Column] = []
+def _missing(config: Config, at: Column) -> list[Column]:
+    product, out = F.col("by_execution.product_type"), []
+    nobody = F.lit(None).cast("struct<observation_id:string,source_version:string,content_hash:string>")
     for kind in REQUIRED_KINDS:
         seconds = lookup(product, {p: s for (p, k), s in config.windows.items() if k == kind}, F.lit(0))
         due = F.col("watermark") + F.make_dt_interval(secs=seconds)
         fact = _fact(
-            "MISSING_REQUIRED_SOURCE", F.lit(f"/source/{kind.lower()}_observation"), F.lit("ABSENCE"), F.lit("present"), F.lit("absent_after_watermark"), F.lit(None), first,
-            F.lit(kind), F.lit(MISSING_SEVERITY[kind]), F.when(at > due, "OVERDUE").otherwise("DUE"),
+            "MISSING_REQUIRED_SOURCE", f"/source/{kind.lower()}_observation", "ABSENCE", F.lit("present"), F.lit("absent_after_watermark"), (nobody, reference(F.col("first_observation"))),
+            group=F.lit(kind), severity=F.lit(MISSING_SEVERITY[kind]), deadline=F.when(at > due, "OVERDUE").otherwise("DUE"), expected_by=due,
         )
-        found.append(F.when(~F.array_contains("kinds", kind) & (at >= due), fact))
-    n = F.size("candidates").cast("string")
-    found.append(
-        F.when(
-            F.col("decision") != "ACCEPTED",
-            _fact("AMBIGUOUS_OR_UNMATCHED_LINKAGE", F.lit("/linkage/trade_id"), F.lit("COUNT"), F.lit("1"), F.when(n == "1", "0").otherwise(n), first, first),
-        )
-    )
-    for family, name, value_type in COMPARED:
+        out.append(F.when(~F.array_contains("kinds", kind) & (at >= due), fact))
+    return out
+
+
+def _unlinked() -> Column:
+    first, n = reference(F.col("first_observation")), F.size("candidates").cast("string")
+    fact = _fact("AMBIGUOUS_OR_UNMATCHED_LINKAGE", "/linkage/trade_id", "COUNT", F.lit("1"), F.when(n == "1", "0").otherwise(n), (first, first))
+    return F.when(F.col("decision") != "ACCEPTED", fact)
+
+
+def _compared() -> list[Column]:
+    winner, out = F.col("by_execution"), []
+    for family, name, kind in COMPARED:
         off = F.col(f"off_{name}")
-        fact = _fact(
-            family, F.lit(f"/payload/{name}"), F.lit(value_type), F.col(f"by_execution.{name}").cast("string"), off["value"], F.col("by_execution.observation_id"), off["observation_id"]
-        )
-        found.append(F.when(off.isNotNull(), fact))
-    # Lifecycle: the first invalid status against the first valid one of another, else a different one, else any other.
+        out.append(F.when(off.isNotNull(), _fact(family, f"/payload/{name}", kind, winner[name], off[name], (reference(winner), reference(off)))))
+    return out
+
+
+def _lifecycle(config: Config) -> Column:
+    """The first invalid status against the first valid one of another observation, else a different one, else any other."""
     bad = F.col("bad_status")
-    others = F.filter("statuses", lambda s: s["observation_id"] != bad["observation_id"])
-    different = F.filter(others, lambda s: s["lifecycle_status"] != bad["lifecycle_status"])
+    another = lambda x: x["observation_id"] != bad["observation_id"]
     one = F.coalesce(
-        F.when(F.col("good_status").isNotNull(), F.col("good_status.observation_id")), F.try_element_at(different, F.lit(1))["observation_id"], F.try_element_at(others, F.lit(1))["observation_id"]
+        first_where("obs", lambda x: another(x) & _valid_status(x, config)),
+        first_where("obs", lambda x: another(x) & (x["lifecycle_status"] != bad["lifecycle_status"])),
+        first_where("obs", another),
     )
-    its = F.try_element_at(F.filter("statuses", lambda s: s["observation_id"] == one), F.lit(1))
-    expected = F.when(its["lifecycle_status"] == bad["lifecycle_status"], lookup(its["kind"], config.statuses)).otherwise(its["lifecycle_status"])
-    settled = (F.col("n_statuses") == 1) & F.col("a_status").isin("AMENDED", "CANCELLED")
-    found.append(
-        F.when(
-            bad.isNotNull() & ~settled & one.isNotNull(),
-            _fact("LIFECYCLE_STATUS_MISMATCH", F.lit("/payload/lifecycle_status"), F.lit("LIFECYCLE_STATUS"), expected, bad["lifecycle_status"], one, bad["observation_id"]),
-        )
-    )
-    duplicates = F.transform(
-        "conflicts",
-        lambda c: _fact(
-            "DUPLICATE_SOURCE_CONFLICT", F.lit("/source/content_hash"), F.lit("CONTENT_HASH"), c["expected"], c["observed"], c["expected_id"], c["observed_id"],
-            F.concat_ws("/", c["kind"], c["source_business_key"], c["source_version"]),
-        ),
+    expected = F.when(one["lifecycle_status"] == bad["lifecycle_status"], lookup(one["kind"], config.statuses)).otherwise(one["lifecycle_status"])
+    statuses = F.array_distinct(_each("lifecycle_status"))
+    settled = (F.size(statuses) == 1) & F.get(statuses, F.lit(0)).isin("AMENDED", "CANCELLED")
+    sources = (reference(one), reference(bad))
+    fact = _fact("LIFECYCLE_STATUS_MISMATCH", "/payload/lifecycle_status", "LIFECYCLE_STATUS", expected, bad["lifecycle_status"], sources)
+    return F.when(bad.isNotNull() & ~settled & one.isNotNull(), fact)
+
+
+def _duplicates() -> Column:
+    """Same source identity and version with different content: first against second in order, one break a group."""
+    identity = lambda x: F.struct(x["kind"], x["source_business_key"], x["source_version"])
+
+    def fact(key: Column) -> Column:
+        same = F.filter("obs", lambda x: identity(x) == key)
+        first, second = F.get(same, F.lit(0)), F.get(same, F.lit(1))
+        found = _fact(
+            "DUPLICATE_SOURCE_CONFLICT", "/source/content_hash", "CONTENT_HASH", first["content_hash"], second["content_hash"], (reference(first), reference(second)),
+            group=F.concat_ws("/", first["kind"], first["source_business_key"], first["source_version"]), source_ids=F.transform(same, lambda x: x["observation_id"]),
+        )
+        return F.when(F.size(F.array_distinct(F.transform(same, lambda x: x["content_hash"]))) > 1, found)
+
+    keys = F.array_distinct(F.transform("obs", identity))
+    none = F.array().cast(f"array<{FACT}>")
+    return F.when(F.size(keys) < F.size("obs"), F.array_compact(F.transform(keys, fact))).otherwise(none)
+
+
+def facts(rows: DataFrame, config: Config | None = None, evaluated_at: Column | None = None, outside: str = "raise") -> DataFrame:
+    """Break facts, one row for each break and comparison, of trade rows. Without ``evaluated_at`` a trade is evaluated at its watermark.
+
+    A trade evaluated outside of the configuration's effective interval fails the query, or has no facts with ``outside="skip"``.
+    """
+    config = config or Config()
+    rows = rows.withColumn("evaluated_at", F.col("watermark") if evaluated_at is None else evaluated_at)
+    at = F.col("evaluated_at")
+    effective = config.effective(at)
+    if outside == "skip":
+        rows = rows.where(effective)
+    else:
+        stop = F.raise_error(F.lit("the configuration is not effective at the time of evaluation")).cast("timestamp")
+        rows = rows.withColumn("evaluated_at", F.when(effective, at).otherwise(stop))
+    found = [*_missing(config, at), _unlinked(), *_compared(), _lifecycle(config)]
+    every = F.concat(F.array_compact(F.array(*found)), _duplicates())
+    product = F.col("by_execution.product_type").alias("product_type")
+    return rows.select(*TRADE, "trade_id", product, "watermark", "evaluated_at", F.explode(every).alias("fact")).select(
+        *TRADE, "trade_id", "product_type", "watermark", "evaluated_at", "fact.*",
+        F.col("fact.expected.observation_id").alias("expected_observation_id"), F.col("fact.observed.observation_id").alias("observed_observation_id"),
+        lookup(F.col("fact.family"), {f: c for f, (c, _) in FAMILIES.items()}).alias("condition_code"),
     )
-    every = F.concat(F.array_compact(F.array(*found)), duplicates)
-    return rows.select(*TRADE, "trade_id", product.alias("product_type"), "watermark", F.explode(every).alias("fact")).select(
-        *TRADE, "trade_id", "product_type", "watermark", "fact.*", lookup(F.col("fact.family"), {f: c for f, (c, _) in FAMILIES.items()}).alias("condition_code")
-    )
 
 
-def reconcile(observations: DataFrame, config: Config | None = None, evaluated_at: Column | None = None) -> DataFrame:
-    """Break facts of all trades of the observations. A configuration outside its effective interval evaluates nothing."""
+def reconcile(observations: DataFrame, config: Config | None = None, evaluated_at: Column | None = None, outside: str = "raise") -> DataFrame:
+    """Break facts of all trades of the observations."""
     config = config or Config()
     if problems := config.problems():
         raise ValueError(f"configuration: {', '.join(problems)}")
-    return facts(trade_rows(enriched(observations, config), config), config, evaluated_at)
+    return facts(trade_rows(observations, config), config, evaluated_at, outside)
 
 
 def breaks(fact_rows: DataFrame, run_id: str) -> DataFrame:
-    """One row a break: its comparisons in field order, identity, priority. Ids are hashes of the run, family and comparisons, so reruns agree."""
-    line = F.struct("field_path", "value_type", "expected_value", "observed_value", "expected_observation_id", "observed_observation_id")
+    """One row a break: its comparisons in field order, identity, priority. Ids are hashes of the canonical JSON of run, family, sources and comparisons, so reruns agree."""
+    side = lambda name: (F.col(f"{name}.observation_id").alias(f"{name}_observation_id"), F.col(f"{name}.source_version").alias(f"{name}_source_version"))
+    line = F.struct("field_path", "value_type", "expected_value", "observed_value", *side("expected"), *side("observed"))
     grouped = fact_rows.groupBy(*TRADE, "trade_id", "product_type", "family", "group_key", "condition_code").agg(
-        F.sort_array(F.collect_list(line)).alias("comparisons"), F.first("severity").alias("severity"), F.first("deadline_status").alias("deadline_status"), F.first("watermark").alias("detected_at")
-    )
-    text = F.array_join(F.transform("comparisons", lambda c: F.concat_ws("|", c["field_path"], c["expected_value"], c["observed_value"], F.coalesce(c["expected_observation_id"], F.lit("")), c["observed_observation_id"])), ";")
-    identity = F.sha2(F.concat_ws("|", F.lit(run_id), "family", "trade_id", "group_key", text), 256)
+        F.sort_array(F.collect_list(line)).alias("comparisons"), F.first("severity").alias("severity"), F.first("deadline_status").alias("deadline_status"),
+        F.first("evaluated_at").alias("detected_at"), F.first("source_ids").alias("source_ids"),
+    )
+    in_order = lambda x: F.struct(*[x[f].alias(f) for f in sorted(COMPARISON)])
+    document = F.struct(F.transform("comparisons", in_order).alias("comparisons"), "family", F.lit(run_id).alias("run_id"), "source_ids")
+    identity = F.sha2(canonical_json(document, keep_nulls=True), 256)
     order = F.struct(
         F.lit(2).alias("materiality"), lookup(F.col("severity"), SEVERITY_RANK).alias("severity"), lookup(F.col("deadline_status"), DEADLINE_RANK).alias("deadline"), F.lit(0).alias("age")
     )
@@ -241,27 +296,26 @@ def breaks(fact_rows: DataFrame, run_id: str) -> DataFrame:
     )
 
 
-EVIDENCE_ROLES = {
-    "MISSING_REQUIRED_SOURCE": ("INGESTION_WATERMARK", "EXPECTED_SOURCE"),
-    "AMBIGUOUS_OR_UNMATCHED_LINKAGE": ("CANDIDATE_LINK", "LINKAGE_DECISION"),
-    "DUPLICATE_SOURCE_CONFLICT": ("SOURCE_PAYLOAD_PAIR", "SOURCE_METADATA"),
-    "CURRENCY_PAIR_OR_SIDE_MISMATCH": ("FIELD_COMPARISON", "NORMALISATION_RULE"),
-    "ECONOMIC_VALUE_MISMATCH": ("DECIMAL_COMPARISON", "NORMALISATION_RULE"),
-    "TRADE_OR_VALUE_DATE_MISMATCH": ("DATE_COMPARISON", "NORMALISATION_RULE"),
-    "LIFECYCLE_STATUS_MISMATCH": ("LIFECYCLE_RELATION", "NORMALISATION_RULE"),
-    "POST_ACTION_VERIFICATION_FAILURE": ("ACTION_INSTRUCTION", "PRE_ACTION_READ", "POST_ACTION_READ", "CHANGED_FIELD_DIFF"),
-}
-
-
-def evidence(fact_rows: DataFrame) -> DataFrame:
-    """Evidence records: for each fact one record per role, bound to its source observation by a hashed id."""
-    roles = lookup_array(F.col("family"), EVIDENCE_ROLES)
-    rows = fact_rows.select("*", F.posexplode(roles).alias("place", "role"))
-    source = F.when((F.col("place") == 0) & F.col("expected_observation_id").isNotNull(), F.col("expected_observation_id")).otherwise(F.col("observed_observation_id"))
-    text = F.concat_ws("|", "role", "field_path", source, "trade_id", "group_key", "expected_value", "observed_value")
+COMPARISON = (
+    "field_path", "value_type", "expected_value", "observed_value", "expected_observation_id", "expected_source_version", "observed_observation_id", "observed_source_version",
+)
+
+
+def evidence(fact_rows: DataFrame, run_id: str, config: Config | None = None) -> DataFrame:
+    """Evidence records: for each fact one record per role, bound to its source observation; the id is of the hash of a document that names run, configuration and source."""
+    config = config or Config()
+    rows = fact_rows.select("*", F.posexplode(lookup_array(F.col("family"), EVIDENCE_ROLES)).alias("place", "role"))
+    source = F.when((F.col("place") == 0) & F.col("expected").isNotNull(), F.col("expected")).otherwise(F.col("observed"))
+    rows = rows.withColumn("source", source)
+    document = F.struct(
+        offset_time(F.col("evaluated_at")).alias("captured_at"), F.lit(config.content_hash()).alias("config_hash"), "field_path", "role", F.lit(run_id).alias("run_id"),
+        F.concat_ws(":", "group_key", "place", "expected_value", "observed_value").alias("salt"), F.col("source.content_hash").alias("source_content_hash"),
+        F.col("source.observation_id").alias("source_observation_id"), F.col("source.source_version").alias("source_version"),
+    )
+    digest = F.sha2(canonical_json(document, keep_nulls=True), 256)
     return rows.select(
-        *TRADE, "trade_id", "family", "group_key", "field_path", "role", source.alias("source_observation_id"),
-        F.concat(F.lit("evidence_"), F.lower("role"), F.lit("_"), F.substring(F.sha2(text, 256), 1, 24)).alias("evidence_id"),
+        *TRADE, "trade_id", "family", "group_key", "field_path", "role", F.col("source.observation_id").alias("source_observation_id"),
+        F.concat(F.lit("evidence_"), F.lower("role"), F.lit("_"), F.substring(digest, 1, 24)).alias("evidence_id"), F.concat(F.lit("sha256:"), digest).alias("content_hash"),
     )
 
 
@@ -273,12 +327,34 @@ def lookup_array(key: Column, table: dict[str, tuple[str, ...]]) -> Column:
     return out
 
 
+def source_set() -> Column:
+    """The locked source set of a trade row in its own order: kind, system, business key, version as a number, id, hash."""
+    order = lambda x: F.struct(
+        x["kind"].alias("kind"), x["source_system"].alias("source_system"), x["source_business_key"].alias("source_business_key"), version_number(x["source_version"]).alias("version"),
+        x["observation_id"].alias("observation_id"), x["content_hash"].alias("content_hash"), x["source_version"].alias("source_version"),
+    )
+    return F.sort_array(F.transform("obs", order))
+
+
 def canonical_states(rows: DataFrame) -> DataFrame:
-    """Canonical state of each trade: 13 fields, each from its field's winner; the hash covers the fields and the trade."""
+    """Canonical state of each trade: 13 fields, each from its field's winner. The hash is of the canonical JSON of the fields, nulls kept, and of the source set."""
     fields = [F.col(f"by_execution.{f}").alias(f) for f in EXECUTION_FIELDS] + [F.col(f"by_confirmation.{f}").alias(f) for f in CONFIRMATION_FIELDS]
-    state = rows.select(*TRADE, "trade_id", F.col("watermark").alias("source_watermark"), F.lit("1").alias("canonical_state_version"), *fields)
-    text = F.concat_ws("|", "trade_id", *[F.col(f).cast("string") for f in (*EXECUTION_FIELDS, *CONFIRMATION_FIELDS)])
-    return state.withColumn("state_hash", sha256(text))
+    state = rows.select(*TRADE, "trade_id", F.col("watermark").alias("source_watermark"), F.lit("1").alias("canonical_state_version"), *fields, source_set().alias("source_version_set"))
+    item = lambda x: F.struct(*[x[f].alias(f) for f in ("content_hash", "kind", "observation_id", "source_business_key", "source_system", "source_version")])
+    texts = F.struct(*[F.col(f).cast("string").alias(f) for f in sorted((*EXECUTION_FIELDS, *CONFIRMATION_FIELDS))])
+    document = F.struct(F.transform("source_version_set", item).alias("source_version_set"), texts.alias("state"))
+    return state.withColumn("state_hash", sha256(canonical_json(document, keep_nulls=True)))
+
+
+def versioned(states: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """The states to append: those whose content is not the stored latest, with the next version of their trade. stored: all versions kept so far."""
+    if stored is None:
+        return states
+    keys = ["tenant_id", "portfolio_id", "trade_id"]
+    number = version_number(F.col("canonical_state_version"))
+    last = stored.groupBy(*keys).agg(F.max(number).alias("_last"), F.max_by("state_hash", number).alias("_hash"))
+    joined = states.drop("canonical_state_version").join(last, keys, "left").where("_hash is null or _hash <> state_hash")
+    return joined.withColumn("canonical_state_version", (F.coalesce("_last", F.lit(0)) + 1).cast("decimal(19,0)").cast("string")).select(*states.columns)
 
 
 def provenance(rows: DataFrame) -> DataFrame:
@@ -286,16 +362,30 @@ def provenance(rows: DataFrame) -> DataFrame:
     def entry(name: str, side: str, trusted: tuple[str, ...]) -> Column:
         w = F.col(side)
         status = F.when(w["source_system"].isin(*trusted), "SELECTED").otherwise("SECONDARY_SUPPORTING")
-        return F.struct(F.lit(f"/payload/{name}").alias("field_path"), w["observation_id"].alias("observation_id"), w["source_system"].alias("source_system"), w["source_version"].alias("source_version"), status.alias("conflict_status"))
+        where = [w[f].alias(f) for f in ("observation_id", "kind", "source_system", "source_version", "ingest_time")]
+        return F.struct(F.lit(f"/payload/{name}").alias("field_path"), *where, status.alias("conflict_status"))
 
     entries = [entry(f, "by_execution", EXECUTION_TRUSTED) for f in EXECUTION_FIELDS] + [entry(f, "by_confirmation", CONFIRMATION_TRUSTED) for f in CONFIRMATION_FIELDS]
     return rows.select(*TRADE, "trade_id", F.explode(F.array(*entries)).alias("p")).select(*TRADE, "trade_id", "p.*")
 
 
-def source_version_sets(observations: DataFrame) -> DataFrame:
-    """The locked source set of each trade in its own order: kind, system, business key, version as a number, id, hash."""
-    ref = F.struct("kind", "source_system", "source_business_key", version_number().alias("version"), "observation_id", "content_hash")
-    return observations.groupBy(*TRADE).agg(F.sort_array(F.collect_list(ref)).alias("source_version_set"))
+def run_envelopes(rows: DataFrame, run_id: str, config: Config | None = None, evaluated_at: Column | None = None) -> DataFrame:
+    """One row a trade of a run: result, its breaks in order of family and id, number of facts, and a hash of the envelope itself."""
+    config = config or Config()
+    found = breaks(facts(rows, config, evaluated_at), run_id)
+    item = F.struct("family", "break_id", F.size("comparisons").alias("n"))
+    per = found.groupBy(*TRADE).agg(F.sort_array(F.collect_list(item)).alias("_found"))
+    joined = rows.select(*TRADE, "trade_id", "watermark", F.col("watermark").alias("_at") if evaluated_at is None else evaluated_at.alias("_at")).join(per, list(TRADE), "left")
+    broken = F.coalesce("_found", F.array().cast("array<struct<family:string,break_id:string,n:int>>"))
+    envelope = joined.select(
+        *TRADE, "trade_id", F.lit(run_id).alias("run_id"), F.lit(1).alias("run_version"), F.col("watermark").alias("source_watermark"), F.col("_at").alias("evaluated_at"),
+        F.lit(config.config_id).alias("config_id"), F.lit(config.version).alias("config_version"), F.lit(config.content_hash()).alias("config_hash"),
+        F.when(F.size(broken) > 0, "BREAKS_DETECTED").otherwise("PASS").alias("result"), F.transform(broken, lambda x: x["break_id"]).alias("break_ids"),
+        F.aggregate(broken, F.lit(0), lambda n, x: n + x["n"]).alias("n_facts"),
+    )
+    times = {c: offset_time(F.col(c)) for c in ("evaluated_at", "source_watermark")}
+    document = F.struct(*[times.get(c, F.col(c)).alias(c) for c in sorted(envelope.columns)])
+    return envelope.withColumn("content_hash", sha256(canonical_json(document, keep_nulls=True)))
 
 
 def post_action_facts(pairs: DataFrame) -> DataFrame:

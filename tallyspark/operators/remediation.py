@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lookup, sha256
+from .lineage import checkpointed
 
 # Fixed values of the policy.
 CONFIDENCE_THRESHOLD = 0.7
@@ -177,17 +177,19 @@ def frozen_evidence(views: DataFrame, stored: DataFrame | None = None) -> DataFr
     return made if stored is None else made.join(stored.select("case_id"), "case_id", "left_anti")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most_steps: int = 100) -> DataFrame:
-    """(start, node) of the transitive closure over edges(source, target), by a recursive query; no path is followed beyond most_steps edges."""
-    spark = edges.sparkSession
-    names = [f"_{x}_{uuid.uuid4().hex}" for x in ("edges", "starts")]
-    edges.select("source", "target").createOrReplaceTempView(names[0])
-    starts.select("node").createOrReplaceTempView(names[1])
-    return spark.sql(
-        f"""WITH RECURSIVE walk(start, node, step) MAX RECURSION LEVEL {most_steps} AS (
-          SELECT node, node, 0 FROM {names[1]} UNION ALL SELECT w.start, e.target, w.step + 1 FROM walk w JOIN {names[0]} e ON w.node = e.source WHERE w.step < {most_steps - 1})
-        SELECT DISTINCT start, node FROM walk"""
-    )
+def reachable(edges: DataFrame, starts: DataFrame, most_steps: int = 1000) -> DataFrame:
+    """(start, node) of the transitive closure over edges(source, target). Only pairs that are new go on, so
+    diamonds and cycles add nothing. Raises where ``most_steps`` do not reach the end, rather than returning what is there. Each step is checkpointed."""
+    edges = checkpointed(edges.select("source", "target").distinct())
+    found = checkpointed(starts.select(F.col("node").alias("start"), "node").distinct())
+    new = found
+    for _ in range(most_steps):
+        onward = new.join(edges, new["node"] == edges["source"]).select("start", F.col("target").alias("node")).distinct()
+        new = checkpointed(onward.join(found, ["start", "node"], "left_anti"))
+        if not new.limit(1).count():
+            return found
+        found = checkpointed(found.unionByName(new))
+    raise RuntimeError(f"the closure was not complete after {most_steps} steps")
 
 
 def identity_outcome() -> Column:

@@ -74,33 +74,65 @@ class Store:
         rows.write.mode("append").partitionBy(*by).parquet(self.path(name))
 
     def ingest(self, batch: DataFrame, on_conflict: str = "quarantine") -> DataFrame:
-        """Classify a batch, append what is new, quarantine what conflicts; returns the outcome counters."""
-        from .ingest import classified, counters, new_conflicts, split
+        """Classify a batch, append what is new, quarantine what conflicts; returns the outcome counters. Of the inbox only the scopes and identities of the batch are read."""
+        from .ingest import IDENTITY, classified, counters, new_conflicts, split
 
-        inbox = self.read("source_event_inbox") if self.exists("source_event_inbox") else None
+        batch = batch.persist()
+        inbox = self._touched("source_event_inbox", batch, IDENTITY)
         outcomes = classified(batch, inbox).persist()
         try:
             new, conflicts = split(outcomes, on_conflict)
             counted = self.spark.createDataFrame(counters(outcomes).collect(), "outcome string, n long")
-            self.append("source_event_inbox", new)
-            if self.exists("source_event_conflicts"):
-                conflicts = new_conflicts(conflicts, self.read("source_event_conflicts"))
-            self.append("source_event_conflicts", conflicts)
+            self._add("source_event_inbox", new)
+            former = self._touched("source_event_conflicts", conflicts, TABLES["source_event_conflicts"])
+            self._add("source_event_conflicts", new_conflicts(conflicts, former) if former is not None else conflicts.dropDuplicates(["observation_id"]))
         finally:
             outcomes.unpersist()
+            batch.unpersist()
         return counted
 
-    def run(self, run_id: str, config=None, completed_at=None) -> DataFrame:
-        """Reconcile all that is stored and persist states, breaks and, last, the run rows; returns the run rows."""
+    def _touched(self, name: str, batch: DataFrame, key: tuple[str, ...], broadcast_rows: int = 100_000) -> DataFrame | None:
+        """Rows of a table whose key is in the batch; None where nothing was appended yet. The scopes of the batch prune the table's folders."""
+        if not self.exists(name):
+            return None
+        scopes = [r.asDict() for r in batch.select(*SCOPE).distinct().collect()]
+        mine = F.lit(False)
+        for scope in scopes:
+            mine = mine | (F.col("tenant_id") == scope["tenant_id"]) & (F.col("portfolio_id") == scope["portfolio_id"])
+        keys = batch.select(*key).distinct()
+        if keys.count() <= broadcast_rows:
+            keys = F.broadcast(keys)
+        return self.read(name).where(mine).join(keys, list(key), "left_semi")
+
+    def _add(self, name: str, rows: DataFrame) -> None:
+        """Append rows that are known to be new."""
+        rows.write.mode("append").partitionBy(*[c for c in SCOPE if c in rows.columns]).parquet(self.path(name))
+
+    def observations(self) -> DataFrame:
+        """All that the sources sent and nothing supersedes: the inbox, then the quarantine."""
         from . import reconcile as R
-        from .reporting import run_ledger
 
         inbox = self.read("source_event_inbox")
         conflicts = self.read("source_event_conflicts") if self.exists("source_event_conflicts") else inbox.limit(0)
-        rows = R.trade_rows(R.enriched(R.without_superseded(R.unite(inbox, conflicts.select(*[c for c in inbox.columns]))), config), config).persist()
+        return R.without_superseded(R.unite(inbox, conflicts.select(*inbox.columns)))
+
+    def append_states(self, states: DataFrame) -> None:
+        """Append the states that differ from the stored latest of their trade, each as its next version."""
+        from .reconcile import versioned
+
+        self.append("canonical_states", versioned(states, self.read("canonical_states") if self.exists("canonical_states") else None))
+
+    def run(self, run_id: str, config=None, completed_at=None) -> DataFrame:
+        """Reconcile all that is stored and persist states, breaks and, last, the run rows; returns the run rows. A run id that is taken raises before anything is written."""
+        from . import reconcile as R
+        from .reporting import run_ledger
+
+        if self.exists("reconciliation_runs") and self.read("reconciliation_runs").where(F.col("run_id") == run_id).limit(1).count():
+            raise UniquenessError(f"run {run_id} is there already")
+        rows = R.trade_rows(self.observations(), config).persist()
         try:
             broken = R.breaks(R.facts(rows, config), run_id)
-            self.append("canonical_states", R.canonical_states(rows))
+            self.append_states(R.canonical_states(rows))
             self.append("trade_breaks", broken)
             ledger = run_ledger(rows, broken, run_id, completed_at)
             self.append("reconciliation_runs", ledger, strict=True)

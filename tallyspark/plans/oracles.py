@@ -9,10 +9,10 @@ base AS (
 ), tr AS (
   SELECT k, pk, spot, td, amount, ['portfolio_london', 'portfolio_sydney'][(half + k // 144) % 2 + 1] AS portfolio_id,
     CASE WHEN spot THEN ((10800 + k % 100)::decimal(12,0) * 0.0001::decimal(5,4))::decimal(12,4) ELSE ((153000 + k % 1000)::decimal(12,0) * 0.001::decimal(4,3))::decimal(12,4) END AS rate,
-    CASE WHEN (k // 4) % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, 'counterparty_' || (o_custkey % 50) AS cp, 'book_' || (k % 7) AS book,
+    CASE WHEN (k // 4) % 2 = 0 THEN 'BUY_BASE' ELSE 'SELL_BASE' END AS side, 'counterparty_' || (o_custkey % 50) AS cp, 'book_' || (k % 7) AS book,
     CASE WHEN slot >= 24 THEN (slot - 24) // 6 END AS fam, CASE WHEN slot >= 24 THEN (slot - 24) % 6 END AS var FROM base
 ), defect AS (
-  SELECT *, round(amount * rate, 2)::decimal(18,2) AS terms,
+  SELECT *, ((units // 10000 + CASE WHEN units % 10000 > 5000 OR units % 10000 = 5000 AND units // 10000 % 2 = 1 THEN 1 ELSE 0 END)::decimal(20,0) * 0.01::decimal(3,2))::decimal(18,2) AS terms,
     CASE WHEN fam = 0 THEN ['EXECUTION', 'EXECUTION', 'CONFIRMATION', 'CONFIRMATION', 'BOOKING', 'BOOKING'][var + 1]
       WHEN fam = 1 THEN ['EXECUTION', 'TRADE_CAPTURE', 'CONFIRMATION', 'EXECUTION', 'TRADE_CAPTURE', 'CONFIRMATION'][var + 1]
       WHEN fam = 2 THEN ['EXECUTION', 'TRADE_CAPTURE', 'CONFIRMATION', 'BOOKING', 'EXECUTION', 'BOOKING'][var + 1]
@@ -27,7 +27,7 @@ base AS (
       WHEN fam = 6 THEN CASE WHEN var < 3 THEN 'AMENDED' ELSE 'CANCELLED' END
       WHEN fam = 7 THEN CASE WHEN var % 2 = 0 THEN 'BOOK_ID' ELSE 'CANCELLED' END ELSE '' END AS effect,
     coalesce(fam = 0 AND var IN (1, 3, 5) OR fam = 2 AND var > 3 OR fam IN (5, 7) AND var = 5, false) AS late
-  FROM tr
+  FROM (SELECT *, (amount * 100)::bigint * (rate * 10000)::bigint AS units FROM tr)
 ), kinds(kind, system, seq, minutes, rnk, expected_status) AS (VALUES
   ('EXECUTION', 'FIX_EXECUTION', 1, 0, 1, 'NEW'), ('TRADE_CAPTURE', 'FIX_TRADE_CAPTURE', 2, 1, 2, 'CAPTURED'),
   ('CONFIRMATION', 'FPML_CONFIRMATION', 4, 3, 3, 'CONFIRMED'), ('BOOKING', 'MOCK_LEGACY_BOOKING', 3, 2, 4, 'BOOKED')
@@ -42,7 +42,7 @@ base AS (
     CASE WHEN spot THEN 'FX_SPOT' ELSE 'FX_FORWARD' END AS product_type,
     CASE WHEN hit AND effect = 'BASE_GBP' THEN 'GBP' WHEN spot THEN 'EUR' ELSE 'USD' END AS base_currency,
     CASE WHEN hit AND effect = 'TERMS_CHF' THEN 'CHF' WHEN spot THEN 'USD' ELSE 'JPY' END AS terms_currency,
-    CASE WHEN hit AND effect = 'SIDE' THEN CASE side WHEN 'BUY' THEN 'SELL' ELSE 'BUY' END ELSE side END AS side,
+    CASE WHEN hit AND effect = 'SIDE' THEN CASE side WHEN 'BUY_BASE' THEN 'SELL_BASE' ELSE 'BUY_BASE' END ELSE side END AS side,
     (amount + CASE WHEN hit AND effect = 'BASE_AMOUNT' THEN 1000 ELSE 0 END)::decimal(18,2) AS base_amount,
     (terms + CASE WHEN hit AND effect = 'TERMS_AMOUNT' THEN 1 ELSE 0 END)::decimal(18,2) AS terms_amount,
     (rate + CASE WHEN hit AND effect = 'RATE' THEN 0.01::decimal(3,2) ELSE 0::decimal(3,2) END)::decimal(12,4) AS quoted_rate,
@@ -63,25 +63,30 @@ base AS (
   WINDOW same AS (PARTITION BY tenant_id, portfolio_id, source_system, kind, source_business_key, source_version ORDER BY arrival, observation_id)
 ), decided AS MATERIALIZED (
   SELECT *, CASE WHEN nth = 1 THEN 'INSERTED' WHEN content_hash = first_hash THEN 'IDEMPOTENT_REPLAY' ELSE 'DUPLICATE_SOURCE_CONFLICT' END AS outcome FROM outcomes
-), seen AS MATERIALIZED (
+), met AS MATERIALIZED (
   SELECT *, (outcome <> 'INSERTED')::int AS src_ord,
-    row_number() OVER (PARTITION BY lineage_id ORDER BY rnk, source_sequence, observation_id, source_version, content_hash) AS ordinal,
-    row_number() OVER (PARTITION BY lineage_id ORDER BY list_position(['FIX_EXECUTION', 'FIX_TRADE_CAPTURE', 'FPML_CONFIRMATION', 'MOCK_LEGACY_BOOKING'], source_system),
-      source_version::bigint DESC, observation_id, content_hash) AS exec_place,
-    row_number() OVER (PARTITION BY lineage_id ORDER BY list_position(['FPML_CONFIRMATION', 'MOCK_LEGACY_BOOKING', 'FIX_TRADE_CAPTURE', 'FIX_EXECUTION'], source_system),
-      source_version::bigint DESC, observation_id, content_hash) AS conf_place
+    row_number() OVER (PARTITION BY lineage_id ORDER BY rnk, source_sequence, observation_id, source_version, content_hash) AS ordinal
   FROM decided WHERE outcome <> 'IDEMPOTENT_REPLAY'
 ), keyed AS (
-  SELECT lineage_id, source_business_key, count(*) AS n, min(src_ord * 1000000 + source_sequence) AS first_seen, min(observation_id) AS first_id FROM seen GROUP BY 1, 2
+  SELECT lineage_id, source_business_key, count(*) AS n, min(src_ord * 1000000 + source_sequence) AS first_seen, min(observation_id) AS first_id FROM met GROUP BY 1, 2
 ), modes AS MATERIALIZED (
   SELECT lineage_id, source_business_key AS trade_id FROM (SELECT *, row_number() OVER (PARTITION BY lineage_id ORDER BY n DESC, first_seen, first_id) AS r FROM keyed) WHERE r = 1
+), seen AS MATERIALIZED (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lineage_id ORDER BY s.source_business_key <> m.trade_id AND s.source_trade_id <> m.trade_id,
+      list_position(['FIX_EXECUTION', 'FIX_TRADE_CAPTURE', 'FPML_CONFIRMATION', 'MOCK_LEGACY_BOOKING'], source_system), source_version::bigint DESC, observation_id, content_hash) AS exec_place,
+    row_number() OVER (PARTITION BY s.lineage_id ORDER BY s.source_business_key <> m.trade_id AND s.source_trade_id <> m.trade_id,
+      list_position(['FPML_CONFIRMATION', 'MOCK_LEGACY_BOOKING', 'FIX_TRADE_CAPTURE', 'FIX_EXECUTION'], source_system), source_version::bigint DESC, observation_id, content_hash) AS conf_place
+  FROM met s JOIN modes m USING (lineage_id)
 ), trade AS MATERIALIZED (
-  SELECT s.lineage_id, s.portfolio_id, m.trade_id, count(*) AS n_obs, max(ingest_epoch) AS watermark, count(DISTINCT source_trade_id) AS n_payload,
-    bool_or(source_business_key <> m.trade_id) AS foreign_key, list(DISTINCT kind) AS kind_list, list(DISTINCT source_trade_id ORDER BY source_trade_id) AS payload_list
-  FROM seen s JOIN modes m USING (lineage_id) GROUP BY 1, 2, 3
+  SELECT s.lineage_id, s.tenant_id, s.portfolio_id, m.trade_id, count(*) AS n_obs, max(ingest_epoch) AS watermark, count(DISTINCT source_trade_id) AS n_payload,
+    bool_or(source_business_key <> m.trade_id) AS foreign_key, list(DISTINCT kind) AS kind_list, list(DISTINCT source_trade_id ORDER BY source_trade_id) AS payload_list, list(observation_id ORDER BY ordinal) AS ids
+  FROM seen s JOIN modes m USING (lineage_id) GROUP BY 1, 2, 3, 4
 ), first_obs AS MATERIALIZED (SELECT lineage_id, observation_id AS first_id FROM seen WHERE ordinal = 1
 ), win AS MATERIALIZED (SELECT * FROM seen WHERE exec_place = 1
 ), winc AS MATERIALIZED (SELECT * FROM seen WHERE conf_place = 1
+), source_sets AS (
+  SELECT lineage_id, list({content_hash: content_hash, kind: kind, observation_id: observation_id, source_business_key: source_business_key, source_system: source_system,
+    source_version: source_version} ORDER BY kind, source_system, source_business_key, source_version::bigint, observation_id, content_hash) AS items FROM seen GROUP BY 1
 ), decisions AS (
   SELECT *, CASE WHEN n_obs > 4 AND n_payload > 1 THEN 'AMBIGUOUS' WHEN foreign_key THEN 'UNMATCHED' ELSE 'ACCEPTED' END AS decision,
     CASE WHEN n_obs > 4 AND n_payload > 1 THEN n_payload WHEN foreign_key THEN 0 ELSE 1 END AS n_candidates FROM trade
@@ -126,21 +131,38 @@ base AS (
   UNION ALL SELECT d.lineage_id, 'DUPLICATE_SOURCE_CONFLICT', d.kind || '/' || d.source_business_key || '/' || d.source_version, '/source/content_hash', 'CONTENT_HASH', a.content_hash, b.content_hash,
     a.observation_id, b.observation_id, 'HIGH', 'NO_CONFIGURED_DEADLINE' FROM dup d JOIN seen a ON a.lineage_id = d.lineage_id AND a.ordinal = d.o1 JOIN seen b ON b.lineage_id = d.lineage_id AND b.ordinal = d.o2
 ), all_facts AS MATERIALIZED (
-  SELECT t.portfolio_id, t.trade_id, w.product_type, f.*, t.watermark,
+  SELECT t.tenant_id, t.portfolio_id, t.trade_id, w.product_type, f.*, t.watermark, e.source_version AS expected_source_version, e.content_hash AS expected_hash,
+    o.source_version AS observed_source_version, o.content_hash AS observed_hash,
     CASE f.family WHEN 'MISSING_REQUIRED_SOURCE' THEN 'MISSING_SOURCE_AFTER_WATERMARK' WHEN 'AMBIGUOUS_OR_UNMATCHED_LINKAGE' THEN 'LINKAGE_CANDIDATE_SCOPE_INVARIANT'
       WHEN 'DUPLICATE_SOURCE_CONFLICT' THEN 'DUPLICATE_SOURCE_IDENTITY_CONTENT' WHEN 'CURRENCY_PAIR_OR_SIDE_MISMATCH' THEN 'EXACT_CURRENCY_PAIR_SIDE'
-      WHEN 'ECONOMIC_VALUE_MISMATCH' THEN 'DECIMAL_OUTSIDE_TOLERANCE' WHEN 'TRADE_OR_VALUE_DATE_MISMATCH' THEN 'EXACT_TRADE_VALUE_DATE' ELSE 'ALLOWED_LIFECYCLE_RELATION' END AS condition_code
-  FROM facts f JOIN trade t USING (lineage_id) JOIN win w USING (lineage_id)
+      WHEN 'ECONOMIC_VALUE_MISMATCH' THEN 'DECIMAL_OUTSIDE_TOLERANCE' WHEN 'TRADE_OR_VALUE_DATE_MISMATCH' THEN 'EXACT_TRADE_VALUE_DATE' ELSE 'ALLOWED_LIFECYCLE_RELATION' END AS condition_code,
+    CASE WHEN f.family = 'DUPLICATE_SOURCE_CONFLICT' THEN [f.expected_observation_id, f.observed_observation_id] ELSE t.ids END AS source_ids
+  FROM facts f JOIN trade t USING (lineage_id) JOIN win w USING (lineage_id) LEFT JOIN seen e ON e.lineage_id = f.lineage_id AND e.observation_id = f.expected_observation_id
+    JOIN seen o ON o.lineage_id = f.lineage_id AND o.observation_id = f.observed_observation_id
 ), grouped AS MATERIALIZED (
-  SELECT portfolio_id, lineage_id, trade_id, product_type, family, group_key, condition_code, any_value(severity) AS severity, any_value(deadline_status) AS deadline_status, any_value(watermark) AS watermark,
-    count(*) AS n_comparisons, string_agg(concat_ws('|', field_path, expected_value, observed_value, coalesce(expected_observation_id, ''), observed_observation_id), ';' ORDER BY field_path) AS comparisons
-  FROM all_facts GROUP BY 1, 2, 3, 4, 5, 6, 7
+  SELECT tenant_id, portfolio_id, lineage_id, trade_id, product_type, family, group_key, condition_code, any_value(severity) AS severity, any_value(deadline_status) AS deadline_status,
+    any_value(watermark) AS watermark, any_value(source_ids) AS source_ids, count(*) AS n_comparisons, list({expected_observation_id: expected_observation_id,
+      expected_source_version: expected_source_version, expected_value: expected_value, field_path: field_path, observed_observation_id: observed_observation_id,
+      observed_source_version: observed_source_version, observed_value: observed_value, value_type: value_type} ORDER BY field_path) AS comparisons
+  FROM all_facts GROUP BY 1, 2, 3, 4, 5, 6, 7, 8
 ), broken AS (
-  SELECT *, 'break_' || lower(family) || '_' || left(sha256(concat_ws('|', 'run_demo', family, trade_id, group_key, comparisons)), 40) AS break_id FROM grouped
+  SELECT *, 'break_' || lower(family) || '_' || left(sha256('{"comparisons":' || to_json(comparisons)::varchar || ',"family":"' || family || '","run_id":"run_demo","source_ids":'
+    || to_json(source_ids)::varchar || '}'), 40) AS break_id FROM grouped
 )
 """
 
 
+#: The fixture configuration as canonical JSON.
+CONFIG_TEXT = (
+    '{"config_id":"config_fixture","effective_from":"1970-01-01 00:00:00","effective_to":null,"owner_reference":null,"status":"FIXTURE_ONLY",'
+    '"statuses":{"BOOKING":"BOOKED","CONFIRMATION":"CONFIRMED","EXECUTION":"NEW","TRADE_CAPTURE":"CAPTURED"},'
+    '"tolerances":[["FX_FORWARD","base_amount","ABSOLUTE_DECIMAL","0.01"],["FX_FORWARD","quoted_rate","ABSOLUTE_DECIMAL","0.0001"],'
+    '["FX_FORWARD","terms_amount","ABSOLUTE_DECIMAL","0.01"],["FX_SPOT","base_amount","ABSOLUTE_DECIMAL","0.01"],["FX_SPOT","quoted_rate","ABSOLUTE_DECIMAL","0.0001"],'
+    '["FX_SPOT","terms_amount","ABSOLUTE_DECIMAL","0.01"]],"version":"1.0.0",'
+    '"windows":[["FX_FORWARD","BOOKING",0],["FX_FORWARD","CONFIRMATION",0],["FX_FORWARD","EXECUTION",0],["FX_SPOT","BOOKING",0],["FX_SPOT","CONFIRMATION",0],["FX_SPOT","EXECUTION",0]]}'
+)
+
+
 def over(tail: str) -> str:
     return f"WITH {OBS} {tail}"
 
@@ -172,9 +194,10 @@ ORACLES: dict[str, str] = {
     "canonical_state": over(
         """SELECT t.portfolio_id, t.trade_id, t.watermark::bigint AS source_watermark, w.product_type, w.quoted_rate::varchar AS quoted_rate, '1.0.0' AS settlement_rule_version, w.base_currency, w.terms_currency,
         w.side, w.base_amount::varchar AS base_amount, w.terms_amount::varchar AS terms_amount, w.trade_date::varchar AS trade_date, w.value_date::varchar AS value_date, w.counterparty_id, w.book_id, c.lifecycle_status,
-        'sha256:' || sha256(concat_ws('|', t.trade_id, w.product_type, w.quoted_rate::varchar, '1.0.0', w.base_currency, w.terms_currency, w.side, w.base_amount::varchar, w.terms_amount::varchar,
-          w.trade_date::varchar, w.value_date::varchar, w.counterparty_id, w.book_id, c.lifecycle_status)) AS state_hash
-        FROM trade t JOIN win w USING (lineage_id) JOIN winc c USING (lineage_id)"""
+        'sha256:' || sha256('{"source_version_set":' || to_json(x.items)::varchar || ',"state":' || to_json({base_amount: w.base_amount::varchar, base_currency: w.base_currency, book_id: w.book_id,
+          counterparty_id: w.counterparty_id, lifecycle_status: c.lifecycle_status, product_type: w.product_type, quoted_rate: w.quoted_rate::varchar, settlement_rule_version: '1.0.0', side: w.side,
+          terms_amount: w.terms_amount::varchar, terms_currency: w.terms_currency, trade_date: w.trade_date::varchar, value_date: w.value_date::varchar})::varchar || '}') AS state_hash
+        FROM trade t JOIN win w USING (lineage_id) JOIN winc c USING (lineage_id) JOIN source_sets x USING (lineage_id)"""
     ),
     "field_provenance_long": over(
         """, fields(name, by_conf) AS (VALUES ('product_type', false), ('quoted_rate', false), ('settlement_rule_version', false), ('base_currency', false), ('terms_currency', false), ('side', false),
@@ -195,13 +218,27 @@ ORACLES: dict[str, str] = {
         """SELECT trade_id, decision, CASE decision WHEN 'AMBIGUOUS' THEN 'MULTIPLE_ELIGIBLE_CANDIDATES' WHEN 'UNMATCHED' THEN 'NO_ELIGIBLE_CANDIDATE' ELSE 'EXACT_DETERMINISTIC_KEY' END AS reason_code,
         n_candidates::int AS n_candidates, CASE WHEN decision = 'ACCEPTED' THEN trade_id END AS chosen_trade_id FROM decisions"""
     ),
+    "canonical_version_after_correction": over(
+        """, wrong AS (SELECT lineage_id FROM seen WHERE kind = 'BOOKING' AND target = 'BOOKING' AND effect = 'BASE_AMOUNT')
+        SELECT t.trade_id, v.n::varchar AS canonical_state_version FROM trade t, (VALUES (1), (2)) v(n) WHERE v.n = 1 OR t.lineage_id IN (SELECT lineage_id FROM wrong)"""
+    ),
+    "config_effective_interval": over(
+        """SELECT family, count(*) AS n FROM all_facts WHERE watermark >= epoch(timestamp '1995-01-01') AND watermark < epoch(timestamp '1997-01-01') GROUP BY 1"""
+    ),
+    "run_envelopes": over(
+        """, per AS (SELECT lineage_id, list(break_id ORDER BY family, break_id) AS found_ids, sum(n_comparisons)::int AS n FROM broken GROUP BY 1
+        ), named AS (SELECT t.*, coalesce(found_ids, []::varchar[]) AS break_ids, coalesce(n, 0)::int AS n_facts, CASE WHEN n > 0 THEN 'BREAKS_DETECTED' ELSE 'PASS' END AS result,
+          strftime(make_timestamp(watermark * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS at_time FROM trade t LEFT JOIN per USING (lineage_id))
+        SELECT trade_id, result, len(break_ids)::int AS n_breaks, n_facts, 'sha256:' || sha256(to_json({break_ids: break_ids, config_hash: 'sha256:' || sha256('{CONFIG_TEXT}'),
+          config_id: 'config_fixture', config_version: '1.0.0', evaluated_at: at_time, lineage_id: lineage_id, n_facts: n_facts, portfolio_id: portfolio_id, result: result, run_id: 'run_demo',
+          run_version: 1, source_watermark: at_time, tenant_id: tenant_id, trade_id: trade_id})::varchar) AS content_hash FROM named""".replace("{CONFIG_TEXT}", CONFIG_TEXT)
+    ),
     "ingest_outcomes": over("SELECT portfolio_id, outcome, count(*) AS n FROM decided GROUP BY 1, 2"),
     "ingest_quarantine": over("SELECT observation_id, content_hash, first_id AS first_observation_id, first_hash FROM decided WHERE outcome = 'DUPLICATE_SOURCE_CONFLICT'"),
     "content_hash_verify": over("SELECT kind, (k % 97 <> 5) AS hash_valid, count(*) AS n FROM obs GROUP BY 1, 2"),
     "supersession_filter": over(
         """, wrong AS (SELECT * FROM seen WHERE kind = 'BOOKING' AND target = 'BOOKING' AND effect = 'BASE_AMOUNT')
-        SELECT lineage_id, observation_id, base_amount::varchar AS base_amount, source_version FROM seen
-        WHERE lineage_id IN (SELECT lineage_id FROM wrong) AND observation_id NOT IN (SELECT observation_id FROM wrong)
+        SELECT lineage_id, observation_id, base_amount::varchar AS base_amount, source_version FROM seen WHERE observation_id NOT IN (SELECT observation_id FROM wrong)
         UNION ALL SELECT lineage_id, observation_id || '_v2', (base_amount - 1000)::decimal(18,2)::varchar, '2' FROM wrong"""
     ),
     "rerun_after_correction": over(
@@ -234,9 +271,13 @@ ORACLES: dict[str, str] = {
           ('DUPLICATE_SOURCE_CONFLICT', 'SOURCE_METADATA', 1), ('CURRENCY_PAIR_OR_SIDE_MISMATCH', 'FIELD_COMPARISON', 0), ('CURRENCY_PAIR_OR_SIDE_MISMATCH', 'NORMALISATION_RULE', 1),
           ('ECONOMIC_VALUE_MISMATCH', 'DECIMAL_COMPARISON', 0), ('ECONOMIC_VALUE_MISMATCH', 'NORMALISATION_RULE', 1), ('TRADE_OR_VALUE_DATE_MISMATCH', 'DATE_COMPARISON', 0),
           ('TRADE_OR_VALUE_DATE_MISMATCH', 'NORMALISATION_RULE', 1), ('LIFECYCLE_STATUS_MISMATCH', 'LIFECYCLE_RELATION', 0), ('LIFECYCLE_STATUS_MISMATCH', 'NORMALISATION_RULE', 1)
-        ), sourced AS (SELECT f.*, r.role, CASE WHEN r.place = 0 THEN coalesce(expected_observation_id, observed_observation_id) ELSE observed_observation_id END AS src FROM all_facts f JOIN roles r USING (family))
-        SELECT trade_id, family, field_path, role, src AS source_observation_id,
-          'evidence_' || lower(role) || '_' || left(sha256(concat_ws('|', role, field_path, src, trade_id, group_key, expected_value, observed_value)), 24) AS evidence_id FROM sourced"""
+        ), sourced AS (SELECT f.*, r.role, r.place, r.place = 0 AND expected_observation_id IS NOT NULL AS by_expected FROM all_facts f JOIN roles r USING (family)
+        ), named AS (SELECT *, CASE WHEN by_expected THEN expected_observation_id ELSE observed_observation_id END AS src FROM sourced
+        ), hashed AS (SELECT *, sha256(to_json({captured_at: strftime(make_timestamp(watermark * 1000000), '%Y-%m-%dT%H:%M:%S+00:00'), config_hash: 'sha256:' || sha256('{CONFIG_TEXT}'),
+          field_path: field_path, role: role, run_id: 'run_demo', salt: concat_ws(':', group_key, place, expected_value, observed_value),
+          source_content_hash: CASE WHEN by_expected THEN expected_hash ELSE observed_hash END, source_observation_id: src,
+          source_version: CASE WHEN by_expected THEN expected_source_version ELSE observed_source_version END})::varchar) AS digest FROM named)
+        SELECT trade_id, family, field_path, role, src AS source_observation_id, 'evidence_' || lower(role) || '_' || left(digest, 24) AS evidence_id, 'sha256:' || digest AS content_hash FROM hashed""".replace("{CONFIG_TEXT}", CONFIG_TEXT)
     ),
     "post_action_breaks": over(
         """, pairs AS (SELECT m.trade_id, s.observation_id, s.book_id, s.lifecycle_status, s.effect, s.k FROM seen s JOIN modes m USING (lineage_id) WHERE s.kind = 'BOOKING' AND s.src_ord = 0)
@@ -323,7 +364,7 @@ ORACLES: dict[str, str] = {
     ),
     "reachability": """
         WITH RECURSIVE edges AS (SELECT DISTINCT p_partkey AS source, p_partkey // 2 AS target FROM part WHERE p_partkey > 0), walk(start, node) AS (
-          SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 100 = 7 UNION SELECT w.start, e.target FROM walk w JOIN edges e ON w.node = e.source)
+          SELECT p_partkey, p_partkey FROM part UNION SELECT w.start, e.target FROM walk w JOIN edges e ON w.node = e.source)
         SELECT start, node FROM walk""",
     "orders_lineitem_missing": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "lineitem_duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import actions
 from ..functions import validation as V
-from ..functions.reference_data import STATES, TRANSITIONS, Config
+from ..functions.reference_data import STATES, TRANSITIONS
 from ..operators import ingest, remediation, reporting
 from ..operators import reconcile as R
 from ..sources import corpus
 from .oracles import ORACLES as _ORACLES
 
-RUN = "run_demo"
+RUN, CONFIG = "run_demo", corpus.CONFIG
 FACT_COLUMNS = (
     "portfolio_id", "trade_id", "product_type", "family", "group_key", "field_path", "value_type", "expected_value", "observed_value", "expected_observation_id", "observed_observation_id", "severity",
     "deadline_status", "condition_code",
@@ -40,16 +41,12 @@ def observed(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("src_ord", (F.col("outcome") != "INSERTED").cast("int")).drop("outcome", "first_observation_id", "first_hash")
 
 
-def enriched(spark: SparkSession, d: str) -> DataFrame:
-    return R.enriched(observed(spark, d))
-
-
 def trades(spark: SparkSession, d: str) -> DataFrame:
-    return R.trade_rows(enriched(spark, d))
+    return R.trade_rows(observed(spark, d), CONFIG)
 
 
 def all_facts(spark: SparkSession, d: str) -> DataFrame:
-    return R.reconcile(observed(spark, d))
+    return R.reconcile(observed(spark, d), CONFIG)
 
 
 def break_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -62,8 +59,8 @@ def of_family(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def missing_source_after_window(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 60 s, evaluated 59, 60 and 61 s after the watermark."""
-    config = Config(windows=dict.fromkeys(Config().windows, 60))
-    rows = R.trade_rows(R.enriched(observed(spark, d), config), config)
+    config = replace(CONFIG, windows=dict.fromkeys(CONFIG.windows, 60))
+    rows = R.trade_rows(observed(spark, d), config)
     rows = rows.withColumn("offset_s", F.explode(F.array(F.lit(59), F.lit(60), F.lit(61))))
     at = F.col("watermark") + F.make_dt_interval(secs=F.col("offset_s"))
     found = R.facts(rows.withColumn("lineage_id", F.concat_ws("@", "lineage_id", "offset_s")), config, at).where("family = 'MISSING_REQUIRED_SOURCE'")
@@ -79,8 +76,8 @@ def canonical_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_version_set(spark: SparkSession, d: str) -> DataFrame:
-    sets = R.source_version_sets(observed(spark, d))
-    return sets.select("lineage_id", F.size("source_version_set").cast("long").alias("n_sources"), F.array_join(F.transform("source_version_set", lambda x: x["observation_id"]), ",").alias("sources"))
+    sets = trades(spark, d).select("lineage_id", R.source_set().alias("sources"))
+    return sets.select("lineage_id", F.size("sources").cast("long").alias("n_sources"), F.array_join(F.transform("sources", lambda x: x["observation_id"]), ",").alias("sources"))
 
 
 def linkage_decision(spark: SparkSession, d: str) -> DataFrame:
@@ -95,34 +92,55 @@ def content_hash_verify(spark: SparkSession, d: str) -> DataFrame:
     return ingest.verified(rows, corpus.content_text()).groupBy("kind", "hash_valid").agg(F.count(F.lit(1)).alias("n"))
 
 
+def corrected_bookings(spark: SparkSession, d: str) -> DataFrame:
+    """Corrected re-deliveries of the bookings whose amount was 1,000 too high."""
+    wrong = corpus.truth(table(spark, d, "orders")).where("effect = 'BASE_AMOUNT' and target = 'BOOKING'")
+    affected = observed(spark, d).join(wrong.select("lineage_id"), "lineage_id", "left_semi")
+    return ingest.corrections(affected, "base_amount", F.col("base_amount") - 1000, F.col("ingest_time"))
+
+
 def with_corrections(spark: SparkSession, d: str) -> DataFrame:
-    """Observations of the trades whose booked amount was 1,000 too high, with the corrected re-deliveries."""
-    rows = observed(spark, d)
-    wrong = corpus.truth(table(spark, d, "orders")).where("effect = 'BASE_AMOUNT'")
-    affected = rows.join(wrong.select("lineage_id", "target"), "lineage_id")
-    fixed = ingest.corrections(affected.where("target = 'BOOKING'").drop("target"), "base_amount", F.col("base_amount") - 1000, F.col("ingest_time"))
-    return affected.drop("target").unionByName(fixed)
+    """All observations, and the corrections."""
+    return observed(spark, d).unionByName(corrected_bookings(spark, d))
 
 
 def supersession_filter(spark: SparkSession, d: str) -> DataFrame:
     rows = R.without_superseded(with_corrections(spark, d))
-    corrected = rows.where("kind = 'BOOKING' and source_version = '2'").select("lineage_id").distinct()
-    return rows.join(corrected, "lineage_id", "left_semi").select("lineage_id", "observation_id", F.col("base_amount").cast("string").alias("base_amount"), "source_version")
+    return rows.select("lineage_id", "observation_id", F.col("base_amount").cast("string").alias("base_amount"), "source_version")
 
 
 def rerun_after_correction(spark: SparkSession, d: str) -> DataFrame:
-    facts = R.reconcile(R.without_superseded(with_corrections(spark, d)))
+    """The trades with a wrong base amount anywhere, evaluated again."""
+    again = corpus.truth(table(spark, d, "orders")).where("effect = 'BASE_AMOUNT'").select("lineage_id")
+    facts = R.reconcile(R.without_superseded(with_corrections(spark, d)).join(again, "lineage_id", "left_semi"), CONFIG)
     return facts.groupBy("trade_id", "family").agg(F.count(F.lit(1)).alias("n_facts"))
 
 
+def canonical_version_after_correction(spark: SparkSession, d: str) -> DataFrame:
+    """States of a first run, and of a run after the corrections: what has changed is the next version of its trade."""
+    first = R.canonical_states(trades(spark, d))
+    later = R.canonical_states(R.trade_rows(R.without_superseded(with_corrections(spark, d)), CONFIG))
+    return first.unionByName(R.versioned(later, first)).select("trade_id", "canonical_state_version")
+
+
+def config_effective_interval(spark: SparkSession, d: str) -> DataFrame:
+    """A configuration of two years evaluates the trades of these years only."""
+    config = replace(CONFIG, effective_from="1995-01-01 00:00:00", effective_to="1997-01-01 00:00:00")
+    return R.reconcile(observed(spark, d), config, outside="skip").groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_envelopes(spark: SparkSession, d: str) -> DataFrame:
+    return R.run_envelopes(trades(spark, d), RUN, CONFIG).select("trade_id", "result", F.size("break_ids").alias("n_breaks"), "n_facts", "content_hash")
+
+
 def run_ledger(spark: SparkSession, d: str) -> DataFrame:
     rows = trades(spark, d)
-    return reporting.run_ledger(rows, R.breaks(R.facts(rows), RUN), RUN).drop("tenant_id", "status", "completed_at")
+    return reporting.run_ledger(rows, R.breaks(R.facts(rows, CONFIG), RUN), RUN).drop("tenant_id", "status", "completed_at")
 
 
 def summary_rollup(spark: SparkSession, d: str) -> DataFrame:
     rows = trades(spark, d)
-    return reporting.totals(reporting.run_ledger(rows, R.breaks(R.facts(rows), RUN), RUN)).drop("run_id", "completed_at")
+    return reporting.totals(reporting.run_ledger(rows, R.breaks(R.facts(rows, CONFIG), RUN), RUN)).drop("run_id", "completed_at")
 
 
 def latest_canonical_version(spark: SparkSession, d: str) -> DataFrame:
@@ -135,14 +153,14 @@ def latest_canonical_version(spark: SparkSession, d: str) -> DataFrame:
 
 def trade_break_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = trades(spark, d)
-    per = R.breaks(R.facts(rows), RUN).groupBy("lineage_id").agg(F.count(F.lit(1)).alias("n_breaks"), F.sort_array(F.collect_list(F.struct("family", "break_id"))).alias("b"))
+    per = R.breaks(R.facts(rows, CONFIG), RUN).groupBy("lineage_id").agg(F.count(F.lit(1)).alias("n_breaks"), F.sort_array(F.collect_list(F.struct("family", "break_id"))).alias("b"))
     families = F.coalesce(F.array_join(F.transform("b", lambda x: x["family"]), ","), F.lit(""))
     return rows.join(per, "lineage_id", "left").select("trade_id", F.coalesce("n_breaks", F.lit(0)).alias("n_breaks"), families.alias("families"))
 
 
 def post_action_breaks(spark: SparkSession, d: str) -> DataFrame:
     """Each booking read back after an action: as it should be before, as the corpus has it after; some reads fail, some breaks remain."""
-    rows = enriched(spark, d).where("kind = 'BOOKING' and src_ord = 0")
+    rows = R.numbered(trades(spark, d)).where("kind = 'BOOKING' and src_ord = 0")
     k = F.substring_index("lineage_id", "_", -1).cast("long")
     fields = lambda book, status: F.struct(book.alias("book_id"), status.alias("lifecycle_status"), F.lit("1").alias("booking_version"), F.lit("same").alias("record_fingerprint"), "observation_id")
     pre = fields(F.regexp_replace("book_id", "_moved$", ""), F.lit("BOOKED"))
@@ -199,7 +217,7 @@ def transition_violations(spark: SparkSession, d: str) -> DataFrame:
 def policy_ladder(spark: SparkSession, d: str) -> DataFrame:
     """The provider's recommendations, some of them spoilt, through the policy."""
     rows = observed(spark, d)
-    cases = remediation.recommend(remediation.triage(R.reconcile(rows), rows))
+    cases = remediation.recommend(remediation.triage(R.reconcile(rows, CONFIG), rows))
     k = F.substring_index("lineage_id", "_", -1).cast("long") % 5
     cases = cases.withColumns(
         {
@@ -298,8 +316,8 @@ def keyword_search_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def provenance_graph(spark: SparkSession, d: str) -> DataFrame:
-    rows = enriched(spark, d)
-    one = R.trade_rows(rows)
+    rows = observed(spark, d)
+    one = R.trade_rows(rows, CONFIG)
     state = F.concat(F.lit("state_"), "lineage_id")
     edges = (
         rows.select(F.col("observation_id").alias("source"), F.col("lineage_id").alias("target"), F.lit("OBSERVATION_OF").alias("edge"))
@@ -312,7 +330,7 @@ def provenance_graph(spark: SparkSession, d: str) -> DataFrame:
 def reachability(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     edges = part.where("p_partkey > 0").select(F.col("p_partkey").alias("source"), F.floor(F.col("p_partkey") / 2).alias("target")).distinct()
-    return remediation.reachable(edges, part.where("p_partkey % 100 = 7").select(F.col("p_partkey").alias("node")))
+    return remediation.reachable(edges, part.select(F.col("p_partkey").alias("node")))
 
 
 def orders_lineitem_missing(spark: SparkSession, d: str) -> DataFrame:
@@ -380,9 +398,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lifecycle_breaks": of_family("LIFECYCLE_STATUS_MISMATCH"),
     "missing_source_after_window": missing_source_after_window,
     "canonical_state": canonical_state,
-    "field_provenance_long": lambda s, d: R.provenance(trades(s, d)).drop(*R.TRADE),
+    "field_provenance_long": lambda s, d: R.provenance(trades(s, d)).drop(*R.TRADE, "kind", "ingest_time"),
     "policy_winner": lambda s, d: trades(s, d).select("lineage_id", F.col("by_execution.observation_id").alias("execution_first"), F.col("by_confirmation.observation_id").alias("confirmation_first")),
-    "engine_ordinal": lambda s, d: enriched(s, d).select("lineage_id", "observation_id", "ordinal"),
+    "engine_ordinal": lambda s, d: R.numbered(trades(s, d)).select("lineage_id", "observation_id", "ordinal"),
     "trade_id_mode": lambda s, d: trades(s, d).select("lineage_id", "trade_id"),
     "source_watermark": lambda s, d: trades(s, d).select("lineage_id", epoch(F.col("watermark")).alias("watermark"), "n_observations"),
     "source_version_set": source_version_set,
@@ -392,6 +410,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "content_hash_verify": content_hash_verify,
     "supersession_filter": supersession_filter,
     "rerun_after_correction": rerun_after_correction,
+    "canonical_version_after_correction": canonical_version_after_correction,
+    "config_effective_interval": config_effective_interval,
+    "run_envelopes": run_envelopes,
     "run_ledger_by_portfolio": run_ledger,
     "summary_rollup": summary_rollup,
     "breaks_by_family": lambda s, d: reporting.by_family(break_rows(s, d), RUN),
@@ -401,7 +422,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "priority_queue": lambda s, d: reporting.priority_queue(break_rows(s, d), 200).select("break_id", "severity", "deadline_status"),
     "latest_canonical_version": latest_canonical_version,
     "trade_break_counts": trade_break_counts,
-    "evidence_records": lambda s, d: R.evidence(all_facts(s, d)).drop(*R.TRADE, "group_key"),
+    "evidence_records": lambda s, d: R.evidence(all_facts(s, d), RUN, CONFIG).drop(*R.TRADE, "group_key"),
     "post_action_breaks": post_action_breaks,
     "coverage_matrix": lambda s, d: reporting.coverage(corpus.truth(table(s, d, "orders"))),
     "contract_violations": contract_violations,

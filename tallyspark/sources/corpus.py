@@ -12,6 +12,8 @@ from ..functions.columns import lookup
 from ..functions.reference_data import FAMILY_ORDER, SYSTEMS, VARIANTS, Config
 
 TENANT = "tenant_demo"
+#: The fixture configuration, effective at the times of the orders.
+CONFIG = Config(effective_from="1970-01-01 00:00:00")
 PORTFOLIOS = ("portfolio_london", "portfolio_sydney")
 #: kind: (sequence, minutes after the first), fixed values
 TIMES = {"EXECUTION": (1, 0), "TRADE_CAPTURE": (2, 1), "BOOKING": (3, 2), "CONFIRMATION": (4, 3)}
@@ -37,7 +39,7 @@ def trades(orders: DataFrame) -> DataFrame:
         F.when(spot, "FX_SPOT").otherwise("FX_FORWARD").alias("product_type"),
         F.when(spot, "EUR").otherwise("USD").alias("base_currency"),
         F.when(spot, "USD").otherwise("JPY").alias("terms_currency"),
-        F.when(F.floor(k / 4) % 2 == 0, "BUY").otherwise("SELL").alias("side"),
+        F.when(F.floor(k / 4) % 2 == 0, "BUY_BASE").otherwise("SELL_BASE").alias("side"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("base_amount"),
         rate.cast("decimal(12,4)").alias("quoted_rate"),
         F.col("o_orderdate").cast("date").alias("trade_date"),
@@ -47,7 +49,7 @@ def trades(orders: DataFrame) -> DataFrame:
         F.when(slot >= 24, F.floor((slot - 24) / 6).cast("int")).alias("family_ix"),
         ((slot - 24) % 6).alias("variant"),
     )
-    frame = frame.withColumn("terms_amount", F.round(F.col("base_amount") * F.col("quoted_rate"), 2).cast("decimal(18,2)"))
+    frame = frame.withColumn("terms_amount", F.bround(F.col("base_amount") * F.col("quoted_rate"), 2).cast("decimal(18,2)"))
     # One literal array indexed by defect, not a CASE per column: short generated code.
     defects = F.array(*[F.struct(F.lit(kind).alias("target"), F.lit(effect).alias("effect"), F.lit(late).alias("late")) for _, _, kind, effect, late in ordered_variants()])
     clean = F.struct(F.lit("").alias("target"), F.lit("").alias("effect"), F.lit(False).alias("late"))
@@ -101,7 +103,7 @@ def deliveries(orders: DataFrame, config: Config | None = None) -> DataFrame:
         F.lit("1.0.0").alias("settlement_rule_version"),
         F.when(hits("BASE_GBP"), "GBP").otherwise(F.col("base_currency")).alias("base_currency"),
         F.when(hits("TERMS_CHF"), "CHF").otherwise(F.col("terms_currency")).alias("terms_currency"),
-        F.when(hits("SIDE"), F.when(F.col("side") == "BUY", "SELL").otherwise("BUY")).otherwise(F.col("side")).alias("side"),
+        F.when(hits("SIDE"), F.when(F.col("side") == "BUY_BASE", "SELL_BASE").otherwise("BUY_BASE")).otherwise(F.col("side")).alias("side"),
         (F.col("base_amount") + F.when(hits("BASE_AMOUNT"), 1000).otherwise(0)).cast("decimal(18,2)").alias("base_amount"),
         (F.col("terms_amount") + F.when(hits("TERMS_AMOUNT"), 1).otherwise(0)).cast("decimal(18,2)").alias("terms_amount"),
         (F.col("quoted_rate") + F.when(hits("RATE"), F.lit("0.01").cast("decimal(3,2)")).otherwise(F.lit("0").cast("decimal(3,2)"))).cast("decimal(12,4)").alias("quoted_rate"),

@@ -45,7 +45,7 @@ def test_a_block_of_144_trades(orders, seen, facts):
         "MISSING_REQUIRED_SOURCE": 12, "AMBIGUOUS_OR_UNMATCHED_LINKAGE": 12, "DUPLICATE_SOURCE_CONFLICT": 12, "CURRENCY_PAIR_OR_SIDE_MISMATCH": 12, "ECONOMIC_VALUE_MISMATCH": 12,
         "TRADE_OR_VALUE_DATE_MISMATCH": 12, "LIFECYCLE_STATUS_MISMATCH": 18,
     }
-    rows = R.trade_rows(R.enriched(seen))
+    rows = R.trade_rows(seen)
     ledger = reporting.run_ledger(rows, breaks, "run_1").collect()
     assert sum(r["trades_evaluated"] for r in ledger) == 144 and sum(r["clean_trades"] for r in ledger) == 54 and sum(r["break_count"] for r in ledger) == 90
     assert all(r["trades_evaluated"] == 72 for r in ledger) and sum(r["observations_ingested"] for r in ledger) == 582
@@ -101,8 +101,8 @@ def test_mixed_terminal_statuses_break_once_and_equal_ones_do_not(seen):
 
 def test_relative_tolerance(spark):
     row = spark.range(1).select(
-        within_tolerance(F.lit("100").cast("decimal(28,10)"), F.lit("101").cast("decimal(28,10)"), F.lit("RELATIVE"), F.lit("0.01")).alias("a"),
-        within_tolerance(F.lit("100").cast("decimal(28,10)"), F.lit("101.0000000001").cast("decimal(28,10)"), F.lit("RELATIVE"), F.lit("0.01")).alias("b"),
+        within_tolerance(F.lit("100").cast("decimal(28,10)"), F.lit("101").cast("decimal(28,10)"), F.lit("RELATIVE_DECIMAL"), F.lit("0.01")).alias("a"),
+        within_tolerance(F.lit("100").cast("decimal(28,10)"), F.lit("101.0000000001").cast("decimal(28,10)"), F.lit("RELATIVE_DECIMAL"), F.lit("0.01")).alias("b"),
         within_tolerance(F.lit("1").cast("decimal(28,10)"), F.lit("1").cast("decimal(28,10)"), F.lit("NONE"), F.lit(None).cast("string")).alias("c"),
     ).first()
     assert (row["a"], row["b"], row["c"]) == (True, False, True)
@@ -217,4 +217,5 @@ def test_seeded_shuffle_of_input_rows(spark, seen):
     rows = [r.asDict() for r in one_trade(seen).collect()]
     random.Random(3).shuffle(rows)
     again = spark.createDataFrame([tuple(r[c] for c in seen.columns) for r in rows], seen.schema)
-    assert R.enriched(again).orderBy("ordinal").select("kind").collect() == R.enriched(one_trade(seen)).orderBy("ordinal").select("kind").collect()
+    kinds = lambda df: R.numbered(R.trade_rows(df)).orderBy("ordinal").select("kind").collect()
+    assert kinds(again) == kinds(one_trade(seen))

@@ -41,6 +41,14 @@ FAMILIES = {
 MISSING_SEVERITY = {"EXECUTION": "HIGH", "CONFIRMATION": "MEDIUM", "BOOKING": "HIGH"}
 SEVERITY_RANK = {"CRITICAL": 1, "HIGH": 2, "MEDIUM": 3}
 DEADLINE_RANK = {"OVERDUE": 1, "DUE": 2, "NO_CONFIGURED_DEADLINE": 3}
+SEVERITY_ORDER = ("CRITICAL", "HIGH", "MEDIUM")
+DEADLINE_ORDER = ("OVERDUE", "DUE", "NO_CONFIGURED_DEADLINE")
+#: (outcome, storage effect) by precedence.
+IDENTITY_POLICY = (
+    ("REJECT_UNSUPPORTED_SCHEMA_VERSION", "REJECT"), ("REJECT_CROSS_PORTFOLIO_LINKAGE", "REJECT"), ("IDEMPOTENT_REPLAY", "APPEND_DUPLICATE_EVIDENCE"),
+    ("DUPLICATE_SOURCE_CONFLICT", "APPEND_CONFLICT_EVIDENCE"), ("NEW_SOURCE_VERSION", "APPEND_AND_SUPERSEDE_ACTIVE_VERSION"),
+    ("LATE_SOURCE_VERSION_RECORDED", "APPEND_LATE_NON_ACTIVE_VERSION"), ("LINKAGE_REVIEW_REQUIRED", "APPEND"), ("NEW_OBSERVATION", "APPEND"),
+)
 NON_ACTION_FAMILIES = ("MISSING_REQUIRED_SOURCE", "POST_ACTION_VERIFICATION_FAILURE")
 
 #: Roles of the evidence of each family's comparisons.

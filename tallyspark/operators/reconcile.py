@@ -357,8 +357,8 @@ def versioned(states: DataFrame, stored: DataFrame | None) -> DataFrame:
     return joined.withColumn("canonical_state_version", (F.coalesce("_last", F.lit(0)) + 1).cast("decimal(19,0)").cast("string")).select(*states.columns)
 
 
-def provenance(rows: DataFrame) -> DataFrame:
-    """Long form of where each canonical field comes from: 13 rows a trade."""
+def provenance(rows: DataFrame, *more: str) -> DataFrame:
+    """Long form of where each canonical field comes from: 13 rows a trade, with more columns of the trade if wanted."""
     def entry(name: str, side: str, trusted: tuple[str, ...]) -> Column:
         w = F.col(side)
         status = F.when(w["source_system"].isin(*trusted), "SELECTED").otherwise("SECONDARY_SUPPORTING")
@@ -366,7 +366,7 @@ def provenance(rows: DataFrame) -> DataFrame:
         return F.struct(F.lit(f"/payload/{name}").alias("field_path"), *where, status.alias("conflict_status"))
 
     entries = [entry(f, "by_execution", EXECUTION_TRUSTED) for f in EXECUTION_FIELDS] + [entry(f, "by_confirmation", CONFIRMATION_TRUSTED) for f in CONFIRMATION_FIELDS]
-    return rows.select(*TRADE, "trade_id", F.explode(F.array(*entries)).alias("p")).select(*TRADE, "trade_id", "p.*")
+    return rows.select(*TRADE, "trade_id", *more, F.explode(F.array(*entries)).alias("p")).select(*TRADE, "trade_id", *more, "p.*")
 
 
 def run_envelopes(rows: DataFrame, run_id: str, config: Config | None = None, evaluated_at: Column | None = None) -> DataFrame:
@@ -383,9 +383,34 @@ def run_envelopes(rows: DataFrame, run_id: str, config: Config | None = None, ev
         F.when(F.size(broken) > 0, "BREAKS_DETECTED").otherwise("PASS").alias("result"), F.transform(broken, lambda x: x["break_id"]).alias("break_ids"),
         F.aggregate(broken, F.lit(0), lambda n, x: n + x["n"]).alias("n_facts"),
     )
+    return envelope.withColumn("content_hash", envelope_hash())
+
+
+ENVELOPE = (
+    "break_ids", "config_hash", "config_id", "config_version", "evaluated_at", "lineage_id", "n_facts", "portfolio_id", "result", "run_id", "run_version", "source_watermark", "tenant_id", "trade_id",
+)
+
+
+def envelope_hash() -> Column:
+    """Hash of the canonical JSON of a run envelope without its hash."""
     times = {c: offset_time(F.col(c)) for c in ("evaluated_at", "source_watermark")}
-    document = F.struct(*[times.get(c, F.col(c)).alias(c) for c in sorted(envelope.columns)])
-    return envelope.withColumn("content_hash", sha256(canonical_json(document, keep_nulls=True)))
+    return sha256(canonical_json(F.struct(*[times.get(c, F.col(c)).alias(c) for c in ENVELOPE]), keep_nulls=True))
+
+
+def reopened(rows: DataFrame, run_id: str) -> DataFrame:
+    """Breaks that are found again after they were resolved: the next version, under a new id, which names the former one."""
+    identity = F.sha2(F.concat_ws("\x1f", F.lit(run_id), "break_id", F.col("break_version").cast("string")), 256)
+    return rows.withColumns(
+        {
+            "supersedes_break_id": F.col("break_id"), "break_id": F.concat(F.lit("break_"), F.lower("family"), F.lit("_"), F.substring(identity, 1, 40)),
+            "break_version": F.col("break_version") + 1, "run_id": F.lit(run_id), "state": F.lit("OPEN"),
+        }
+    )
+
+
+def in_taxonomy_order(rows: DataFrame) -> DataFrame:
+    """Facts by family in the order of the taxonomy, path and sources."""
+    return rows.orderBy(position(F.col("family"), tuple(FAMILIES)), "field_path", "expected_observation_id", "observed_observation_id", *TRADE)
 
 
 def post_action_facts(pairs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lookup, sha256
+from ..functions.reference_data import IDENTITY_POLICY
 from .lineage import checkpointed
 
 # Fixed values of the policy.
@@ -208,11 +209,4 @@ def identity_outcome() -> Column:
 
 
 def storage_effect(outcome: Column) -> Column:
-    return lookup(
-        outcome,
-        {
-            "REJECT_UNSUPPORTED_SCHEMA_VERSION": "REJECT", "REJECT_CROSS_PORTFOLIO_LINKAGE": "REJECT", "IDEMPOTENT_REPLAY": "APPEND_DUPLICATE_EVIDENCE",
-            "DUPLICATE_SOURCE_CONFLICT": "APPEND_CONFLICT_EVIDENCE", "NEW_SOURCE_VERSION": "APPEND_AND_SUPERSEDE_ACTIVE_VERSION",
-            "LATE_SOURCE_VERSION_RECORDED": "APPEND_LATE_NON_ACTIVE_VERSION", "LINKAGE_REVIEW_REQUIRED": "APPEND", "NEW_OBSERVATION": "APPEND",
-        },
-    )
+    return lookup(outcome, dict(IDENTITY_POLICY))

@@ -36,6 +36,7 @@ def run_ledger(trades: DataFrame, break_rows: DataFrame, run_id: str, completed_
 
 
 def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest run rows; of rows completed at one time the last run id first, which is the one row id there is without a sequence."""
     if not 1 <= limit <= MOST_RUNS:
         raise ValueError("limit")
     return runs.orderBy(F.desc("completed_at"), F.desc("run_id"), "portfolio_id").limit(limit)
@@ -69,7 +70,7 @@ def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
 
 
 def by_family(rows: DataFrame, run_id: str | None = None) -> DataFrame:
-    return filtered(rows, run_id=run_id).groupBy("family").agg(F.count(F.lit(1)).alias("n_breaks"))
+    return filtered(rows, run_id=run_id).groupBy("family").agg(F.count(F.lit(1)).alias("n_breaks")).orderBy(F.desc("n_breaks"), "family")
 
 
 def trades_by_product(states: DataFrame) -> DataFrame:

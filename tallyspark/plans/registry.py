@@ -14,6 +14,7 @@ from ..functions.reference_data import STATES, TRANSITIONS
 from ..operators import ingest, remediation, reporting
 from ..operators import reconcile as R
 from ..sources import corpus
+from . import contract_oracles, contract_queries
 from .oracles import ORACLES as _ORACLES
 
 RUN, CONFIG = "run_demo", corpus.CONFIG
@@ -444,4 +445,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "approvals_status": approvals_status,
 }
 
-ORACLES: dict[str, str] = {name: sql for name, sql in _ORACLES.items() if name in QUERIES}
+
+
+def _ledger(spark: SparkSession, d: str) -> DataFrame:
+    rows = trades(spark, d)
+    return reporting.run_ledger(rows, R.breaks(R.facts(rows, CONFIG), RUN), RUN)
+
+
+QUERIES |= contract_queries.named(trades, break_rows, all_facts, _ledger, table, RUN)
+ORACLES: dict[str, str] = {name: sql for name, sql in (_ORACLES | contract_oracles.ORACLES).items() if name in QUERIES}

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.validation import bad_format
+
 AMOUNT = "struct<currency:string,value:string,scale:int>"
 OBSERVATION = (
     "schema_version string, observation_id string, observation_kind string, entity_version int, tenant_id string, portfolio_id string, correlation_id string, source_system string, "
@@ -23,11 +28,36 @@ DELIVERY_FIELDS = ("content_hash", "ingest_time", "observation_id", "source_even
 
 
 def observation_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document a row, with ``unknown_fields``: top-level keys outside the contract (a closed schema rejects them)."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("document"))
+    """One JSON document a file, parsed."""
+    return parsed_documents(spark.read.text(path, wholetext=True).select(F.col("value").alias("document")))
+
+
+def parsed_documents(raw: DataFrame) -> DataFrame:
+    """raw (a column ``document``) with the fields of the contract, and ``unknown_fields``: top-level keys outside of it (a closed schema rejects them; null where the text is no JSON object)."""
     known = [f.split(" ")[0] for f in _top_level(OBSERVATION)]
-    parsed = raw.select("document", F.from_json("document", OBSERVATION, {"mode": "PERMISSIVE"}).alias("o"), F.json_object_keys("document").alias("keys"))
-    return parsed.select("document", F.array_except("keys", F.array(*map(F.lit, known))).alias("unknown_fields"), "o.*")
+    parsed = raw.withColumn("o", F.from_json("document", OBSERVATION, {"mode": "PERMISSIVE"})).withColumn("keys", F.json_object_keys("document"))
+    return parsed.select(*raw.columns, F.array_except("keys", F.array(*map(F.lit, known))).alias("unknown_fields"), "o.*")
+
+
+def document_rules() -> dict[str, Column]:
+    """What would be lost when the text of parsed documents is cast: reported before ``flat_observations``. Decimals of more than 10 places are too long for the engine's arithmetic."""
+    p = lambda c: F.col(f"payload.{c}")
+    amounts = [p(f"{c}.value") for c in ("base_amount", "terms_amount", "quoted_rate")]
+    long = [x.rlike(r"\.[0-9]{11,}\z") for x in amounts]
+    bad = lambda values, name: reduce(or_, [bad_format(v, name) for v in values])
+    return {
+        "NOT_JSON": F.col("unknown_fields").isNull(),
+        "UNKNOWN_FIELD": F.size("unknown_fields") > 0,
+        "DECIMAL_FORMAT": bad(amounts, "decimal"),
+        "DECIMAL_TOO_LONG": reduce(or_, [F.coalesce(x, F.lit(False)) for x in long]),
+        "TIME_WITHOUT_OFFSET": bad([F.col(c) for c in ("event_time", "effective_time", "ingest_time")], "aware_timestamp"),
+        "DATE_FORMAT": bad([p("trade_date"), p("value_date")], "date"),
+    }
+
+
+def hashed_content(document: Column) -> Column:
+    """What a delivery's content hash covers: all fields of the document but those of the delivery. document: a struct."""
+    return document.dropFields(*DELIVERY_FIELDS)
 
 
 def _top_level(ddl: str) -> list[str]:
@@ -41,7 +71,7 @@ def _top_level(ddl: str) -> list[str]:
 
 
 def flat_observations(documents: DataFrame) -> DataFrame:
-    """Documents in the engine's columns; decimals and times are cast, malformed ones become null (validation reports them)."""
+    """Documents in the engine's columns; decimals and times are cast, malformed ones become null (``document_rules`` reports them)."""
     p = lambda c: F.col(f"payload.{c}")
     amount = lambda c: p(f"{c}.value").try_cast("decimal(28,10)").alias(c)
     at = lambda c: F.col(c).try_cast("timestamp").alias(c)

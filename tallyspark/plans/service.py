@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest, remediation, reporting
+from ..functions.columns import opaque_id
+from ..functions.reference_data import Config
 from ..operators import reconcile as R
 from ..operators.tables import Store
 
@@ -14,11 +16,15 @@ class NotEligible(ValueError):
     """A break or case that the step does not apply to."""
 
 
+class NotFound(LookupError):
+    """Nothing of that id is in the scope."""
+
+
 class Engine:
     """One tenant's view: every read is scoped to the tenant and its portfolios."""
 
-    def __init__(self, spark: SparkSession, root: str, tenant_id: str, portfolio_ids: list[str], secret: bytes):
-        self.spark, self.store, self.secret = spark, Store(spark, root), secret
+    def __init__(self, spark: SparkSession, root: str, tenant_id: str, portfolio_ids: list[str], secret: bytes, config: Config | None = None):
+        self.spark, self.store, self.secret, self.config = spark, Store(spark, root), secret, config
         self.tenant_id, self.portfolio_ids = tenant_id, portfolio_ids
 
     def _read(self, name: str) -> DataFrame:
@@ -31,42 +37,60 @@ class Engine:
         return self.store.ingest(deliveries, on_conflict)
 
     def run(self, run_id: str, completed_at: Column | None = None) -> DataFrame:
-        return self.store.run(run_id, completed_at=completed_at)
+        return self.store.run(run_id, self.config, completed_at)
 
     def summary(self) -> DataFrame:
         """One row: totals of the latest run; no rows before the first."""
         return reporting.totals(reporting.of_latest_run(self._read("reconciliation_runs"), self._read("reconciliation_runs")))
 
+    def summary_tables(self) -> dict[str, DataFrame]:
+        """What a dashboard shows beside the totals: breaks of the latest run by family, trades by product, observations by portfolio."""
+        return {
+            "breaks_by_family": reporting.by_family(reporting.of_latest_run(self._read("trade_breaks"), self._read("reconciliation_runs"))),
+            "trades_by_product": reporting.trades_by_product(self._read("canonical_states")),
+            "observations": self._read("source_event_inbox").groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n")),
+        }
+
     def runs(self, limit: int = 20) -> DataFrame:
         return reporting.recent_runs(self._read("reconciliation_runs"), limit)
 
-    def breaks(self, limit: int = 500, run_id: str | None = None, **wanted: str | None) -> DataFrame:
-        """Breaks of the latest run, or of a named one; filters by family, product_type, state."""
+    def breaks(self, limit: int = 500, run_id: str | None = None, search: str | None = None, **wanted: str | None) -> DataFrame:
+        """Breaks of the latest run, or of a named one; filters by family, product_type, state, and by a part of the trade's or break's id."""
         rows = self._read("trade_breaks")
         rows = rows.where(F.col("run_id") == run_id) if run_id else reporting.of_latest_run(rows, self._read("reconciliation_runs"))
+        if search:
+            rows = rows.where(reporting.search(F.col("trade_id"), search) | reporting.search(F.col("break_id"), search))
         return reporting.break_list(rows, limit, **wanted)
 
     def break_detail(self, break_id: str) -> DataFrame:
-        return reporting.latest(self._read("trade_breaks").where(F.col("break_id") == break_id), ["break_id"], "break_version")
+        """The highest version of a break."""
+        return self._found(reporting.latest(self._read("trade_breaks").where(F.col("break_id") == break_id), ["break_id"], "break_version"), break_id)
 
     def trade_detail(self, trade_id: str) -> DataFrame:
+        """The latest state of a trade with its breaks of the latest run."""
         rows = reporting.of_latest_run(self._read("trade_breaks"), self._read("reconciliation_runs"))
-        return reporting.trade_detail(self._read("canonical_states"), rows, trade_id)
+        return self._found(reporting.trade_detail(self._read("canonical_states"), rows, trade_id), trade_id)
+
+    @staticmethod
+    def _found(rows: DataFrame, name: str) -> DataFrame:
+        if not rows.limit(1).count():
+            raise NotFound(name)
+        return rows
 
     def observations(self, trade: DataFrame | None = None) -> DataFrame:
         """Stored observations that nothing supersedes; of some trades only where a frame of them is given."""
-        inbox = self._read("source_event_inbox")
-        conflicts = self._read("source_event_conflicts").select(*inbox.columns) if self.store.exists("source_event_conflicts") else inbox.limit(0)
-        rows = R.unite(inbox, conflicts)
-        if trade is not None:
-            rows = rows.join(trade.select(*R.TRADE).distinct(), list(R.TRADE), "left_semi")
-        return R.without_superseded(rows)
+        rows = reporting.scoped(self.store.observations(), self.tenant_id, self.portfolio_ids)
+        return rows.join(trade.select(*R.TRADE).distinct(), list(R.TRADE), "left_semi") if trade is not None else rows
+
+    def observation_list(self) -> DataFrame:
+        """All stored observations of the scope by trade, sequence and id."""
+        return self._read("source_event_inbox").orderBy("lineage_id", "source_sequence", "observation_id")
 
     def open_case(self, break_id: str) -> DataFrame:
         """Triage, recommendation and policy for one break; the case is stored and its booking record seeded."""
         found = self.break_detail(break_id).select("*", F.explode("comparisons").alias("c")).select(*R.TRADE, "trade_id", "break_id", "family", "c.*")
         triaged = remediation.triage(found, self.observations(found))
-        case = remediation.policy(remediation.recommend(triaged)).withColumn("case_id", F.concat(F.lit("case_"), F.substring(F.sha2("break_id", 256), 1, 32)))
+        case = remediation.policy(remediation.recommend(triaged)).withColumn("case_id", opaque_id("case_", "break_id"))
         if case.limit(1).count() == 0:
             raise NotEligible(break_id)
         case = case.select("case_id", *R.TRADE, "trade_id", "break_id", "field_path", F.col("expected_value").alias("approved_value"), F.col("observed_value").alias("expected_old_value"), "policy_outcome", "policy_reason")
@@ -107,6 +131,7 @@ class Engine:
         if stored.where("side_effect").limit(1).count():
             self.store.append("legacy_booking_records", remediation.applied(self._read("legacy_booking_records"), stored))
             self._redeliver(case, now)
+            self.rerun_trade(case_id)
             self._freeze(case_id)
         return stored
 
@@ -117,8 +142,10 @@ class Engine:
         self.store.ingest(fixed.select(*bookings.columns))
 
     def rerun_trade(self, case_id: str) -> DataFrame:
-        """Facts of the case's trade over all that is stored now."""
-        return R.reconcile(self.observations(self.case(case_id)))
+        """Facts of the case's trade over all that is stored now. A state that has changed is stored as the trade's next version."""
+        rows = R.trade_rows(self.observations(self.case(case_id)), self.config)
+        self.store.append_states(R.canonical_states(rows))
+        return R.facts(rows, self.config)
 
     def _freeze(self, case_id: str) -> None:
         frozen = remediation.frozen_evidence(self.evidence_view(case_id))

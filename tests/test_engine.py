@@ -108,6 +108,89 @@ def test_relative_tolerance(spark):
     assert (row["a"], row["b"], row["c"]) == (True, False, True)
 
 
+def test_config_is_effective_in_its_interval(seen):
+    rows = one_trade(seen, lambda d: d.where("kind <> 'BOOKING'"))
+    at = rows.agg(F.max("ingest_time").cast("string")).first()[0]
+    assert R.reconcile(rows, Config(effective_from=at)).count() == 1
+    ended = Config(effective_to=at)
+    assert R.reconcile(rows, ended, outside="skip").count() == 0
+    with pytest.raises(Exception, match="not effective"):
+        R.reconcile(rows, ended).collect()
+
+
+def test_unknown_tolerance_mode_fails(spark):
+    one = F.lit("1").cast("decimal(28,10)")
+    with pytest.raises(Exception, match="unknown tolerance mode"):
+        spark.range(1).select(within_tolerance(one, one, F.concat(F.lit("ABSOLUTE"), F.col("id").cast("string")), F.lit("0.01"))).collect()
+
+
+def test_winners_name_the_trade(seen):
+    """The execution of order 84 (slot 42 // 6: LINKAGE 0, unmatched) is foreign in both keys, so no field is taken from it."""
+    rows = seen.where("source_business_key like 'trade_x%' and kind = 'EXECUTION'").select("lineage_id")
+    state = R.trade_rows(seen.join(rows, "lineage_id", "left_semi")).select("by_execution.source_system", "trade_id").collect()
+    assert state and all(r["source_system"] == "FIX_TRADE_CAPTURE" and r["trade_id"].startswith("trade_0") for r in state)
+
+
+def test_hashes_tell_where_a_null_is(spark, seen):
+    rows = one_trade(seen)
+    a = R.canonical_states(R.trade_rows(rows.withColumn("book_id", F.lit(None).cast("string")).withColumn("counterparty_id", F.lit("x"))))
+    b = R.canonical_states(R.trade_rows(rows.withColumn("counterparty_id", F.lit(None).cast("string")).withColumn("book_id", F.lit("x"))))
+    assert a.first()["state_hash"] != b.first()["state_hash"]
+
+
+def test_changed_states_get_the_next_version(spark, orders, tmp_path):
+    store = Store(spark, str(tmp_path / "tables"))
+    store.ingest(corpus.deliveries(orders))
+    store.run("run_1")
+    store.run("run_2")
+    assert store.read("canonical_states").count() == 144
+    bookings = store.read("source_event_inbox").where("kind = 'BOOKING' and lineage_id = 'lineage_0000000000'")
+    fixed = ingest.corrections(bookings, "book_id", F.lit("book_fixed"), F.lit("2026-04-01 00:00:00").cast("timestamp"))
+    store.ingest(fixed.select(*bookings.columns))
+    store.run("run_3")
+    found = store.read("canonical_states").where("lineage_id = 'lineage_0000000000'").select("canonical_state_version", "source_watermark").collect()
+    assert {r["canonical_state_version"] for r in found} == {"1", "2"} and store.read("canonical_states").count() == 145
+    before = store.read("trade_breaks").count()
+    with pytest.raises(UniquenessError):
+        store.run("run_3")
+    assert store.read("trade_breaks").count() == before
+
+
+def test_closure_of_long_chains_diamonds_and_cycles(spark):
+    chain = [(i, i + 1) for i in range(150)]
+    diamonds = [(1000 + 3 * i, 1000 + 3 * i + d) for i in range(20) for d in (1, 2)] + [(1000 + 3 * i + d, 1003 + 3 * i) for i in range(20) for d in (1, 2)]
+    edges = spark.createDataFrame([*chain, *diamonds, (2000, 2001), (2001, 2000)], "source long, target long").coalesce(1)
+    starts = spark.createDataFrame([(0,), (1000,), (2000,)], "node long")
+    got = remediation.reachable(edges, starts).groupBy("start").count().collect()
+    assert {r["start"]: r["count"] for r in got} == {0: 151, 1000: 61, 2000: 2}
+    with pytest.raises(RuntimeError, match="complete"):
+        remediation.reachable(edges, starts, most_steps=3)
+
+
+def test_policies_are_the_approved_ones():
+    from tallyspark.functions import contract
+    from tallyspark.functions.reference_data import DEADLINE_ORDER, IDENTITY_POLICY, MATERIALITY_ORDER, SEVERITY_ORDER, TIE_BREAKERS
+
+    assert contract.priority_policy_problems(list(MATERIALITY_ORDER), list(SEVERITY_ORDER), list(DEADLINE_ORDER), list(TIE_BREAKERS)) == []
+    assert contract.priority_policy_problems(list(MATERIALITY_ORDER), ["HIGH"], [], list(TIE_BREAKERS)) == ["SEVERITY_ORDER", "DEADLINE_ORDER"]
+    rows = [(i, *r) for i, r in enumerate(IDENTITY_POLICY, 1)]
+    assert contract.identity_policy_problems(rows) == [] and contract.identity_policy_problems(rows[::-1]) == ["PRECEDENCE", "OUTCOMES"]
+
+
+def test_the_sql_twin_imports_nothing_of_the_engine():
+    """The DuckDB texts are a second implementation; and nothing outside of the corpus operators imports them."""
+    import ast
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent / "tallyspark"
+    names = {
+        f.relative_to(root).as_posix(): {n.module or "" for n in ast.walk(ast.parse(f.read_text())) if isinstance(n, ast.ImportFrom)} | {a.name for n in ast.walk(ast.parse(f.read_text())) if isinstance(n, ast.Import) for a in n.names}
+        for f in root.rglob("*.py")
+    }
+    assert names["plans/oracles.py"] == {"__future__"} and names["plans/contract_oracles.py"] == {"__future__", "oracles"}
+    assert not any("llm" in m for f, ms in names.items() if not f.startswith("llm/") for m in ms)
+
+
 def test_config_must_be_complete(seen):
     with pytest.raises(ValueError, match="TOLERANCES_INCOMPLETE"):
         R.reconcile(seen, Config(tolerances={}))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators.tables import UniquenessError
-from tallyspark.plans.service import Engine, NotEligible
+from tallyspark.plans.service import Engine, NotEligible, NotFound
 from tallyspark.sources import corpus
 
 
@@ -32,12 +32,18 @@ def test_maker_checker_end_to_end(spark, tmp_path):
         engine.approve(case["case_id"], "CHECKER", "cy")
     assert engine.execute(case["case_id"], "a1", at("2026-03-03 09:05:00")).first()["outcome"] == "SUCCESS"
     assert engine.rerun_trade(case["case_id"]).count() == 0
+    state = engine.trade_detail(rows[0]["trade_id"]).first()
+    assert state["canonical_state_version"] == "2" and len(state["source_version_set"]) == 4
     assert engine.execute(case["case_id"], "a2", at("2026-03-03 09:06:00")).first()["outcome"] == "DUPLICATE_NOOP"
     assert engine.execute(case["case_id"], "a3", at("2026-03-03 09:07:00"), "TIMEOUT_RECOVERY_ATTEMPT").first()["outcome"] == "TIMEOUT_RECOVERED"
     assert engine.execute(case["case_id"], "a4", at("2026-03-03 10:00:00")).first()["outcome"] == "REJECTED_EXPIRED"
     view = engine.evidence_view(case["case_id"]).first()
     assert view["evidence_hash"] and len(view["executions"]) == 5 and len(view["approvals"]) == 2
-    with pytest.raises(NotEligible):
+    with pytest.raises(NotFound):
         engine.open_case("break_none")
+    with pytest.raises(NotFound):
+        engine.trade_detail("trade_none")
+    assert engine.breaks(search=rows[0]["trade_id"][-6:].upper()).count() == 1 and engine.breaks(search="nothing").count() == 0
+    assert [r["n"] for r in engine.summary_tables()["observations"].collect()] == [9] and engine.observation_list().count() == 9
     with pytest.raises(ValueError, match="scope"):
         engine.load(corpus.deliveries(orders).withColumn("tenant_id", F.lit("tenant_other")))

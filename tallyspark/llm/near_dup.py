@@ -215,14 +215,18 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def confirmed_edges(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, percent: int, block_shingles: int) -> DataFrame:
-    """Edges (u, v) that span the components of confirmed links. clusters: sid, root; sets: sid, text_key, n_shingles, one row a class."""
-    members = stored(sets.join(clusters, "sid").select("sid", "root", "n_shingles", "text_key"), "members")
+def confirmed_edges(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, percent: int, block_shingles: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Edges (u, v) that span the components of confirmed links. clusters: sid, root; sets: sid, n_shingles and the doc_id and text_key of one row, one row a class."""
+    members = stored(sets.join(clusters, "sid").select("sid", "root", "n_shingles", "doc_id", "text_key"), "members")
     weights = members.groupBy("root").agg(F.ceil(F.sum("n_shingles") / F.lit(block_shingles)).cast("int").alias("blocks"))
-    members = members.join(weights, "root").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    # One text for each class: copies of it go before shingles are made.
-    keyed = docs.select(text_key().alias("text_key"), "text").join(members.select("text_key").distinct(), "text_key", "left_semi")
+    # One row of each class; where that very row repeats, its copies go before shingles are made.
+    chosen = members.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"))
+    if members.count() <= broadcast_rows:
+        chosen = F.broadcast(chosen)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    keyed = keyed.join(chosen, (F.col("text_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
     wanted = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
+    members = members.join(weights, "root").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,8 +246,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     """doc_id, n_shingles, component_id: the least doc_id reachable over links with Jaccard similarity of at least percent / 100."""
     with scratch(docs.sparkSession) as keep:
         sets = keep(with_sets(docs, k), "sets")
-        one = F.min_by(F.struct("text_key", "n_shingles", "sig"), F.col("doc_id").isNull()).alias("one")
-        classes = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), one).select("sid", "doc_id", "one.*")
+        first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
+        one = F.min_by(F.struct("doc_id", "text_key", "n_shingles", "sig"), first).alias("one")
+        classes = sets.where("sid is not null").groupBy("sid").agg(one).select("sid", "one.*")
         classes = stored(classes, "classes")
         clusters = components(candidate_edges(classes, percent / 100, trees, node_limit)).withColumnsRenamed({"id": "sid"})
         links = components(confirmed_edges(docs, classes.drop("sig"), clusters, k, percent, block_shingles))

@@ -132,14 +132,14 @@ def from_moments(n: list[int], sums: list[np.ndarray], products: list[np.ndarray
 
 
 def moments(rows: DataFrame) -> DataFrame:
-    """quality, at, x: numbers of rows, sums and products of statistics by class, in one flat list each. rows: quality, stats (array<double>)."""
-    d = len(STATS)
+    """quality, at, x: numbers of rows, sums and products of statistics by class, in one flat list each. rows: quality (int), and text or stats (array<double>)."""
+    d, texts = len(STATS), "text" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, 1 + d + d * d))
         for batch in batches:
             classes = batch.column(0).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            x = column_statistics(batch.column(1)) if texts else batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             for c in (0, 1):
                 mine = x[classes == c]
                 held[c] += np.concatenate([[len(mine)], mine.sum(axis=0), (mine.T @ mine).ravel()])
@@ -152,9 +152,9 @@ def moments(rows: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame, shrink: float = 0.3, pool: float = 0.3, floor: float = 1e-3) -> Model:
-    """Model of rows with columns stats (array<double>) and quality (0 or 1)."""
+    """Model of rows with quality (0 or 1) and text or stats (array<double>)."""
     d = len(STATS)
-    rows = labelled.where("quality in (0, 1)").select(F.col("quality").cast("int").alias("quality"), "stats")
+    rows = labelled.where("quality in (0, 1)").select(F.col("quality").cast("int").alias("quality"), "text" if "text" in labelled.columns else "stats")
     got = {(r["quality"], r["at"]): r["x"] for r in moments(rows).collect()}
     at = lambda c, i: got.get((c, i), 0.0)
     n = [int(at(c, 0)) for c in (0, 1)]
@@ -168,7 +168,7 @@ def learnt(docs: DataFrame, labels: DataFrame, broadcast_labels: int = 2_000_000
     known = labels.select(F.col("doc_id").alias("_label_of"), F.col("quality").alias("_quality")).where((crc_mod(F.col("doc_id"), 5) != 0) & F.col("quality").isin(0, 1))
     if known.count() <= broadcast_labels:
         mine = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_label_of")).select("_quality", "text")
-        return fit(mine.select(F.col("_quality").alias("quality"), stats_column(F.col("text")).alias("stats")), **how)
+        return fit(mine.select(F.col("_quality").alias("quality"), "text"), **how)
     with scratch(docs.sparkSession):
         table = stored(docs.select("doc_id", stats_column(F.col("text")).alias("stats")), "quality-stats")
         return fit(table.join(known, F.col("doc_id") == F.col("_label_of")).select(F.col("_quality").alias("quality"), "stats"), **how)

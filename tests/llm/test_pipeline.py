@@ -68,3 +68,23 @@ def test_stages(spark, tmp_path):
     taken = con.execute(mixing.ORACLE.replace("FROM documents", f"FROM {typed}")).fetchall()
     assert {r["doc_id"]: r["copies"] for r in frames[5].collect()} == {r[0]: r[4] // r[1] for r in taken if r[4]}
     assert sorted(map(str, corpus_pipeline.run(spark, root).collect())) == sorted(map(str, frames[5].collect()))
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    root = str(tmp_path)
+    corpus(spark, root)
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, copies int, _text_key string"
+    odd = [(1, None, None, None, None, 9, "x"), (None, None, "en", "s", 0, 9, "x"), (2, "", "en", "s", 0, 9, "x"), (3, "word " * 30_000, "en", "s", 1, 9, "x"), (3, "word " * 30_000, "en", "s", 1, 9, "x"),
+           (None, "a b c d e f g", "en", None, 3, 9, "x")]
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, kinds).coalesce(2)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, root)
+            wanted = [*corpus_pipeline.COLUMNS, "copies"] if name == "source_mixing" else list(corpus_pipeline.COLUMNS)
+            assert out.columns == wanted and out.count() <= len(rows)
+    for name in ("labels", "benchmark"):
+        empty = spark.read.parquet(f"{root}/{name}.parquet").limit(0)
+        empty.write.parquet(f"{root}/empty/{name}.parquet")
+    docs = spark.createDataFrame(odd, kinds)
+    assert corpus_pipeline.quality_classifier(spark, docs, f"{root}/empty").count() == len(odd)
+    assert corpus_pipeline.benchmark_decontamination(spark, docs, f"{root}/empty").count() == len(odd)

@@ -59,6 +59,12 @@ def test_token_count_query(spark, docs):
     ]
 
 
+def test_token_counts_on_odd_tables(docs):
+    assert token_counts.op6_token_counts(docs([(1, "a")]).limit(0), PIECES).collect() == []
+    got = token_counts.with_token_counts(docs([(1, "a b"), (2, None)]), PIECES, out="size")
+    assert got.columns.count("size") == 1 and {r["doc_id"]: r["size"] > 0 for r in got.collect()} == {1: True, 2: False}
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, near-duplicates, benchmark contamination, personal data, mixture.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns of documents; the last
-adds ``copies``, how often the mix takes a document.
+adds ``copies``, how often the mix takes a document. Other columns, whatever their names, are not carried on. Null and empty texts, null ids, sources and labels, repeated rows and very long texts go through
+every stage as its operator says; an empty table gives an empty result in each.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -35,8 +35,18 @@ def triage(facts: DataFrame, observations: DataFrame) -> DataFrame:
     return wanted.join(name("expected"), [*keys, "expected_observation_id"]).join(name("observed"), [*keys, "observed_observation_id"])
 
 
-def recommend(cases: DataFrame) -> DataFrame:
-    """The rule-based provider: a correction where booking deviates from execution, else it abstains."""
+def provider_prompt() -> Column:
+    """What a provider is asked: the facts of a triaged case as JSON."""
+    return F.to_json(F.struct("expected_source_system", "expected_value", "family", "field_path", "observed_source_system", "observed_value", "trade_id"))
+
+
+def recommend(cases: DataFrame, provider: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Recommendations of a provider: a function of triaged cases that adds what ``rule_based`` adds, which is the one taken without another."""
+    return (provider or rule_based)(cases)
+
+
+def rule_based(cases: DataFrame) -> DataFrame:
+    """A correction where booking deviates from execution, else it abstains."""
     fit = (F.col("expected_source_system") == "FIX_EXECUTION") & (F.col("observed_source_system") == "MOCK_LEGACY_BOOKING")
     return cases.select(
         "*",
@@ -48,6 +58,15 @@ def recommend(cases: DataFrame) -> DataFrame:
     )
 
 
+def with_known_citations(recommended: DataFrame, sections: DataFrame) -> DataFrame:
+    """Citations (document#section) that the runbook index holds; others go, so that the policy sees them as missing. sections: document_id, section_number of the packaged runbooks, some dozen rows."""
+    rows = sections.select(F.concat("document_id", F.lit("#"), F.col("section_number").cast("string"))).distinct().limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("the runbook index has more sections than fit a literal")
+    known = F.array(*[F.lit(r[0]) for r in rows]).cast("array<string>")
+    return recommended.withColumn("citations", F.array_intersect("citations", known))
+
+
 def policy(recommended: DataFrame) -> DataFrame:
     """The policy ladder: the first rule that applies decides. Columns: confidence, recommended_action, abstain_reason, citations, proposed_fields, field_path,
     expected_value."""

@@ -79,4 +79,13 @@ ORACLES: dict[str, str] = {
         FROM u GROUP BY 1""",
     "breaks_search": over("SELECT trade_id, family FROM broken WHERE trade_id LIKE 'trade_00000001%'"),
     "facts_in_scope": over("SELECT trade_id, family, field_path FROM all_facts WHERE portfolio_id = 'portfolio_london'"),
+    "families_present": over(
+        """, f AS (SELECT DISTINCT family FROM all_facts) SELECT family, list_position(['MISSING_REQUIRED_SOURCE', 'AMBIGUOUS_OR_UNMATCHED_LINKAGE', 'DUPLICATE_SOURCE_CONFLICT',
+          'CURRENCY_PAIR_OR_SIDE_MISMATCH', 'ECONOMIC_VALUE_MISMATCH', 'TRADE_OR_VALUE_DATE_MISMATCH', 'LIFECYCLE_STATUS_MISMATCH', 'POST_ACTION_VERIFICATION_FAILURE'], family) AS place FROM f"""
+    ),
+    "corpus_manifest": over(
+        "SELECT 'tenant_demo' AS tenant_id, count(DISTINCT lineage_id) AS n_trades, count(*) AS n_deliveries, count(DISTINCT content_hash) AS n_contents, 'sha256:' || sha256(concat_ws('|', "
+        + ", ".join(f"sum(('0x' || substr(content_hash, {8 + 8 * i}, 8))::bigint)::varchar" for i in range(8))
+        + ")) AS content_hash FROM obs"
+    ),
 }

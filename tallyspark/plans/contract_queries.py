@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import contract
 from ..functions import validation as V
-from ..functions.reference_data import EVIDENCE_ROLES
+from ..functions.columns import position
+from ..functions.reference_data import EVIDENCE_ROLES, FAMILIES
 from ..operators import reconcile as R
 from ..operators import remediation, reporting
 from ..sources import corpus, files
@@ -253,4 +254,6 @@ def named(trades: Callable, breaks: Callable, facts: Callable, ledger: Callable,
         "envelope_statuses": lambda s, d: envelope_statuses(events(s, d)),
         "breaks_search": lambda s, d: breaks(s, d).where(reporting.search(F.col("trade_id"), "TRADE_00000001")).select("trade_id", "family"),
         "facts_in_scope": lambda s, d: R.in_taxonomy_order(reporting.scoped(facts(s, d), corpus.TENANT, [corpus.PORTFOLIOS[0]])).select("trade_id", "family", "field_path"),
+            "families_present": lambda s, d: facts(s, d).select("family", position(F.col("family"), tuple(FAMILIES)).alias("place")).distinct().orderBy("place"),
+        "corpus_manifest": lambda s, d: corpus.manifest(table(s, d, "orders")),
     }

@@ -5,6 +5,8 @@ A narrow transformation: the orders are read once and each row becomes its deliv
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,3 +141,40 @@ def truth(orders: DataFrame) -> DataFrame:
         F.when(F.col("family_ix").isNull(), "CLEAN").otherwise("BROKEN").alias("population"), family.alias("family"), F.when(F.col("family_ix").isNotNull(), F.col("variant")).alias("variant"),
         "target", "effect", "late",
     )
+
+
+def problems(tenant_id: str = TENANT, portfolios: tuple[str, ...] = PORTFOLIOS, time_zone: str = "UTC", clean: int = 24, variants: int = 6) -> list[str]:
+    """Reasons why a corpus of these parameters would not be the agreed one; empty if it is sound."""
+    out = []
+    if re.fullmatch(r"tenant_[a-z0-9][a-z0-9_-]{1,63}", tenant_id) is None:
+        out.append("TENANT")
+    if len(portfolios) < 2 or len(set(portfolios)) != len(portfolios) or any(re.fullmatch(r"portfolio_[a-z0-9][a-z0-9_-]{1,63}", p) is None for p in portfolios):
+        out.append("PORTFOLIOS")
+    if time_zone != "UTC":
+        out.append("TIME_ZONE")
+    if (clean, variants) != (24, len(VARIANTS) // len(FAMILY_ORDER)):
+        out.append("COUNTS")
+    return out
+
+
+def manifest(orders: DataFrame) -> DataFrame:
+    """One row: how many trades, defects and deliveries the corpus has, and a hash of all deliveries that no order of rows changes."""
+    rows = deliveries(orders)
+    sums = [F.sum(F.conv(F.substring("content_hash", 8 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(8)]
+    counted = rows.agg(
+        F.countDistinct("lineage_id").alias("n_trades"), F.count(F.lit(1)).alias("n_deliveries"), F.countDistinct("content_hash").alias("n_contents"),
+        F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", *sums), 256)).alias("content_hash"),
+    )
+    return counted.select(F.lit(TENANT).alias("tenant_id"), "*")
+
+
+def write_bundle(orders: DataFrame, folder: str) -> dict[str, str]:
+    """The four artefacts as JSON: what the engine reads, and, in a folder of their own, the evaluator's truth, its graph and the manifest. Returns their paths."""
+    t = truth(orders)
+    edges = deliveries(orders).select(F.col("observation_id").alias("source"), F.col("lineage_id").alias("target"), F.lit("OBSERVATION_OF").alias("edge"))
+    frames = {
+        "runtime/observations": deliveries(orders), "evaluator/truth": t, "evaluator/graph": edges, "evaluator/manifest": manifest(orders),
+    }
+    for name, frame in frames.items():
+        frame.write.mode("errorifexists").json(f"{folder}/{name}")
+    return {name: f"{folder}/{name}" for name in frames}

@@ -302,3 +302,31 @@ def test_seeded_shuffle_of_input_rows(spark, seen):
     again = spark.createDataFrame([tuple(r[c] for c in seen.columns) for r in rows], seen.schema)
     kinds = lambda df: R.numbered(R.trade_rows(df)).orderBy("ordinal").select("kind").collect()
     assert kinds(again) == kinds(one_trade(seen))
+
+
+def test_corpus_bundle(spark, orders, tmp_path):
+    paths = corpus.write_bundle(orders, str(tmp_path / "bundle"))
+    counts = {name: spark.read.json(path).count() for name, path in paths.items()}
+    assert counts == {"runtime/observations": 582, "evaluator/truth": 144, "evaluator/graph": 582, "evaluator/manifest": 1}
+    assert not {"family", "variant", "effect", "target"} & set(spark.read.json(paths["runtime/observations"]).columns)
+    assert corpus.manifest(orders).first() == corpus.manifest(orders.repartition(3)).first()
+    assert corpus.problems() == [] and corpus.problems("x", ("portfolio_a",), "CET", 3) == ["TENANT", "PORTFOLIOS", "TIME_ZONE", "COUNTS"]
+
+
+def test_citations_and_providers(spark):
+    cases = spark.createDataFrame([("t", ["RB-001#3", "RB-009#9"])], "trade_id string, citations array<string>")
+    sections = spark.createDataFrame([("RB-001", 3), ("RB-002", 1)], "document_id string, section_number int")
+    assert remediation.with_known_citations(cases, sections).first()["citations"] == ["RB-001#3"]
+    assert remediation.with_known_citations(cases, sections.limit(0)).first()["citations"] == []
+    assert remediation.recommend(cases, lambda df: df.withColumn("confidence", F.lit(0.1))).first()["confidence"] == 0.1
+
+
+def test_documents_that_a_cast_would_spoil(spark):
+    from tallyspark.sources.files import document_rules, parsed_documents
+
+    good = {"observation_id": "o", "event_time": "2026-01-01T00:00:00+01:00", "payload": {"base_amount": {"value": "1.5"}, "trade_date": "2026-01-01"}}
+    changed = [{}, {"event_time": "2026-01-01T00:00:00"}, {"payload": {"base_amount": {"value": "1,5"}}}, {"payload": {"quoted_rate": {"value": "1.00000000001"}}}, {"payload": {"value_date": "1.1.2026"}}, {"more": 1}]
+    texts = [json.dumps(good | x) for x in changed] + ["{", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "document string").coalesce(1)
+    got = [r["reasons"] for r in V.with_reasons(parsed_documents(rows), document_rules()).collect()]
+    assert got == [[], ["TIME_WITHOUT_OFFSET"], ["DECIMAL_FORMAT"], ["DECIMAL_TOO_LONG"], ["DATE_FORMAT"], ["UNKNOWN_FIELD"], ["NOT_JSON"], ["NOT_JSON"]]

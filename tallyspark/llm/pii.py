@@ -6,9 +6,8 @@ generalised, from ``remove`` on it is removed, wherever it stands in a document
 (3 letters at most) whose class stays below the threshold by the same measure, and by a class of all terms where none does. All counts are of documents over the whole corpus, copies included: with the entity, with
 the term, with both; letters inside base spans are no terms. A pair needs two documents, since one co-occurrence estimates nothing: the terms of a value of one document only stay undecided.
 
-Scale: entities of the same documents are one profile. Document counts are taken only for terms of texts that hold an entity of two documents or more, by broadcast
-filter while there are at most ``broadcast_terms`` of them, else by a join. Terms too common to reach the threshold with any share of an entity's documents go before pairs are
-counted. Only texts with disclosing terms are shuffled to be rewritten, or all where more than ``broadcast_terms`` have some. The lists belong to a text, so copies share them.
+Scale: entities of the same documents are one profile. Pairs of profile and term are counted first, pre-aggregated, over texts that hold an entity of two documents or more; documents are then counted, in one
+pass, only for the terms of pairs with two documents, and for their classes, by broadcast filter while these are at most ``broadcast_terms``, else by a join. Only texts with disclosing terms are shuffled to be rewritten, or all where more than ``broadcast_terms`` have some. The lists belong to a text, so copies share them.
 
 Defined cases: null and empty texts have no spans; offsets count code points, ends are exclusive; repeated rows give repeated results and are one document as evidence; spans of different kinds may
 overlap, and are merged when a text is rewritten (the earliest names the merged one). Extra columns are kept by ``sanitise``; tables
@@ -145,28 +144,48 @@ def text_key():
     return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, broadcast_terms: int, beginnings: tuple[int, ...] = ()) -> DataFrame:
-    """term, documents: in how many documents each of the terms (or, with lengths, a term of which it is the beginning) occurs outside of base spans."""
-    n = terms.count()
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in terms.collect())) if n <= broadcast_terms else None
+def beginnings(term: str) -> list[str]:
+    """Names of the classes of a term."""
+    return [f"{term[:k]}*" for k in BEGINNINGS if k < len(term)]
+
+
+def beginnings_of(term: str) -> Column:
+    """The same as an array column."""
+    return F.array_compact(F.array(*[F.when(F.length(term) > k, F.concat(F.substring(term, 1, k), F.lit("*"))) for k in BEGINNINGS]))
+
+
+def document_counts(docs: DataFrame, names: DataFrame, broadcast_terms: int) -> DataFrame:
+    """name, documents: in how many documents each of the named terms, or a term of each of the named classes, occurs outside of base spans."""
+    n = names.count()
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in names.collect())) if n <= broadcast_terms else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         only = wanted.value if wanted else None
+        known: dict[str, tuple[str, ...]] = {}
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["name", "documents"])
+            held.clear()
+            return batch
+
         for batch in batches:
             for text in batch.column(0):
                 text = text.as_py() or ""
-                found = term_set(text, base_spans(text))
-                if beginnings:
-                    found = {x[:k] for x in found for k in beginnings if k < len(x)}
-                held.update(found & only if only is not None else found)
+                found: set[str] = set()
+                for x in term_set(text, base_spans(text)):
+                    if (of := known.get(x)) is None:
+                        of = known[x] = tuple(y for y in (x, *beginnings(x)) if only is None or y in only)
+                    found.update(of)
+                held.update(found)
                 if len(held) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], names=["term", "documents"])
-                    held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "documents"])
+                    yield out()
+                if len(known) > 200_000:
+                    known.clear()
+        yield out()
 
-    counted = docs.select("text").mapInArrow(run, "term string, documents long").groupBy("term").agg(F.sum("documents").alias("documents"))
-    return counted if wanted else counted.join(terms, "term", "left_semi")
+    counted = docs.select("text").mapInArrow(run, "name string, documents long").groupBy("name").agg(F.sum("documents").alias("documents"))
+    return counted if wanted else counted.join(names, "name", "left_semi")
 
 
 def told_share(total: int) -> Column:
@@ -176,17 +195,14 @@ def told_share(total: int) -> Column:
     return F.when(content > 0, told / content).otherwise(F.lit(0.0))
 
 
-def classes_of(telling: DataFrame, texts: DataFrame, profiles: DataFrame, docs: DataFrame, total: int, generalise: float, broadcast_terms: int) -> DataFrame:
+def classes_of(telling: DataFrame, texts: DataFrame, profiles: DataFrame, counts: DataFrame, total: int, generalise: float) -> DataFrame:
     """profile, term, class: the longest beginning of each generalised term whose class tells less than the threshold."""
-    begun = F.explode(F.filter(F.array(*[F.when(F.length("term") > k, F.substring("term", 1, k)) for k in BEGINNINGS]), lambda x: x.isNotNull()))
-    tried = stored(telling.where("not removed").select("profile", "term", begun.alias("class")), "pii-tried")
-    wanted = stored(tried.select(F.col("class").alias("term")).distinct(), "pii-beginnings")
-    counts = stored(document_counts(docs, wanted, broadcast_terms, BEGINNINGS), "pii-class-counts").withColumnRenamed("term", "class")
-    held = texts.select("text_key", begun.alias("class")).distinct().join(wanted.withColumnRenamed("term", "class"), "class", "left_semi")
-    both = held.join(profiles, "text_key").join(tried.select("profile", "class").distinct(), ["profile", "class"], "left_semi")
-    both = both.groupBy("profile", "class", "holders").agg(F.sum("n").alias("both")).join(counts, "class")
-    safe = both.where(told_share(total) < generalise).select("profile", "class")
-    return tried.join(safe, ["profile", "class"]).groupBy("profile", "term").agg(F.max("class").alias("class"))
+    tried = stored(telling.where("not removed").select("profile", "term", F.explode(beginnings_of("term")).alias("name")), "pii-tried")
+    held = texts.select("text_key", F.explode(beginnings_of("term")).alias("name")).distinct()
+    both = held.join(profiles, "text_key").join(tried.select("profile", "name").distinct(), ["profile", "name"], "left_semi")
+    both = both.groupBy("profile", "name", "holders").agg(F.sum("n").alias("both")).join(counts, "name")
+    safe = both.where(told_share(total) < generalise).select("profile", "name")
+    return tried.join(safe, ["profile", "name"]).groupBy("profile", "term").agg(F.max(F.rtrim("name", F.lit("*"))).alias("class"))
 
 
 def disclosed(docs: DataFrame, generalise: float, remove: float, broadcast_terms: int) -> DataFrame | None:
@@ -203,24 +219,19 @@ def _disclosed(docs: DataFrame, generalise: float, remove: float, broadcast_term
     known = held.groupBy("entity").agg(F.sum("n").alias("holders"), F.sum("evidence").alias("e"), F.md5(F.concat_ws(":", F.count(F.lit(1)), *sums)).alias("profile"))
     profiles = held.join(known.where("e > 1").drop("e"), "entity").groupBy("text_key", "profile", "holders").agg(F.first("n").alias("n"), F.first("evidence").alias("evidence"))
     profiles = stored(profiles, "pii-profiles")
-    most = profiles.agg(F.max("holders")).first()[0]
-    if most is None:
+    if not profiles.limit(1).count():
         return None
     texts = rows.select("text_key", "terms").join(profiles.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
     texts = stored(texts.select("text_key", F.explode("terms").alias("term")), "pii-texts")
     total = docs.count()
-    counts = stored(document_counts(docs, stored(texts.select("term").distinct(), "pii-terms"), broadcast_terms), "pii-counts")
-
-    def most_documents(holders: Column) -> Column:
-        """A term in more documents does not reach ``generalise`` even if it is in all of the holders."""
-        return F.pow(F.lit(float(total)), F.lit(1 - generalise)) * F.pow(holders.cast("double"), F.lit(generalise)) * (1 + 1e-9)
-
-    pairs = texts.join(counts.where(F.col("documents") <= most_documents(F.lit(most))), "term").join(profiles, "text_key").where(F.col("documents") <= most_documents(F.col("holders")))
-    pairs = stored(pairs, "pii-pairs")
-    both = pairs.groupBy("profile", "term", "holders", "documents").agg(F.sum("n").alias("both"), F.sum("evidence").alias("e")).where("e > 1")
-    telling = both.withColumn("share", told_share(total)).where(F.col("share") >= generalise)
+    pairs = texts.join(profiles, "text_key")
+    both = pairs.groupBy("profile", "term", "holders").agg(F.sum("n").alias("both"), F.sum("evidence").alias("e")).where("e > 1").drop("e")
+    both = stored(both, "pii-both")
+    names = both.select(F.explode(F.concat(F.array("term"), beginnings_of("term"))).alias("name")).distinct()
+    counts = stored(document_counts(docs, stored(names, "pii-names"), broadcast_terms), "pii-counts")
+    telling = both.join(counts.withColumnRenamed("name", "term"), "term").withColumn("share", told_share(total)).where(F.col("share") >= generalise)
     telling = stored(telling.select("profile", "term", (F.col("share") >= remove).alias("removed")), "pii-telling")
-    classes = classes_of(telling, texts, profiles, docs, total, generalise, broadcast_terms)
+    classes = classes_of(telling, texts, profiles, counts, total, generalise)
     named = telling.join(classes, ["profile", "term"], "left").withColumn("class", F.coalesce("class", F.lit("")))
     # A term that tells of several entities is in the widest of its classes: the shortest beginning, which is the first.
     terms = pairs.join(named, ["profile", "term"]).groupBy("text_key", "term").agg(F.max("removed").alias("removed"), F.min("class").alias("class"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +117,22 @@ def running(df: DataFrame, order: list, name: str, **totals: Column) -> DataFram
     return joined.drop("_part", "_p", *[f"_{k}" for k in totals], *[f"_{k}_parts" for k in totals])
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the worker hands memory back: Python workers serve task after task, and would keep what the largest one took."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """A column name that clashes with none of those taken, whatever the case."""
     low = {x.lower() for x in taken}

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, scratch, stored
+from .common import free_name, released, scratch, stored
 from .wordhash import U, each_text, mix
 
 #: Positions looked at in a span of words; each ignores other places.
@@ -184,7 +184,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5, le
                 rows += [(ids[i].as_py(), item, words, n, words / n, at) for item, words, n, at in index.value.overlaps(hashes, least_share, least_words)]
             yield _found(rows)
 
-    return light.mapInArrow(run, FOUND)
+    return light.mapInArrow(released(run), FOUND)
 
 
 def _overlaps_in_blocks(docs: DataFrame, items: DataFrame, least_share: float, least_words: int | None, blocks: int, group_bytes: int = 64_000_000) -> DataFrame:
@@ -206,8 +206,8 @@ def _overlaps_in_blocks(docs: DataFrame, items: DataFrame, least_share: float, l
 
     with scratch(spark) as keep:
         placed = items.select(F.col("item_id").alias("id"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("long").alias("block"))
-        known = keep(placed.mapInArrow(hashed, "id long, block long, words binary"), "leak-items")
-        sown = stored(known.select("block", "words").mapInArrow(seeded, "seed long, block long").distinct(), "leak-seeds")
+        known = keep(placed.mapInArrow(released(hashed), "id long, block long, words binary"), "leak-items")
+        sown = stored(known.select("block", "words").mapInArrow(released(seeded), "seed long, block long").distinct(), "leak-seeds")
         short = [r[0] for r in known.select((F.octet_length("words") / 8).cast("int").alias("n")).where(f"n between 1 and {MASKS[0][-1]}").distinct().collect()]
         # The filter: a bit for each value of the first bits of a seed, 4 KB a row.
         bit = F.shiftrightunsigned("seed", 64 - FILTER) + 1
@@ -236,7 +236,7 @@ def _overlaps_in_blocks(docs: DataFrame, items: DataFrame, least_share: float, l
                 )
 
         numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-        hit = keep(numbered.mapInArrow(scan, "row long, doc_id long, words binary, hits array<long>"), "leak-hits")
+        hit = keep(numbered.mapInArrow(released(scan), "row long, doc_id long, words binary, hits array<long>"), "leak-hits")
         pairs = stored(hit.select("row", F.octet_length("words").alias("bytes"), F.explode("hits").alias("seed")).join(sown, "seed").select("row", "bytes", "block").distinct(), "leak-pairs")
         groups = pairs.groupBy("block").agg(F.ceil(F.sum("bytes") / F.lit(group_bytes)).cast("long").alias("groups"))
         groups = keep(groups, "leak-groups")
@@ -262,7 +262,7 @@ def _overlaps_in_blocks(docs: DataFrame, items: DataFrame, least_share: float, l
                 rows += [(i, item, n_words, n, n_words / n, at) for item, n_words, n, at in index.overlaps(np.frombuffer(words, U), least_share, least_words)]
             yield _found(rows)
 
-    return sides.repartition("block", "part").sortWithinPartitions("block", "part", "side").mapInArrow(look, FOUND)
+    return sides.repartition("block", "part").sortWithinPartitions("block", "part", "side").mapInArrow(released(look), FOUND)
 
 
 def contaminated(

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running, scratch, stored
+from .common import released, running, scratch, stored
 
 # What HTML elements and common class names mean.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -329,7 +329,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
                     for column in columns:
                         column.clear()
 
-    return placed.mapInArrow(run, PAGE)
+    return placed.mapInArrow(released(run), PAGE)
 
 
 def lost_lines(read: DataFrame, copy_share: float) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, scratch, stored, words
+from .common import crc_mod, released, scratch, stored, words
 
 MARK = "▁"
 #: Stands for the mark before a word inside a lattice; no UTF-8 text holds this byte.
@@ -178,7 +178,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    counted = docs.select("text", (crc_mod(F.col("doc_id"), 7) != 2).alias("train")).mapInArrow(run, "word binary, n long, c long")
+    counted = docs.select("text", (crc_mod(F.col("doc_id"), 7) != 2).alias("train")).mapInArrow(released(run), "word binary, n long, c long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
@@ -194,7 +194,7 @@ def reweigh(counts: DataFrame, lattice: Broadcast, logs: np.ndarray, ends: int,
         at = np.flatnonzero(uses)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(uses[at])], names=["piece", "uses"])
 
-    rows = counts.where("c > 0").select("word", "c").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+    rows = counts.where("c > 0").select("word", "c").mapInArrow(released(run), "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
     uses = np.full(size + 1, smooth)
     for r in rows:
         uses[r["piece"]] += r["uses"]
@@ -260,7 +260,7 @@ def text_parts(docs: DataFrame, known: Broadcast, end: tuple[int, float, float,
                     whole.clear()
         yield _batch(rare, whole)
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PART)
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), PART)
 
 
 def score(docs: DataFrame, path: str, steps: int = 3, head: int = 100_000) -> DataFrame:
@@ -286,7 +286,7 @@ def score(docs: DataFrame, path: str, steps: int = 3, head: int = 100_000) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), batch.column("seen"), base, *map(pa.array, scores)], names=["key", "n", "seen", "base", "log", "file_log"])
 
         rows = counts.select("word", word_key().alias("key"), "n", "c", (F.col("c") > 0).cast("int").alias("seen"))
-        weighed = keep(rows.mapInArrow(weigh, "key binary, n long, seen int, base double, log double, file_log double"), "word-scores")
+        weighed = keep(rows.mapInArrow(released(weigh), "key binary, n long, seen int, base double, log double, file_log double"), "word-scores")
         top = most_frequent(weighed, head).drop("n").toPandas()
         known = spark.sparkContext.broadcast({bytes(key): tuple(x) for key, *x in zip(*(top[c].tolist() for c in top.columns), strict=True)})
         end = (int(bool(ends)), _base(ends, total, distinct), float(logs[-1]) / math.log(10), float(file_logs[-1]) / math.log(10))

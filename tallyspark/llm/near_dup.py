@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import released, scratch, stored
 from .components import components
 from .wordhash import U, each_text, mix, shingles
 
@@ -66,7 +66,7 @@ def with_sets(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_key", "n_shingles", "sid", "sig"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return keyed.mapInArrow(run, "doc_id long, text_key long, n_shingles long, sid binary, sig binary")
+    return keyed.mapInArrow(released(run), "doc_id long, text_key long, n_shingles long, sid binary, sig binary")
 
 
 def text_key() -> Column:
@@ -106,7 +106,7 @@ def _paths(classes: DataFrame, trees: int, levels: tuple[int, ...], start: str |
                 yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), batch.column("sid").take(pa.array(rows))], schema=schema)
 
     wanted = ["sid", "sig"] + ([start] if start else [])
-    return classes.select(*wanted).mapInArrow(run, "key long, sid binary")
+    return classes.select(*wanted).mapInArrow(released(run), "key long, sid binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key_columns: list[str]) -> Iterator[pa.Table]:
@@ -166,7 +166,7 @@ def candidate_edges(classes: DataFrame, threshold: float, trees: int, node_limit
         rows = paths.join(sizes, "key")
         small = rows.where(F.col("n") <= node_limit).select("key", "sid").join(sigs, "sid")
         small = small.select("key", "sid", "sig").repartition("key").sortWithinPartitions("key", "sid")
-        parts.append(small.mapInArrow(_sketch_forest(int((threshold - 0.14) * COORDS)), "u binary, v binary").distinct())
+        parts.append(small.mapInArrow(released(_sketch_forest(int((threshold - 0.14) * COORDS))), "u binary, v binary").distinct())
         large = rows.where(F.col("n") > node_limit).select("key", "sid")
         if sizes.where(F.col("n") > node_limit).limit(1).count() == 0:
             break
@@ -234,15 +234,15 @@ def confirmed_edges(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: in
             found = [x for x in found if len(x)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=["sid", "shingles"])
 
-    full = wanted.select("text").mapInArrow(run, "sid binary, shingles binary")
+    full = wanted.select("text").mapInArrow(released(run), "sid binary, shingles binary")
     # One block a cluster as a rule; else block i meets each block j >= i (and itself) in a group of its own.
     low, high = F.least(F.col("block"), F.col("other")), F.greatest(F.col("block"), F.col("other"))
     placed = members.select("sid", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("sid", "root", F.concat_ws("-", low, high).alias("part"))
     grouped = placed.join(full, "sid").repartition("root", "part").sortWithinPartitions("root", "part", "sid")
-    return grouped.select("root", "part", "sid", "shingles").mapInArrow(_confirm(k, percent), "u binary, v binary")
+    return grouped.select("root", "part", "sid", "shingles").mapInArrow(released(_confirm(k, percent)), "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 16, node_limit: int = 4096, block_shingles: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 16, node_limit: int = 4096, block_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id reachable over links with Jaccard similarity of at least percent / 100."""
     with scratch(docs.sparkSession) as keep:
         sets = keep(with_sets(docs, k), "sets")

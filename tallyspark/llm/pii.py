@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, scratch, stored
+from .common import free_name, released, scratch, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Lengths of the beginnings that name classes of terms.
@@ -137,7 +137,7 @@ def found(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], f.type) for c, f in enumerate(schema)], schema=schema)
 
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return light.mapInArrow(run, "doc_id long, text_key string, entities array<string>, terms array<string>")
+    return light.mapInArrow(released(run), "doc_id long, text_key string, entities array<string>, terms array<string>")
 
 
 def text_key():
@@ -184,7 +184,7 @@ def document_counts(docs: DataFrame, names: DataFrame, broadcast_terms: int) ->
                     known.clear()
         yield out()
 
-    counted = docs.select("text").mapInArrow(run, "name string, documents long").groupBy("name").agg(F.sum("documents").alias("documents"))
+    counted = docs.select("text").mapInArrow(released(run), "name string, documents long").groupBy("name").agg(F.sum("documents").alias("documents"))
     return counted if wanted else counted.join(names, "name", "left_semi")
 
 
@@ -308,5 +308,5 @@ def op4_pii(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, broa
 
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = with_terms(light, disclosed(light, generalise, remove, broadcast_terms), "_k", "_terms", broadcast_terms).select("doc_id", "text", "_terms")
-    rows = rows.mapInArrow(run, f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base string, spans string")
+    rows = rows.mapInArrow(released(run), f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base string, spans string")
     return rows.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")

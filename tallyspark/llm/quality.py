@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, scratch, stored
+from .common import crc_mod, released, scratch, stored
 from .wordhash import each_text
 
 STATS = (
@@ -148,7 +148,7 @@ def moments(rows: DataFrame) -> DataFrame:
                 at = np.arange(held.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c), pa.int32()), pa.array(at, pa.int32()), pa.array(held[c])], names=["quality", "at", "x"])
 
-    return rows.mapInArrow(run, "quality int, at int, x double").groupBy("quality", "at").agg(F.sum("x").alias("x"))
+    return rows.mapInArrow(released(run), "quality int, at int, x double").groupBy("quality", "at").agg(F.sum("x").alias("x"))
 
 
 def fit(labelled: DataFrame, shrink: float = 0.3, pool: float = 0.3, floor: float = 1e-3) -> Model:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, html_text, lm_scoring, mixing, mpeg_audio, near_dup, pii, quality, token_counts
+from . import chat_format, decontamination, divergence, html_text, lm_scoring, mixing, mpeg_audio, near_dup, packing, pii, quality, token_counts, vector_codes
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": lambda spark, d: chat_format.op8_chat_format(read(spark, d, "conversations")),
     "op9_decontamination": lambda spark, d: decontamination.op9_decontamination(read(spark, d, "documents"), read(spark, d, "benchmark")),
     "op10_near_dup": lambda spark, d: near_dup.op10_near_dup(read(spark, d, "documents")),
+    "op11_packing": lambda spark, d: packing.op11_packing(read(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
+    "op12_divergence": lambda spark, d: divergence.op12_divergence(read(spark, d, "documents")),
+    "op13_vector_codes": lambda spark, d: vector_codes.op13_vector_codes(spark, read(spark, d, "embeddings")),
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE, "op8_chat_format": chat_format.ORACLE}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE, "op8_chat_format": chat_format.ORACLE, "op12_divergence": divergence.ORACLE, "op13_vector_codes": vector_codes.ORACLE}

@@ -6,8 +6,8 @@ generalised, from ``remove`` on it is removed, wherever it stands in a document
 (3 letters at most) whose class stays below the threshold by the same measure, and by a class of all terms where none does. All counts are of documents over the whole corpus, copies included: with the entity, with
 the term, with both; letters inside base spans are no terms. A pair needs two documents, since one co-occurrence estimates nothing: the terms of a value of one document only stay undecided.
 
-Scale: entities of the same documents are one profile. Pairs of profile and term are counted first, pre-aggregated, over texts that hold an entity of two documents or more; documents are then counted, in one
-pass, only for the terms of pairs with two documents, and for their classes, by broadcast filter while these are at most ``broadcast_terms``, else by a join. Only texts with disclosing terms are shuffled to be rewritten, or all where more than ``broadcast_terms`` have some. The lists belong to a text, so copies share them.
+Scale: entities of the same documents are one profile. Pairs of profile and term are counted first, pre-aggregated, over texts that hold an entity of two documents or more, and only for terms that are rare
+enough among the documents with entities to tell of one (an exact bound, which the common words of a text do not pass); documents are then counted, in one pass, only for the terms of pairs with two documents, and for their classes, by broadcast filter while these are at most ``broadcast_terms``, else by a join. Only texts with disclosing terms are shuffled to be rewritten, or all where more than ``broadcast_terms`` have some. The lists belong to a text, so copies share them.
 
 Defined cases: null and empty texts have no spans; offsets count code points, ends are exclusive; repeated rows give repeated results and are one document as evidence; spans of different kinds may
 overlap, and are merged when a text is rewritten (the earliest names the merged one). Extra columns are kept by ``sanitise``; tables
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, released, scratch, stored
+from .common import bounded_batches, free_name, released, scratch, stored, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: Lengths of the beginnings that name classes of terms.
@@ -140,16 +140,12 @@ def found(docs: DataFrame) -> DataFrame:
     return light.mapInArrow(released(run), "doc_id long, text_key string, entities array<string>, terms array<string>")
 
 
-def text_key():
-    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-
-
 def beginnings(term: str) -> list[str]:
     """Names of the classes of a term."""
     return [f"{term[:k]}*" for k in BEGINNINGS if k < len(term)]
 
 
-def beginnings_of(term: str) -> Column:
+def beginnings_of(term: str | Column) -> Column:
     """The same as an array column."""
     return F.array_compact(F.array(*[F.when(F.length(term) > k, F.concat(F.substring(term, 1, k), F.lit("*"))) for k in BEGINNINGS]))
 
@@ -195,10 +191,10 @@ def told_share(total: int) -> Column:
     return F.when(content > 0, told / content).otherwise(F.lit(0.0))
 
 
-def classes_of(telling: DataFrame, texts: DataFrame, profiles: DataFrame, counts: DataFrame, total: int, generalise: float) -> DataFrame:
+def classes_of(telling: DataFrame, term_sets: DataFrame, profiles: DataFrame, counts: DataFrame, total: int, generalise: float) -> DataFrame:
     """profile, term, class: the longest beginning of each generalised term whose class tells less than the threshold."""
     tried = stored(telling.where("not removed").select("profile", "term", F.explode(beginnings_of("term")).alias("name")), "pii-tried")
-    held = texts.select("text_key", F.explode(beginnings_of("term")).alias("name")).distinct()
+    held = term_sets.select("text_key", F.explode(F.array_distinct(F.flatten(F.transform("terms", beginnings_of)))).alias("name"))
     both = held.join(profiles, "text_key").join(tried.select("profile", "name").distinct(), ["profile", "name"], "left_semi")
     both = both.groupBy("profile", "name", "holders").agg(F.sum("n").alias("both")).join(counts, "name")
     safe = both.where(told_share(total) < generalise).select("profile", "name")
@@ -207,6 +203,7 @@ def classes_of(telling: DataFrame, texts: DataFrame, profiles: DataFrame, counts
 
 def disclosed(docs: DataFrame, generalise: float, remove: float, broadcast_terms: int) -> DataFrame | None:
     """text_key, terms (TERMS): the disclosing terms of a text; None if there is none."""
+    bounded_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
         return _disclosed(docs, generalise, remove, broadcast_terms, keep)
 
@@ -221,17 +218,23 @@ def _disclosed(docs: DataFrame, generalise: float, remove: float, broadcast_term
     profiles = stored(profiles, "pii-profiles")
     if not profiles.limit(1).count():
         return None
-    texts = rows.select("text_key", "terms").join(profiles.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
-    texts = stored(texts.select("text_key", F.explode("terms").alias("term")), "pii-texts")
     total = docs.count()
+    # Documents of a term among those that hold any entity: no more than all its documents, so what can't tell enough by this number can't by the whole one. Nor can a term of one such document.
+    low = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("low")).where("low > 1")
+    most = profiles.groupBy("text_key").agg(F.max("holders").alias("most"))
+    whole = stored(rows.select("text_key", "terms").dropDuplicates(["text_key"]).join(most, "text_key"), "pii-term-sets")
+    texts = whole.select("text_key", "most", F.explode("terms").alias("term"))
+    least_told = generalise - 1e-9
+    can_tell = F.when(F.col("most") < total, F.log2(F.lit(total) / F.col("low")) >= least_told * F.log2(F.lit(total) / F.col("most"))).otherwise(False)
+    texts = stored(texts.join(low, "term").where(can_tell).select("text_key", "term", "low"), "pii-texts")
     pairs = texts.join(profiles, "text_key")
-    both = pairs.groupBy("profile", "term", "holders").agg(F.sum("n").alias("both"), F.sum("evidence").alias("e")).where("e > 1").drop("e")
-    both = stored(both, "pii-both")
+    both = pairs.groupBy("profile", "term", "holders").agg(F.sum("n").alias("both"), F.sum("evidence").alias("e"), F.max("low").alias("documents")).where("e > 1")
+    both = stored(both.where(told_share(total) >= least_told).drop("e", "documents"), "pii-both")
     names = both.select(F.explode(F.concat(F.array("term"), beginnings_of("term"))).alias("name")).distinct()
     counts = stored(document_counts(docs, stored(names, "pii-names"), broadcast_terms), "pii-counts")
     telling = both.join(counts.withColumnRenamed("name", "term"), "term").withColumn("share", told_share(total)).where(F.col("share") >= generalise)
     telling = stored(telling.select("profile", "term", (F.col("share") >= remove).alias("removed")), "pii-telling")
-    classes = classes_of(telling, texts, profiles, counts, total, generalise)
+    classes = classes_of(telling, whole, profiles, counts, total, generalise)
     named = telling.join(classes, ["profile", "term"], "left").withColumn("class", F.coalesce("class", F.lit("")))
     # A term that tells of several entities is in the widest of its classes: the shortest beginning, which is the first.
     terms = pairs.join(named, ["profile", "term"]).groupBy("text_key", "term").agg(F.max("removed").alias("removed"), F.min("class").alias("class"))

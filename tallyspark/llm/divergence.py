@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released, stored
+from .common import bounded_batches, released, stored
 from .wordhash import text_bytes
 
 SCALE, LEAST_DOCS, TOP = 1_000_000_000, 10, 10
@@ -67,6 +67,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
+    bounded_batches(docs.sparkSession)
     empty = F.lit("")
     chosen = docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), F.coalesce("text", empty).alias("text"))
     counts = chosen.mapInArrow(released(run), "lang string, source string, term binary, n long, docs long")
@@ -83,15 +84,19 @@ def _cost(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
+def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, broadcast_terms: int = 300_000) -> DataFrame:
     """lang, source, part, item, value, rank: part ``pair`` is the divergence from each other source of the language, part ``term`` the terms that set a source apart most."""
     counts = stored(term_counts(docs), "term-counts")
     of_lang = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     kept = stored(of_lang.where(F.col("docs") >= least_docs).select("lang", "term", "n"), "kept-terms")
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n_lang"))
 
+    known = kept.select("lang", "term", F.col("n").alias("all_n"))
+    if kept.count() <= broadcast_terms:
+        known = F.broadcast(known)
+
     # A row for each group, with its number of kept occurrences and terms; groups without any are there too.
-    rows = counts.where("n > 0").select("lang", "source", "term", "n").join(kept.select("lang", "term", F.col("n").alias("all_n")), ["lang", "term"])
+    rows = counts.where("n > 0").select("lang", "source", "term", "n").join(known, ["lang", "term"])
     own = rows.groupBy("lang", "source").agg(F.sum("n").alias("n_group"), F.count(F.lit(1)).alias("terms"))
     groups = counts.where("term is null").select("lang", "source").join(own, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.na.fill(0, ["n_group", "terms", "v", "n_lang"])

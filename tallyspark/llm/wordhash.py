@@ -1,7 +1,7 @@
 """Words and shingles of many texts at once, as 64-bit hashes in numpy arrays.
 
-Bytes are classed by table lookup; a word's hash is a polynomial over its (lower-cased) bytes modulo 2**64, taken from running sums,
-then mixed. Work goes in chunks of whole texts, about a megabyte each, so memory follows the longest text at most.
+Bytes are classed by table lookup. Each (lower-cased) byte and its place in the word name a pseudo-random number; a word's hash is the sum of its bytes' numbers, taken from running
+sums, then mixed with its length. (A polynomial modulo 2**64 would do without the mixing of each byte, but has words of 1,024 letters that collide for every base.) Work goes in chunks of whole texts, about 64 kB each, so memory follows the longest text at most.
 """
 
 from __future__ import annotations
@@ -34,18 +34,6 @@ def _tables(drop: bytes) -> tuple[np.ndarray, np.ndarray]:
     return value, space
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        back = U(pow(P, -1, 1 << 64))
-        _POWERS[0] = np.cumprod(np.concatenate([np.ones(1, U), np.full(size, U(P))]))
-        _POWERS[1] = np.cumprod(np.concatenate([np.ones(1, U), np.full(size, back)]))
-    return _POWERS[0], _POWERS[1]
-
-
 def word_hashes(data: np.ndarray, drop: bytes = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of the runs of bytes outside drop."""
     value, space = _tables(drop)
@@ -55,10 +43,12 @@ def word_hashes(data: np.ndarray, drop: bytes = SPACES) -> tuple[np.ndarray, np.
     inside = ~space[data]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     starts, ends = edge[::2], edge[1::2]
-    power, back = _powers(n)
-    run = np.zeros(n + 1, U)
-    np.cumsum(value[data] * power[:n], out=run[1:])
-    hashes = mix((run[ends] - run[starts]) * back[starts] + (ends - starts).astype(U) * U(MIX2))
+    lengths = ends - starts
+    upto = np.cumsum(lengths)
+    place = np.arange(int(upto[-1]) if len(upto) else 0, dtype=U) - np.repeat((upto - lengths).astype(U), lengths)
+    run = np.zeros(len(place) + 1, U)
+    np.cumsum(mix(value[data[inside]] + place * U(P)), out=run[1:])
+    hashes = mix(run[upto] - run[upto - lengths] + lengths.astype(U) * U(MIX2))
     return starts, ends, hashes
 
 
@@ -75,7 +65,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def each_text(column: pa.Array, drop: bytes = SPACES, chunk: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def each_text(column: pa.Array, drop: bytes = SPACES, chunk: int = 1 << 16) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each text: its place, bytes, and starts, ends, hashes of its words. A text ends a word, whatever follows."""
     data, offsets = text_bytes(column)
     n, i = len(offsets) - 1, 0

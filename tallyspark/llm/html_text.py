@@ -5,7 +5,8 @@ A page is cut into lines (blocks of text). Three kinds of lines:
 * lines in parts that are never main text (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, styles) go by their markup;
 * prose inside an article or main element stays: headings, and blocks without a class or id of their own. Articles of one site share such lines too (licences, quotations), and they are
   still the article's;
-* all other lines are open: every line of a page that marks no article or main element, and blocks with a class or id inside of one that does (share bars, notices of the site).
+* all other lines are open: every line of a page that marks no article or main element, and, inside of one that does, blocks with a class or id, and all that a block holds whose class has
+  a word of such a part among others (``related-work``). Elements in a line are never left out for their class.
 
 Differencing decides the open lines. Pages are paired by URL: inside a host, in order of path, each page meets the nearest page before it and after it that is not a copy. The lines of
 both are aligned by a longest common subsequence, and open lines that are shared are the site's, not the page's, and go. Pages that differ in less than ``copy_share`` of their characters are
@@ -53,6 +54,12 @@ BAD_WORDS = frozenset(
     "skip outbrain taboola topnav sidenav mainnav subnav commentlist commentsection cookiebar adbox adbanner sharebar announcement announcements disclaimer alert alerts".split()
 )
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Words that go with the above in names of such parts. Inside of main text a block is left out for its class only if all words of a name are of these two kinds; others are open.
+PART_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons card center col collapse column container content desktop drop entry fixed float form group head icon icons id img image inline inner item items label left "
+    "link links list main mobile module nav new news outer page pages panel part parts post posts primary region right row rows secondary section side site slot small tag text title tool tools top unit view "
+    "wrap wrapper zone article articles story stories media more on in by to the our us you facebook twitter google disclosure el js ui".split()
+)
 STARTS_OF_STATES = frozenset("has with no not is without show hide".split())
 #: Elements that are never left out for their class: they wrap whole pages.
 WRAPPERS = frozenset(["html", "body", "main"])
@@ -139,17 +146,19 @@ def attributes(rest: str) -> dict[str, str]:
     return out
 
 
-def unwanted(name: str, found: dict[str, str]) -> bool:
-    """Whether an element is left out for its class, id, role or style."""
+def unwanted(name: str, found: dict[str, str], inside: bool = False) -> bool:
+    """Whether an element is left out for its class, id, role or style. inside: of main text. Elements in a line are never left out for their class: they are parts of sentences."""
     if not found or name in WRAPPERS:
         return False
     if "hidden" in found and name not in INLINE or "display:none" in found.get("style", "").replace(" ", "").lower():
         return True
+    if name in INLINE:
+        return False
     if found.get("role", "").strip().lower() in BAD_ROLES:
         return True
     for one in f"{found.get('class', '')} {found.get('id', '')}".split():
         parts = [w.lower() for w in _WORDS.findall(one)]
-        if parts and parts[0] not in STARTS_OF_STATES and not BAD_WORDS.isdisjoint(parts):
+        if parts and parts[0] not in STARTS_OF_STATES and not BAD_WORDS.isdisjoint(parts) and not (inside and any(w not in BAD_WORDS and w not in PART_WORDS and not w.isdigit() for w in parts)):
             return True
     return False
 
@@ -165,11 +174,12 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
     if not page:
         return []
     out: list[tuple[str, bool, bool]] = []  # text, open, inside of main
-    # Open elements: name, and (skip, main, heading, labelled) before it. skip: 0 nothing, 1 for a class or a tag that may hold the article by mistake, 2 surely; 3 keeps headings only.
-    stack: list[tuple[str, int, bool, bool, bool]] = []
+    # Open elements: name, and (skip, main, heading, labelled, suspect) before it. skip: 0 nothing, 1 for a class or a tag that may hold the article by mistake, 2 surely; 3 keeps headings only.
+    # suspect: inside of a block of main text whose class says that it may be none, without being sure.
+    stack: list[tuple[str, int, bool, bool, bool, bool]] = []
     places: dict[str, list[int]] = {}
     mains: list[int] = []
-    skip, main, heading, labelled = 0, False, False, False
+    skip, main, heading, labelled, suspect = 0, False, False, False, False
     held: list[str] = []
     at = 0
 
@@ -178,7 +188,7 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
             line = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if line:
-                out.append((line, not main or labelled and not heading, main))
+                out.append((line, not main or suspect or labelled and not heading, main))
 
     def text(part: str) -> None:
         if part and (not skip or skip == 3 and heading):
@@ -188,7 +198,7 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         text(page[at:start])
         at = end
         if kind == "other":
-            if name and name not in ("svg", "math"):
+            if name == "xmp":
                 flush()
             continue
         if name not in INLINE:
@@ -199,7 +209,7 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
             mine = places.get(name)
             if mine and not (name in WITHIN_ARTICLE and mains and mains[-1] > mine[-1]):
                 place = mine[-1]
-                _, skip, main, heading, labelled = stack[place]
+                _, skip, main, heading, labelled, suspect = stack[place]
                 for gone, *_ in stack[place:]:
                     places[gone].pop()
                     if gone in MAIN:
@@ -211,7 +221,7 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         places.setdefault(name, []).append(len(stack))
         if name in MAIN:
             mains.append(len(stack))
-        stack.append((name, skip, main, heading, labelled))
+        stack.append((name, skip, main, heading, labelled, suspect))
         if name == "body":
             skip = 0
         found = attributes(rest)
@@ -219,7 +229,8 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
             heading = True
         if name not in INLINE:
             labelled = name not in MAIN and ("class" in found or "id" in found)
-        bad = unwanted(name, found)
+        bad = unwanted(name, found, main)
+        suspect = suspect or main and not bad and unwanted(name, found)
         if name in MAIN and not bad and (skip < 2 or skip == 3):
             skip, main = 0, True
         elif not skip:

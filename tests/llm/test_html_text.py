@@ -25,6 +25,22 @@ def test_structure():
         html_text.lines(odd)
 
 
+def test_sentences_of_main_text_stay_whole():
+    wrap = lambda x: main(f"<body><article>{x}</article></body>")
+    assert wrap('<p>see <span class="ad-hoc">ad hoc</span> text</p>') == "see ad hoc text"
+    assert wrap('<p>a <a class="social" id="share">linked</a> word <em class="promo">here</em></p>') == "a linked word here"
+    assert wrap('<p>one</p><section class="related-work"><h2>Related</h2><p>body</p></section>') == "one\n\nRelated\n\nbody"
+    assert wrap('<div class="social-science"><p>text</p></div><p>b</p>') == "text\n\nb"
+    assert wrap('<p>one</p><div class="share-buttons"><p>x</p></div><div class="ad"><p>y</p></div><ul class="related posts"><li>z</li></ul>') == "one"
+    assert wrap("<p>left <script>x()</script>right<noscript>n</noscript> end<style>p{}</style>.</p>") == "left right end."
+    assert wrap('<p>a<span style="display: none">b</span>c</p>') == "ac"
+
+
+def test_labelled_blocks_of_an_article_are_open():
+    found = dict(html_text.lines('<article><p>a</p><section class="related-work"><h2>h</h2><div class="x"><p>b</p></div></section></article>'))
+    assert found == {"a": False, "h": True, "b": True}
+
+
 @pytest.mark.parametrize("piece", ["<script ", '<p class="x ', "<a ", "<!--", '<a x=">" ', "</", "<", "<svg>", "<p id='", "&", "<div>", "</x>", '<a href=">'])
 def test_reading_takes_linear_time(piece):
     page = "<div>" * 20_000 + piece * (1_000_000 // len(piece))

@@ -2,12 +2,12 @@
 
 A logger that stores a conversation after every reply leaves prefixes of the final one. The hash of a prefix is the exclusive or of the hashes of its
 (place, role, text), two of 64 bits, so it rolls along the turns as a running aggregate. A conversation whose whole hash is the hash of a proper prefix of any
-other is dropped by an anti-join against the distinct proper prefixes; of equal conversations the one of least id stays. What remains is rendered, in segments of ``segment_turns`` turns (a
-parameter; without it a conversation is one row, and its text must fit a row).
+other is dropped by an anti-join against the distinct proper prefixes; of equal conversations the one of least id stays. What remains is rendered, a conversation a row; ``segment_turns``, where
+it is given, makes a row of so many turns each.
 
 Scale: turns are range-partitioned by conversation and order, so a conversation that holds a large share of all rows, with turn numbers of any kind, spreads over many tasks; counts
 and hashes of these cells are pre-aggregated and summed up before the turns inside a cell are. Exact repeats are taken together before anything is shuffled. Texts are shuffled twice, to meet their places and
-their segments, and a segment is a bounded number of turns.
+their segments, and a segment is a bounded number of turns; only conversations of several segments are then put together, from one rendered text a segment.
 
 Defined cases: turns are ordered by number (null last), then by role and text; an exact repeat of a turn counts once; a null role renders as "unknown", a null text as
 empty; null conversation ids are one conversation; very long texts are one turn; empty tables give empty results. Extra columns are ignored, whatever their names.
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, stored
 
+#: Turns rendered together.
 SEGMENT_TURNS = 1024
 #: Fixed values of the template.
 BEFORE_ROLE, AFTER_ROLE, AFTER_TEXT = "<|", "|>\n", "<|end|>\n"
@@ -76,9 +77,9 @@ def maximal(rolled: DataFrame) -> DataFrame:
     return whole.join(proper, ["place", "p1", "p2"], "left_anti").select("conv_id", F.col("place").alias("n_turns"))
 
 
-def render(turns: DataFrame, rolled: DataFrame, chosen: DataFrame, segment_turns: int | None = SEGMENT_TURNS) -> DataFrame:
+def _segments(turns: DataFrame, rolled: DataFrame, chosen: DataFrame, segment_turns: int) -> DataFrame:
     """conv_id, segment (from 0), n_turns, rendered."""
-    segment = F.floor((F.col("place") - 1) / segment_turns) if segment_turns else F.lit(0).cast("long")
+    segment = F.floor((F.col("place") - 1) / segment_turns)
     kept = rolled.join(chosen.select(F.col("conv_id").alias("_v")), F.col("conv_id").eqNullSafe(F.col("_v")))
     kept = kept.select(F.col("turn_key").alias("k"), "conv_id", segment.alias("segment"), "place", "n_turns")
     texts = turns.select(_turn_key().alias("k"), "role", "text").groupBy("k").agg(F.first("role").alias("role"), F.first("text").alias("text"))
@@ -87,7 +88,18 @@ def render(turns: DataFrame, rolled: DataFrame, chosen: DataFrame, segment_turns
     return rows.select("conv_id", "segment", F.col("n_turns").cast("long").alias("n_turns"), F.array_join(F.transform("rows", line), "").alias("rendered"))
 
 
-def formatted(turns: DataFrame, segment_turns: int | None = SEGMENT_TURNS) -> DataFrame:
+def render(turns: DataFrame, rolled: DataFrame, chosen: DataFrame, segment_turns: int | None = None) -> DataFrame:
+    """conv_id, n_turns, rendered; with segment_turns also segment."""
+    if segment_turns:
+        return _segments(turns, rolled, chosen, segment_turns)
+    several = F.col("n_turns") > SEGMENT_TURNS
+    short = _segments(turns, rolled.where(~several), chosen.where(~several), SEGMENT_TURNS).drop("segment")
+    parts = _segments(turns, rolled.where(several), chosen.where(several), SEGMENT_TURNS)
+    whole = parts.groupBy("conv_id", "n_turns").agg(F.sort_array(F.collect_list(F.struct("segment", "rendered"))).alias("parts"))
+    return short.unionByName(whole.select("conv_id", "n_turns", F.array_join(F.col("parts.rendered"), "").alias("rendered")))
+
+
+def formatted(turns: DataFrame, segment_turns: int | None = None) -> DataFrame:
     """The maximal conversations, rendered."""
     with scratch(turns.sparkSession) as keep:
         rolled = keep(prefixes(turns), "chat-prefixes")
@@ -110,7 +122,7 @@ WITH items AS (
 ), placed AS (
   SELECT i.*, l.n_turns, row_number() OVER (PARTITION BY i.conv_id ORDER BY turn NULLS LAST, item) AS place FROM items i JOIN longest l ON i.conv_id IS NOT DISTINCT FROM l.conv_id
 )
-SELECT conv_id, (place - 1) // 1024 AS segment, n_turns,
+SELECT conv_id, n_turns,
   string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY place) AS rendered
-FROM placed GROUP BY 1, 2, 3
+FROM placed GROUP BY 1, 2
 """

@@ -35,6 +35,22 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % n
 
 
+#: Bytes of an Arrow batch, where the session leaves Spark's default: a worker and its JVM hold several copies of a batch at a time.
+BATCH_BYTES, _BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+_DEFAULT_BATCH = 64 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, so that batches of long texts fit next to each other; a session that has set a size keeps it."""
+    if spark.conf.get(_BATCH_SETTING, None) in (f"{_DEFAULT_BATCH}b", "64m", "64MB"):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def text_key(text: str = "text") -> Column:
+    """Names a text by 128 bits; null counts as the empty text."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 _LOCAL: dict[str, str] = {}
 
 

@@ -3,8 +3,7 @@
 Texts are lower-cased and cut into words at all but letters and digits. A mask picks some positions of a span of words and ignores the others; the hash of the picked words is a
 seed. Every seed of every document is looked up among the seeds of the benchmark, so a substituted word spoils only the seeds that pick it. Around each hit
 the document is laid over the item, without gaps, and words that agree are marked on the item; marks of several hits add up, so a passage with a word put in or
-left out counts too. A document is contaminated by an item when enough of the item is marked: ``least_share`` of its words, or ``least_words`` words of a long item (a
-parameter; none means that the share alone decides).
+left out counts too. A document is contaminated by an item when ``least_share`` of the item's words are marked; ``least_words``, where it is given, also takes so many words of a long item.
 
 Scale: the documents are read once. A benchmark of at most ``block_chars`` characters is indexed and broadcast, and nothing is shuffled. A larger one is never held as a whole: its seeds are
 a table; documents are scanned with a bitmap of these seeds (16 MB, whatever the benchmark's size), and those with a hit are joined with the seeds by hash, which says in which blocks
@@ -25,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, released, scratch, stored
+from .common import bounded_batches, free_name, released, scratch, stored, text_key
 from .wordhash import U, each_text, mix
 
 #: Positions looked at in a span of words; each ignores other places.
@@ -34,8 +33,8 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7), (0, 1, 4, 7, 9))
 BREAKS = bytes(x for x in range(128) if not chr(x).isalnum())
 #: Bits of the filters of an index and of a benchmark in blocks.
 BITMAP, FILTER = 22, 27
-#: Words that a long item must share, and words compared at a time.
-LEAST_WORDS, AT_ONCE = 25, 1 << 20
+#: Words compared at a time.
+AT_ONCE = 1 << 20
 
 
 def seeds(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -107,7 +106,7 @@ class Index:
         new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
         return k[new], s[new]
 
-    def overlaps(self, hashes: np.ndarray, least_share: float, least_words: int | None = LEAST_WORDS) -> list[tuple[int, int, int, int]]:
+    def overlaps(self, hashes: np.ndarray, least_share: float, least_words: int | None = None) -> list[tuple[int, int, int, int]]:
         """(item id, marked words, item words, first word in the document) of each item that the words hold enough of."""
         k, s = self._lines(hashes)
         if not len(k):
@@ -152,9 +151,9 @@ FOUND = "doc_id long, item_id long, matched long, item_words long, share double,
 _FOUND = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
 
 
-def _found(rows: list[tuple]) -> pa.RecordBatch:
+def _found(rows: list[tuple], id_type: pa.DataType = _FOUND[0]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [()] * len(_FOUND)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND, strict=True)], names=[f.split()[0] for f in FOUND.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [id_type, *_FOUND[1:]], strict=True)], names=[f.split()[0] for f in FOUND.split(", ")])
 
 
 def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
@@ -169,9 +168,10 @@ def _small_index(items: DataFrame):
     return items.sparkSession.sparkContext.broadcast(Index.of_texts(rows))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5, least_words: int | None = LEAST_WORDS, block_chars: int = 8_000_000) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5, least_words: int | None = None, block_chars: int = 8_000_000) -> DataFrame:
     """doc_id, item_id, matched, item_words, share, first_word: one row for each document and item that it holds."""
     items, chars = _items(benchmark)
+    bounded_batches(docs.sparkSession)
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if chars > block_chars:
         return _overlaps_in_blocks(light, items, least_share, least_words, -(-chars // block_chars))
@@ -188,8 +188,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5, le
 
 
 def _overlaps_in_blocks(docs: DataFrame, items: DataFrame, least_share: float, least_words: int | None, blocks: int, group_bytes: int = 64_000_000) -> DataFrame:
-    """The same for a benchmark of any size."""
+    """The same for a benchmark of any size. docs: doc_id (long, or a text key), text."""
     spark = docs.sparkSession
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    by_text = id_kind == "string"
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,13 +238,13 @@ def _overlaps_in_blocks(docs: DataFrame, items: DataFrame, least_share: float, l
                 )
 
         numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-        hit = keep(numbered.mapInArrow(released(scan), "row long, doc_id long, words binary, hits array<long>"), "leak-hits")
+        hit = keep(numbered.mapInArrow(released(scan), f"row long, doc_id {id_kind}, words binary, hits array<long>"), "leak-hits")
         pairs = stored(hit.select("row", F.octet_length("words").alias("bytes"), F.explode("hits").alias("seed")).join(sown, "seed").select("row", "bytes", "block").distinct(), "leak-pairs")
         groups = pairs.groupBy("block").agg(F.ceil(F.sum("bytes") / F.lit(group_bytes)).cast("long").alias("groups"))
         groups = keep(groups, "leak-groups")
         dealt = keep(pairs.join(groups, "block").select("row", "block", F.pmod(F.xxhash64("row"), F.col("groups")).alias("part")), "leak-dealt")
-    sides = known.join(groups, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(0).alias("side"), "id", "words")
-    sides = sides.unionByName(hit.select("row", F.col("doc_id").alias("id"), "words").join(dealt, "row").select("block", "part", F.lit(1).alias("side"), "id", "words"))
+    sides = known.join(groups, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(0).alias("side"), F.col("id").cast("string").alias("id"), "words")
+    sides = sides.unionByName(hit.select("row", F.col("doc_id").cast("string").alias("id"), "words").join(dealt, "row").select("block", "part", F.lit(1).alias("side"), "id", "words"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -254,28 +256,31 @@ def _overlaps_in_blocks(docs: DataFrame, items: DataFrame, least_share: float, l
             for block, part, side, i, words in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if held != (block, part):
                     held, ids, items, index = (block, part), [], [], None
+                if i is not None and not (side and by_text):
+                    i = int(i)
                 if not side:
                     ids.append(i)
                     items.append(np.frombuffer(words, U))
                     continue
                 index = index or Index(ids, items)
                 rows += [(i, item, n_words, n, n_words / n, at) for item, n_words, n, at in index.overlaps(np.frombuffer(words, U), least_share, least_words)]
-            yield _found(rows)
+            yield _found(rows, pa.string() if by_text else pa.int64())
 
-    return sides.repartition("block", "part").sortWithinPartitions("block", "part", "side").mapInArrow(released(look), FOUND)
+    return sides.repartition("block", "part").sortWithinPartitions("block", "part", "side").mapInArrow(released(look), FOUND.replace("doc_id long", f"doc_id {id_kind}"))
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5, least_words: int | None = LEAST_WORDS, block_chars: int = 8_000_000, out: str = "contaminated"
+    docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5, least_words: int | None = None, block_chars: int = 8_000_000, out: str = "contaminated"
 ) -> DataFrame:
     """docs with a boolean column."""
+    bounded_batches(docs.sparkSession)
     items, chars = _items(benchmark)
     if chars > block_chars:
         # What a text holds does not depend on its row: texts are looked up by their hash.
         key = free_name(docs.columns, "_text_key")
-        text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-        held = overlaps(docs.select(text_key.alias("doc_id"), "text"), benchmark, least_share, least_words, block_chars).select(F.col("doc_id").alias(key)).distinct()
-        marked = docs.drop(out).join(held.withColumn(out, F.lit(True)), text_key == F.col(key), "left").drop(key)
+        keyed = docs.select(text_key().alias("doc_id"), "text")
+        held = _overlaps_in_blocks(keyed, items, least_share, least_words, -(-chars // block_chars)).select(F.col("doc_id").alias(key)).distinct()
+        marked = docs.drop(out).join(held.withColumn(out, F.lit(True)), text_key() == F.col(key), "left").drop(key)
         return marked.withColumn(out, F.coalesce(out, F.lit(False)))
     index = _small_index(items)
 

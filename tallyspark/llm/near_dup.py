@@ -13,7 +13,8 @@ result is exact within the cluster. Clusters beyond ``block_shingles`` are compa
 
 Defined cases: null, empty and blank texts have no set, are linked with nothing and are their own component; texts with fewer than k words are one shingle;
 repeated rows are equal sets; null ids never win a minimum (a row without an id is kept only where no row of its component has one); ids must be
-numbers; empty tables give empty results. Extra columns are not touched.
+numbers; empty tables give empty results. Extra columns are not touched. ``keep_one`` decides by row, not by id: rows of one id and different texts are decided each for itself, and
+of rows with equal id and text in a component one stays.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, scratch, stored
+from .common import bounded_batches, free_name, released, scratch, stored, text_key
 from .components import components
 from .wordhash import U, each_text, mix, shingles
 
@@ -66,11 +67,7 @@ def with_sets(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_key", "n_shingles", "sid", "sig"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return keyed.mapInArrow(released(run), "doc_id long, text_key long, n_shingles long, sid binary, sig binary")
-
-
-def text_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return keyed.mapInArrow(released(run), "doc_id long, text_key string, n_shingles long, sid binary, sig binary")
 
 
 def _branch(sigs: np.ndarray, paths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,13 +223,26 @@ def confirmed_edges(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: in
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
     keyed = keyed.join(chosen, (F.col("text_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
     wanted = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
+
+    def sets_batch(sids: list[bytes], sets: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(sets, pa.binary())], names=["sid", "shingles"])
+
     members = members.join(weights, "root").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(hashes, k) for _, _, _, _, hashes in each_text(batch.column(0))]
-            found = [x for x in found if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=["sid", "shingles"])
+            sids, sets, size = [], [], 0
+            for _, _, _, _, hashes in each_text(batch.column(0)):
+                found = shingles(hashes, k)
+                if len(found):
+                    sids.append(set_id(found))
+                    sets.append(found.astype("<u8").tobytes())
+                    size += len(sets[-1])
+                # A set takes more room than its text: batches are cut by bytes.
+                if size > 4 << 20:
+                    yield sets_batch(sids, sets)
+                    sids, sets, size = [], [], 0
+            yield sets_batch(sids, sets)
 
     full = wanted.select("text").mapInArrow(released(run), "sid binary, shingles binary")
     # One block a cluster as a rule; else block i meets each block j >= i (and itself) in a group of its own.
@@ -242,8 +252,9 @@ def confirmed_edges(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: in
     return grouped.select("root", "part", "sid", "shingles").mapInArrow(released(_confirm(k, percent)), "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 16, node_limit: int = 4096, block_shingles: int = 2_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id: the least doc_id reachable over links with Jaccard similarity of at least percent / 100."""
+def _found(docs: DataFrame, k: int, percent: int, trees: int, node_limit: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """(sets: doc_id, text_key, n_shingles, sid of each row; named: _sid, component_id and root, the least class of the component), both stored."""
+    bounded_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
         sets = keep(with_sets(docs, k), "sets")
         first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
@@ -254,17 +265,40 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         links = components(confirmed_edges(docs, classes.drop("sig"), clusters, k, percent, block_shingles))
         links = links.join(classes.select(F.col("sid").alias("id"), "doc_id"), "id")
         least = links.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        found = links.join(least, "root").select(F.col("id").alias("sid"), "component_id")
+        found = links.join(least, "root").select(F.col("id").alias("sid"), "root", "component_id")
         alone = classes.select("sid", F.col("doc_id").alias("class_id")).join(found, "sid", "left")
-        named = keep(alone.select(F.col("sid").alias("_sid"), F.coalesce("component_id", "class_id").alias("component_id")), "named")
+        named = alone.select(F.col("sid").alias("_sid"), F.coalesce("root", "sid").alias("root"), F.coalesce("component_id", "class_id").alias("component_id"))
+        return sets, keep(named, "named")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 16, node_limit: int = 4096, block_shingles: int = 2_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id: the least doc_id reachable over links with Jaccard similarity of at least percent / 100."""
+    sets, named = _found(docs, k, percent, trees, node_limit, block_shingles)
     return sets.join(named, F.col("sid") == F.col("_sid"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **how: int) -> DataFrame:
-    """docs without those whose component has a document of lesser id. Rows that repeat a kept id stay one; rows without an id always stay."""
-    found = near_duplicates(docs, **how).where("component_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct()
-    kept = docs.join(found, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
-    return kept
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 16, node_limit: int = 4096, block_shingles: int = 2_000_000) -> DataFrame:
+    """One row of each component of docs: that of least id (null last), then of least text key; rows without words all stay."""
+    sets, named = _found(docs, k, percent, trees, node_limit, block_shingles)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"))
+    # Rows of equal id and text are counted before components are, so neither is one task's work.
+    rows = sets.where("sid is not null").groupBy("sid", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    chosen = rows.join(named, F.col("sid") == F.col("_sid")).groupBy("root").agg(F.min_by(F.struct("doc_id", "text_key", "rows"), row).alias("one"))
+    wordless = sets.where("sid is null").select("doc_id", "text_key", F.lit(1).cast("long").alias("rows")).distinct()
+    chosen = stored(chosen.select("one.*").unionByName(wordless), "kept-rows")
+
+    names = {c: free_name(docs.columns, c) for c in ("_doc", "_text", "_rows")}
+    keys = chosen.select(F.col("doc_id").alias(names["_doc"]), F.col("text_key").alias(names["_text"]), F.col("rows").alias(names["_rows"]))
+    same = (text_key() == F.col(names["_text"])) & F.col("doc_id").cast("long").eqNullSafe(F.col(names["_doc"]))
+    once = docs.join(keys.where(F.col(names["_rows"]) == 1), same, "left_semi")
+    repeated = keys.where(F.col(names["_rows"]) > 1)
+    if not repeated.limit(1).count():
+        return once
+    # Of rows that repeat one: equal in what decides, so the least of their other columns, as far as these have an order.
+    ordered = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    more = docs.join(repeated, same, "left_semi")
+    one = F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias("_one")
+    return once.unionByName(more.groupBy(text_key().alias("_k"), F.col("doc_id").alias("_d")).agg(one).select("_one.*"))
 
 
 def op10_near_dup(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, released, scratch, stored
+from .common import bounded_batches, crc_mod, released, scratch, stored
 from .wordhash import each_text
 
 STATS = (
@@ -165,6 +165,7 @@ def fit(labelled: DataFrame, shrink: float = 0.3, pool: float = 0.3, floor: floa
 
 def learnt(docs: DataFrame, labels: DataFrame, broadcast_labels: int = 2_000_000, **how: float) -> Model:
     """The model of the rows of docs with a label, outside the held-out fold."""
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_label_of"), F.col("quality").alias("_quality")).where((crc_mod(F.col("doc_id"), 5) != 0) & F.col("quality").isin(0, 1))
     if known.count() <= broadcast_labels:
         mine = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_label_of")).select("_quality", "text")

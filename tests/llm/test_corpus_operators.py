@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import chat_format, decontamination, mixing, near_dup, quality
 from tallyspark.llm.components import components
+from tallyspark.llm.wordhash import each_text
 
 WORDS = [a + b for a in "the on er in at re an th st ha".split() for b in ("", "ing", "ed", "ly", "or")]
 
@@ -103,7 +104,56 @@ def test_near_duplicates_odd_tables(docs):
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in rows) == [(0, 7), (7, 7), (7, 7), (9, 9), (9, 9)]
     assert {(r["doc_id"], r["kept"]) for r in rows} == {(None, False), (7, True), (9, True)}
     kept = near_dup.keep_one(docs([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g"), (None, "a b c d e f")]))
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3] and kept.columns[-1] == "size"
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [1, 3] and kept.columns[-1] == "size"
+
+
+def kept_by_row(rows, k=5):
+    """keep_one by brute force: rows get numbers of their own, components are those of the numbers."""
+    of = brute_components([(n, t) for n, (_, t, *_) in enumerate(rows)], k)
+    groups = defaultdict(list)
+    for n, (i, t, *rest) in enumerate(rows):
+        groups[of[n][1] if of[n][0] else -1 - n].append((i is None, i or 0, hashlib.md5((t or "").encode()).hexdigest(), *rest, t))
+    return Counter((None if none else i, t) for none, i, _, *_, t in (min(g, key=lambda x: x[:-1]) for g in groups.values()))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_keep_one_decides_by_row(docs, seed):
+    rng = random.Random(seed)
+    rows = near_copies(rng, 14)
+    # Ids that repeat over different texts, equal rows, and rows without an id.
+    rows = [(rng.choice([i, i, i // 3, 5, None]), t, rng.choice("st")) for i, t in rows]
+    rows += [(1, text(rng, 40), "s"), (5, text(rng, 40), "s"), (5, rows[0][1], "s"), *rows[:6], *rows[:2], (None, rows[3][1], "t"), (None, rows[3][1], "t")]
+    got = near_dup.keep_one(docs(rows))
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == kept_by_row(rows) and got.columns[-1] == "size"
+
+
+def test_unique_text_of_a_repeated_id_stays(docs):
+    one, other = "x y z a b c d", "nobody else has this text at all"
+    assert sorted((r["doc_id"], r["text"]) for r in near_dup.keep_one(docs([(1, one), (5, one), (5, other), (7, other + " more"), (7, other + " more")])).collect()) == [(1, one), (5, other), (7, other + " more")]
+
+
+def test_words_that_collide_in_polynomial_hashes():
+    thue = "a"
+    while len(thue) < 2048:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    for n in (256, 1024, 2048):
+        a, b = thue[:n], thue[:n].translate(str.maketrans("ab", "ba"))
+        hashes = [h for *_, h in each_text(pa.array([f"{a} {b} {a}", a[::-1]]))]
+        assert hashes[0][0] == hashes[0][2] != hashes[0][1] and len({*hashes[0].tolist(), *hashes[1].tolist()}) >= 2
+
+
+def test_word_hashes_know_words_only():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abAB\u00e9") for _ in range(rng.randint(1, 6))) for _ in range(4000)]
+    seen = {}
+    for *_, h in each_text(pa.array([" ".join(words), "  ".join(words[::-1]), None, "", " "])):
+        for x, w in zip(h.tolist(), words if len(seen) == 0 else words[::-1], strict=False):
+            assert seen.setdefault(x, lowered(w)) == lowered(w)
+    assert len(seen) == len({lowered(w) for w in words})
+
+
+def lowered(w):
+    return "".join(c.lower() if c.isascii() else c for c in w)
 
 
 def test_components(spark):
@@ -144,7 +194,7 @@ def masked(words, mask):
     return out
 
 
-def plain_overlap(doc, item, least_words=25):
+def plain_overlap(doc, item):
     """(marked words, item words) of an item in a document, by trying every mask at every place; None if not enough."""
     n = len(item)
     masks = [tuple(range(n))] if n <= 4 else decontamination.MASKS
@@ -163,7 +213,7 @@ def plain_overlap(doc, item, least_words=25):
             same = {i for i in on if doc[s + i] == item[i]}
             marked |= {i for i in same if (2 * len(same) > len(on) if len(on) <= 5 else sum(j in same for j in range(i - 2, i + 3)) >= 3)}
         best = max(best, len(marked))
-    return (best, n) if best and best >= min(0.5 * n, least_words or n) else None
+    return (best, n) if best and best >= 0.5 * n else None
 
 
 @pytest.mark.parametrize("block", [8_000_000, 300])
@@ -197,8 +247,8 @@ def test_decontamination_of_long_items(spark, docs):
     rng = random.Random(2)
     long = text(rng, 200)
     rows, items = [(1, " ".join(long.split()[20:60])), (2, " ".join(long.split()[20:130]))], benchmark(spark, [(1, long)])
-    assert {r["doc_id"] for r in decontamination.overlaps(docs(rows), items).collect()} == {1, 2}
-    assert {r["doc_id"] for r in decontamination.overlaps(docs(rows), items, least_words=None).collect()} == {2}
+    assert {r["doc_id"] for r in decontamination.overlaps(docs(rows), items).collect()} == {2}
+    assert {r["doc_id"] for r in decontamination.overlaps(docs(rows), items, least_words=25).collect()} == {1, 2}
 
 
 def labelled(rng, n):
@@ -373,16 +423,15 @@ def chats(rng):
 def test_chat_format(spark):
     rows = chats(random.Random(6))
     table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, cell string").repartition(5)
-    mine = sorted((r["conv_id"] if r["conv_id"] is not None else -1, r["segment"], r["n_turns"], r["rendered"]) for r in chat_format.op8_chat_format(table).collect())
+    mine = sorted((r["conv_id"] if r["conv_id"] is not None else -1, r["n_turns"], r["rendered"]) for r in chat_format.op8_chat_format(table).collect())
     typed = "(SELECT conv_id::bigint AS conv_id, turn::bigint AS turn, role, text FROM conversations)"
     theirs = duck("conversations", table.drop("cell"), chat_format.ORACLE.replace("FROM conversations", f"FROM {typed}"))
-    assert mine == sorted((-1 if r[0] is None else r[0], r[1], r[2], r[3]) for r in theirs)
-    count = Counter(r[0] for r in mine)
-    assert count[300] == 3 and 301 not in count and count[303] == count[304] == 2 and count[305] == count[306] == 1
-    whole = {r["conv_id"]: r for r in chat_format.formatted(table, None).collect()}
+    assert mine == sorted((-1 if r[0] is None else r[0], r[1], r[2]) for r in theirs)
+    whole = {i: rendered for i, _, rendered in mine}
+    assert len(whole) == len(mine) and 301 not in whole and {300, 303, 304, 305, 306} <= set(whole)
     parts = defaultdict(str)
-    for i, _, _, rendered in mine:
-        parts[i] += rendered
-    assert {-1 if i is None else i: r["rendered"] for i, r in whole.items()} == parts and {r["segment"] for r in whole.values()} == {0}
+    for r in sorted(chat_format.formatted(table, 1000).collect(), key=lambda r: r["segment"]):
+        parts[-1 if r["conv_id"] is None else r["conv_id"]] += r["rendered"]
+    assert parts == whole
     assert chat_format.formatted(table, 10).where("conv_id = 303").count() == 150
     assert chat_format.op8_chat_format(table.limit(0)).collect() == []

@@ -27,12 +27,23 @@ def sha256(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
+#: Pieces of a JSON text: an escape of a code unit, any other escape (a backslash and what it stands before), printable characters, any other character.
+_PIECES = r"(?s)\\u[0-9A-Fa-f]{4}|\\.|[ -\[\]-~]+|."
+
+
+def ascii_only(text: Column) -> Column:
+    """A JSON text with everything but printable ASCII as \\u escapes of UTF-16 units, all such escapes in lower case. An escaped backslash before a u is no escape."""
+
+    def piece(x: Column) -> Column:
+        units = F.lower(F.hex(F.encode(x, "UTF-16BE")))
+        return F.when(x.rlike(r"^\\u"), F.lower(x)).when(x.rlike(r"^[ -~]"), x).otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
+
+    return F.when(text.rlike(r"[^ -~]|\\u"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), piece), "")).otherwise(text)
+
+
 def canonical_json(document: Column, keep_nulls: bool = False) -> Column:
     """JSON text of a struct whose fields are in alphabetical order: compact, ASCII only, \\u escapes in lower case."""
-    text = F.to_json(document, {"ignoreNullFields": str(not keep_nulls).lower(), "writeNonAsciiCharacterAsCodePoint": "true"})
-    # The writer's escapes are upper case; hashes are over lower case ones.
-    lower = lambda x: F.when(x.rlike(r"^\\u[0-9A-F]{4}"), F.concat(F.lower(F.substring(x, 1, 6)), F.substring(x, 7, 1 << 30))).otherwise(x)
-    return F.when(text.contains("\\u"), F.array_join(F.transform(F.split(text, r"(?=\\u[0-9A-F]{4})"), lower), "")).otherwise(text)
+    return ascii_only(F.to_json(document, {"ignoreNullFields": str(not keep_nulls).lower()}))
 
 
 def utc_micros(at: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import lookup, sha256
+from ..functions.columns import canonical_json, lookup, sha256
 from ..functions.reference_data import IDENTITY_POLICY
 from .lineage import checkpointed
 
@@ -119,12 +119,14 @@ ENVELOPE = ("case_id", "tenant_id", "portfolio_id", "trade_id", "field_path", "e
 
 
 def envelope_hash() -> Column:
-    return sha256(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ENVELOPE]))
+    """Hash of the canonical JSON of an envelope: named fields in order, nulls kept, so that no two envelopes have one text."""
+    return sha256(canonical_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(ENVELOPE)]), keep_nulls=True))
 
 
 def envelopes(cases: DataFrame, issued_at: Column, secret: bytes) -> DataFrame:
     """Signed envelopes of eligible cases (case_id, scope, trade_id, field_path, expected_old_value, approved_value), valid for 15 minutes."""
-    key = F.concat(F.lit("idem:"), F.sha2(F.concat_ws("|", "case_id", "trade_id", "field_path", "approved_value"), 256))
+    meaning = canonical_json(F.struct("approved_value", "case_id", "field_path", "trade_id"), keep_nulls=True)
+    key = F.concat(F.lit("idem:"), F.sha2(meaning, 256))
     made = cases.withColumn("idempotency_key", key).withColumn("issued_at", issued_at).withColumn("expires_at", issued_at + F.make_dt_interval(secs=F.lit(ENVELOPE_SECONDS)))
     made = made.select(*ENVELOPE).withColumn("envelope_hash", envelope_hash())
     return made.withColumn("signature", hmac_sha256(F.col("envelope_hash"), secret))

@@ -73,15 +73,24 @@ class Store:
         by = [c for c in SCOPE if c in rows.columns]
         rows.write.mode("append").partitionBy(*by).parquet(self.path(name))
 
-    def ingest(self, batch: DataFrame, on_conflict: str = "quarantine") -> DataFrame:
-        """Classify a batch, append what is new, quarantine what conflicts; returns the outcome counters. Of the inbox only the scopes and identities of the batch are read."""
-        from .ingest import IDENTITY, classified, counters, new_conflicts, split
-
+    def ingest(self, batch: DataFrame, on_conflict: str = "quarantine", on_mismatch: str = "raise") -> DataFrame:
+        """Verify content hashes, classify a batch, append what is new, quarantine what conflicts; returns the outcome counters. Of the inbox only the scopes and identities of the batch are read.
+
+        A batch that has ``hash_valid`` (documents) is taken at its word; else the hash of each row's content is computed. A wrong hash fails the batch before anything is written, or, with
+        on_mismatch='reject', its row is counted and left out."""
+        from ..functions.documents import observation_content
+        from .ingest import IDENTITY, ContentHashError, classified, counters, new_conflicts, split, verified
+
+        if "hash_valid" not in batch.columns:
+            batch = verified(batch, observation_content())
+        if on_mismatch == "raise" and batch.where("hash_valid is not true").limit(1).count():
+            raise ContentHashError("a delivery declares a hash that its content does not have; nothing was written")
         batch = batch.persist()
         inbox = self._touched("source_event_inbox", batch, IDENTITY)
         outcomes = classified(batch, inbox).persist()
         try:
             new, conflicts = split(outcomes, on_conflict)
+            conflicts = conflicts.drop("hash_valid")
             counted = self.spark.createDataFrame(counters(outcomes).collect(), "outcome string, n long")
             self._add("source_event_inbox", new)
             former = self._touched("source_event_conflicts", conflicts, TABLES["source_event_conflicts"])

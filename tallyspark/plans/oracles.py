@@ -52,11 +52,12 @@ base AS (
     CASE WHEN hit AND effect IN ('AMENDED', 'CANCELLED') THEN effect ELSE expected_status END AS lifecycle_status,
     lower(kind) || '_ref_' || k || CASE WHEN copy = 1 AND effect = 'DUPLICATE' THEN '_changed' ELSE '' END AS kind_reference,
     datediff('day', date '1970-01-01', td) * 86400 + 32405 + minutes * 60 + CASE WHEN hit AND late THEN 300 ELSE 0 END AS ingest_epoch,
-    k * 16 + seq * 2 + copy AS arrival, k, effect, target
+    datediff('day', date '1970-01-01', td) * 86400 + 32400 + minutes * 60 AS event_epoch, k * 16 + seq * 2 + copy AS arrival, k, effect, target, late
   FROM del
 ), obs AS MATERIALIZED (
-  SELECT *, 'sha256:' || sha256(concat_ws('|', kind, source_business_key, source_version, source_trade_id, product_type, base_currency, terms_currency, side, base_amount::varchar,
-    terms_amount::varchar, quoted_rate::varchar, trade_date::varchar, value_date::varchar, counterparty_id, book_id, lifecycle_status, kind_reference)) AS content_hash
+  SELECT *, 'sha256:' || sha256(to_json({base_amount: base_amount::varchar, base_currency: base_currency, book_id: book_id, counterparty_id: counterparty_id, kind: kind, kind_reference: kind_reference,
+    lifecycle_status: lifecycle_status, product_type: product_type, quoted_rate: quoted_rate::varchar, side: side, source_business_key: source_business_key, source_trade_id: source_trade_id,
+    source_version: source_version, terms_amount: terms_amount::varchar, terms_currency: terms_currency, trade_date: trade_date::varchar, value_date: value_date::varchar})::varchar) AS content_hash
   FROM plain
 ), outcomes AS (
   SELECT *, row_number() OVER same AS nth, first_value(content_hash) OVER same AS first_hash, first_value(observation_id) OVER same AS first_id FROM obs

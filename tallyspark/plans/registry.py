@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import actions
 from ..functions import validation as V
+from ..functions.documents import observation_content
 from ..functions.reference_data import STATES, TRANSITIONS
 from ..operators import ingest, remediation, reporting
 from ..operators import reconcile as R
 from ..sources import corpus
-from . import contract_oracles, contract_queries
+from . import contract_oracles, contract_queries, document_queries
 from .oracles import ORACLES as _ORACLES
 
 RUN, CONFIG = "run_demo", corpus.CONFIG
@@ -90,7 +91,7 @@ def content_hash_verify(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.load(spark, d)
     forged = F.substring_index("lineage_id", "_", -1).cast("long") % 97 == 5
     rows = rows.withColumn("content_hash", F.when(forged, F.concat(F.lit("sha256:"), F.sha2(F.lit("forged"), 256))).otherwise(F.col("content_hash")))
-    return ingest.verified(rows, corpus.content_text()).groupBy("kind", "hash_valid").agg(F.count(F.lit(1)).alias("n"))
+    return ingest.verified(rows, observation_content()).groupBy("kind", "hash_valid").agg(F.count(F.lit(1)).alias("n"))
 
 
 def corrected_bookings(spark: SparkSession, d: str) -> DataFrame:
@@ -452,5 +453,5 @@ def _ledger(spark: SparkSession, d: str) -> DataFrame:
     return reporting.run_ledger(rows, R.breaks(R.facts(rows, CONFIG), RUN), RUN)
 
 
-QUERIES |= contract_queries.named(trades, break_rows, all_facts, _ledger, table, RUN)
-ORACLES: dict[str, str] = {name: sql for name, sql in (_ORACLES | contract_oracles.ORACLES).items() if name in QUERIES}
+QUERIES |= contract_queries.named(trades, break_rows, all_facts, _ledger, table, RUN) | document_queries.QUERIES
+ORACLES: dict[str, str] = {name: sql for name, sql in (_ORACLES | contract_oracles.ORACLES | document_queries.ORACLES).items() if name in QUERIES}

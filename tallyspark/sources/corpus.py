@@ -10,7 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import lookup
+from ..functions.columns import lookup, sha256
+from ..functions.documents import observation_content
 from ..functions.reference_data import FAMILY_ORDER, SYSTEMS, VARIANTS, Config
 
 TENANT = "tenant_demo"
@@ -64,15 +65,6 @@ def ordered_variants() -> list[tuple]:
     return sorted(VARIANTS, key=lambda v: (FAMILY_ORDER.index(v[0]), v[1]))
 
 
-def content_text() -> Column:
-    """What a delivery's content hash is over: all that describes the trade, nothing of the delivery."""
-    return F.concat_ws(
-        "|", "kind", "source_business_key", "source_version", "source_trade_id", "product_type", "base_currency", "terms_currency", "side", F.col("base_amount").cast("string"),
-        F.col("terms_amount").cast("string"), F.col("quoted_rate").cast("string"), F.col("trade_date").cast("string"), F.col("value_date").cast("string"), "counterparty_id",
-        "book_id", "lifecycle_status", "kind_reference",
-    )
-
-
 def deliveries(orders: DataFrame, config: Config | None = None) -> DataFrame:
     """All deliveries, in the engine's observation columns; ``arrival`` orders them."""
     statuses = (config or Config()).statuses
@@ -119,8 +111,9 @@ def deliveries(orders: DataFrame, config: Config | None = None) -> DataFrame:
         F.timestamp_seconds(F.unix_date("trade_date") * 86400 + 32405 + F.col("minutes") * 60 + F.when(hit & F.col("late"), 300).otherwise(0)).alias("ingest_time"),
         (F.col("k") * 16 + F.col("source_sequence") * 2 + F.col("copy")).alias("arrival"),
         F.lit(None).cast("string").alias("supersedes_observation_id"),
+        F.lit(None).cast("string").alias("supersession_reason"),
     )
-    return d.withColumn("content_hash", F.concat(F.lit("sha256:"), F.sha2(content_text(), 256)))
+    return d.withColumn("content_hash", sha256(observation_content()))
 
 
 def load(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.documents import STANDARD, document_hash
 from ..functions.validation import bad_format
 
 AMOUNT = "struct<currency:string,value:string,scale:int>"
@@ -23,8 +24,6 @@ OBSERVATION = (
     "confirmation_id:string,confirmation_reference:string,confirmation_status:string,confirmation_time:string,fpml_profile:string,"
     "booking_record_id:string,booking_version:int,booking_status:string,last_updated_time:string,record_fingerprint:string>"
 )
-#: Parts of a delivery that its content hash leaves out.
-DELIVERY_FIELDS = ("content_hash", "ingest_time", "observation_id", "source_event_id", "correlation_id")
 
 
 def observation_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -55,11 +54,6 @@ def document_rules() -> dict[str, Column]:
     }
 
 
-def hashed_content(document: Column) -> Column:
-    """What a delivery's content hash covers: all fields of the document but those of the delivery. document: a struct."""
-    return document.dropFields(*DELIVERY_FIELDS)
-
-
 def _top_level(ddl: str) -> list[str]:
     out, depth, start = [], 0, 0
     for i, ch in enumerate(ddl + ","):
@@ -81,10 +75,18 @@ def flat_observations(documents: DataFrame) -> DataFrame:
         p("source_trade_id").alias("source_trade_id"), "source_version", "source_sequence", p("product_type").alias("product_type"), p("settlement_rule_version").alias("settlement_rule_version"),
         p("base_currency").alias("base_currency"), p("terms_currency").alias("terms_currency"), p("side").alias("side"), amount("base_amount"), amount("terms_amount"), amount("quoted_rate"),
         p("trade_date").try_cast("date").alias("trade_date"), p("value_date").try_cast("date").alias("value_date"), p("counterparty_id").alias("counterparty_id"), p("book_id").alias("book_id"),
-        p("lifecycle_status").alias("lifecycle_status"), reference.alias("kind_reference"), at("event_time"), at("ingest_time"), "supersedes_observation_id", "content_hash",
+        p("lifecycle_status").alias("lifecycle_status"), reference.alias("kind_reference"), at("event_time"), at("ingest_time"), "supersedes_observation_id", "supersession_reason", "content_hash",
+        F.unix_micros(F.col("ingest_time").try_cast("timestamp")).alias("arrival"), *[c for c in ("hash_valid",) if c in documents.columns],
     )
 
 
+def verified_documents(raw: DataFrame, standard: str = STANDARD) -> DataFrame:
+    """Documents (as text, or parsed) and ``calculated_hash``, ``hash_valid``: whether a document declares the hash that its whole semantic content has, unknown fields included."""
+    parsed = raw if "unknown_fields" in raw.columns else parsed_documents(raw)
+    parsed = parsed.withColumn("calculated_hash", document_hash(F.col("document"), standard))
+    return parsed.withColumn("hash_valid", F.coalesce(F.col("content_hash") == F.col("calculated_hash"), F.lit(False)) & F.col("observation_id").isNotNull())
+
+
 def policy(spark: SparkSession, path: str) -> DataFrame:
     """Field rules of a source-of-truth policy: field_path, owner, trusted_sources, source_precedence."""
     rule = "struct<field_path:string,owner:string,trusted_sources:array<string>,source_precedence:array<string>,conflict_outcome:string>"

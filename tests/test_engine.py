@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import validation as V
 from tallyspark.functions.columns import canonical_json, within_tolerance
+from tallyspark.functions.documents import observation_content
 from tallyspark.functions.reference_data import Config
 from tallyspark.operators import ingest, remediation, reporting
 from tallyspark.operators import reconcile as R
@@ -235,9 +236,9 @@ def test_stream_agrees_with_batch(spark, orders, tmp_path):
 
 
 def test_hash_verification_and_validation(seen):
-    assert ingest.verified(seen, corpus.content_text()).where("not hash_valid").count() == 0
+    assert ingest.verified(seen, observation_content()).where("not hash_valid").count() == 0
     forged = seen.withColumn("side", F.lit("NONE"))
-    assert ingest.verified(forged, corpus.content_text()).where("hash_valid").count() == 0
+    assert ingest.verified(forged, observation_content()).where("hash_valid").count() == 0
     _, bad = V.split(R.reconcile(seen), V.fact_rules())
     assert bad.count() == 0
 

@@ -30,6 +30,8 @@ from .common import bounded_batches, free_name, released, scratch, stored, text_
 KINDS = ("email", "ip", "card", "phone")
 #: Lengths of the beginnings that name classes of terms.
 BEGINNINGS = (1, 2, 3)
+#: Tasks of the pass that counts documents, for each core.
+TASKS_A_CORE = 4
 #: The disclosing terms of a text.
 TERMS = "array<struct<term:string,removed:boolean,class:string>>"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -180,7 +182,9 @@ def document_counts(docs: DataFrame, names: DataFrame, broadcast_terms: int) ->
                     known.clear()
         yield out()
 
-    counted = docs.select("text").mapInArrow(released(run), "name string, documents long").groupBy("name").agg(F.sum("documents").alias("documents"))
+    # A task hands on a row for each name that it met: few and long tasks hand on less than many short ones.
+    most = TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism
+    counted = docs.select("text").coalesce(most).mapInArrow(released(run), "name string, documents long").groupBy("name").agg(F.sum("documents").alias("documents"))
     return counted if wanted else counted.join(names, "name", "left_semi")
 
 

@@ -26,8 +26,10 @@ from .reference_data import (
     TOLERANCE_MODES,
     TRANSITIONS,
 )
-from .validation import settlement_window
+from .validation import proof_agrees, settlement_window
 
+#: Families whose breaks stand between two sources.
+DISTINCT_SOURCES = ("CURRENCY_PAIR_OR_SIDE_MISMATCH", "DUPLICATE_SOURCE_CONFLICT", "ECONOMIC_VALUE_MISMATCH", "TRADE_OR_VALUE_DATE_MISMATCH", "LIFECYCLE_STATUS_MISMATCH")
 FIELD_PATHS = tuple(f"/payload/{f}" for f in (*EXECUTION_FIELDS, *CONFIRMATION_FIELDS))
 #: All paths that a source-of-truth policy rules on.
 POLICY_PATHS = (*FIELD_PATHS, "/payload/confirmation_status", "/payload/booking_status", "/linkage/trade_id")
@@ -201,3 +203,31 @@ def identity_policy_problems(rows: list[tuple[int, str, str]]) -> list[str]:
     if [tuple(r[1:]) for r in rows] != list(IDENTITY_POLICY):
         out.append("OUTCOMES")
     return out
+
+
+def proof_rules() -> dict[str, Column]:
+    """What a resolution by a passed reconciliation must prove of its break. Columns of the break: run_id, family, condition_code, sources (structs of observation_id, source_version), comparisons (structs of
+    field_path, value_type, expected_observation_id, observed_observation_id, tolerance_mode, tolerance_value); and proof (struct of run_id, family, condition_code, sources, comparisons: structs of
+    field_path, value_type, values: structs of observation_id, source_version, value)."""
+    c, proof = F.col, F.col("proof")
+    proved = lambda x: F.try_element_at(F.filter(proof["comparisons"], lambda p: p["field_path"] == x["field_path"]), F.lit(1))
+    ids = lambda rows: F.transform(rows, lambda v: v["observation_id"])
+    operands = lambda x: F.array_compact(F.array(x["expected_observation_id"], x["observed_observation_id"]))
+    version = lambda v: F.try_element_at(F.filter("sources", lambda s: s["observation_id"] == v["observation_id"]), F.lit(1))["source_version"]
+    covered = lambda holds: F.exists("comparisons", lambda x: proved(x).isNotNull() & holds(x, proved(x)))
+    agrees = lambda x, p: proof_agrees(F.transform(p["values"], lambda v: v["value"]), x["value_type"], x["tolerance_mode"], x["tolerance_value"])
+    known = lambda rows: F.transform(rows, lambda s: F.struct(s["observation_id"].alias("observation_id"), s["source_version"].alias("source_version")))
+    paths = lambda rows: F.transform(rows, lambda x: x["field_path"])
+    return {
+        "NO_PROOF": proof.isNull(),
+        "PROOF_RUN": proof["run_id"] != c("run_id"),
+        "PROOF_BREAK": (proof["family"] != c("family")) | (proof["condition_code"] != c("condition_code")),
+        "PROOF_SOURCES_DIFFER": differ(known("sources"), known(proof["sources"])),
+        "PROOF_PATHS_DIFFER": differ(paths("comparisons"), paths(proof["comparisons"])),
+        "PROOF_VALUE_TYPE": covered(lambda x, p: p["value_type"] != x["value_type"]),
+        "PROOF_SOURCE_UNKNOWN": covered(lambda x, p: F.size(F.array_except(ids(p["values"]), ids(F.col("sources")))) > 0),
+        "PROOF_VERSION": covered(lambda x, p: F.exists(p["values"], lambda v: v["source_version"] != version(v))),
+        "PROOF_OPERANDS_MISSING": covered(lambda x, p: F.size(F.array_except(operands(x), ids(p["values"]))) > 0),
+        "PROOF_ONE_SOURCE": c("family").isin(*DISTINCT_SOURCES) & covered(lambda x, p: F.size(F.array_distinct(ids(p["values"]))) < 2),
+        "PROOF_DISAGREES": covered(lambda x, p: ~F.coalesce(agrees(x, p), F.lit(False))),
+    }

@@ -35,9 +35,34 @@ def triage(facts: DataFrame, observations: DataFrame) -> DataFrame:
     return wanted.join(name("expected"), [*keys, "expected_observation_id"]).join(name("observed"), [*keys, "observed_observation_id"])
 
 
-def provider_prompt() -> Column:
-    """What a provider is asked: the facts of a triaged case as JSON."""
-    return F.to_json(F.struct("expected_source_system", "expected_value", "family", "field_path", "observed_source_system", "observed_value", "trade_id"))
+PROMPT_FACTS = ("expected_source_system", "expected_value", "family", "field_path", "observed_source_system", "observed_value", "trade_id")
+
+
+def provider_prompt(candidates: Column) -> Column:
+    """What a provider is asked: the facts of a triaged case, and the runbook sections it may cite (array of structs of citation, title, content), as canonical JSON."""
+    return canonical_json(F.struct(candidates.alias("candidate_citations"), F.struct(*PROMPT_FACTS).alias("facts")), keep_nulls=True)
+
+
+def candidate_query(case: dict) -> str:
+    """What runbooks are searched for."""
+    words = (case["family"], case["field_path"], "economic value mismatch", case["expected_source_system"], case["observed_source_system"], "correction authoritative source booking")
+    return " ".join(words)
+
+
+def candidates(sections: DataFrame, case: dict, top_k: int = 5) -> list[dict]:
+    """The sections that share most words with a case: citation, title, content; at most top_k rows."""
+    found = keyword_search(sections, candidate_query(case), top_k, F.concat_ws(" ", "title", "content"), ["document_id", "section_number"])
+    return [{"citation": f"{r['document_id']}#{r['section_number']}", "title": r["title"], "content": r["content"]} for r in found.collect()]
+
+
+RECOMMENDED = ("abstain_reason", "citations", "confidence", "proposed_fields", "recommended_action")
+
+
+def recommendation_hash() -> Column:
+    """What an approval is bound to: all that a recommendation says, and the break it is for."""
+    entries = F.array_sort(F.map_entries("proposed_fields")).alias("proposed_fields")
+    fields = [entries if c == "proposed_fields" else F.col(c) for c in sorted((*RECOMMENDED, "break_id"))]
+    return sha256(canonical_json(F.struct(*fields), keep_nulls=True))
 
 
 def recommend(cases: DataFrame, provider: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

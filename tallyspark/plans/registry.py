@@ -15,7 +15,7 @@ from ..functions.reference_data import STATES, TRANSITIONS
 from ..operators import ingest, remediation, reporting
 from ..operators import reconcile as R
 from ..sources import corpus
-from . import contract_oracles, contract_queries, document_queries
+from . import contract_oracles, contract_queries, document_queries, evaluation_queries
 from .oracles import ORACLES as _ORACLES
 
 RUN, CONFIG = "run_demo", corpus.CONFIG
@@ -106,6 +106,11 @@ def with_corrections(spark: SparkSession, d: str) -> DataFrame:
     return observed(spark, d).unionByName(corrected_bookings(spark, d))
 
 
+def trades_after_correction(spark: SparkSession, d: str) -> DataFrame:
+    """The trades as a run after the corrections sees them."""
+    return R.trade_rows(R.without_superseded(with_corrections(spark, d)), CONFIG)
+
+
 def supersession_filter(spark: SparkSession, d: str) -> DataFrame:
     rows = R.without_superseded(with_corrections(spark, d))
     return rows.select("lineage_id", "observation_id", F.col("base_amount").cast("string").alias("base_amount"), "source_version")
@@ -454,4 +459,5 @@ def _ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= contract_queries.named(trades, break_rows, all_facts, _ledger, table, RUN) | document_queries.QUERIES
-ORACLES: dict[str, str] = {name: sql for name, sql in (_ORACLES | contract_oracles.ORACLES | document_queries.ORACLES).items() if name in QUERIES}
+QUERIES |= evaluation_queries.named(observed, corrected_bookings, all_facts, trades, trades_after_correction, table, RUN)
+ORACLES: dict[str, str] = {name: sql for name, sql in (_ORACLES | contract_oracles.ORACLES | document_queries.ORACLES | evaluation_queries.ORACLES).items() if name in QUERIES}

@@ -170,6 +170,14 @@ def reference(x: Column) -> Column:
     return F.when(x.isNotNull(), F.struct(*[x[f].alias(f) for f in REFERENCE]))
 
 
+def source_reference(x: Column, tenant: Column, portfolio: Column) -> Column:
+    """An observation as a break or an envelope refers to it, with its own scope."""
+    return F.struct(
+        x["observation_id"].alias("source_observation_id"), x["kind"].alias("observation_kind"), x["source_system"].alias("source_system"), x["source_business_key"].alias("source_business_key"),
+        tenant.alias("source_tenant_id"), portfolio.alias("source_portfolio_id"), x["source_version"].alias("source_version"), x["content_hash"].alias("content_hash"),
+    )
+
+
 def _fact(family: str, path: str, kind: str, expected: Column, observed: Column, sources: tuple[Column, Column], **more: Column) -> Column:
     """One comparison of a break. sources: the expected and the observed observation."""
     none = F.lit(None).cast("timestamp")

@@ -180,6 +180,11 @@ def execute(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("outcome", outcome).withColumn("side_effect", outcome == "SUCCESS")
 
 
+def seeded(records: DataFrame | None, seeds: DataFrame) -> DataFrame:
+    """records and the seeds of trades that have none: a record that is there stays as it is."""
+    return seeds if records is None else records.unionByName(seeds.join(records, ["tenant_id", "portfolio_id", "trade_id"], "left_anti"))
+
+
 def applied(records: DataFrame, executed: DataFrame) -> DataFrame:
     """New versions of the records that succeeded; the latest version is the record. records: scope, trade_id, record_version, value, applied_key."""
     keys = ["tenant_id", "portfolio_id", "trade_id"]

@@ -29,9 +29,6 @@ ORACLES: dict[str, str] = {
         ["", "EVALUATED_BEFORE_WATERMARK", "OBSERVATION_REPEATS", "SOURCE_SET_DIFFERS", "ARRIVED_AFTER_WATERMARK", "FOREIGN_TRADE", "PRODUCT_DIFFERS", "SETTLEMENT_RULE_DIFFERS", "LINKAGE_OUTSIDE_SET", ""],
     ),
     "selection_violations": listed("orders", "o_orderkey", ["", "NOT_SELECTED", "SELECTION_DIFFERS", "IDENTITY_INCONSISTENT", ""]),
-    "post_action_violations": listed(
-        "events", "event_id", ["", "PRE_ACTION_KIND", "POST_ACTION_KIND", "POST_ACTION_SCOPE", "READBACK_WITHOUT_POST", "CHANGED_REPEATS", "CHANGED_EQUAL", ""]
-    ),
     "run_violations": over(
         """, r AS (SELECT substr(lineage_id, 9)::bigint % 7 AS k, lineage_id IN (SELECT lineage_id FROM broken) AS bad FROM trade)
         SELECT CASE k WHEN 1 THEN 'EVALUATED_BEFORE_WATERMARK,CONTENT_HASH' WHEN 2 THEN CASE WHEN bad THEN 'BREAK_IDS_REPEAT,CONTENT_HASH' ELSE '' END WHEN 3 THEN 'RESULT,CONTENT_HASH'
@@ -44,9 +41,6 @@ ORACLES: dict[str, str] = {
           ELSE ['CONDITION_CODE', 'SETTLEMENT_WINDOW', 'COMPARISON_PATHS_REPEAT', 'COMPARISON_PATH', 'SOURCE_IDS_REPEAT', 'EVIDENCE_ROLES', '', '', 'ORDERING_KEY', 'ILLEGAL_TRANSITION',
             'FIRST_VERSION_SUPERSEDES', 'REOPENED_WITHOUT_FORMER', 'REOPENED_WITH_SAME_ID'][k] END AS reasons, count(*) AS n FROM b GROUP BY 1"""
     ),
-    "comparison_violations": listed("events", "event_id", ["", "TOLERANCE_MODE", "TOLERANCE_VALUE", "TOLERANCE_OF_NO_DECIMAL", "SOURCE_INCOMPLETE", "SOURCE_INCOMPLETE"]),
-    "policy_violations": listed("events", "event_id", ["", "UNKNOWN_PATH", "TRUSTED_WITHOUT_PRECEDENCE", "PRECEDENCE_REPEATS"]),
-    "policy_set_violations": listed("events", "event_id", ["", "PATHS_REPEAT", "PATHS_INCOMPLETE", "POLICY_HASH"]),
     "document_violations": over(", d AS (SELECT k FROM obs) " + listed("d", "k", ["", "DECIMAL_FORMAT", "DECIMAL_TOO_LONG", "DATE_FORMAT", "TIME_WITHOUT_OFFSET", "UNKNOWN_FIELD", "NOT_JSON"])),
     "linkage_violations": over(
         """, l AS (SELECT substr(lineage_id, 9)::bigint % 6 AS k, decision, n_candidates FROM decisions)
@@ -71,12 +65,6 @@ ORACLES: dict[str, str] = {
         SELECT t.trade_id, w.product_type, c.lifecycle_status, coalesce(n, 0)::int AS n_breaks, coalesce(families, '') AS families
         FROM trade t JOIN win w USING (lineage_id) JOIN winc c USING (lineage_id) LEFT JOIN per ON per.trade_id = t.trade_id"""
     ),
-    "applied_corrections": """
-        WITH u AS (SELECT DISTINCT user_id FROM events) SELECT user_id::varchar AS trade_id, CASE WHEN user_id % 4 = 0 THEN 2 ELSE 1 END AS record_version,
-          CASE WHEN user_id % 4 = 0 THEN '100' ELSE '90' END AS value, CASE WHEN user_id % 4 = 0 THEN 'idem:' || user_id END AS applied_key FROM u""",
-    "envelope_statuses": """
-        WITH u AS (SELECT DISTINCT user_id FROM events) SELECT CASE WHEN user_id % 5 IN (1, 2) THEN 'TAMPERED' WHEN user_id % 5 = 3 THEN 'EXPIRED' ELSE 'VALID' END AS envelope_status, count(*) AS n
-        FROM u GROUP BY 1""",
     "breaks_search": over("SELECT trade_id, family FROM broken WHERE trade_id LIKE 'trade_00000001%'"),
     "facts_in_scope": over("SELECT trade_id, family, field_path FROM all_facts WHERE portfolio_id = 'portfolio_london'"),
     "families_present": over(

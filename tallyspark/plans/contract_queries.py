@@ -12,7 +12,7 @@ from ..functions import validation as V
 from ..functions.columns import position
 from ..functions.reference_data import EVIDENCE_ROLES, FAMILIES
 from ..operators import reconcile as R
-from ..operators import remediation, reporting
+from ..operators import reporting
 from ..sources import corpus, files
 
 
@@ -68,19 +68,6 @@ def selection_violations(trades: DataFrame) -> DataFrame:
     return by_reason(rows, contract.selection_rules())
 
 
-def post_action_violations(events: DataFrame) -> DataFrame:
-    k = F.col("event_id") % 8
-    record = lambda kind, portfolio: F.struct(kind.alias("kind"), F.lit("tenant_a").alias("tenant_id"), portfolio.alias("portfolio_id"), F.lit("trade_1").alias("source_business_key"))
-    change = lambda a, b: F.struct(F.lit("/payload/book_id").alias("field_path"), F.lit(a).alias("expected_value"), F.lit(b).alias("observed_value"))
-    home = F.lit("portfolio_a")
-    post = record(F.when(k == 2, "EXECUTION").otherwise("BOOKING"), F.when(k == 3, "portfolio_b").otherwise(home))
-    rows = events.select(
-        record(F.when(k == 1, "EXECUTION").otherwise("BOOKING"), home).alias("pre"), F.when(~k.isin(4, 7), post).alias("post"), (k != 7).alias("readback_available"),
-        F.when(k == 5, F.array(change("a", "b"), change("a", "b"))).when(k == 6, F.array(change("a", "a"))).otherwise(F.array(change("a", "b"))).alias("changed"),
-    )
-    return by_reason(rows, contract.post_action_rules())
-
-
 def run_violations(trades: DataFrame, run_id: str) -> DataFrame:
     k, c = key_of() % 7, F.col
     rows = R.run_envelopes(trades, run_id, corpus.CONFIG).withColumn("facts_of_breaks", spoilt(k, 4, c("n_facts") + 1, "n_facts")).withColumns(
@@ -110,36 +97,6 @@ def break_violations(breaks: DataFrame) -> DataFrame:
     return by_reason(rows, contract.break_rules())
 
 
-def comparison_violations(events: DataFrame) -> DataFrame:
-    k = F.col("event_id") % 6
-    rows = events.select(
-        F.when(k == 3, "DATE").otherwise("DECIMAL").alias("value_type"), F.when(k == 1, "ABOUT").otherwise("ABSOLUTE_DECIMAL").alias("tolerance_mode"), F.when(k != 2, "0.01").alias("tolerance_value"),
-        F.lit("obs_1").alias("expected_observation_id"), F.when(k != 4, "1").alias("expected_source_version"), F.when(k != 5, "obs_2").alias("observed_observation_id"), F.lit("1").alias("observed_source_version"),
-    )
-    return by_reason(rows, contract.comparison_rules())
-
-
-def policy_violations(events: DataFrame) -> DataFrame:
-    k = F.col("event_id") % 4
-    systems = F.array(*map(F.lit, ("FIX_EXECUTION", "FPML_CONFIRMATION")))
-    path = F.element_at(F.array(*map(F.lit, contract.POLICY_PATHS)), (F.col("event_id") % len(contract.POLICY_PATHS) + 1).cast("int"))
-    rows = events.select(
-        spoilt(k, 1, F.lit("/payload/unknown"), path).alias("field_path"), spoilt(k, 2, F.array(F.lit("OTHER")), systems).alias("trusted_sources"),
-        spoilt(k, 3, F.concat(systems, systems), systems).alias("source_precedence"),
-    )
-    return by_reason(rows, contract.policy_rules())
-
-
-def policy_set_violations(events: DataFrame) -> DataFrame:
-    k, all_paths = F.col("event_id") % 4, F.array(*map(F.lit, contract.POLICY_PATHS))
-    document = F.concat(F.lit('{"policy_version":"'), (F.col("event_id") % 3).cast("string"), F.lit('.0.0"}'))
-    rows = events.select(
-        F.when(k == 1, F.concat(all_paths, F.slice(all_paths, 1, 1))).when(k == 2, F.slice(all_paths, 2, 100)).otherwise(all_paths).alias("paths"), document.alias("document"),
-        spoilt(k, 3, F.lit("sha256:0"), F.concat(F.lit("sha256:"), F.sha2(document, 256))).alias("pinned_hash"),
-    )
-    return by_reason(rows, contract.policy_set_rules())
-
-
 def document_violations(deliveries: DataFrame) -> DataFrame:
     """Deliveries as JSON documents, parsed again."""
     k = key_of() % 7
@@ -199,47 +156,15 @@ def trade_details(trades: DataFrame, breaks: DataFrame) -> DataFrame:
     return rows.select("trade_id", "product_type", "lifecycle_status", F.coalesce(F.size("b"), F.lit(0)).alias("n_breaks"), F.coalesce(F.array_join(F.transform("b", lambda x: x["family"]), ","), F.lit("")).alias("families"))
 
 
-def applied_corrections(events: DataFrame) -> DataFrame:
-    """Records of users, some of which an execution corrects: one new version for each success, none for others; seeding again adds nothing."""
-    users = events.select(F.col("user_id").cast("string").alias("trade_id")).distinct()
-    scope = [F.lit("tenant_a").alias("tenant_id"), F.lit("portfolio_a").alias("portfolio_id")]
-    records = users.select(*scope, "trade_id", F.lit(1).alias("record_version"), F.lit("90").alias("value"), F.lit(None).cast("string").alias("applied_key"))
-    done = users.select(*scope, "trade_id", (F.col("trade_id").cast("long") % 4 == 0).alias("side_effect"), F.lit("100").alias("approved_value"), F.concat(F.lit("idem:"), "trade_id").alias("idempotency_key"))
-    every = records.unionByName(remediation.applied(records, done))
-    last = reporting.latest(every, ["tenant_id", "portfolio_id", "trade_id"], "record_version")
-    return last.select("trade_id", "record_version", "value", "applied_key")
-
-
-def envelope_statuses(events: DataFrame) -> DataFrame:
-    """Signed envelopes of users, some changed or late."""
-    k = F.col("user_id") % 5
-    users = events.select("user_id").distinct()
-    text = lambda prefix: F.concat(F.lit(prefix), F.col("user_id").cast("string"))
-    cases = users.select(
-        text("case_").alias("case_id"), F.lit("tenant_a").alias("tenant_id"), F.lit("portfolio_a").alias("portfolio_id"), text("trade_").alias("trade_id"), F.lit("/payload/base_amount").alias("field_path"),
-        F.lit("90").alias("expected_old_value"), F.lit("100").alias("approved_value"), "user_id",
-    )
-    at, secret = F.lit("2026-01-01 10:00:00").cast("timestamp"), b"secret"
-    made = remediation.envelopes(cases.drop("user_id"), at, secret).join(cases.select("case_id", "user_id"), "case_id")
-    made = made.withColumns({"approved_value": spoilt(k, 1, F.lit("999"), "approved_value"), "signature": spoilt(k, 2, F.lit("00"), "signature")})
-    now = at + F.when(k == 3, F.make_dt_interval(secs=F.lit(900))).when(k == 4, F.make_dt_interval(secs=F.lit(899))).otherwise(F.make_dt_interval(secs=F.lit(0)))
-    return remediation.verified_envelopes(made, now, secret).groupBy("envelope_status").agg(F.count(F.lit(1)).alias("n"))
-
-
 def named(trades: Callable, breaks: Callable, facts: Callable, ledger: Callable, table: Callable, run_id: str) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries, over the registry's frames."""
-    events = lambda s, d: table(s, d, "events")
     epoch = lambda c: F.unix_timestamp(c).alias(c)
     return {
         "provenance_violations": lambda s, d: provenance_violations(trades(s, d)),
         "context_violations": lambda s, d: context_violations(trades(s, d)),
         "selection_violations": lambda s, d: selection_violations(trades(s, d)),
-        "post_action_violations": lambda s, d: post_action_violations(events(s, d)),
         "run_violations": lambda s, d: run_violations(trades(s, d), run_id),
         "break_violations": lambda s, d: break_violations(breaks(s, d)),
-        "comparison_violations": lambda s, d: comparison_violations(events(s, d)),
-        "policy_violations": lambda s, d: policy_violations(events(s, d)),
-        "policy_set_violations": lambda s, d: policy_set_violations(events(s, d)),
         "document_violations": lambda s, d: document_violations(corpus.load(s, d)),
         "linkage_violations": lambda s, d: linkage_violations(trades(s, d)),
         "resolution_violations": lambda s, d: resolution_violations(facts(s, d)),
@@ -250,8 +175,6 @@ def named(trades: Callable, breaks: Callable, facts: Callable, ledger: Callable,
             break_versions(breaks(s, d)).withColumn("root", F.coalesce("supersedes_break_id", "break_id")), ["root"], "break_version"
         ).select("root", "break_version", "supersedes_break_id"),
         "trade_details": lambda s, d: trade_details(trades(s, d), breaks(s, d)),
-        "applied_corrections": lambda s, d: applied_corrections(events(s, d)),
-        "envelope_statuses": lambda s, d: envelope_statuses(events(s, d)),
         "breaks_search": lambda s, d: breaks(s, d).where(reporting.search(F.col("trade_id"), "TRADE_00000001")).select("trade_id", "family"),
         "facts_in_scope": lambda s, d: R.in_taxonomy_order(reporting.scoped(facts(s, d), corpus.TENANT, [corpus.PORTFOLIOS[0]])).select("trade_id", "family", "field_path"),
             "families_present": lambda s, d: facts(s, d).select("family", position(F.col("family"), tuple(FAMILIES)).alias("place")).distinct().orderBy("place"),

@@ -298,18 +298,6 @@ ORACLES: dict[str, str] = {
             WHEN 6 THEN 'PAYLOAD_TIME_AFTER_INGEST' WHEN 7 THEN 'ENTITY_VERSION' WHEN 8 THEN 'SUPERSESSION_PAIR' WHEN 9 THEN 'KIND_SYSTEM' WHEN 10 THEN 'SOURCE_VERSION_FORMAT' END AS reason FROM dirty)
         SELECT kind, reason, count(*) AS n FROM reasons WHERE reason IS NOT NULL GROUP BY 1, 2"""
     ),
-    "transition_violations": """
-        WITH states(s) AS (VALUES ('OPEN'), ('UNDER_INVESTIGATION'), ('RESOLUTION_PROPOSED'), ('ACTION_PENDING'), ('NO_ACTION_DISPOSITION_PENDING'), ('VERIFYING'), ('RESOLVED'), ('ESCALATED')),
-        names(r) AS (VALUES ('DETECTED'), ('BEGIN_INVESTIGATION'), ('PROPOSE_RESOLUTION'), ('ACTION_AUTHORISATION_PENDING'), ('NO_ACTION_DISPOSITION_PENDING'), ('BEGIN_VERIFICATION'), ('RESOLUTION_VERIFIED'), ('ESCALATE')),
-        numbered AS (SELECT event_id, event_id % 9 AS a, (event_id // 9) % 8 AS b, (event_id // 72) % 8 AS c FROM events),
-        tried AS (SELECT event_id, CASE WHEN a < 8 THEN (SELECT list(s ORDER BY list_position(['OPEN','UNDER_INVESTIGATION','RESOLUTION_PROPOSED','ACTION_PENDING','NO_ACTION_DISPOSITION_PENDING','VERIFYING','RESOLVED','ESCALATED'], s)) FROM states)[a + 1] END AS f,
-          ['OPEN','UNDER_INVESTIGATION','RESOLUTION_PROPOSED','ACTION_PENDING','NO_ACTION_DISPOSITION_PENDING','VERIFYING','RESOLVED','ESCALATED'][b + 1] AS t,
-          ['DETECTED','BEGIN_INVESTIGATION','PROPOSE_RESOLUTION','ACTION_AUTHORISATION_PENDING','NO_ACTION_DISPOSITION_PENDING','BEGIN_VERIFICATION','RESOLUTION_VERIFIED','ESCALATE'][c + 1] AS r FROM numbered),
-        legal(f, t, r) AS (VALUES (NULL, 'OPEN', 'DETECTED'), ('OPEN', 'UNDER_INVESTIGATION', 'BEGIN_INVESTIGATION'), ('OPEN', 'ESCALATED', 'ESCALATE'), ('UNDER_INVESTIGATION', 'RESOLUTION_PROPOSED', 'PROPOSE_RESOLUTION'),
-          ('UNDER_INVESTIGATION', 'ESCALATED', 'ESCALATE'), ('RESOLUTION_PROPOSED', 'ACTION_PENDING', 'ACTION_AUTHORISATION_PENDING'), ('RESOLUTION_PROPOSED', 'NO_ACTION_DISPOSITION_PENDING', 'NO_ACTION_DISPOSITION_PENDING'),
-          ('RESOLUTION_PROPOSED', 'ESCALATED', 'ESCALATE'), ('ACTION_PENDING', 'VERIFYING', 'BEGIN_VERIFICATION'), ('ACTION_PENDING', 'ESCALATED', 'ESCALATE'),
-          ('NO_ACTION_DISPOSITION_PENDING', 'VERIFYING', 'BEGIN_VERIFICATION'), ('NO_ACTION_DISPOSITION_PENDING', 'ESCALATED', 'ESCALATE'), ('VERIFYING', 'RESOLVED', 'RESOLUTION_VERIFIED'), ('VERIFYING', 'ESCALATED', 'ESCALATE'))
-        SELECT f AS from_state, t AS to_state, r AS reason_code, count(*) AS n FROM tried x WHERE NOT EXISTS (SELECT 1 FROM legal l WHERE l.f IS NOT DISTINCT FROM x.f AND l.t = x.t AND l.r = x.r) GROUP BY 1, 2, 3""",
     "policy_ladder": over(
         """, c AS (SELECT f.trade_id, f.expected_value, o.k, split_part(observed_observation_id, '_', 2) AS okind, split_part(expected_observation_id, '_', 2) AS ekind FROM all_facts f
           JOIN (SELECT DISTINCT lineage_id, k FROM obs) o USING (lineage_id) WHERE family = 'ECONOMIC_VALUE_MISMATCH' AND field_path = '/payload/base_amount'),
@@ -318,42 +306,6 @@ ORACLES: dict[str, str] = {
           CASE WHEN NOT fit OR k % 5 = 1 THEN 'confidence_below_threshold' WHEN k % 5 = 2 THEN 'missing_citation' WHEN k % 5 = 3 THEN 'proposed_value_does_not_match_authoritative_source'
             ELSE 'economic_field_correction_eligible' END AS policy_reason FROM r"""
     ),
-    "recommendation_reasons": """
-        WITH e AS (SELECT event_id % 12 AS k FROM events), texts AS (SELECT '{"predicted_root_cause":"' || CASE k WHEN 1 THEN '' ELSE 'late booking' END || '","confidence":' || CASE k WHEN 2 THEN '1.5' WHEN 3 THEN '"high"' ELSE '0.9' END
-          || ',"priority":"' || CASE k WHEN 4 THEN 'URGENT' ELSE 'HIGH' END || '","risk_tier":"LOW","required_approvals":["MAKER","' || CASE k WHEN 5 THEN 'OWNER' ELSE 'CHECKER' END || '"],"recommended_action":'
-          || CASE k WHEN 6 THEN 'null' WHEN 7 THEN '"DELETE"' ELSE '"CORRECT_LEGACY_BOOKING_FIELD"' END || ',"abstain_reason":' || CASE k WHEN 8 THEN '"unsure"' ELSE 'null' END || ',"proposed_fields":{'
-          || CASE k WHEN 9 THEN '' ELSE '"field_path":"1.00"' END || '},"citations":[{"document_id":"RB-001","section":"3"}]' || CASE k WHEN 10 THEN ',"note":1' ELSE '' END || CASE k WHEN 11 THEN '' ELSE '}' END AS raw FROM e),
-        docs AS (SELECT raw, CASE WHEN json_valid(raw) THEN raw::json END AS j FROM texts),
-        fields AS (SELECT j, j->>'recommended_action' AS a, j->>'abstain_reason' AS w, try_cast(j->>'confidence' AS double) AS c, json_type(j->'confidence') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AS numeric_c FROM docs)
-        SELECT CASE WHEN j IS NULL OR NOT numeric_c THEN 'NOT_JSON' ELSE concat_ws(',',
-          CASE WHEN length(j->>'predicted_root_cause') NOT BETWEEN 1 AND 2000 THEN 'ROOT_CAUSE_LENGTH' END, CASE WHEN c NOT BETWEEN 0 AND 1 THEN 'CONFIDENCE_RANGE' END,
-          CASE WHEN j->>'priority' NOT IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL') THEN 'PRIORITY' END, CASE WHEN a NOT IN ('CORRECT_LEGACY_BOOKING_FIELD', 'MANUAL_INVESTIGATION') THEN 'ACTION' END,
-          CASE WHEN NOT list_has_all(['MAKER', 'CHECKER'], (j->>'$.required_approvals[*]')) THEN 'APPROVAL_ROLE' END, CASE WHEN a IS NULL AND w IS NULL THEN 'NEITHER_ACTION_NOR_REASON' END,
-          CASE WHEN a IS NOT NULL AND w IS NOT NULL THEN 'ACTION_AND_REASON' END, CASE WHEN a = 'CORRECT_LEGACY_BOOKING_FIELD' AND len(json_keys(j->'proposed_fields')) = 0 THEN 'CORRECTION_WITHOUT_FIELD' END,
-          CASE WHEN list_contains(json_keys(j), 'note') THEN 'UNKNOWN_FIELD' END) END AS reasons,
-          CASE WHEN j IS NOT NULL THEN a END AS recommended_action, count(*) AS n FROM fields GROUP BY 1, 2""",
-    "action_violations": """
-        WITH o AS (SELECT o_orderkey AS id, o_orderkey % 17 AS k, CASE WHEN o_custkey % 7 > 0 THEN CASE WHEN o_orderkey % 17 = 3 THEN 'new' ELSE 'old' END END AS old_value, CASE WHEN o_orderkey % 17 = 16 THEN '' ELSE 'new' END AS new_value,
-          o_custkey % 5 AS s, CASE WHEN o_orderkey % 17 = 2 THEN 0 ELSE 1 END AS v FROM orders),
-        h AS (SELECT *, 'sha256:' || sha256(CASE WHEN k = 14 THEN 'other' ELSE 'draft ' || id END) AS hash FROM o),
-        i AS (SELECT *, CASE WHEN k = 15 THEN 'idem:0' ELSE 'idem:' || sha256('{"action_type":"CORRECT","content_hash":"' || hash || '","exact_approved_new_value":"' || new_value || '","normalised_expected_old_value":' || coalesce('"' || old_value || '"', 'null')
-          || ',"portfolio_id":"portfolio_a","target_booking_version":' || v || ',"tenant_id":"tenant_a","trade_id":"trade_' || id || '"}') END AS idem FROM h)
-        SELECT concat_ws(',', CASE k WHEN 1 THEN 'TARGET_FIELD' WHEN 2 THEN 'BOOKING_VERSION' WHEN 16 THEN 'NEW_VALUE_LENGTH' END, CASE WHEN old_value = new_value THEN 'VALUE_UNCHANGED' END,
-          CASE k WHEN 4 THEN 'STARTS_BEFORE_ISSUE' WHEN 5 THEN 'ENDS_BEFORE_START' WHEN 6 THEN 'CONTROL_LEASE' WHEN 7 THEN 'CONTROL_LEASE' WHEN 8 THEN 'LEASE_WINDOW' WHEN 9 THEN 'NO_SOURCES' WHEN 10 THEN 'SOURCE_REPEATS' WHEN 11 THEN 'SOURCE_SCOPE'
-            WHEN 12 THEN 'SOURCE_SYSTEM' WHEN 13 THEN 'SAME_DECISION' END, CASE WHEN s = 0 THEN 'SIGNATURE_INCOMPLETE' END, CASE k WHEN 14 THEN 'CONTENT_HASH' WHEN 15 THEN 'IDEMPOTENCY_KEY' END) AS reasons,
-          count(*) AS n, min(idem) AS least_key FROM i GROUP BY 1""",
-    "evidence_violations": """
-        SELECT coalesce(['FIRST_SUPERSEDES', 'REVISION_WITHOUT_FORMER', 'SUPERSEDES_ITSELF', 'DERIVATIVE_WITHOUT_ORIGIN', 'DERIVES_FROM_ITSELF', 'ORIGIN_OF_NO_DERIVATIVE', 'CONTENT_HASH', 'SOURCE_INCOMPLETE,HASH_WITHOUT_SOURCE',
-          'SOURCE_SCOPE', 'SOURCE_SYSTEM', 'CREATED_BEFORE_CAPTURE'][event_id % 12], '') AS reasons, count(*) AS n FROM events GROUP BY 1""",
-    "executor_outcomes": """
-        WITH a AS (SELECT event_id, event_id % 10 AS m FROM events)
-        SELECT CASE m WHEN 0 THEN 'REJECTED_TAMPERED' WHEN 1 THEN 'REJECTED_EXPIRED' WHEN 2 THEN 'REJECTED_APPROVALS_MISSING' WHEN 3 THEN 'REJECTED_SAME_IDENTITY' WHEN 4 THEN 'REJECTED_FIELD_NOT_ALLOWED'
-          WHEN 5 THEN 'DUPLICATE_NOOP' WHEN 6 THEN 'TIMEOUT_RECOVERED' WHEN 7 THEN 'REJECTED_VALUE_MISMATCH' WHEN 8 THEN 'REJECTED_VALUE_MISMATCH' ELSE 'SUCCESS' END AS outcome, count(*) AS n,
-          count(*) FILTER (m = 9) AS side_effects FROM a GROUP BY 1""",
-    "identity_policy": """
-        WITH a AS (SELECT event_id % 2 = 1 AS s, (event_id // 2) % 2 = 1 AS scope, (event_id // 4) % 2 = 1 AS d, (event_id // 8) % 2 = 1 AS h, (event_id // 16) % 2 = 1 AS src, (event_id // 32) % 3 AS rel, (event_id // 96) % 3 AS n FROM events)
-        SELECT CASE WHEN NOT s THEN 'REJECT_UNSUPPORTED_SCHEMA_VERSION' WHEN NOT scope THEN 'REJECT_CROSS_PORTFOLIO_LINKAGE' WHEN d AND h THEN 'IDEMPOTENT_REPLAY' WHEN d THEN 'DUPLICATE_SOURCE_CONFLICT'
-          WHEN src AND rel = 0 THEN 'NEW_SOURCE_VERSION' WHEN src AND rel = 1 THEN 'LATE_SOURCE_VERSION_RECORDED' WHEN n <> 1 THEN 'LINKAGE_REVIEW_REQUIRED' ELSE 'NEW_OBSERVATION' END AS outcome, count(*) AS n FROM a GROUP BY 1""",
     "keyword_search_topk": """
         WITH q AS (SELECT ['the', 'of', 'with', 'license', 'version', 'that', 'onea'] AS w), scored AS (
           SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), w)) AS overlap FROM documents, q)
@@ -379,6 +331,4 @@ ORACLES: dict[str, str] = {
     "legacy_readback": over(
         """SELECT trade_id, substr(m.trade_id, 7)::bigint % 3 + 1 AS record_version, 'value_' || (substr(m.trade_id, 7)::bigint % 3 + 1) AS value FROM modes m"""
     ),
-    "approvals_status": """
-        WITH c AS (SELECT DISTINCT user_id FROM events) SELECT CASE user_id % 4 WHEN 0 THEN 'COMPLETE' WHEN 1 THEN 'SAME_IDENTITY' ELSE 'MISSING' END AS approval, count(*) AS n FROM c GROUP BY 1""",
 }

@@ -8,14 +8,14 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import actions
+
 from ..functions import validation as V
 from ..functions.documents import observation_content
-from ..functions.reference_data import STATES, TRANSITIONS
+
 from ..operators import ingest, remediation, reporting
 from ..operators import reconcile as R
 from ..sources import corpus
-from . import contract_oracles, contract_queries, document_queries, evaluation_queries
+from . import content_queries, contract_oracles, contract_queries, document_queries, evaluation_queries
 from .oracles import ORACLES as _ORACLES
 
 RUN, CONFIG = "run_demo", corpus.CONFIG
@@ -205,22 +205,6 @@ def contract_violations(spark: SparkSession, d: str) -> DataFrame:
     return marked.select("kind", F.explode("reasons").alias("reason")).groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pick(values: tuple, at: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
-
-
-def transition_violations(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("event_id")
-    reasons = tuple(dict.fromkeys(r for _, _, r in TRANSITIONS))
-    order = ("DETECTED", "BEGIN_INVESTIGATION", "PROPOSE_RESOLUTION", "ACTION_AUTHORISATION_PENDING", "NO_ACTION_DISPOSITION_PENDING", "BEGIN_VERIFICATION", "RESOLUTION_VERIFIED", "ESCALATE")
-    assert set(reasons) == set(order)
-    tried = table(spark, d, "events").select(
-        F.when(e % 9 < 8, _pick(STATES, F.least(e % 9, F.lit(7)))).alias("from_state"), _pick(STATES, F.floor(e / 9) % 8).alias("to_state"), _pick(order, F.floor(e / 72) % 8).alias("reason_code")
-    )
-    _, rejected = V.split(tried, V.transition_rules())
-    return rejected.groupBy("from_state", "to_state", "reason_code").agg(F.count(F.lit(1)).alias("n"))
-
-
 def policy_ladder(spark: SparkSession, d: str) -> DataFrame:
     """The provider's recommendations, some of them spoilt, through the policy."""
     rows = observed(spark, d)
@@ -236,87 +220,6 @@ def policy_ladder(spark: SparkSession, d: str) -> DataFrame:
     return remediation.policy(cases).select("trade_id", "policy_outcome", "policy_reason")
 
 
-def recommendation_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """Provider answers, most of them spoilt in one way, parsed fail-closed."""
-    k = F.col("event_id") % 12
-    either = lambda at, bad, good: F.when(k == at, bad).otherwise(good)
-    raw = F.concat(
-        F.lit('{"predicted_root_cause":"'), either(1, "", "late booking"), F.lit('","confidence":'), F.when(k == 2, "1.5").when(k == 3, '"high"').otherwise("0.9"), F.lit(',"priority":"'), either(4, "URGENT", "HIGH"),
-        F.lit('","risk_tier":"LOW","required_approvals":["MAKER","'), either(5, "OWNER", "CHECKER"), F.lit('"],"recommended_action":'), F.when(k == 6, "null").when(k == 7, '"DELETE"').otherwise('"CORRECT_LEGACY_BOOKING_FIELD"'),
-        F.lit(',"abstain_reason":'), either(8, '"unsure"', "null"), F.lit(',"proposed_fields":{'), either(9, "", '"field_path":"1.00"'), F.lit('},"citations":[{"document_id":"RB-001","section":"3"}]'), either(10, ',"note":1', ""),
-        either(11, "", "}"),
-    )
-    found = actions.parsed_recommendations(table(spark, d, "events").select(raw.alias("raw")))
-    return found.select(F.array_join("reasons", ",").alias("reasons"), "recommended_action").groupBy("reasons", "recommended_action").agg(F.count(F.lit(1)).alias("n"))
-
-
-def action_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Action drafts of orders, most of them spoilt in one way, through the contract."""
-    k, c = F.col("o_orderkey") % 17, F.col("o_custkey")
-    at = lambda hour: F.lit(f"2026-03-02 {hour:02d}:00:00").cast("timestamp")
-    text = lambda prefix: F.concat(F.lit(prefix), F.col("o_orderkey"))
-    source = lambda kind, portfolio, oid, system: F.struct(
-        F.lit("tenant_a").alias("tenant_id"), portfolio.alias("portfolio_id"), text("case_").alias("case_id"), text("trade_").alias("trade_id"), oid.alias("observation_id"), F.lit(kind).alias("kind"), system.alias("source_system")
-    )
-    home, mine = F.lit("portfolio_a"), text("exec_")
-    pair = F.array(
-        source("EXECUTION", home, mine, F.lit("FIX_EXECUTION")),
-        source("BOOKING", F.when(k == 11, "portfolio_b").otherwise(home), F.when(k == 10, mine).otherwise(text("book_")), F.when(k == 12, "FIX_EXECUTION").otherwise("MOCK_LEGACY_BOOKING")),
-    )
-    rows = table(spark, d, "orders").select(
-        F.lit("CORRECT").alias("action_type"), F.lit("tenant_a").alias("tenant_id"), home.alias("portfolio_id"), text("case_").alias("case_id"), text("trade_").alias("trade_id"),
-        F.when(k == 1, "/payload/side").otherwise(actions.TARGET_FIELD).alias("target_field_path"), F.when(k == 2, 0).otherwise(1).alias("target_booking_version"),
-        F.when(c % 7 > 0, F.when(k == 3, "new").otherwise("old")).alias("normalised_expected_old_value"), F.when(k == 16, "").otherwise("new").alias("exact_approved_new_value"),
-        at(9).alias("issued_at"), F.when(k == 4, at(8)).otherwise(at(9)).alias("not_before"), F.when(k == 5, at(9)).otherwise(at(12)).alias("expires_at"),
-        F.when(k.isin(7, 8), "LEASE").otherwise("CAS").alias("control_type"), F.when(k == 6, at(10)).when(k == 8, at(13)).alias("lease_expires_at"),
-        F.when(k == 9, F.filter(pair, lambda x: F.lit(False))).otherwise(pair).alias("sources"), F.lit("decision_1").alias("maker_reference"), F.when(k == 13, "decision_1").otherwise("decision_2").alias("checker_reference"),
-        F.when(c % 5 < 2, "key_1").alias("signer_key_id"), F.when(c % 5 == 1, "ED25519").alias("signature_algorithm"), F.when(c % 5 == 1, "c2ln").alias("signature"), text("draft ").alias("draft"), k.alias("k"),
-    )
-    rows = rows.withColumn("content_hash", actions.sha256(F.when(F.col("k") == 14, "other").otherwise(F.col("draft"))))
-    rows = rows.withColumn("idempotency_key", F.when(F.col("k") == 15, "idem:0").otherwise(actions.idempotency_key()))
-    marked = V.with_reasons(rows, actions.action_rules())
-    return marked.groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"), F.min("idempotency_key").alias("least_key"))
-
-
-def evidence_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence items of events, most of them spoilt in one way, through the contract."""
-    k = F.col("event_id") % 12
-    scope = lambda portfolio: F.struct(F.lit("tenant_a").alias("tenant_id"), portfolio.alias("portfolio_id"), F.lit("case_1").alias("case_id"), F.lit("trade_1").alias("trade_id"))
-    at = lambda hour: F.lit(f"2026-03-02 {hour:02d}:00:00").cast("timestamp")
-    rows = table(spark, d, "events").select(
-        F.lit("ev_1").alias("evidence_id"), F.when(k.isin(2, 3), 2).otherwise(1).alias("evidence_version"), F.when(k == 1, "ev_0").when(k == 3, "ev_1").alias("supersedes_evidence_id"),
-        F.when(k == 5, "ev_1").when(k == 6, "ev_0").alias("derivative_of_evidence_id"), F.when(k.isin(4, 5), "REDACTED_DERIVATIVE").otherwise("NOT_REQUIRED").alias("redaction_status"),
-        F.when(k == 7, F.lit("sha256:x")).otherwise(actions.sha256(F.lit("a"))).alias("content_hash"), F.lit("SOURCE_OBSERVATION_HASH").alias("evidence_kind"), scope(F.lit("portfolio_a")).alias("scope"),
-        F.when(k != 8, scope(F.when(k == 9, "portfolio_b").otherwise("portfolio_a"))).alias("source_scope"), F.lit("BOOKING").alias("source_kind"),
-        F.when(k == 10, "FIX_EXECUTION").otherwise("MOCK_LEGACY_BOOKING").alias("source_system"), F.lit("1").alias("source_version"), actions.sha256(F.lit("b")).alias("source_hash"),
-        at(9).alias("captured_at"), F.when(k == 11, at(8)).otherwise(at(9)).alias("created_at"),
-    )
-    marked = V.with_reasons(rows, actions.evidence_rules())
-    return marked.groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def executor_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    m = F.col("event_id") % 10
-    value, other = F.lit("100.00"), F.lit("90.00")
-    attempts = table(spark, d, "events").select(
-        F.when(m == 0, "TAMPERED").when(m == 1, "EXPIRED").otherwise("VALID").alias("envelope_status"), F.when(m == 2, "MISSING").when(m == 3, "SAME_IDENTITY").otherwise("COMPLETE").alias("approval"),
-        F.when(m == 4, "/payload/side").otherwise("/payload/base_amount").alias("field_path"), F.when(m == 7, None).when(m == 8, other).otherwise(value).alias("current_value"),
-        F.when(m.isin(5, 6), "idem:1").alias("applied_key"), F.lit("idem:1").alias("idempotency_key"), value.alias("expected_old_value"),
-        F.when(m == 6, "TIMEOUT_RECOVERY_ATTEMPT").otherwise("NORMAL").alias("attempt_context"),
-    )
-    return remediation.execute(attempts).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if("side_effect").alias("side_effects"))
-
-
-def identity_policy(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("event_id")
-    bit = lambda n: F.floor(e / n) % 2 == 1
-    flags = table(spark, d, "events").select(
-        bit(1).alias("schema_supported"), bit(2).alias("scope_match"), bit(4).alias("same_delivery"), bit(8).alias("same_hash"), bit(16).alias("same_source"),
-        _pick(("GREATER", "LOWER", "EQUAL"), F.floor(e / 32) % 3).alias("version_relation"), (F.floor(e / 96) % 3).alias("candidates"),
-    )
-    return flags.groupBy(remediation.identity_outcome().alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def keyword_search_topk(spark: SparkSession, d: str) -> DataFrame:
     found = remediation.keyword_search(table(spark, d, "documents"), "The license, of version: with that ONEA", 20, F.col("text"), ["doc_id"])
     return found.select("doc_id", "overlap")
@@ -380,20 +283,6 @@ def legacy_readback(spark: SparkSession, d: str) -> DataFrame:
     return reporting.latest(versions, ["tenant_id", "portfolio_id", "trade_id"], "record_version").select("trade_id", "record_version", "value")
 
 
-def approvals_status(spark: SparkSession, d: str) -> DataFrame:
-    users = table(spark, d, "events").select("user_id").distinct()
-    u = F.col("user_id") % 4
-    rows = users.select(
-        F.col("user_id").cast("string").alias("case_id"),
-        F.explode(F.filter(F.array(F.struct(F.lit("MAKER").alias("role"), F.lit("ann").alias("approver_identity")), F.struct(F.lit("CHECKER").alias("role"), F.when(u == 1, "ann").otherwise("bo").alias("approver_identity"))),
-                           lambda x: (u != 2) | (x["role"] == "MAKER"))).alias("a"),
-        F.when(u == 3, "REJECTED").otherwise("APPROVED").alias("decision"),
-    ).select("case_id", "a.*", "decision")
-    found = remediation.approvals(rows)
-    every = users.select(F.col("user_id").cast("string").alias("case_id")).join(found, "case_id", "left")
-    return every.groupBy(F.coalesce("approval", F.lit("MISSING")).alias("approval")).agg(F.count(F.lit(1)).alias("n"))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "break_facts_all": lambda s, d: all_facts(s, d).select(*FACT_COLUMNS),
     "missing_required_source": of_family("MISSING_REQUIRED_SOURCE"),
@@ -433,13 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "post_action_breaks": post_action_breaks,
     "coverage_matrix": lambda s, d: reporting.coverage(corpus.truth(table(s, d, "orders"))),
     "contract_violations": contract_violations,
-    "transition_violations": transition_violations,
     "policy_ladder": policy_ladder,
-    "recommendation_reasons": recommendation_reasons,
-    "action_violations": action_violations,
-    "evidence_violations": evidence_violations,
-    "executor_outcomes": executor_outcomes,
-    "identity_policy": identity_policy,
     "keyword_search_topk": keyword_search_topk,
     "provenance_graph_edges": provenance_graph,
     "reachability": reachability,
@@ -448,16 +331,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "order_amount_tolerance": order_amount_tolerance,
     "events_ingest_outcomes": events_ingest_outcomes,
     "legacy_readback": legacy_readback,
-    "approvals_status": approvals_status,
 }
 
 
-
 def _ledger(spark: SparkSession, d: str) -> DataFrame:
     rows = trades(spark, d)
     return reporting.run_ledger(rows, R.breaks(R.facts(rows, CONFIG), RUN), RUN)
 
 
 QUERIES |= contract_queries.named(trades, break_rows, all_facts, _ledger, table, RUN) | document_queries.QUERIES
+QUERIES |= content_queries.named(observed, outcomes, all_facts, trades, corrected_bookings, table, RUN)
 QUERIES |= evaluation_queries.named(observed, corrected_bookings, all_facts, trades, trades_after_correction, table, RUN)
-ORACLES: dict[str, str] = {name: sql for name, sql in (_ORACLES | contract_oracles.ORACLES | document_queries.ORACLES | evaluation_queries.ORACLES).items() if name in QUERIES}
+ORACLES: dict[str, str] = {name: sql for name, sql in (_ORACLES | contract_oracles.ORACLES | document_queries.ORACLES | evaluation_queries.ORACLES | content_queries.ORACLES).items() if name in QUERIES}

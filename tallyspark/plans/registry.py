@@ -8,10 +8,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from ..functions import validation as V
 from ..functions.documents import observation_content
-
 from ..operators import ingest, remediation, reporting
 from ..operators import reconcile as R
 from ..sources import corpus

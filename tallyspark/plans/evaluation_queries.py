@@ -11,9 +11,9 @@ from ..functions import contract
 from ..functions import validation as V
 from ..functions.columns import lookup
 from ..functions.reference_data import FAMILIES, FAMILY_ORDER
-from ..operators import boundary
+from ..operators import boundary, ranking
 from ..operators import reconcile as R
-from ..sources import corpus, truth_graph
+from ..sources import corpus, seeded, truth_graph
 from .oracles import over
 
 LATE_SECONDS = 300
@@ -91,10 +91,27 @@ def resolution_proofs(facts: DataFrame, first: DataFrame, again: DataFrame, corr
     return marked.select("lineage_id", "family", "bound", F.array_join("reasons", ",").alias("reasons"))
 
 
+def run_index(trades: DataFrame) -> DataFrame:
+    """The runs of single trades, numbered without gaps in the order of their lineages."""
+    rows = ranking.numbered(trades.select("lineage_id", "trade_id"), ["lineage_id"])
+    return rows.select(ranking.run_name(F.col("number")).alias("run_id"), "lineage_id", "trade_id")
+
+
+SEED = 2026
+
+
+def seeded_corpus(orders: DataFrame) -> DataFrame:
+    """The trades of the corpus in a seeded order."""
+    truth = corpus.truth(orders).select("lineage_id", "product_type", "population")
+    return seeded.shuffled(truth, ranking.numbered(truth, ["lineage_id"]), SEED)
+
+
 def named(observed: Callable, corrections: Callable, facts: Callable, trades: Callable, after: Callable, table: Callable, run_id: str) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "oracle_boundary": lambda s, d: oracle_boundary(observed(s, d), corrections(s, d)),
         "truth_graph_paths": lambda s, d: truth_graph_paths(table(s, d, "orders"), facts(s, d)),
+        "run_index": lambda s, d: run_index(trades(s, d)),
+        "seeded_corpus": lambda s, d: seeded_corpus(table(s, d, "orders")),
         "resolution_proofs": lambda s, d: resolution_proofs(facts(s, d), trades(s, d), after(s, d), corrections(s, d), run_id),
     }
 
@@ -121,6 +138,22 @@ ORACLES: dict[str, str] = {
           n + 2 + n_behaviours + 2 * gone::int + (n_behaviours - gone::int) * n + 2 * n_hit + CASE WHEN n_hit = 0 THEN 1 ELSE 0 END AS n_edges, true AS whole_path,
           EXISTS (SELECT 1 FROM all_facts a WHERE a.lineage_id = shaped.lineage_id AND a.family = shaped.family) AS detected FROM shaped"""
     ),
+    "run_index": over("SELECT 'run_' || printf('%04d', row_number() OVER (ORDER BY lineage_id) - 1) AS run_id, lineage_id, trade_id FROM trade"),
+    "seeded_corpus": over(
+        """, sized AS (SELECT count(*) AS n FROM tr), bits AS (SELECT n, (SELECT min(b) FROM range(1, 21) r(b) WHERE (1::BIGINT << (2 * b)) >= n) AS b FROM sized)
+        , numbered AS (SELECT row_number() OVER (ORDER BY pk) - 1 AS number, 'lineage_' || pk AS lineage_id, CASE WHEN spot THEN 'FX_SPOT' ELSE 'FX_FORWARD' END AS product_type,
+          CASE WHEN fam IS NULL THEN 'CLEAN' ELSE 'BROKEN' END AS population FROM tr)
+        , walk(place, x, n, b, inside) AS (
+          SELECT number, number, n, b, false FROM numbered, bits
+          UNION ALL
+          SELECT place, y, n, b, y < n FROM (
+            SELECT place, n, b, (l4 << b) | r4 AS y FROM (SELECT *, r3 AS l4, xor(l3, (((r3 + 2026) * 1103515245 + 12345 * 4) % 2147483648 >> 7) & ((1::BIGINT << b) - 1)) AS r4 FROM (
+              SELECT *, r2 AS l3, xor(l2, (((r2 + 2026) * 1103515245 + 12345 * 3) % 2147483648 >> 7) & ((1::BIGINT << b) - 1)) AS r3 FROM (
+                SELECT *, r1 AS l2, xor(l1, (((r1 + 2026) * 1103515245 + 12345 * 2) % 2147483648 >> 7) & ((1::BIGINT << b) - 1)) AS r2 FROM (
+                  SELECT *, r0 AS l1, xor(l0, (((r0 + 2026) * 1103515245 + 12345) % 2147483648 >> 7) & ((1::BIGINT << b) - 1)) AS r1 FROM (
+                    SELECT place, n, b, x >> b AS l0, x & ((1::BIGINT << b) - 1) AS r0 FROM walk WHERE NOT inside)))))))
+        SELECT w.place, m.lineage_id, m.product_type, m.population FROM walk w JOIN numbered m ON m.number = w.x WHERE w.inside"""
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "resolution_proofs": over(
         f""", {_CORRECTED}, f AS (SELECT DISTINCT lineage_id, family, lineage_id IN (SELECT lineage_id FROM corrected) AS mended FROM all_facts WHERE starts_with(field_path, '/payload/'))
         SELECT lineage_id, family, b.bound, CASE WHEN NOT mended THEN 'PROOF_DISAGREES' WHEN b.bound THEN '' ELSE 'PROOF_SOURCES_DIFFER,PROOF_OPERANDS_MISSING,PROOF_ONE_SOURCE' END AS reasons

@@ -30,8 +30,8 @@ from .common import bounded_batches, free_name, released, scratch, stored, text_
 KINDS = ("email", "ip", "card", "phone")
 #: Lengths of the beginnings that name classes of terms.
 BEGINNINGS = (1, 2, 3)
-#: Tasks of the pass that counts documents, for each core.
-TASKS_A_CORE = 4
+#: Tasks of the pass that counts documents, for each core; counts that a task holds before it hands them on, and terms whose names it keeps.
+TASKS_A_CORE, HELD, KNOWN = 4, 100_000, 20_000
 #: The disclosing terms of a text.
 TERMS = "array<struct<term:string,removed:boolean,class:string>>"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -133,7 +133,7 @@ def found(docs: DataFrame) -> DataFrame:
                 if spans := base_spans(text):
                     held.append((doc_id.as_py(), key.as_py(), sorted({entity(k, text[a:b]) for k, a, b in spans}), sorted(term_set(text, spans))))
                     size += len(text)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], f.type) for c, f in enumerate(schema)], schema=schema)
                     held, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], f.type) for c, f in enumerate(schema)], schema=schema)
@@ -176,9 +176,9 @@ def document_counts(docs: DataFrame, names: DataFrame, broadcast_terms: int) ->
                         of = known[x] = tuple(y for y in (x, *beginnings(x)) if only is None or y in only)
                     found.update(of)
                 held.update(found)
-                if len(held) > 200_000:
+                if len(held) > HELD:
                     yield out()
-                if len(known) > 200_000:
+                if len(known) > KNOWN:
                     known.clear()
         yield out()
 

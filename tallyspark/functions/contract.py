@@ -231,3 +231,35 @@ def proof_rules() -> dict[str, Column]:
         "PROOF_ONE_SOURCE": c("family").isin(*DISTINCT_SOURCES) & covered(lambda x, p: F.size(F.array_distinct(ids(p["values"]))) < 2),
         "PROOF_DISAGREES": covered(lambda x, p: ~F.coalesce(agrees(x, p), F.lit(False))),
     }
+
+
+def run_break_rules() -> dict[str, Column]:
+    """A run against the breaks that name it. Columns: run_id, tenant_id, portfolio_id, trade_id, break_ids (in the run's order) and breaks (structs of break_id, run_id, tenant_id, portfolio_id, trade_id,
+    in the order they are stored)."""
+    c = F.col
+    scope = ("tenant_id", "portfolio_id", "trade_id")
+    return {
+        "BREAK_ORDER": ~F.transform("breaks", lambda b: b["break_id"]).eqNullSafe(c("break_ids")),
+        "BREAK_RUN": F.exists("breaks", lambda b: ~b["run_id"].eqNullSafe(c("run_id"))),
+        "BREAK_SCOPE": F.exists("breaks", lambda b: ~F.struct(*[b[f].alias(f) for f in scope]).eqNullSafe(F.struct(*[c(f).alias(f) for f in scope]))),
+    }
+
+
+def break_reference_rules() -> dict[str, Column]:
+    """What a break points at must be among its sources. Columns: tenant_id, portfolio_id, sources (structs as of ``reconcile.source_reference``), comparisons (structs of field_path, expected_observation_id,
+    expected_source_version, observed_observation_id, observed_source_version), evidence (structs of evidence_id, source_observation_id)."""
+    c = F.col
+    ids = F.transform("sources", lambda x: x["source_observation_id"])
+    version = lambda i: F.try_element_at(F.filter("sources", lambda x: x["source_observation_id"] == i), F.lit(1))["source_version"]
+    sides = ("expected", "observed")
+    unknown = lambda i: i.isNotNull() & ~F.array_contains(ids, F.coalesce(i, F.lit("")))
+    moved = lambda x, side: F.array_contains(ids, F.coalesce(x[f"{side}_observation_id"], F.lit(""))) & ~version(x[f"{side}_observation_id"]).eqNullSafe(x[f"{side}_source_version"])
+    any_side = lambda holds: F.exists("comparisons", lambda x: holds(x, sides[0]) | holds(x, sides[1]))
+    return {
+        "SOURCE_REPEATS": repeats(ids),
+        "SOURCE_SCOPE": F.exists("sources", lambda x: ~(x["source_tenant_id"].eqNullSafe(c("tenant_id")) & x["source_portfolio_id"].eqNullSafe(c("portfolio_id")))),
+        "OPERAND_UNKNOWN": any_side(lambda x, side: unknown(x[f"{side}_observation_id"])),
+        "OPERAND_VERSION": any_side(moved),
+        "EVIDENCE_REPEATS": repeats(F.transform("evidence", lambda e: e["evidence_id"])),
+        "EVIDENCE_SOURCE_UNKNOWN": F.exists("evidence", lambda e: ~F.coalesce(F.array_contains(ids, e["source_observation_id"]), F.lit(False))),
+    }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,8 @@ SUPPORTING_SECTIONS = {
 }
 PREFERRED_SECTIONS = ("RB-001#3", "RB-002#1")
 ENVELOPE_SECONDS = 900
+#: Tables that a closure keeps apart.
+MOST_PARTS = 16
 
 
 def triage(facts: DataFrame, observations: DataFrame) -> DataFrame:
@@ -231,16 +234,18 @@ def frozen_evidence(views: DataFrame, stored: DataFrame | None = None) -> DataFr
 
 def reachable(edges: DataFrame, starts: DataFrame, most_steps: int = 1000) -> DataFrame:
     """(start, node) of the transitive closure over edges(source, target). Only pairs that are new go on, so
-    diamonds and cycles add nothing. Raises where ``most_steps`` do not reach the end, rather than returning what is there. Each step is checkpointed."""
+    diamonds and cycles add nothing. Raises where ``most_steps`` do not reach the end, rather than returning what is there. Each step checkpoints its new pairs only; what many steps have found is put together
+    now and then, so that plans stay short."""
     edges = checkpointed(edges.select("source", "target").distinct())
-    found = checkpointed(starts.select(F.col("node").alias("start"), "node").distinct())
-    new = found
+    new = checkpointed(starts.select(F.col("node").alias("start"), "node").distinct())
+    parts = [new]
     for _ in range(most_steps):
         onward = new.join(edges, new["node"] == edges["source"]).select("start", F.col("target").alias("node")).distinct()
+        found = reduce(DataFrame.unionByName, parts)
         new = checkpointed(onward.join(found, ["start", "node"], "left_anti"))
         if not new.limit(1).count():
             return found
-        found = checkpointed(found.unionByName(new))
+        parts = [*parts, new] if len(parts) < MOST_PARTS else [checkpointed(found), new]
     raise RuntimeError(f"the closure was not complete after {most_steps} steps")
 
 

@@ -91,6 +91,28 @@ def resolution_proofs(facts: DataFrame, first: DataFrame, again: DataFrame, corr
     return marked.select("lineage_id", "family", "bound", F.array_join("reasons", ",").alias("reasons"))
 
 
+def break_reference_violations(facts: DataFrame, again: DataFrame, run_id: str) -> DataFrame:
+    """Breaks of the first run against the sources that a rerun after the corrections has; sources that name a foreign trade count as another portfolio's."""
+    keys = [*R.TRADE, "family", "group_key"]
+    proof = R.evidence(facts, run_id, corpus.CONFIG).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("evidence_id", "source_observation_id"))).alias("evidence"))
+    other = lookup(F.col("portfolio_id"), dict(zip(corpus.PORTFOLIOS, reversed(corpus.PORTFOLIOS), strict=True)))
+    portfolio = lambda x: F.when(x["source_business_key"].startswith("trade_x"), other).otherwise(F.col("portfolio_id"))
+    left = again.select(*R.TRADE, F.transform("obs", lambda x: R.source_reference(x, F.col("tenant_id"), portfolio(x))).alias("sources"))
+    rows = R.breaks(facts, run_id).join(proof, keys).join(left, list(R.TRADE))
+    marked = V.with_reasons(rows, contract.break_reference_rules())
+    return marked.select("lineage_id", "family", "group_key", F.array_join("reasons", ",").alias("reasons"))
+
+
+def run_break_violations(facts: DataFrame, again: DataFrame, run_id: str) -> DataFrame:
+    """Envelopes of a rerun after the corrections against the breaks that are stored under its id from before."""
+    stored = R.breaks(facts, run_id)
+    one = F.struct("family", "break_id", "run_id", "tenant_id", "portfolio_id", "trade_id")
+    per = stored.groupBy(*R.TRADE).agg(F.sort_array(F.collect_list(one)).alias("breaks"))
+    empty = F.array().cast("array<struct<family:string,break_id:string,run_id:string,tenant_id:string,portfolio_id:string,trade_id:string>>")
+    rows = R.run_envelopes(again, run_id, corpus.CONFIG).join(per, list(R.TRADE), "left").withColumn("breaks", F.coalesce("breaks", empty))
+    return V.with_reasons(rows, contract.run_break_rules()).select("lineage_id", "result", F.array_join("reasons", ",").alias("reasons"))
+
+
 def run_index(trades: DataFrame) -> DataFrame:
     """The runs of single trades, numbered without gaps in the order of their lineages."""
     rows = ranking.numbered(trades.select("lineage_id", "trade_id"), ["lineage_id"])
@@ -110,6 +132,8 @@ def named(observed: Callable, corrections: Callable, facts: Callable, trades: Ca
     return {
         "oracle_boundary": lambda s, d: oracle_boundary(observed(s, d), corrections(s, d)),
         "truth_graph_paths": lambda s, d: truth_graph_paths(table(s, d, "orders"), facts(s, d)),
+        "break_reference_violations": lambda s, d: break_reference_violations(facts(s, d), after(s, d), run_id),
+        "run_break_violations": lambda s, d: run_break_violations(facts(s, d), after(s, d), run_id),
         "run_index": lambda s, d: run_index(trades(s, d)),
         "seeded_corpus": lambda s, d: seeded_corpus(table(s, d, "orders")),
         "resolution_proofs": lambda s, d: resolution_proofs(facts(s, d), trades(s, d), after(s, d), corrections(s, d), run_id),
@@ -138,6 +162,15 @@ ORACLES: dict[str, str] = {
           n + 2 + n_behaviours + 2 * gone::int + (n_behaviours - gone::int) * n + 2 * n_hit + CASE WHEN n_hit = 0 THEN 1 ELSE 0 END AS n_edges, true AS whole_path,
           EXISTS (SELECT 1 FROM all_facts a WHERE a.lineage_id = shaped.lineage_id AND a.family = shaped.family) AS detected FROM shaped"""
     ),
+    "break_reference_violations": over(
+        f""", {_CORRECTED}, outside AS (SELECT DISTINCT lineage_id FROM seen WHERE source_business_key LIKE 'trade_x%')
+        SELECT lineage_id, family, group_key, concat_ws(',', CASE WHEN lineage_id IN (SELECT lineage_id FROM outside) THEN 'SOURCE_SCOPE' END,
+          CASE WHEN lineage_id IN (SELECT lineage_id FROM corrected) THEN 'OPERAND_UNKNOWN,EVIDENCE_SOURCE_UNKNOWN' END) AS reasons FROM broken"""
+    ),
+    "run_break_violations": over(
+        f""", {_CORRECTED} SELECT lineage_id, CASE WHEN lineage_id IN (SELECT lineage_id FROM broken) AND lineage_id NOT IN (SELECT lineage_id FROM corrected) THEN 'BREAKS_DETECTED' ELSE 'PASS' END AS result,
+          CASE WHEN lineage_id IN (SELECT lineage_id FROM corrected) THEN 'BREAK_ORDER' ELSE '' END AS reasons FROM trade"""
+    ),
     "run_index": over("SELECT 'run_' || printf('%04d', row_number() OVER (ORDER BY lineage_id) - 1) AS run_id, lineage_id, trade_id FROM trade"),
     "seeded_corpus": over(
         """, sized AS (SELECT count(*) AS n FROM tr), bits AS (SELECT n, (SELECT min(b) FROM range(1, 21) r(b) WHERE (1::BIGINT << (2 * b)) >= n) AS b FROM sized)

@@ -11,7 +11,9 @@ as VARIANT writes them (decimals without trailing zeros, powers of ten as double
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import ascii_only, canonical_json, sha256, utc_micros
@@ -75,3 +77,50 @@ def document_hash(document: Column, standard: str = STANDARD) -> Column:
 def observation_content() -> Column:
     """What the content hash of an observation in the engine's columns is over: canonical JSON of the columns that are not null."""
     return canonical_json(F.struct(*[F.col(c).cast("string").alias(c) for c in CONTENT]))
+
+
+#: Kinds of values that a closed schema tells apart.
+KINDS = ("OBJECT", "ARRAY", "STRING", "NUMBER", "BOOLEAN", "NULL")
+
+
+def kind_of(value: Column) -> Column:
+    """The kind of a VARIANT's value."""
+    named = F.schema_of_variant(value)
+    other = F.when(named == "STRING", "STRING").when(named == "BOOLEAN", "BOOLEAN").when(named == "VOID", "NULL").otherwise("NUMBER")
+    return F.when(named.startswith("OBJECT"), "OBJECT").when(named.startswith("ARRAY"), "ARRAY").otherwise(other)
+
+
+def walked(documents: DataFrame, key: list[str], document: str, depth: int = 6) -> DataFrame:
+    """key, path, kind of every value in documents (VARIANT) at all depths; items of lists share the path of their list and ``[]``. What lies deeper than ``depth`` is one row of kind TOO_DEEP.
+
+    Each depth is one step for all documents together: the containers of one depth are exploded to the values of the next.
+    """
+    level = documents.select(*key, F.lit("").alias("path"), F.col(document).alias("_v"))
+    steps = []
+    for _ in range(depth):
+        child = level.lateralJoin(documents.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+        path = F.concat("path", F.lit("/"), F.coalesce("key", F.lit("[]"))) if "key" not in key else None
+        if path is None:
+            raise ValueError("a key column may not be named key")
+        child = child.select(*key, path.alias("path"), F.col("value").alias("_v"), kind_of(F.col("value")).alias("kind"))
+        steps.append(child.select(*key, "path", "kind"))
+        level = child.where(F.col("kind").isin("OBJECT", "ARRAY")).select(*key, "path", "_v")
+    deeper = level.where(F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)<.+>"))
+    return reduce(DataFrame.unionByName, [*steps, deeper.select(*key, "path", F.lit("TOO_DEEP").alias("kind"))])
+
+
+def schema_violations(documents: DataFrame, key: list[str], document: str, schema: dict[str, str], required: tuple[str, ...] = (), depth: int = 6) -> DataFrame:
+    """key, reason, path: UNKNOWN_PATH of values that a closed schema (path: kind) does not know, TYPE of those of another kind (null is of any), MISSING_PATH of required ones that no value stands at, and NOT_AN_OBJECT."""
+    known = F.create_map(*[F.lit(x) for pair in schema.items() for x in pair]) if schema else F.create_map().cast("map<string,string>")
+    found = walked(documents.where(F.schema_of_variant(document).startswith("OBJECT")), key, document, depth)
+    wanted = F.try_element_at(known, F.col("path"))
+    reason = F.when(F.col("kind") == "TOO_DEEP", "TOO_DEEP").when(wanted.isNull(), "UNKNOWN_PATH").when((F.col("kind") != wanted) & (F.col("kind") != "NULL"), "TYPE")
+    bad = found.withColumn("reason", reason).where("reason is not null").select(*key, "reason", "path").distinct()
+    needed = F.array(*map(F.lit, required)).cast("array<string>")
+    there = found.where(F.col("path").isin(*required)).groupBy(*key).agg(F.collect_set("path").alias("_paths"))
+    objects = documents.select(*key, F.coalesce(F.schema_of_variant(document).startswith("OBJECT"), F.lit(False)).alias("_object"))
+    same = [objects[k].eqNullSafe(there[k]) for k in key]
+    whole = objects.join(there, same, "left").select(*[objects[k] for k in key], "_object", F.explode(F.array_except(needed, F.coalesce("_paths", F.array().cast("array<string>")))).alias("path"))
+    missing = whole.where("_object").select(*key, F.lit("MISSING_PATH").alias("reason"), "path")
+    none = objects.where("not _object").select(*key, F.lit("NOT_AN_OBJECT").alias("reason"), F.lit("").alias("path"))
+    return bad.unionByName(missing).unionByName(none)

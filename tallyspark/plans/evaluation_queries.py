@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import contract
+from ..functions import documents as D
 from ..functions import validation as V
 from ..functions.columns import lookup
 from ..functions.reference_data import FAMILIES, FAMILY_ORDER
 from ..operators import boundary, ranking
 from ..operators import reconcile as R
+from ..operators.lineage import checkpointed
 from ..sources import corpus, seeded, truth_graph
+from .contract_queries import break_versions
 from .oracles import over
 
 LATE_SECONDS = 300
@@ -113,6 +116,31 @@ def run_break_violations(facts: DataFrame, again: DataFrame, run_id: str) -> Dat
     return V.with_reasons(rows, contract.run_break_rules()).select("lineage_id", "result", F.array_join("reasons", ",").alias("reasons"))
 
 
+BREAK_SCHEMA = {
+    "/break_id": "STRING", "/break_version": "NUMBER", "/family": "STRING", "/state": "STRING", "/comparisons": "ARRAY", "/comparisons/[]": "OBJECT", "/comparisons/[]/field_path": "STRING",
+    "/comparisons/[]/value_type": "STRING", "/comparisons/[]/expected_value": "STRING", "/comparisons/[]/observed_value": "STRING",
+}
+STATE_SCHEMA = {
+    "/trade_id": "STRING", "/canonical_state_version": "STRING", "/base_amount": "STRING", "/book_id": "STRING", "/sources": "ARRAY", "/sources/[]": "OBJECT", "/sources/[]/observation_id": "STRING",
+    "/sources/[]/content_hash": "STRING",
+}
+
+
+def document_schema(breaks: DataFrame, trades: DataFrame) -> DataFrame:
+    """Breaks and canonical states as documents, as the engine's rows make them, against closed schemas: reopened breaks name the break before, which first versions may not, and amounts are numbers in rows and
+    texts by contract."""
+    line = F.transform("comparisons", lambda x: F.struct(*[x[f].alias(f) for f in ("field_path", "value_type", "expected_value", "observed_value")])).alias("comparisons")
+    one = F.struct("break_id", "break_version", "family", "state", "supersedes_break_id", line)
+    # Each depth of the walk reads the documents: they are made once.
+    written = lambda rows, key, value: checkpointed(rows.select(key, F.to_json(value).alias("d"))).select(key, F.parse_json("d").alias("v"))
+    found = D.schema_violations(written(break_versions(breaks), "break_id", one), ["break_id"], "v", BREAK_SCHEMA, ("/break_id", "/comparisons"), 4)
+    sources = F.transform("source_version_set", lambda x: F.struct(x["observation_id"].alias("observation_id"), x["content_hash"].alias("content_hash"))).alias("sources")
+    state = F.struct("trade_id", "canonical_state_version", "base_amount", "book_id", sources)
+    held = D.schema_violations(written(R.canonical_states(trades), "trade_id", state), ["trade_id"], "v", STATE_SCHEMA, ("/sources",), 4)
+    rows = found.select(F.lit("break").alias("document"), "reason", "path").unionByName(held.select(F.lit("canonical_state").alias("document"), "reason", "path"))
+    return rows.groupBy("document", "reason", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
 def run_index(trades: DataFrame) -> DataFrame:
     """The runs of single trades, numbered without gaps in the order of their lineages."""
     rows = ranking.numbered(trades.select("lineage_id", "trade_id"), ["lineage_id"])
@@ -134,6 +162,7 @@ def named(observed: Callable, corrections: Callable, facts: Callable, trades: Ca
         "truth_graph_paths": lambda s, d: truth_graph_paths(table(s, d, "orders"), facts(s, d)),
         "break_reference_violations": lambda s, d: break_reference_violations(facts(s, d), after(s, d), run_id),
         "run_break_violations": lambda s, d: run_break_violations(facts(s, d), after(s, d), run_id),
+        "document_schema": lambda s, d: document_schema(R.breaks(facts(s, d), run_id), trades(s, d)),
         "run_index": lambda s, d: run_index(trades(s, d)),
         "seeded_corpus": lambda s, d: seeded_corpus(table(s, d, "orders")),
         "resolution_proofs": lambda s, d: resolution_proofs(facts(s, d), trades(s, d), after(s, d), corrections(s, d), run_id),
@@ -171,6 +200,10 @@ ORACLES: dict[str, str] = {
         f""", {_CORRECTED} SELECT lineage_id, CASE WHEN lineage_id IN (SELECT lineage_id FROM broken) AND lineage_id NOT IN (SELECT lineage_id FROM corrected) THEN 'BREAKS_DETECTED' ELSE 'PASS' END AS result,
           CASE WHEN lineage_id IN (SELECT lineage_id FROM corrected) THEN 'BREAK_ORDER' ELSE '' END AS reasons FROM trade"""
     ),
+    "document_schema": over(
+        """SELECT 'break' AS document, 'UNKNOWN_PATH' AS reason, '/supersedes_break_id' AS path, count(*) AS n FROM broken WHERE substr(lineage_id, 9)::bigint % 3 > 0
+        UNION ALL SELECT 'canonical_state', 'TYPE', '/base_amount', count(*) FROM trade"""
+    ),
     "run_index": over("SELECT 'run_' || printf('%04d', row_number() OVER (ORDER BY lineage_id) - 1) AS run_id, lineage_id, trade_id FROM trade"),
     "seeded_corpus": over(
         """, sized AS (SELECT count(*) AS n FROM tr), bits AS (SELECT n, (SELECT min(b) FROM range(1, 21) r(b) WHERE (1::BIGINT << (2 * b)) >= n) AS b FROM sized)

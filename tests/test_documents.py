@@ -131,3 +131,14 @@ def test_documents_are_verified_before_they_are_classified(spark, tmp_path):
     assert store.read("source_event_inbox").first()["supersession_reason"] is None
     again = {r["outcome"]: r["n"] for r in store.ingest(rows.where("hash_valid")).collect()}
     assert again == {"IDEMPOTENT_REPLAY": 2, "DUPLICATE_SOURCE_CONFLICT": 1}
+
+
+def test_closed_schemas_at_all_depths(spark):
+    texts = ['{"a":1,"b":{"c":"x","d":[1,2,{"e":null}]},"z":true}', '{"a":"1"}', "[1]", None, '{"a":null,"b":{"d":[]}}', '{"b":{"d":[[[[1]]]]}}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, d string").select("i", F.try_parse_json("d").alias("v"))
+    schema = {"/a": "NUMBER", "/b": "OBJECT", "/b/c": "STRING", "/b/d": "ARRAY", "/b/d/[]": "NUMBER", "/b/d/[]/e": "STRING", "/b/d/[]/[]": "ARRAY"}
+    got = {tuple(r) for r in D.schema_violations(rows, ["i"], "v", schema, ("/b",), 4).collect()}
+    assert got == {
+        (0, "TYPE", "/b/d/[]"), (0, "UNKNOWN_PATH", "/z"), (1, "TYPE", "/a"), (1, "MISSING_PATH", "/b"), (2, "NOT_AN_OBJECT", ""), (3, "NOT_AN_OBJECT", ""), (5, "TYPE", "/b/d/[]"), (5, "TOO_DEEP", "/b/d/[]/[]"),
+    }
+    assert D.schema_violations(rows.limit(0), ["i"], "v", schema).count() == 0

@@ -62,10 +62,12 @@ def canonical_text(document: Column, leave_out: tuple[str, ...] = ()) -> Column:
     name = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
     members = F.transform(F.map_entries(kept), lambda e: F.concat(name(e["key"]), F.lit(":"), F.to_json(e["value"])))
     text = F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
-    text = F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(_TIME), F.lit(0))), text, lambda whole, member: F.replace(whole, member, _utc(member)))
-    nulls = text.contains(":null")
-    text = F.when(nulls, F.regexp_replace(F.regexp_replace(text, _NULL_MEMBER, "$1"), _FIRST_COMMA, "$1")).otherwise(text)
-    return ascii_only(text)
+    times = lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(_TIME), F.lit(0))), t, lambda whole, member: F.replace(whole, member, _utc(member)))
+    nulls = lambda t: F.when(t.contains(":null"), F.regexp_replace(F.regexp_replace(t, _NULL_MEMBER, "$1"), _FIRST_COMMA, "$1")).otherwise(t)
+    for step in (times, nulls, ascii_only):
+        # An array of one text binds it, so that no step evaluates what came before more than once.
+        text = F.get(F.transform(F.array(text), step), F.lit(0))
+    return text
 
 
 def document_hash(document: Column, standard: str = STANDARD) -> Column:
